@@ -25,6 +25,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonorel.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonorel.llm.warc import read_warc, write_warc
 
@@ -40,12 +46,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonorel.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonorel.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonorel.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonorel.llm.packing import pack
 
@@ -53,8 +71,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_warc, op4_bpe, op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_warc, op4_bpe, op5_quality, op6_token_counts, op8_neighbours, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sonorel.llm import quality
+
+    return {"op5_quality": quality.ORACLE_SQL}
