@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 #: Bytes that stand for themselves in the printable alphabet of byte-level BPE (fixed values of that format).
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Words remembered by each worker; beyond it the memory is emptied and fills anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Fragments remembered beside them. Words without a cut are remembered as words only.
+CACHE_FRAGMENTS = 60_000
 
 _LATIN = "a-zß-öø-ÿ"
 _FAST_TEXT = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -86,13 +88,16 @@ class ForcedBoundaryBPE:
         known = self._parts[final]
         ids = known.get(raw)
         if ids is None:
-            mapped = raw.decode("latin-1").translate(self._alphabet)
-            ids = array("I", [t.id for t in (self._final if final else self._inner).tokenize(mapped)]).tobytes()
-            if len(known) >= self.most_words:
+            ids = self._tokenize(raw, final)
+            if len(known) >= CACHE_FRAGMENTS:
                 known.clear()
             known[raw] = ids
         return ids
 
+    def _tokenize(self, raw: bytes, final: bool) -> bytes:
+        mapped = raw.decode("latin-1").translate(self._alphabet)
+        return array("I", [t.id for t in (self._final if final else self._inner).tokenize(mapped)]).tobytes()
+
     def learn(self, words: set[str]) -> None:
         """Encodes those words that aren't remembered: cuts all of them at forced boundaries at once, then encodes the fragments."""
         new = [w for w in words if w not in self.packed]
@@ -118,7 +123,7 @@ class ForcedBoundaryBPE:
         part = self._fragment
         for k, raw in enumerate(raws):
             if (a := first[k]) == (b := first[k + 1]):
-                self.packed[new[k]] = part(raw, True)
+                self.packed[new[k]] = self._tokenize(raw, True)
             else:
                 at = inner[a:b]
                 self.packed[new[k]] = b"".join([part(raw[i:j], False) for i, j in zip([0, *at], at)]) + part(raw[at[-1] :], True)

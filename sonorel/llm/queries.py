@@ -64,6 +64,12 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonorel.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonorel.llm.packing import pack
 
@@ -71,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_warc, op4_bpe, op5_quality, op6_token_counts, op8_neighbours, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_warc, op4_bpe, op5_quality, op6_token_counts, op8_neighbours, op9_jaccard, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
