@@ -58,6 +58,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonorel.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonorel.llm.ann import nearest
 
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_warc, op4_bpe, op5_quality, op6_token_counts, op8_neighbours, op9_jaccard, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_warc, op4_bpe, op5_quality, op6_token_counts, op7_line_dedup, op8_neighbours, op9_jaccard, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
