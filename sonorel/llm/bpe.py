@@ -25,7 +25,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ def _alphabet() -> dict[int, str]:
 
 class ForcedBoundaryBPE:
     def __init__(self, path: str, most_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer, models
+        from tokenizers import models
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -62,7 +62,7 @@ class ForcedBoundaryBPE:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._final = models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix or None, cache_capacity=0)
         self._inner = models.BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
-        self.library = Tokenizer.from_file(path)
+        self._path = path
         self._alphabet = "".join(_alphabet()[b] for b in range(256))
         self._special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inside, self.inside_last = self._pairs_inside_tokens()
@@ -70,6 +70,13 @@ class ForcedBoundaryBPE:
         self.packed: dict[str, bytes] = {}
         self._parts: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
 
+    @cached_property
+    def library(self):
+        """The library's own normaliser and pre-tokeniser, loaded where a text needs them."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def _pairs_inside_tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """For each pair of bytes (first * 256 + second): whether some token has it inside, and whether some token ends a word with it."""
         byte_of = {c: b for b, c in _alphabet().items()}
