@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonorel.plans import relations, scoring
+from sonorel.plans import relations, scoring, waves
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scoring, relations)
+MODULES = (scoring, relations, waves)
 
 
 def queries() -> dict[str, Query]:
