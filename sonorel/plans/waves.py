@@ -146,7 +146,8 @@ def band_power(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectral_shape(spark: SparkSession, d: str) -> DataFrame:
-    return S.spectral_shape(_spectrum(spark, d), RATE / 64).select("series", F.round("centroid", 4).alias("centroid"), F.round("spread", 4).alias("spread"), F.round("skewness", 4).alias("skewness"), F.round("kurtosis", 4).alias("kurtosis"), "rolloff", F.round("flatness_db", 4).alias("flatness_db"), F.round("crest", 4).alias("crest"))
+    r = lambda c: (F.round(F.col(c) + 1e-7, 4) + 0.0).alias(c)
+    return S.spectral_shape(_spectrum(spark, d), RATE / 64).select("series", *map(r, ("centroid", "spread", "skewness", "kurtosis")), "rolloff", r("flatness_db"), r("crest"))
 
 
 def spectral_contrast(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +217,7 @@ SQL = {
     "short_term_max": f"WITH {_SER}, w AS (SELECT series, date_trunc('day', ts) - to_days(unnest([0, 1, 2])::INTEGER) AS s, x FROM ser), p AS (SELECT series, s, avg(x * x) AS p FROM w GROUP BY series, s) SELECT series, round(max(p), 6) AS max_power FROM p GROUP BY series",
     "dft_power": f"WITH {_DFT} SELECT series, bin, round(power, 6) AS power FROM pw",
     "band_power": f"WITH {_DFT}, b AS (SELECT series, CASE WHEN bin * 100.0 < 500 THEN 'low' WHEN bin * 100.0 < 1500 THEN 'mid' ELSE 'high' END AS band, power, sum(power) OVER (PARTITION BY series) AS whole FROM pw) SELECT series, band, round(10 * log10(sum(power) / max(whole)), 3) AS level_db FROM b GROUP BY series, band",
-    "spectral_shape": f"WITH {_DFT}, m AS (SELECT series, bin, bin * 100.0::DOUBLE AS hz, sqrt(power) AS mag, power FROM pw), s AS (SELECT series, sum(mag) AS sm, sum(mag * hz) / sum(mag) AS c, exp(avg(ln(greatest(power, 1e-10)))) AS geo, avg(greatest(power, 1e-10)) AS ari, max(mag) / avg(mag) AS crest FROM m GROUP BY series), q AS (SELECT series, sqrt(sum(mag / sm * pow(hz - c, 2))) AS spread, sum(mag / sm * pow(hz - c, 3)) AS m3, sum(mag / sm * pow(hz - c, 4)) AS m4 FROM m JOIN s USING (series) GROUP BY series), u AS (SELECT series, hz, sum(mag) OVER (PARTITION BY series ORDER BY bin) AS cum FROM m), o AS (SELECT series, min(hz) AS rolloff FROM u JOIN s USING (series) WHERE cum >= 0.85 * sm - 1e-12 GROUP BY series) SELECT series, round(round(c, 6), 4) AS centroid, round(round(spread, 6), 4) AS spread, round(round(m3 / pow(spread, 3), 6), 4) AS skewness, round(round(m4 / pow(spread, 4), 6), 4) AS kurtosis, rolloff, round(round(10 * log10(geo / ari), 6), 4) AS flatness_db, round(round(crest, 6), 4) AS crest FROM s JOIN q USING (series) JOIN o USING (series)",
+    "spectral_shape": f"WITH {_DFT}, m AS (SELECT series, bin, bin * 100.0::DOUBLE AS hz, sqrt(power) AS mag, power FROM pw), s AS (SELECT series, sum(mag) AS sm, sum(mag * hz) / sum(mag) AS c, exp(avg(ln(greatest(power, 1e-10)))) AS geo, avg(greatest(power, 1e-10)) AS ari, max(mag) / avg(mag) AS crest FROM m GROUP BY series), q AS (SELECT series, sqrt(sum(mag / sm * pow(hz - c, 2))) AS spread, sum(mag / sm * pow(hz - c, 3)) AS m3, sum(mag / sm * pow(hz - c, 4)) AS m4 FROM m JOIN s USING (series) GROUP BY series), u AS (SELECT series, hz, sum(mag) OVER (PARTITION BY series ORDER BY bin) AS cum FROM m), o AS (SELECT series, min(hz) AS rolloff FROM u JOIN s USING (series) WHERE cum >= 0.85 * sm - 1e-12 GROUP BY series) SELECT series, round(round(c, 6) + 1e-7, 4) + 0.0 AS centroid, round(round(spread, 6) + 1e-7, 4) + 0.0 AS spread, round(round(m3 / pow(spread, 3), 6) + 1e-7, 4) + 0.0 AS skewness, round(round(m4 / pow(spread, 4), 6) + 1e-7, 4) + 0.0 AS kurtosis, rolloff, round(round(10 * log10(geo / ari), 6) + 1e-7, 4) + 0.0 AS flatness_db, round(round(crest, 6) + 1e-7, 4) + 0.0 AS crest FROM s JOIN q USING (series) JOIN o USING (series)",
     "spectral_contrast": f"WITH {_DFT} SELECT series, round(10 * log10(quantile_cont(power, 0.85) / quantile_cont(power, 0.15)), 3) AS contrast_db, round(sqrt(max(power) / avg(power)), 4) AS crest FROM pw GROUP BY series",
     "one_pole": f"WITH {_SMP} SELECT a.series, a.i, round(sum(0.3::DOUBLE * pow(0.7::DOUBLE, a.i - b.i) * b.x), 6) AS y FROM smp a JOIN smp b ON a.series = b.series AND b.i <= a.i GROUP BY a.series, a.i",
     "onset_slices": f"WITH {_SER} SELECT series, row_number() OVER w - 1 AS n, i AS start, lead(i) OVER w AS end FROM ser WHERE event_type = 'error' WINDOW w AS (PARTITION BY series ORDER BY i)",
