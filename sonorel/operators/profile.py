@@ -49,7 +49,7 @@ def build_profile(features: DataFrame, by: list[str] | None = None, exact_in_tas
 def bracketed_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], accuracy: int = 1000) -> DataFrame:
     """by..., q: exact linear-interpolated quantiles. A mergeable sketch brackets each quantile; values below the
     bracket are counted, and only those inside are sorted."""
-    pad = 2.0 / accuracy
+    pad, df = 2.0 / accuracy, df.select(*by, value)
     asked = [x for q in qs for x in (max(0.0, q - pad), min(1.0, q + pad))]
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, asked, accuracy).alias("cut"), F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     joined = df.join(cuts, by)

@@ -72,10 +72,8 @@ def encode(x: np.ndarray, rate: int, encoding: str = "FLOAT") -> bytes:
     if tag == 3:
         body = np.ascontiguousarray(x, "<f4" if bits == 32 else "<f8").tobytes()
     else:
-        # Full scale is the largest positive number, so 1.0 and -1.0 lie symmetrically.
-        full = 2.0 ** (bits - 1) - 1
-        scaled = np.asarray(x) * x.dtype.type(full) if np.asarray(x).dtype.kind == "f" else np.asarray(x, np.float64) * full
-        whole = np.clip(np.rint(scaled), -full - 1, full).astype("<i8")
+        full = 2.0 ** (bits - 1)
+        whole = np.clip(np.floor(np.asarray(x, np.float64) * full), -full, full - 1).astype("<i8")
         body = {16: lambda: whole.astype("<i2").tobytes(), 32: lambda: whole.astype("<i4").tobytes(), 24: lambda: np.ascontiguousarray(whole.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :3]).tobytes()}[bits]()
     ch, align = x.shape[1], x.shape[1] * bits // 8
     head = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, ch, rate, rate * align, align, bits) + b"data" + struct.pack("<I", len(body))
