@@ -92,3 +92,17 @@ def test_corpus_profile_and_brief_readers(spark, tmp_path):
     assert records.read_profile(spark, str(tmp_path / "p.json")).first().median == 1.0
     (tmp_path / "b.json").write_text('{"a":[1,2],"b":{"min":3,"max":4}}')
     assert {r.key: (r.lo, r.hi) for r in records.read_brief(spark, str(tmp_path / "b.json")).collect()} == {"a": (1.0, 2.0), "b": (3.0, 4.0)}
+
+
+def test_reports_and_absent_tools(spark):
+    from sonorel.operators import external, report
+
+    f = frames(spark, '{"id":"a","kind":"audio","hash":"h"}', '{"id":"f","kind":"feature","of":"a","data":{"x_db":-3,"m":{"mean":1,"stdev":2},"n":{"k":4}}}', '{"id":"e","kind":"error","of":"a","data":{"code":"op_failed","message":"no"}}')
+    text = report.markdown(report.report_rows(f))
+    assert "- x_db: -3 dB" in text and "- m: 1 (±2)" in text and "- n.k: 4" in text and "op_failed: no" in text
+    assert report.placed(text) == "inline"
+    absent = external.run("stems", f).first()
+    assert absent.of == "a" and '"unsupported"' in absent.data
+    rows = spark.createDataFrame([(1, b"abc")], "id int, content binary")
+    assert external.through(rows, ["tr", "a-z", "A-Z"]).first().content == b"ABC"
+    assert external.through(rows, ["no-such-program"]).first().error.startswith("unsupported")
