@@ -22,7 +22,7 @@ have any length. sanitise keeps all columns, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonorel.llm.common import broadcast_if_small, materialize
@@ -132,12 +132,24 @@ def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     return seen.where("n_entity < n_words").groupBy("term").agg(F.max(kind).alias("kind")).where("kind is not null")
 
 
+def placed_words(rows: DataFrame) -> DataFrame:
+    """rid, term, start, end of every word of _text: lengths of words and of the gaps between them are added up along the text, as rows, so a long text costs no more than its length."""
+    text = F.col("_text")
+    both = F.arrays_zip(F.split(text, _WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("hit"))
+    each = rows.select("rid", F.posexplode(both).alias("k", "w")).where("w.hit is not null").select("rid", "k", F.length("w.gap").alias("gap"), F.col("w.hit").alias("hit"))
+    end = F.sum(F.col("gap") + F.length("hit")).over(Window.partitionBy("rid").orderBy("k"))
+    return each.withColumn("end", end.cast("int")).select("rid", F.lower("hit").alias("term"), (F.col("end") - F.length("hit")).alias("start"), "end")
+
+
 def all_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found with spans: base spans and, in documents that have some, those of revealing terms outside them."""
     terms = broadcast_if_small(materialize(revealing_terms(docs, found), "revealing"))
-    placed = found.where("_text is not null").select("rid", F.explode(occurrences(F.col("_text"), _WORD)).alias("w")).select("rid", F.lower("w.hit").alias("term"), "w.start", "w.end")
-    hits = placed.join(terms, "term").groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    out = found.join(hits, "rid", "left")
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("_text"), F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
+    some = found.where("_text is not null").select("rid", F.explode(words).alias("term")).join(terms, "term")
+    some = materialize(some, "documents-with-terms")
+    held = found.where("_text is not null").join(broadcast_if_small(some.select("rid").distinct()), "rid", "left_semi")
+    hits = placed_words(held.select("rid", "_text")).join(some, ["rid", "term"]).groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    out = found.join(broadcast_if_small(materialize(hits, "term-spans"), 100_000), "rid", "left")
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
