@@ -239,3 +239,11 @@ def read_warc(spark: SparkSession, path: str, record_types: tuple[str, ...] = ()
     if record_types:
         reader = reader.option("recordTypes", ",".join(record_types))
     return reader.load(path)
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= {LEAST_SHARED} GROUP BY payload_digest),
+m AS (SELECT d.*, CASE WHEN page_id <> first THEN first END AS refers_to FROM d LEFT JOIN g USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM m
+"""
