@@ -25,7 +25,7 @@ def error_frame(df: DataFrame, code: Column, message: Column, of: Column, op: Co
     return frame(df, kind=F.lit("error"), of=of, op=op, data=F.to_json(F.struct(code.alias("code"), message.alias("message"), of.alias("of"))))
 
 
-def problems(f: dict[str, Column] | None = None) -> Column:
+def problems() -> Column:
     """array<string>: what is wrong with a frame."""
     c = F.col
     has_hash, has_data = c("hash").isNotNull(), c("data").isNotNull()
