@@ -140,3 +140,17 @@ def test_wav_table_round_trip(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"nothing")
     got = {r.path.rsplit("/", 1)[1]: r for r in wav.read_folder(spark, str(tmp_path)).collect()}
     assert got["a.wav"].n == len(NOISE) and got["b.wav"].error.startswith("decode_failed")
+
+
+def test_pictures_and_slices(spark):
+    from sonorel.operators import images
+
+    clicks = np.zeros(RATE)
+    for a in (5000, 20_000, 33_000):
+        clicks[a : a + 2000] = np.random.default_rng(a).normal(size=2000) * np.exp(-np.arange(2000) / 300)
+    df = spark.createDataFrame([("c", RATE, 1, RATE, [clicks.tolist()]), ("s", RATE, 1, 64, [[0.1] * 64])], "signal_id string, sr int, ch int, n int, pcm array<array<float>>")
+    got = images.pictures(df, images.PICTURES).collect()
+    assert len(got) == 8 and all(bytes(r.png[:8]) == b"\x89PNG\r\n\x1a\n" for r in got)
+    found = images.slices(df.where("signal_id = 'c'"), audio=True).orderBy("sample").collect()
+    assert len(found) >= 3 and found[0].label == "onset-0"
+    assert sum(len(r.pcm[0]) for r in found) == RATE - found[0].sample
