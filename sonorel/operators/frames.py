@@ -94,7 +94,7 @@ def audio_for_stage(frames: DataFrame, role: str | None = None, by: tuple[str, .
     audio = matching(frames, kind="audio")
     if role is not None:
         hit = audio.groupBy(*by).agg(F.count_if(F.col("role") == role).alias("_hit")) if by else audio.agg(F.count_if(F.col("role") == role).alias("_hit"))
-        audio = audio.join(F.broadcast(hit), list(by)) if by else audio.join(F.broadcast(hit))
+        audio = audio.join(hit, list(by)) if by else audio.join(F.broadcast(hit))
         audio = audio.where((F.col("_hit") == 0) | (F.col("role") == role)).drop("_hit")
     return audio if everything else select(audio, by=by)
 
