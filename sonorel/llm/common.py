@@ -40,11 +40,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files behind a materialized table that no plan needs any more."""
+    """Removes the files behind a materialized table that no plan needs any more, and has the driver notice which shuffles are free."""
     jvm = spark.sparkContext._jvm
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

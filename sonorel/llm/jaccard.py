@@ -6,7 +6,10 @@ similar enough share one of the first few of each (the prefix). For every
 shingle, the smallest representative that has it in its prefix is the pivot, so
 each document has a handful of pivots, and two similar documents share one: the
 pivots' regions together hold every link. A document whose prefix reaches into
-several regions is replicated to each.
+several regions is replicated to each. Prefixes are a little longer than one
+common shingle needs, so similar sets have several in common there; sets that
+share fewer with others of a fitting size (|y| is within NEED / OF of |x|, by the
+triangle inequality about the empty set) have no link and leave early.
 
 A region is joined exactly. Distances to a pivot are computed for the whole
 region at once; documents within the threshold are linked, and by the triangle
@@ -17,7 +20,7 @@ are dealt into blocks that are joined with their pivot; then those documents
 that stayed apart from the pivot's component, and only those, meet every block.
 
 The order of shingles is a matter of cost alone. Common shingles are those that
-many representatives have in their prefix; their number is bounded by raising
+many documents have among their smallest hashes; their number is bounded by raising
 the count that makes one common.
 
 Cases: null and empty texts, and those without words, have no shingles and stand
@@ -42,7 +45,11 @@ from sonorel.llm.shingles import digest, shingle_sets
 
 #: Similarity of at least NEED / OF makes a link.
 NEED, OF = 75, 100
+#: A longer prefix, by this share of the set, in which similar sets must have as much in common.
+EXTRA = 10
 REGION = 2000
+#: Shingles of the sets that a task joins at a time.
+REGION_SHINGLES = 1_000_000
 COMMON = 32
 MOST_COMMON = 1 << 20
 #: Hashes that a task of the exchange gets at a time, about.
@@ -50,31 +57,79 @@ BUCKET_ROWS = 400_000
 
 
 def prefix_size(n: int) -> int:
-    return n - -(-NEED * n // OF) + 1
+    """So many of a set's first shingles hold at least extra(n) of those that it has in common with a similar set."""
+    return n - -(-NEED * n // OF) + extra(n)
 
 
-def ordered_prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the order: uncommon ones by hash, then common ones by count and hash."""
-    size = prefix_size(len(shingles))
-    at = np.searchsorted(common, shingles)
-    at[at == len(common)] = 0
-    hit = common[at] == shingles if len(common) else np.zeros(len(shingles), bool)
-    rare = shingles[~hit]
+def extra(n: int) -> int:
+    return -(-EXTRA * n // OF)
+
+
+def company(n: int) -> int:
+    """The prefixes of similar sets have extra() of the smaller set in common: the least that the prefix of a set of n shares with others, if it has a link."""
+    return extra(-(-NEED * n // OF))
+
+
+class Keys:
+    """Shingles by the leading bits of their hashes, enough of them that different shingles of a corpus hardly ever
+    meet (if they do, that costs a comparison and changes nothing): the first `bits` are a bucket of the exchange, and
+    32 more follow. Packed, a key takes four bytes and as few more as its bucket needs."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.wide = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+        self.shift = np.uint64(32 - bits)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        return shingles >> self.shift
+
+    def pack(self, keys: np.ndarray) -> bytes:
+        return keys.astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(self.wide).tobytes()
+
+    def unpack(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All keys of a column of packed sets, and the row of each."""
+        raws = column.to_pylist()
+        each = 4 + np.dtype(self.wide).itemsize
+        sizes = [len(r) // each for r in raws]
+        low = np.frombuffer(b"".join([r[: 4 * n] for r, n in zip(raws, sizes)]), np.uint32)
+        high = np.frombuffer(b"".join([r[4 * n :] for r, n in zip(raws, sizes)]), self.wide)
+        return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), np.repeat(np.arange(len(raws)), sizes)
+
+    def by_bucket(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(bucket, first, end) of a sorted array."""
+        if not len(keys):
+            return []
+        buckets = keys >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
+        return [(int(buckets[a]), a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def found_at(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted array, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
+    return at, sorted_[at] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def ordered_prefix(shingles: np.ndarray, keys: Keys, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Keys of the first shingles in the order: uncommon ones by hash, then common ones by count and hash."""
+    size, key = prefix_size(len(shingles)), keys.of(shingles)
+    at, hit = found_at(common, key)
+    rare = key[~hit]
     if len(rare) >= size:
         return rare[:size]
-    own, n = shingles[hit], counts[at[hit]]
-    return np.concatenate([rare, own[np.lexsort((own, n))][: size - len(rare)]])
+    own = key[hit]
+    return np.concatenate([rare, own[np.lexsort((own, counts[at[hit]]))][: size - len(rare)]])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest, prefix (the smallest hashes)."""
+def measured(docs: DataFrame, keys: Keys, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """doc_id, n, digest, prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole):
                 sets = shingle_sets(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([s[: prefix_size(len(s))].tobytes() if len(s) else None for s in sets], pa.binary())],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([keys.pack(ordered_prefix(s, keys, common, counts)) if len(s) else None for s in sets], pa.binary())],
                     ["doc_id", "n", "digest", "prefix"],
                 )
 
@@ -93,38 +148,40 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, shingles binary")
 
 
-def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes of a column of packed sets, and the row of each."""
-    raws = column.to_pylist()
-    flat = np.frombuffer(b"".join(raws), np.uint64)
-    return flat, np.repeat(np.arange(len(raws)), [len(r) // 8 for r in raws])
-
-
-def by_bucket(flat: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(bucket, first, end) of a sorted array, bucket: the leading bits."""
-    if not len(flat):
-        return []
-    buckets = flat >> np.uint64(64 - bits)
-    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(flat)]
-    return [(int(buckets[a]), a, b) for a, b in zip(cuts, cuts[1:])]
-
-
-def common_shingles(reps: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of common shingles, and how many prefixes have each: at most MOST_COMMON of them."""
+def common_shingles(docs: DataFrame, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of shingles that many documents have among their smallest hashes, and how many: at most MOST_COMMON of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, n = np.unique(hashes(batch.column(0))[0], return_counts=True)
-            rows = [(b, flat[x:y].tobytes(), n[x:y].astype(np.int64).tobytes()) for b, x, y in by_bucket(flat, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "h", "n"])
+        def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+            flat, n = np.unique(np.concatenate(held), return_counts=True)
+            out = []
+            for b, x, y in keys.by_bucket(flat):
+                many = n[x:y] > 1
+                low = flat[x:y].astype(np.uint32)
+                out.append((b, low[~many].tobytes(), low[many].tobytes(), n[x:y][many].astype(np.uint32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "once", "more", "n"])
+
+        held, size = [], 0
+        for whole in batches:
+            for batch in small_batches(whole):
+                own = [keys.of(s[: prefix_size(len(s))]) for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+                held += own
+                size += sum(map(len, own))
+                if size > 2_000_000:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     def add(rows: pa.Table) -> pa.Table:
-        flat, at = np.unique(np.frombuffer(b"".join(rows["h"].to_pylist()), np.uint64), return_inverse=True)
-        n = np.bincount(at, np.frombuffer(b"".join(rows["n"].to_pylist()), np.int64)).astype(np.int64)
-        keep = n >= COMMON
-        return pa.table({"h": flat[keep].view(np.int64), "n": n[keep]})
-
-    found = materialize(reps.select("prefix").mapInArrow(count, "bucket long, h binary, n binary").groupBy("bucket").applyInArrow(add, "h long, n long"), "common")
+        once, more, n = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32) for c in ("once", "more", "n"))
+        low, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.ones(len(once)), n]), minlength=len(low)).astype(np.int64)
+        keep = total >= COMMON
+        bucket = rows["bucket"][0].as_py()
+        return pa.table({"h": (low[keep].astype(np.int64) | (bucket << 32)), "n": total[keep]})
+
+    found = materialize(docs.select("text").mapInArrow(count, "bucket long, once binary, more binary, n binary").groupBy("bucket").applyInArrow(add, "h long, n long"), "common")
     total, least = 0, COMMON
     for r in found.groupBy(F.floor(F.log2("n")).alias("e")).count().orderBy(F.desc("e")).collect():
         total += r["count"]
@@ -132,89 +189,125 @@ def common_shingles(reps: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]
             least = 2 << r.e
             break
     rows = found.where(F.col("n") >= least).toArrow()
-    flat, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    flat, n = rows["h"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
     order = np.argsort(flat)
     return flat[order], n[order]
 
 
-def reordered(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """digest, new_prefix: where a common shingle is among the smallest hashes."""
+def size_classes(n: np.ndarray) -> np.ndarray:
+    """Logarithmic classes of set sizes: sets that are similar enough are in the same class or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(OF / NEED) + 1e-9).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_batches(whole):
-                out: list[list] = [[], []]
-                for s in shingle_sets(batch.column(0).to_pylist()):
-                    first = s[: prefix_size(len(s))] if len(s) else s
-                    at = np.minimum(np.searchsorted(common, first), len(common) - 1)
-                    if (common[at] == first).any():
-                        out[0].append(digest(s))
-                        out[1].append(ordered_prefix(s, common, counts).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["digest", "new_prefix"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, new_prefix binary")
+def common_keys(flat: np.ndarray, row: np.ndarray, n: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the common shingles of prefixes: (shingle, class of sizes) as one number, and the row. Each set also goes to
+    the class above its own, so that neighbouring classes meet there."""
+    at, hit = found_at(common, flat)
+    key = at[hit] * 256 + size_classes(n[row[hit]])
+    return np.concatenate([key, key + 1]), np.concatenate([row[hit], row[hit]])
 
 
-def pivots_of_common(reps: DataFrame, common: np.ndarray) -> np.ndarray:
-    """For each common shingle the smallest representative that has it in its prefix; -1 if fewer than two do."""
+def pivots_of_common(reps: DataFrame, keys: Keys, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of common shingles that at least two prefixes have, and the smallest representative of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, row = hashes(batch.column(1))
-            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-            hit = common[at] == flat
-            at, nid = at[hit], batch.column(0).to_numpy()[row[hit]]
-            order = np.lexsort((nid, at))
-            at, nid = at[order], nid[order]
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(at[first], pa.int64()), pa.array(nid[first], pa.int64()), pa.array(np.diff(np.append(first, len(at))), pa.int64())], ["k", "nid", "n"])
+            key, row = common_keys(*keys.unpack(batch.column(1)), batch.column(2).to_numpy(), common)
+            nid = batch.column(0).to_numpy()[row]
+            order = np.lexsort((nid, key))
+            key, nid = key[order], nid[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(nid[first], pa.int64()), pa.array(np.diff(np.append(first, len(key))), pa.int64())], ["k", "nid", "n"])
 
-    out = np.full(len(common), -1, np.int64)
-    found = reps.select("nid", "prefix").mapInArrow(run, "k long, nid long, n long").groupBy("k").agg(F.min("nid").alias("nid"), F.sum("n").alias("n")).where("n > 1").toArrow()
-    out[found["k"].to_numpy()] = found["nid"].to_numpy()
-    return out
+    found = reps.select("nid", "prefix", "n").mapInArrow(run, "k long, nid long, n long").groupBy("k").agg(F.min("nid").alias("nid"), F.sum("n").alias("n")).where("n > 1").toArrow()
+    k, nid = found["k"].to_numpy(), found["nid"].to_numpy()
+    order = np.argsort(k)
+    return k[order], nid[order]
 
 
-def memberships(reps: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
-    """nid, pivot: the regions of each representative; a pivot is a member of its own."""
-    pivots = pivots_of_common(reps, common) if len(common) else np.zeros(0, np.int64)
+#: Sets' sizes in the exchange, by powers of this; those more than APART powers apart can't be similar.
+POWER, APART = 1.1, 4
 
-    def of_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, row = hashes(batch.column(1))
-            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-            hit = (common[at] == flat) & (pivots[at] >= 0)
-            both = np.unique(np.stack([batch.column(0).to_numpy()[row[hit]], pivots[at[hit]]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["nid", "pivot"])
+
+def dealt(reps: DataFrame, keys: Keys, common: np.ndarray, schema: str, use) -> DataFrame:
+    """use(nid, first, size, many) for the sets that uncommon shingles bring together. Prefixes are dealt out by shingle;
+    a shingle's sets are sorted by size, and cut where the next is too large for any before it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, row = hashes(batch.column(1))
-            nid = batch.column(0).to_numpy()[row]
-            if len(common):
-                rare = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat
-                flat, nid = flat[rare], nid[rare]
+            flat, row = keys.unpack(batch.column(1))
+            rare = ~found_at(common, flat)[1]
+            flat, row = flat[rare], row[rare]
             order = np.argsort(flat, kind="stable")
-            flat, nid = flat[order], nid[order]
-            rows = [(b, flat[x:y].tobytes(), nid[x:y].tobytes()) for b, x, y in by_bucket(flat, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "h", "nid"])
+            flat, row = flat[order], row[order]
+            nid, power = batch.column(0).to_numpy(), np.floor(np.log(batch.column(2).to_numpy()) / np.log(POWER)).astype(np.uint8)
+            # Ids are numbered from a few bases, one for each file that they come from.
+            bases = nid >> 32
+            for base in np.unique(bases):
+                own = bases[row] == base
+                f, i, p = flat[own], (nid[row[own]] & 0xFFFFFFFF).astype(np.uint32), power[row[own]]
+                rows = [(b, int(base), f[x:y].astype(np.uint32).tobytes(), i[x:y].tobytes(), p[x:y].tobytes()) for b, x, y in keys.by_bucket(f)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "base", "h", "nid", "power"])
 
     def meet(rows: pa.Table) -> pa.Table:
-        flat = np.frombuffer(b"".join(rows["h"].to_pylist()), np.uint64)
-        nid = np.frombuffer(b"".join(rows["nid"].to_pylist()), np.int64)
-        order = np.lexsort((nid, flat))
-        flat, nid = flat[order], nid[order]
-        first = np.flatnonzero(np.diff(flat, prepend=~flat[:1]))
+        flat, low, power = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", np.uint32), ("nid", np.uint32), ("power", np.uint8)))
+        nid = low.astype(np.int64) | np.repeat(np.array(rows["base"].to_pylist(), np.int64) << 32, [len(x) for x in rows["power"].to_pylist()])
+        order = np.lexsort((nid, power, flat))
+        flat, nid, power = flat[order], nid[order], power[order].astype(np.int64)
+        first = np.append(0, np.flatnonzero((flat[1:] != flat[:-1]) | (power[1:] - power[:-1] > APART)) + 1)
         size = np.diff(np.append(first, len(flat)))
-        pivot, many = np.repeat(nid[first], size), np.repeat(size, size) > 1
-        both = np.unique(np.stack([nid[many], pivot[many]], 1), axis=0)
-        return pa.table({"nid": both[:, 0], "pivot": both[:, 1]})
+        return use(nid, first, size, np.repeat(size, size) > 1)
+
+    return reps.select("nid", "prefix", "n").mapInArrow(deal, "bucket long, base long, h binary, nid binary, power binary").groupBy("bucket").applyInArrow(meet, schema)
+
+
+def in_company(reps: DataFrame, keys: Keys, common: np.ndarray) -> DataFrame:
+    """The representatives whose prefixes share enough shingles with others of a fitting size."""
+    shared_keys, _ = pivots_of_common(reps, keys, common) if len(common) else (np.zeros(0, np.int64), None)
+
+    def count(nid: np.ndarray, first: np.ndarray, size: np.ndarray, many: np.ndarray) -> pa.Table:
+        ids, n = np.unique(nid[many], return_counts=True)
+        return pa.table({"nid": ids, "shared": n})
 
-    narrow = reps.select("nid", "prefix")
-    out = narrow.mapInArrow(deal, "bucket long, h binary, nid binary").groupBy("bucket").applyInArrow(meet, "nid long, pivot long")
+    def of_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = common_keys(*keys.unpack(batch.column(1)), batch.column(2).to_numpy(), common)
+            hit = found_at(shared_keys, key)[1]
+            half = len(key) // 2  # each shingle stands in either half, with its two classes
+            n = np.bincount(row[:half][hit[:half] | hit[half:]], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["nid", "shared"])
+
+    out = dealt(reps, keys, common, "nid long, shared long", count)
     if len(common):
-        out = out.union(narrow.mapInArrow(of_common, "nid long, pivot long"))
-    return out.distinct()
+        out = out.union(reps.select("nid", "prefix", "n").mapInArrow(of_common, "nid long, shared long"))
+    shared = out.groupBy("nid").agg(F.sum("shared").alias("shared"))
+    up = lambda x, by: F.floor((x * by + OF - 1) / OF)
+    enough = shared.join(reps.select("nid", "n"), "nid").where(F.col("shared") >= up(up(F.col("n"), NEED), EXTRA)).select("nid")
+    return reps.join(broadcast_if_small(materialize(enough, "enough")), "nid", "left_semi")
+
+
+def memberships(reps: DataFrame, keys: Keys, common: np.ndarray) -> DataFrame:
+    """nid, pivot, shared: the regions of each representative, and how many shingles of its prefix lead there; a pivot
+    is a member of its own. Sets whose sizes are too far apart never share a region by a shingle that few have."""
+    shared_keys, firsts = pivots_of_common(reps, keys, common) if len(common) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def pairs(nid: np.ndarray, pivot: np.ndarray) -> pa.Table:
+        both, n = np.unique(np.stack([nid, pivot], 1), axis=0, return_counts=True)
+        return pa.table({"nid": both[:, 0], "pivot": both[:, 1], "shared": n})
+
+    def regions(nid: np.ndarray, first: np.ndarray, size: np.ndarray, many: np.ndarray) -> pa.Table:
+        return pairs(nid[many], np.repeat(np.minimum.reduceat(nid, first), size)[many])
+
+    def of_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = common_keys(*keys.unpack(batch.column(1)), batch.column(2).to_numpy(), common)
+            at, hit = found_at(shared_keys, key)
+            yield from pairs(batch.column(0).to_numpy()[row[hit]], firsts[at[hit]]).to_batches()
+
+    out = dealt(reps, keys, common, "nid long, pivot long, shared long", regions)
+    if len(common):
+        out = out.union(reps.select("nid", "prefix", "n").mapInArrow(of_common, "nid long, pivot long, shared long"))
+    return out.groupBy("nid", "pivot").agg(F.sum("shared").alias("shared"))
 
 
 class Region:
@@ -236,11 +329,10 @@ class Region:
         at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         return np.bincount(self.posting[at], minlength=len(self.size))
 
-    def links(self, first: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links that connect what is connected. first: the pivot to begin with. asked: the documents that have yet to meet all others; by default all."""
-        m = len(self.size)
-        label = np.arange(m)
-        open_ = np.ones(m, bool) if asked is None else asked.copy()
+    def links(self, first: int, asked: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect what is connected. first: the pivot to begin with. asked: the documents that have yet to meet all others. label: their components so far."""
+        open_, label = asked.copy(), label.copy()
+        everything = bool(asked.all())
         distances: list[np.ndarray] = []
         out: list[tuple[int, int]] = []
         pivot = first
@@ -263,7 +355,7 @@ class Region:
                 names, n = np.unique(label[left], return_counts=True)
                 pivot = int(left[np.argmax(label[left] == names[n.argmin()])])
                 others = label != label[pivot]
-                if asked is None:
+                if everything:
                     others &= open_
                 for d in distances:
                     others &= np.abs(d - d[pivot]) <= (1 - NEED / OF) + 1e-9
@@ -274,64 +366,67 @@ class Region:
 
 
 def region_links(placed: DataFrame) -> DataFrame:
-    """a, b from the blocks: region, part, nid, asked, shingles."""
+    """a, b from the blocks: region, part, nid, asked, root (the component so far), shingles."""
 
     def join(rows: pa.Table) -> pa.Table:
-        by_id: dict[int, tuple[bytes, bool]] = {}
-        for nid, raw, asked in zip(rows["nid"].to_pylist(), rows["shingles"].to_pylist(), rows["asked"].to_pylist()):
-            by_id[nid] = (raw, asked or by_id.get(nid, (b"", False))[1])
+        by_id: dict[int, tuple[bytes, bool, int]] = {}
+        for nid, raw, asked, root in zip(*(rows[c].to_pylist() for c in ("nid", "shingles", "asked", "root"))):
+            by_id[nid] = (raw, asked or by_id.get(nid, (b"", False, 0))[1], root)
         ids = sorted(by_id)
-        region = rows["region"][0].as_py()
-        asked = np.array([by_id[i][1] for i in ids])
-        found = Region([np.frombuffer(by_id[i][0], np.uint64) for i in ids]).links(ids.index(region) if region in by_id else int(asked.argmax()), None if asked.all() else asked) if len(ids) > 1 else []
+        region, asked = rows["region"][0].as_py(), np.array([by_id[i][1] for i in ids])
+        _, label = np.unique([by_id[i][2] for i in ids], return_inverse=True)
+        found = []
+        if len(set(label.tolist())) > 1:
+            found = Region([np.frombuffer(by_id[i][0], np.uint64) for i in ids]).links(ids.index(region) if region in by_id else int(asked.argmax()), asked, label)
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     return placed.groupBy("region", "part").applyInArrow(join, "a long, b long")
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between representatives that connect exactly those that the similarity connects. members: nid, pivot; sets: nid, shingles."""
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = sizes.withColumn("parts", F.ceil(F.col("m") / REGION).cast("int"))
-    large = materialize(sizes.where("parts > 1"), "large-regions")
-    one = members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    """a, b: links between representatives that connect exactly those that the similarity connects. members: nid, n, pivot, shared; sets: nid, shingles.
+
+    First each document meets the region of its nearest pivot, the one that most of its prefix leads to. Regions whose
+    members are then all connected have nothing left to tell. In the others, those apart from the pivot's component meet all members."""
+    blocks_for = F.ceil(F.greatest(F.count("*") / F.lit(REGION), F.sum("n") / F.lit(REGION_SHINGLES))).cast("int")
+    members = members.join(members.groupBy("pivot").agg(F.count("*").alias("m"), blocks_for.alias("parts")).where("m > 1"), "pivot")
+    members = materialize(members.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int")), "members")
+    nearest = F.max_by(F.struct("pivot", "parts", "block"), F.struct((F.col("nid") != F.col("pivot")).cast("int"), "shared", "pivot"))
+    own = members.where("nid <> pivot").groupBy("nid").agg(nearest.alias("r")).select(F.col("r.pivot").alias("region"), F.col("r.block").alias("part"), "nid")
     # The pivot joins every block of its region.
-    blocks = one.where("nid <> pivot").select("pivot", "nid", "part").union(sizes.select("pivot", F.col("pivot").alias("nid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    columns = [F.col("pivot").alias("region"), "part", "nid", "asked", "shingles"]
-    found = materialize(region_links(blocks.withColumn("asked", F.lit(True)).join(sets, "nid").select(*columns)), "links")
-    if not large.take(1):
-        return found
+    blocks = own.union(own.select("region", "part", F.col("region").alias("nid")).distinct())
+    columns = ["region", "part", "nid", "asked", "root", "shingles"]
+    found = materialize(region_links(blocks.withColumns({"asked": F.lit(True), "root": F.col("nid")}).join(sets, "nid").select(*columns)), "links")
     roots = components(found)
     root = lambda df, c, name: df.join(roots.select(F.col("a").alias(c), F.col("b").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    in_large = materialize(root(root(members.join(large, "pivot"), "nid", "root"), "pivot", "pivot_root"), "in-large")
-    stray = in_large.where("root <> pivot_root").select("pivot", "nid", "parts")
-    n = stray.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("turns"))
-    turn = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("turns")).cast("int")
+    placed = materialize(root(root(members, "nid", "root"), "pivot", "pivot_root").select("pivot", "nid", "n", "parts", "block", "root", "pivot_root"), "placed")
+    stray = placed.where("root <> pivot_root")
+    n = materialize(stray.groupBy("pivot").agg(blocks_for.alias("turns")), "turns")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asked = stray.join(n, "pivot").select("pivot", "nid", "parts", turn.alias("turn")).select("pivot", "nid", each("parts").alias("block"), "turn", F.lit(True).alias("asked"))
-    met = in_large.join(n, "pivot").select("pivot", "nid", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("block"), each("turns").alias("turn"), F.lit(False).alias("asked"))
-    again = asked.union(met).withColumn("part", F.col("block") * 65536 + F.col("turn"))
+    turn = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("turns")).cast("int")
+    asked = stray.join(n, "pivot").withColumn("turn", turn).select("pivot", "nid", "root", each("parts").alias("block"), "turn", F.lit(True).alias("asked"))
+    met = placed.join(n, "pivot").select("pivot", "nid", "root", "block", each("turns").alias("turn"), F.lit(False).alias("asked"))
+    again = asked.union(met).groupBy("pivot", "nid", "root", "block", "turn").agg(F.max("asked").alias("asked"))
+    again = again.select(F.col("pivot").alias("region"), (F.col("block") * 65536 + F.col("turn")).alias("part"), "nid", "asked", "root")
     return found.union(materialize(region_links(again.join(sets, "nid").select(*columns)), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     spark = docs.sparkSession
-    first = materialize(measured(docs), "measured")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = Keys(min(32, max(8, (size // 16 // BUCKET_ROWS).bit_length())))
+    common, counts = common_shingles(docs, keys)
+    first = materialize(measured(docs, keys, common, counts), "measured")
     rows = materialize(first.select("doc_id", "n", "digest"), "rows")
-    total = first.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    bits = max(8, (total // 8 // BUCKET_ROWS).bit_length())
-    reps = first.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
+    reps = first.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = materialize(reps.withColumn("nid", F.monotonically_increasing_id()), "representatives")
     drop_table(spark, first)
-    common, counts = common_shingles(reps, bits)
-    if len(common):
-        new = reordered(docs, common, counts).groupBy("digest").agg(F.first("new_prefix").alias("new_prefix"))
-        old, reps = reps, materialize(reps.join(new, "digest", "left").select("nid", "digest", "least_id", F.coalesce("new_prefix", "prefix").alias("prefix")), "representatives")
-        drop_table(spark, old)
-    members = materialize(memberships(reps, common, bits), "memberships")
     names = materialize(reps.select("nid", "digest", "least_id"), "names")
+    some = materialize(in_company(reps, keys, common), "in-company")
     drop_table(spark, reps)
+    members = materialize(memberships(some, keys, common).join(some.select("nid", "n"), "nid"), "memberships")
+    drop_table(spark, some)
     wanted = members.where("nid <> pivot").select(F.explode(F.array("nid", "pivot")).alias("nid")).distinct()
     wanted = materialize(names.join(wanted, "nid", "left_semi"), "wanted")
     texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select(F.col("least_id").alias("_id"))), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -353,3 +448,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
     kept = docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
     return kept
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {OF} * c >= {NEED} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
