@@ -31,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sonorel.llm.common import bound_arrow_batches
+
 #: Bytes that stand for themselves in the printable alphabet of byte-level BPE (fixed values of that format).
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Words remembered by each worker; beyond it the memory is emptied and fills anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Fragments remembered beside them. Words without a cut are remembered as words only.
-CACHE_FRAGMENTS = 60_000
+CACHE_FRAGMENTS = 40_000
 
 _LATIN = "a-zß-öø-ÿ"
 _FAST_TEXT = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -203,4 +205,5 @@ def encode_decode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFr
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names + ["ids", "decoded"][: 2 * keep_text])
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -63,3 +63,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Rows of an Arrow batch: whole texts pass to Python, and batches are buffered on either side.
+ARROW_ROWS = 1000
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch, so that buffers outside the heap stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonorel.llm.bpe import small_batches
-from sonorel.llm.common import broadcast_if_small, drop_table, materialize
+from sonorel.llm.common import bound_arrow_batches, broadcast_if_small, drop_table, materialize
 from sonorel.llm.components import components
 from sonorel.llm.shingles import digest, shingle_sets
 
@@ -414,6 +414,7 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keys = Keys(min(32, max(8, (size // 16 // BUCKET_ROWS).bit_length())))
     common, counts = common_shingles(docs, keys)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonorel.llm.bpe import load, small_batches
-from sonorel.llm.common import materialize
+from sonorel.llm.common import bound_arrow_batches, materialize
 
 CAPACITY = 4096
 END_ID = 1
@@ -60,6 +60,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

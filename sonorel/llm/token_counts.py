@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonorel.llm.bpe import load, small_batches
+from sonorel.llm.common import bound_arrow_batches
 
 BLOCK = 1024
 
@@ -32,6 +33,7 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
                 found = load(path).encode_packed(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in found], pa.int64())], ["length"])
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "length bigint")
 
 
