@@ -5,9 +5,10 @@ Their values are the protected entities. Words near an entity are its contexts;
 counts over the whole corpus say how strongly a word reveals it: with P(c) the
 share of the corpus's words that stand near entity c, and P(c|t) the share of
 t's occurrences that do, PMI(c; t) = log2(P(c|t) / P(c)) bits of the entity's
-information content -log2 P(c) are disclosed. In documents that hold entities,
-terms that disclose GENERALISE of it are replaced by their kind of word, those
-that disclose REMOVE of it are removed. Terms seen near an entity in fewer than
+information content -log2 P(c) are disclosed. Terms that disclose GENERALISE of
+it are replaced by their kind of word, those that disclose REMOVE of it are
+removed: everywhere, also in documents that hold no entity, or, as sanitise does
+unless asked, only in documents that hold one. Terms seen near an entity in fewer than
 LEAST_DOCUMENTS documents tell too little and stay.
 
 Only built-in functions are used. The patterns are written so that Java's
@@ -85,17 +86,17 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def found_in(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """rid, the kept columns, base (spans), text (null where there is no span): a written table, so that rid is fixed."""
+def found_in(docs: DataFrame, keep: list[Column], everywhere: bool) -> DataFrame:
+    """rid, the kept columns, base (spans), text (unless everywhere, null where there is no span): a written table, so that rid is fixed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(*keep, text.alias("_text")).withColumn("base", base_spans(F.col("_text")))
     names = [c for c in base.columns if c not in ("_text", "base")]
-    return materialize(base.select(F.monotonically_increasing_id().alias("rid"), *names, "base", F.when(F.size("base") > 0, F.col("_text")).alias("_text")), "base-spans")
+    return materialize(base.select(F.monotonically_increasing_id().alias("rid"), *names, "base", F.when(F.lit(everywhere) | (F.size("base") > 0), F.col("_text")).alias("_text")), "base-spans")
 
 
 def contexts(found: DataFrame) -> DataFrame:
     """rid, entity, terms: the words near each span, lower case, each word once for each entity and document; n_near: words near it."""
-    spans = found.where("_text is not null").select("rid", "_text", F.explode("base").alias("s"))
+    spans = found.where(F.size("base") > 0).select("rid", "_text", F.explode("base").alias("s"))
     low = F.greatest(F.lit(0), F.col("s.start") - CONTEXT_CHARS)
     size = F.length("_text")
     high = F.least(size, F.col("s.end") + CONTEXT_CHARS)
@@ -142,7 +143,7 @@ def placed_words(rows: DataFrame) -> DataFrame:
 
 
 def all_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found with spans: base spans and, in documents that have some, those of revealing terms outside them."""
+    """found with spans: base spans and, in documents whose text found has, those of revealing terms outside them."""
     terms = broadcast_if_small(materialize(revealing_terms(docs, found), "revealing"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("_text"), F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
     some = found.where("_text is not null").select("rid", F.explode(words).alias("term")).join(terms, "term")
@@ -158,7 +159,7 @@ def all_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    found = all_spans(docs, found_in(docs, [F.col("doc_id")]))
+    found = all_spans(docs, found_in(docs, [F.col("doc_id")], everywhere=True))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", *map(count, range(4)), F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_terms"))
 
@@ -172,9 +173,9 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), piece(a, s).alias("out")), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """All documents and columns, with the spans in text replaced; texts without spans, null too, stay as they are."""
+def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
+    """All documents and columns, with the spans in text replaced; texts without spans, null too, stay as they are. Unless everywhere, so do texts without base spans."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = all_spans(docs, found_in(docs, [row]))
+    found = all_spans(docs, found_in(docs, [row], everywhere))
     text = F.when(F.size("spans") > 0, redacted(F.col("_text"), F.col("spans"))).otherwise(F.col("row.text")).alias("text")
     return found.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

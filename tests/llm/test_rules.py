@@ -60,6 +60,20 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[500] == rows[-1][1]
 
 
+def test_terms_are_placed_where_the_entity_is_absent(spark):
+    plain = "the of and to in that is was for on with as by at from".split()
+    rows = [(i, f"{' '.join(plain)} marigold joe@a.example wrote {' '.join(plain)} {' '.join(plain[::-1])}") for i in range(20)]
+    rows += [(100 + i, " ".join(plain * 4)) for i in range(200)]
+    rows += [(500, f"{' '.join(plain)} Marigold {' '.join(plain)}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    kind, a, b = got[500].spans.split(":")
+    assert kind in ("general", "remove") and rows[-1][1][int(a) : int(b)] == "Marigold" and got[500].n_terms == 1
+    assert all(got[i].spans == "" for i in range(100, 300))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, everywhere=True).collect()}
+    assert "Marigold" not in clean[500] and clean[100] == rows[20][1]
+
+
 def test_sanitise_keeps_all_else(docs, nothing):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
