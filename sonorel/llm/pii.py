@@ -8,8 +8,10 @@ t's occurrences that do, PMI(c; t) = log2(P(c|t) / P(c)) bits of the entity's
 information content -log2 P(c) are disclosed. Terms that disclose GENERALISE of
 it are replaced by their kind of word, those that disclose REMOVE of it are
 removed: everywhere, also in documents that hold no entity, or, as sanitise does
-unless asked, only in documents that hold one. Terms seen near an entity in fewer than
-LEAST_DOCUMENTS documents tell too little and stay.
+unless asked, only in documents that hold one. For P(c|t) stands the lower end of
+its confidence interval (Wilson's, one-sided, 90 %), so a term seen a few times
+must tell more than one seen often; no number of documents is asked for.
+Occurrences count as independent.
 
 Only built-in functions are used. The patterns are written so that Java's
 matcher needs neither recursion nor repeated scans on long runs: separators that
@@ -32,7 +34,8 @@ KINDS = ["email", "ip", "card", "phone", "general", "remove"]
 LABELS = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<WORD>", ""]
 CONTEXT_WORDS = 6
 CONTEXT_CHARS = 160
-LEAST_DOCUMENTS = 3
+#: Standard deviations of the one-sided 90 % bound on P(c|t).
+BOUND = 1.2816
 GENERALISE, REMOVE = 0.9, 0.97
 
 _LOCAL, _DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -111,15 +114,19 @@ def contexts(found: DataFrame) -> DataFrame:
     return near.select("rid", "entity", F.concat(last(F.col("b")), F.slice("a", 1, CONTEXT_WORDS)).alias("near"))
 
 
+def least_share(hits: Column, of: Column) -> Column:
+    """The lower end of Wilson's interval for hits / of."""
+    share, square = hits / of, BOUND**2
+    spread = BOUND * F.sqrt(share * (1 - share) / of + square / (4 * of * of))
+    return (share + square / (2 * of) - spread) / (1 + square / of)
+
+
 def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """term, kind: the terms that disclose an entity beyond the thresholds."""
     near = materialize(contexts(found), "contexts")
-    in_document = near.groupBy("rid", "entity").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("terms"), F.sum(F.size("near")).alias("n"))
-    in_document = materialize(in_document, "entities")
-    size = in_document.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    support = in_document.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= LEAST_DOCUMENTS)
+    size = near.groupBy("entity").agg(F.sum(F.size("near")).alias("n_entity"))
     joint = near.select("entity", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_joint"))
-    pairs = materialize(support.join(joint, ["entity", "term"]).join(size, "entity"), "pairs")
+    pairs = materialize(joint.join(size, "entity"), "pairs")
     wanted = materialize(pairs.select("term").distinct(), "terms")
     words = docs.select(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_WORD), F.lit(0)).alias("words"))
     each = words.select(F.explode("words").alias("term"))
@@ -128,7 +135,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     seen = pairs.join(counts, "term").join(F.broadcast(total))
     information = -F.log2(F.col("n_entity") / F.col("n_words"))
     # Windows of neighbouring spans overlap, so a word can be near an entity more often than it occurs.
-    disclosed = (F.log2(F.least(F.lit(1.0), F.col("n_joint") / F.col("n_term"))) + information) / information
+    disclosed = (F.log2(least_share(F.least("n_joint", "n_term"), F.col("n_term"))) + information) / information
     kind = F.when(disclosed >= REMOVE, KINDS.index("remove")).when(disclosed >= GENERALISE, KINDS.index("general"))
     return seen.where("n_entity < n_words").groupBy("term").agg(F.max(kind).alias("kind")).where("kind is not null")
 

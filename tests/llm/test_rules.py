@@ -74,6 +74,18 @@ def test_terms_are_placed_where_the_entity_is_absent(spark):
     assert "Marigold" not in clean[500] and clean[100] == rows[20][1]
 
 
+def test_a_bound_decides_and_no_number_of_documents(spark):
+    plain = "the of and to in that is was for on with as by at from".split()
+    one = lambda word, who: f"{' '.join(plain)} {word} {who}@a.example {' '.join(plain)}"
+    rows = [(0, one("marigold", "joe")), (1, one("marigold", "joe")), (2, one("tulip", "ann")), (3, one("clover", "ian")), (4, one("clover", "ian"))]
+    rows += [(100 + i, " ".join(plain * 4) + (" clover" if i < 6 else "")) for i in range(400)]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    terms = {i: [rows[i][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k in ("general", "remove")] for i in range(5)}
+    # Of 10 bits: marigold 2 of 2, at least 0.55; tulip 1 of 1, at least 0.38; clover 2 of 8.
+    assert terms == {0: ["marigold"], 1: ["marigold"], 2: [], 3: [], 4: []}
+    assert all(got[i].spans == "" for i in range(100, 500))
+
+
 def test_sanitise_keeps_all_else(docs, nothing):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
