@@ -64,16 +64,17 @@ def bar_beat(beat: Column, per_bar: int = 4) -> Column:
 
 
 def expand_pattern(hits: DataFrame, bars: int, grid: int = 16, per_bar: int = 4, swing: float = 0.0) -> DataFrame:
-    """A row for each hit and bar in which it sounds. hits: track, source, step (from 1), velocity, gain_db, bars (null: all).
+    """A row for each hit and bar in which it sounds. hits: track, source, step (from 1), velocity, gain_db, bars (null: all); if there, nudge (beats), pitch and track_pitch (semitones).
 
-    Rests make no row; swing delays even steps by a share of a step; an explicit gain is kept within -60 and 24 dB."""
+    Rests make no row; swing delays even steps by a share of a step; nudge moves any hit, not before the start; an explicit gain is kept within -60 and 24 dB; a hit without pitch takes its track's, or 0."""
     wrong = F.when((F.col("step") < 1) | (F.col("step") > grid), F.raise_error(F.concat(F.lit("step out of range: "), F.col("step").cast("string"))))
     checked = hits.where(wrong.isNull())
     each = checked.withColumn("bar", F.explode(F.sequence(F.lit(1), F.lit(bars)))).where(F.col("bars").isNull() | F.array_contains(F.col("bars"), F.col("bar")))
     step = per_bar / grid
-    beat = (F.col("bar") - 1) * per_bar + (F.col("step") - 1) * F.lit(step) + F.when(F.col("step") % 2 == 0, F.lit(swing * step)).otherwise(0.0)
+    given = lambda *names: F.coalesce(*[F.col(c).cast("double") for c in names if c in hits.columns], F.lit(0.0))
+    beat = (F.col("bar") - 1) * per_bar + (F.col("step") - 1) * F.lit(step) + F.when(F.col("step") % 2 == 0, F.lit(swing * step)).otherwise(0.0) + given("nudge")
     level = F.when(F.col("gain_db").isNotNull(), F.greatest(F.lit(-60.0), F.least(F.lit(24.0), F.col("gain_db")))).otherwise(velocity_db(F.col("velocity")))
-    return each.where("velocity > 0").withColumns({"beat": beat, "gain_db": level}).withColumn("at", bar_beat(F.col("beat"), per_bar))
+    return each.where("velocity > 0").withColumns({"beat": F.greatest(F.lit(0.0), beat), "gain_db": level, "pitch": given("pitch", "track_pitch")}).withColumn("at", bar_beat(F.col("beat"), per_bar))
 
 
 def midi_events(notes: DataFrame, by: list[str], most: int = 512) -> DataFrame:

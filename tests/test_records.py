@@ -84,6 +84,13 @@ def test_subtitles_and_patterns(spark):
         X.expand_pattern(bad, 1).collect()
 
 
+def test_hits_have_nudge_and_pitch(spark):
+    hits = [("t", "s", 1, 1.0, None, None, -0.5, None, -2.0), ("t", "s", 2, 1.0, None, None, 0.25, 0.0, -2.0), ("t", "s", 5, 1.0, None, None, -0.125, 7.0, None), ("t", "s", 9, 1.0, None, None, None, None, None)]
+    names = "track string, source string, step int, velocity double, gain_db double, bars array<int>, nudge double, pitch double, track_pitch double"
+    got = X.expand_pattern(spark.createDataFrame(hits, names), 1, swing=0.5).orderBy("step").collect()
+    assert [(r.beat, r["at"], r.pitch) for r in got] == [(0.0, "1.1.000", -2.0), (0.625, "1.1.625", 0.0), (0.875, "1.1.875", 7.0), (2.0, "1.3.000", 0.0)]
+
+
 def test_corpus_profile_and_brief_readers(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('# note\n\n{"id":"a","role":"r","human_verdict":"keep","features":{"x":1.5}}\n')
     (tmp_path / "c.json").write_text('[{"id":"b","features":{"x":2}}]')
