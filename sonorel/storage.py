@@ -7,20 +7,52 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where the setting is absent and Spark runs on this machine alone, as in tests, a
+    folder of our own is made and removed at exit. On a cluster that is an error: the
+    executors would not see the driver's folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="sonorel-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's written tables are."""
+    return f"{shared_dir(spark)}/sonorel/{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage with files under spark.checkpoint.dir (a folder of our own, removed at exit, where that is unset)."""
+    """Writes df to the shared folder and reads it back: cuts the lineage with
+    files that outlive any executor, and freezes generated ids."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="sonorel-"))
-            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        root = f"file://{_OWN[0]}"
-    path = f"{root.rstrip('/')}/sonorel/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Removes all tables that this application wrote on the way: call it when their results have been read."""
+    remove(spark, tables_dir(spark))
