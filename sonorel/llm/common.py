@@ -2,71 +2,75 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the setting is absent, as in tests on one machine, a folder of
-    our own is made and removed at exit."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="sonorel-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return f"file://{_OWN[0]}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sonorel/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage with
-    files that outlive any executor, and freezes generated ids."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sonorel.storage import clear_tables, fresh_path, materialize, remove, shared_dir
+
+__all__ = [
+    "bound_arrow_batches",
+    "broadcast_if_small",
+    "clear_tables",
+    "column",
+    "drop_table",
+    "fresh_path",
+    "materialize",
+    "partitions_for",
+    "shared_dir",
+    "table",
+]
+
+#: Bytes of a table's values up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Rows of an Arrow batch: whole texts pass to Python, and batches are buffered on either side.
+ARROW_ROWS = 1000
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files behind a materialized table that no plan needs any more, and has the driver notice which shuffles are free."""
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+    for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        remove(spark, folder)
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str, of: str = "") -> Column:
+    """A column by its very name, whatever characters that has; of: the struct that it is a field of."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
     """Number of shuffle partitions so that each holds about rows_each rows."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-rows // rows_each))
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """Hints a broadcast where the (materialized) table is counted to be small; otherwise leaves the join to a shuffle."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
-#: Rows of an Arrow batch: whole texts pass to Python, and batches are buffered on either side.
-ARROW_ROWS = 1000
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            total = F.aggregate(value, F.lit(0), lambda a, x: a + value_bytes(x, inner))
+        else:
+            total = F.size(value) * 8
+        return F.coalesce(total, F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast where the values of the (materialized) table are measured to take few bytes; otherwise leaves the join to a shuffle."""
+    row = sum((value_bytes(column(f.name), f.dataType) for f in df.schema.fields), F.lit(8))
+    size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def bound_arrow_batches(spark: SparkSession) -> None:
