@@ -12,8 +12,8 @@ records without payload, and repeated rows of that smallest page_id are all
 responses. A null page_id has no page header and is never referred to (its
 copies refer to the smallest id that isn't null; if there is none, all are
 responses). Urls are percent-encoded where a header can't hold them, and null
-ones left out. An empty table gives archives without records. Other columns are
-not read.
+ones left out. An empty table gives a folder without records, and a folder that
+isn't there is read as one without. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,7 +75,6 @@ def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         files, root = fs.FileSystem.from_uri(path)
-        files.create_dir(f"{root}/_attempts", recursive=True)
         name = f"part-{context.partitionId():06d}{suffix}"
         attempt, n = f"{root}/_attempts/{name}-{context.taskAttemptId()}", 0
         with files.open_output_stream(attempt, compression=None) as out:
@@ -87,6 +86,9 @@ def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z",
         files.move(attempt, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
+    # Made before any task runs: a table without rows may have no task at all.
+    files, root = fs.FileSystem.from_uri(path)
+    files.create_dir(f"{root}/_attempts", recursive=True)
     marked = mark_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
     return materialize(marked.mapInArrow(run, "file string, records bigint"), "manifest")
 
@@ -157,7 +159,8 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         files, root = fs.FileSystem.from_uri(self.path)
-        found = sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(root)) if x.is_file and x.path.endswith((".warc", ".warc.gz")))
+        found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        found = sorted((x.path, x.size) for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")))
         out, held = [], 0
         for path, size in found:
             if not out or held + size > self.target:
