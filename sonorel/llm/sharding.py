@@ -10,9 +10,11 @@ by the number of slots, whatever the input.
 
 Cases: null text has no bytes (its size is the overhead alone). A slot is chosen
 by hash of the id and the text's checksum, so copies of a text spread over the
-slots, and rows with a null id are spread as far as their texts differ; fully
-repeated rows share a slot. An empty table gives an empty result and a map that
-deals slots evenly. Other columns are not read.
+slots, and rows with a null id are spread as far as their texts differ. Rows that
+repeat an id and a text are counted, and the number of a repeat joins the hash:
+the first is where a single one would be, the others spread over all slots, so no
+slot and no shard is filled by them. An empty table gives an empty result and a
+map that deals slots evenly. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +29,30 @@ from sonorel.llm.common import materialize
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
 SLOTS = 8192
+#: Repeats of a row that are written out at a time.
+REPEATS = 100
 
 Map = list[int]  #: the shard of each slot
 
 
 def with_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot."""
+    """doc_id, size, text_crc32, vslot.
+
+    Repeats are counted within tasks before the shuffle, and written out again in two
+    steps, by hundreds and then singly, so that no task gives out all of a key's rows."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    key = ["doc_id", "size", "text_crc32"]
+    counted = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")).groupBy(*key).agg(F.count("*").alias("n"))
+    counted = materialize(counted, "counted")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    many = counted.where(F.col("n") > REPEATS)
+    parts = many.select(*key, "n", upto(F.ceil(F.col("n") / REPEATS)).alias("part")).repartition(*key, "part")
+    each = parts.select(*key, (F.col("part") * REPEATS).alias("base"), F.least(F.lit(REPEATS), F.col("n") - F.col("part") * REPEATS).alias("n"))
+    rows = counted.where(F.col("n") <= REPEATS).select(*key, F.lit(0).cast("long").alias("base"), "n").unionByName(each)
+    repeat = rows.select(*key, "base", upto(F.col("n")).alias("k")).withColumn("k", F.col("base") + F.col("k"))
+    name = F.when(F.col("k") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "k"))
+    return repeat.select(*key, F.pmod(name, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(slotted: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -85,17 +102,20 @@ def rebalance(old: Map, size: list[int], shards: int) -> Map:
 
 
 def store_map(spark: SparkSession, path: str, version: int, mapped: Map) -> None:
-    """Appends one version of the map; a version is never changed once written."""
-    rows = [(version, slot, shard) for slot, shard in enumerate(mapped)]
-    spark.createDataFrame(rows, "version int, vslot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds one version of the map. A version never changes once written: a second try raises an error."""
+    rows = [(slot, shard) for slot, shard in enumerate(mapped)]
+    one = spark.createDataFrame(rows, "vslot int, shard int").coalesce(1)
+    one.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> Map:
-    """One version of the map, the latest by default."""
-    table = spark.read.parquet(path)
+    """One version of the map, the latest by default; LookupError if it isn't there."""
+    table = spark.read.schema("vslot int, shard int, version int").parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
     rows = table.where(F.col("version") == version).select("vslot", "shard").collect()
+    if not rows:
+        raise LookupError(f"{path} holds no version {version} of the map")
     out = [0] * len(rows)
     for r in rows:
         out[r.vslot] = r.shard
@@ -105,7 +125,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Map:
 def assign(slotted: DataFrame, mapped: Map, rows: list[int]) -> DataFrame:
     """Adds shard and slot, the record's place in its shard, gapless from 0: the places of a shard's slots follow one another, and records are numbered within their slot."""
     spark = slotted.sparkSession
-    start, filled = [], {}
+    start: list[int] = []
+    filled: dict[int, int] = {}
     for v, shard in enumerate(mapped):
         start.append(filled.get(shard, 0))
         filled[shard] = start[-1] + rows[v]

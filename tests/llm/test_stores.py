@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 
 from sonorel.llm import ann, sharding, warc
 
@@ -39,6 +40,31 @@ def test_rebalancing_edits_the_map(spark, tmp_path):
     assert sharding.load_map(spark, path) == new and sharding.load_map(spark, path, 1) == old
 
 
+def test_repeated_rows_fill_no_shard(spark):
+    rows = [(1, "the same text")] * 20_000 + [(i, f"text {i}") for i in range(2, 500)] + [(None, None)] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sharding.shard_documents(df, 40).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((i or 0, len(t or "") + 16) for i, t in rows)
+    held, places = [0] * 40, {}
+    for r in got:
+        held[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert max(held) - min(held) <= 0.02 * max(held)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    again = {(r.doc_id, r.text_crc32, r.vslot) for r in sharding.shard_documents(df.repartition(3), 40).collect()}
+    assert again == {(r.doc_id, r.text_crc32, r.vslot) for r in got}
+
+
+def test_versions_of_a_map_never_change(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    sharding.store_map(spark, path, 1, [0, 1, 0])
+    with pytest.raises(Exception, match="already exists"):
+        sharding.store_map(spark, path, 1, [1, 1, 1])
+    assert sharding.load_map(spark, path, 1) == [0, 1, 0]
+    with pytest.raises(LookupError):
+        sharding.load_map(spark, path, 7)
+
+
 def pages(spark):
     big = "<p>é</p>" * 40
     rows = [(1, "http://a/é x", big), (2, None, big), (9, "u", "small"), (8, "u", "small"), (5, "u", None), (None, "u", big), (3, "http://b\r\nX: y", "z" * 100), (4, "u", "z" * 100), (4, "u", "z" * 100)]
