@@ -65,26 +65,16 @@ def test_null_ids_take_the_smallest_known(spark):
 
 
 def repeated(documents, least):
-    """Lines in runs that occur before, in runs of overlapping ones of at least so many words."""
-    gone = {}
-    order = sorted(documents)
-    for a in order:
-        mine, spans = documents[a], []
+    """Lines in runs of at least so many words that stand, line for line, at an earlier place: every run is looked up."""
+    seen, gone = {}, {}
+    for doc in sorted(documents):
+        mine, gone[doc] = documents[doc], set()
+        words = [len(x.split()) for x in mine]
         for i in range(len(mine)):
-            best = 0
-            for b in order:
-                for j in range(len(documents[b])):
-                    if (b, j) < (a, i):
-                        k = 0
-                        while i + k < len(mine) and j + k < len(documents[b]) and documents[b][j + k] == mine[i + k]:
-                            k += 1
-                        best = max(best, k)
-            if best:
-                if spans and i < spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], i + best)
-                else:
-                    spans.append([i, i + best])
-        gone[a] = {k for x, y in spans if sum(len(w.split()) for w in mine[x:y]) >= least for k in range(x, y)}
+            for j in range(i + 1, len(mine) + 1):
+                first = seen.setdefault(tuple(mine[i:j]), (doc, i))
+                if first < (doc, i) and sum(words[i:j]) >= least:
+                    gone[doc] |= set(range(i, j))
     return gone
 
 
@@ -98,14 +88,26 @@ def test_lines_equal_brute_force(spark):
     for i in (3, 9, 30):
         documents[i][2:2] = run
     documents[35] = list(documents[3])
+    # Two runs from different places that overlap by a line; a run within itself; blank lines within and around.
+    documents[36] = run[:6] + ["x y z"] + run[5:] + ["", ""]
+    documents[37] = ["p q r s"] * 9 + ["", ""] + run + [""] * 3 + run[::-1]
+    documents[38] = ["own words here"] + documents[9][:5] + documents[30][3:9] + documents[37][4:]
     df = spark.createDataFrame([(i, "\n".join(x), 1) for i, x in documents.items()], "doc_id bigint, text string, `rank` int").repartition(3)
-    for least in (8, 20, 50):
+    for least in (1, 8, 20, 50):
         want = repeated(documents, least)
         for r in line_dedup.dedup_lines(df, least).collect():
             assert {int(x) for x in r.removed_lines.split(",") if x} == want[r.doc_id]
             assert r.text == "\n".join(x for k, x in enumerate(documents[r.doc_id]) if k not in want[r.doc_id])
 
 
+def test_overlapping_runs_count_their_words_apart(spark):
+    one, two = [f"first {k} of the passage" for k in range(4)], [f"second {k} of the passage" for k in range(4)]
+    rows = [(1, "\n".join([*one, "bridge"])), (2, "\n".join(["bridge", *two])), (3, "\n".join([*one, "bridge", *two]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, 30).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, 21).collect()} == {1: 0, 2: 0, 3: 9}
+
+
 def test_lines_of_odd_documents(docs, nothing):
     rows = line_dedup.dedup_lines(docs).collect()
     assert len(rows) == docs.count() and {r.text for r in rows if r.n_lines == 0} == {None}
