@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonorel.llm.bpe import load, small_batches
-from sonorel.llm.common import bound_arrow_batches
+from sonorel.llm.common import bound_arrow_batches, materialize
 
 BLOCK = 1024
 
@@ -73,7 +73,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    return suffix_sums(histogram(lengths(docs, path)))
+    """The sums read the histogram twice, so it is written first: texts are encoded once."""
+    return suffix_sums(materialize(histogram(lengths(docs, path)), "lengths"))
 
 
 def truncated_total(sums: DataFrame, limit: int) -> int:
