@@ -46,8 +46,8 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """_id, _hash, i, line (its id), words."""
-    each = F.posexplode(F.split(F.col("row.text"), "\n")).alias("i", "_line")
+    """_id, _hash, i, line (its id), words. The outer explosion spares a test, text by text, whether there are lines."""
+    each = F.posexplode_outer(F.split(F.col("row.text"), "\n")).alias("i", "_line")
     found = _named(docs).where(F.col("row.text").isNotNull()).select("_id", "_hash", each)
     words = F.size(F.array_remove(F.split("_line", r"[\x20\x09-\x0D]+"), ""))
     return found.select("_id", "_hash", "i", F.xxhash64("_line").alias("line"), words.alias("words"))
