@@ -2,235 +2,129 @@
 
 Equal vectors form a class that is indexed once, with its k + 1 smallest ids
 (more can never be among k answers, nor can they crowd out the query's other
-neighbours). Classes are dealt by hash into shards of bounded size. Each shard
-builds a hierarchical navigable small-world graph, held as flat arrays: one
-matrix of neighbour numbers per level, padded with -1. As a shard is bounded,
-insertion looks for its candidates among all earlier nodes of the level by one
-matrix product; searching walks the graph: greedily down the levels, then with
-a beam on the lowest. Queries meet every shard in blocks, distances of what is
-found are taken in double precision, and the shards' results are merged.
+neighbours). Classes are dealt by hash into shards, whose number of rows grows with
+the table up to a bound. Each shard builds a hierarchical navigable small-world graph
+by inserting its vectors one block after another (hnsw.py), and is stored as one row
+of flat arrays. Queries meet every shard in blocks; what a shard's beam holds is
+measured again in double precision on the original vectors, and the shards' nearest
+are merged. Shards are dealt by hash and all asked, as routing by centroids loses too
+much where vectors have no clusters (see the README).
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part, nor do rows with a null id. Vectors of different lengths never
 meet. Ties go to the smaller id. With fewer than k other rows, all are returned.
-Rows that repeat an id count as that id's own rows and are never its neighbours.
-Empty tables give no rows. Other columns are not read.
+Rows that repeat an id are never that id's neighbours; if their vectors differ, each
+vector that is asked for has its own ranking, and a neighbour counts with the nearest
+of its vectors. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sonorel.llm.common import broadcast_if_small, materialize
+from sonorel.llm.hnsw import BEAM, LINKS, Graph
 
-from sonorel.llm.common import materialize
+#: A shard's rows: a part of the table's, between these bounds, and no more than fit the bytes.
+LEAST_ROWS, MOST_ROWS, PARTS = 16_384, 65_536, 64
+SHARD_BYTES = 64 << 20
+QUERY_BLOCK = 1024
+#: Larger components are scaled down before single precision squares them.
+LARGE = 1e15
 
-SHARD_ROWS = 2048
-LINKS = 16  #: neighbours of a node on upper levels; twice as many on the lowest
-CANDIDATES = 64  #: considered for a node's links
-BEAM = 96  #: kept while searching the lowest level
-QUERY_BLOCK = 4096
+INDEX = "dim int, shard bigint, links int, scale double, ids array<bigint>, vectors binary, sizes array<int>, neighbours binary"
 
 
 def valid(rows: DataFrame, vector: str) -> DataFrame:
+    """vec_id, v (double unless it is float; no negative zero) of the rows that take part."""
     v = F.col(vector)
+    single = isinstance(rows.schema[vector].dataType.elementType, T.FloatType)
+    kind = "float" if single else "double"
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
-
-
-def diverse(order: np.ndarray, near: np.ndarray, gaps: np.ndarray, most: int) -> list[int]:
-    """Of candidates, nearest first, those nearer to the node than to any chosen one; then the nearest others, up to `most`. near: distance from the node, gaps: among all nodes."""
-    chosen: list[int] = []
-    bar = np.full(len(order), np.inf)
-    own = near[order]
-    rest = []
-    for i, c in enumerate(order.tolist()):
-        if len(chosen) == most:
-            break
-        if own[i] < bar[i]:
-            chosen.append(c)
-            np.minimum(bar, gaps[c, order], out=bar)
-        else:
-            rest.append(c)
-    return chosen + rest[: most - len(chosen)]
-
-
-class Graph:
-    """levels[l]: an int32 matrix, row: node, columns: its neighbours, -1 where there is none. Nodes that reach level l come first."""
-
-    def __init__(self, vectors: np.ndarray, levels: list[np.ndarray]):
-        self.vectors, self.levels = vectors, levels
-
-    @classmethod
-    def build(cls, vectors: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES, seed: int = 7) -> Graph:
-        n = len(vectors)
-        height = np.minimum((-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links)).astype(int), 12)
-        order = np.argsort(-height, kind="stable")
-        vectors, height = vectors[order], height[order]
-        wide = vectors.astype(np.float64)
-        norms = (wide * wide).sum(1)
-        gaps = np.maximum(norms[:, None] + norms[None, :] - 2 * wide @ wide.T, 0).astype(np.float32)
-        levels = []
-        for level in range(int(height[0]) + 1):
-            m = int((height >= level).sum())
-            most = links if level else 2 * links
-            own: list[list[int]] = [[] for _ in range(m)]
-            for i in range(1, m):
-                row = gaps[i, :i]
-                found = np.argpartition(row, candidates)[:candidates] if i > candidates else np.arange(i)
-                found = found[np.lexsort((found, row[found]))]
-                own[i] = diverse(found, gaps[i], gaps, most)
-                for j in own[i]:
-                    own[j].append(i)
-                    if len(own[j]) > most + 8:  # shrinks now and then, not at each link
-                        own[j] = cls._shrink(j, own[j], gaps, most)
-            flat = np.full((m, most), -1, np.int32)
-            for i, js in enumerate(own):
-                js = cls._shrink(i, js, gaps, most) if len(js) > most else js
-                flat[i, : len(js)] = js
-            levels.append(flat)
-        out = cls(vectors, levels)
-        out.order = order
-        return out
-
-    @staticmethod
-    def _shrink(i: int, js: list[int], gaps: np.ndarray, most: int) -> list[int]:
-        near = np.array(js)
-        return diverse(near[np.lexsort((near, gaps[i, near]))], gaps[i], gaps, most)
-
-    def search(self, query: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and squared distances of about the k nearest nodes."""
-        vectors, levels = self.vectors, self.levels
-        far = lambda at: ((vectors[at] - query) ** 2).sum(1)
-        node, best = 0, float(far([0])[0])
-        for flat in reversed(levels[1:]):
-            while True:
-                near = flat[node]
-                near = near[near >= 0]
-                if not len(near):
-                    break
-                d = far(near)
-                i = int(d.argmin())
-                if d[i] >= best:
-                    break
-                node, best = int(near[i]), float(d[i])
-        beam = max(beam, k)
-        seen = np.zeros(len(vectors), bool)
-        seen[node] = True
-        todo, kept, flat = [(best, node)], [(-best, node)], levels[0]
-        while todo:
-            d0, node = heapq.heappop(todo)
-            if len(kept) >= beam and d0 > -kept[0][0]:
-                break
-            near = flat[node]
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            seen[near] = True
-            d = far(near)
-            if len(kept) >= beam:
-                good = d < -kept[0][0]
-                near, d = near[good], d[good]
-            for item in zip(d.tolist(), near.tolist()):
-                heapq.heappush(todo, item)
-                heapq.heappush(kept, (-item[0], item[1]))
-                if len(kept) > beam:
-                    heapq.heappop(kept)
-        found = np.array(sorted((-d, i) for d, i in kept)[:k])
-        return found[:, 1].astype(int), found[:, 0]
-
-    def pack(self) -> dict:
-        return {"vectors": self.vectors.astype(np.float32).tobytes(), "sizes": [len(x) for x in self.levels], "neighbours": b"".join(x.tobytes() for x in self.levels)}
-
-    @classmethod
-    def unpack(cls, vectors: bytes, dim: int, sizes: list[int], neighbours: bytes, links: int) -> Graph:
-        flat, at, levels = np.frombuffer(neighbours, np.int32), 0, []
-        for level, m in enumerate(sizes):
-            most = links if level else 2 * links
-            levels.append(flat[at : at + m * most].reshape(m, most))
-            at += m * most
-        return cls(np.frombuffer(vectors, np.float32).reshape(-1, dim), levels)
-
-
-INDEX = "dim int, shard bigint, links int, ids array<bigint>, vectors binary, sizes array<int>, neighbours binary"
+    some = rows.where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
+    return some.select("vec_id", F.transform(v, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("v"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
 def classes(rows: DataFrame, vector: str, k: int) -> DataFrame:
-    """vec_id, v, class_id (smallest id of the equal vectors): the k + 1 smallest ids of each class. The limit is taken within tasks before rows are shuffled, so a common vector gathers nowhere."""
-    base = valid(rows, vector).select("vec_id", F.transform(vector, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v"))
+    """vec_id, v, nth, class_id (smallest id of the equal vectors): the k + 1 smallest ids of each class. The limit is taken within tasks before rows are shuffled, so a common vector gathers nowhere."""
     own = Window.partitionBy("v").orderBy("vec_id")
-    top = base.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k + 1)
+    top = valid(rows, vector).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k + 1)
     return top.withColumn("class_id", F.min("vec_id").over(Window.partitionBy("v")))
 
 
-def build_index(members: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS) -> DataFrame:
+def build_index(members: DataFrame, shard_rows: int | None = None, links: int = LINKS) -> DataFrame:
     """One row per shard: its class ids, vectors and flat neighbour arrays."""
     reps = members.where("nth = 1").select("class_id", "v", F.size("v").alias("dim"))
-    shards = max(1, -(-reps.count() // shard_rows))
+    fit = F.floor(SHARD_BYTES / (8 * F.col("dim")))
+    each: Column = F.lit(shard_rows) if shard_rows else F.least(F.lit(MOST_ROWS), F.greatest(F.lit(LEAST_ROWS), F.floor(F.col("n") / PARTS)), F.greatest(fit, F.lit(1)))
+    sizes = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / each).alias("shards"))
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         dim, shard = key[0].as_py(), key[1].as_py()
         rows = rows.sort_by("class_id")
-        graph = Graph.build(matrix(rows.column("v").combine_chunks(), dim), links)
-        ids = np.asarray(rows.column("class_id"))[graph.order]
+        vectors = matrix(rows.column("v").combine_chunks(), dim)
+        scale = max(1.0, float(np.abs(vectors).max()) / LARGE)
+        graph, order = Graph.build((vectors / scale).astype(np.float32), links)
         packed = graph.pack()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [shard], "links": pa.array([links], pa.int32()), "ids": pa.array([ids.tolist()], pa.list_(pa.int64())), "vectors": [packed["vectors"]], "sizes": pa.array([packed["sizes"]], pa.list_(pa.int32())), "neighbours": [packed["neighbours"]]})
+        ids = np.asarray(rows.column("class_id"))[order]
+        row = {"dim": dim, "shard": shard, "links": links, "scale": scale, "ids": ids, "vectors": vectors[order].tobytes(), **packed}
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.binary()]
+        return pa.table({name: pa.array([row[name]], kind) for name, kind in zip(("dim", "shard", "links", "scale", "ids", "vectors", "sizes", "neighbours"), kinds)})
 
-    dealt = reps.withColumn("shard", F.pmod(F.xxhash64("class_id"), F.lit(shards)))
+    dealt = reps.join(broadcast_if_small(materialize(sizes, "sizes")), "dim")
+    dealt = dealt.select("class_id", "v", "dim", F.pmod(F.xxhash64("class_id"), F.col("shards")).alias("shard"))
     return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, INDEX), "graphs")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """query_id, class_id, score: the nearest classes that each shard finds. queries: query_id, v."""
-    spark = queries.sparkSession
-    rows = queries.select("query_id", "v", F.size("v").alias("dim"))
+    """query_id, name, class_id, score: the k nearest classes that each shard finds. queries: query_id, name (of the vector), v."""
+    rows = queries.select("query_id", "name", "v", F.size("v").alias("dim"))
     blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    blocked = rows.groupBy("dim", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-    names = index.select("dim", "shard").groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    each = blocked.join(names, "dim").select("dim", F.explode("shards").alias("shard"), "queries")
+    blocked = rows.groupBy("dim", F.pmod(F.xxhash64("query_id", "name"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "name", "v")).alias("queries"))
+    names = index.select("dim", "shard")
+    each = blocked.join(names, "dim")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        row = {name: rows.column(name).combine_chunks()[0] for name in rows.column_names}
+        dim, scale = row["dim"].as_py(), row["scale"].as_py()
+        vectors = np.frombuffer(row["vectors"].as_py(), np.float64).reshape(-1, dim)
+        graph = Graph.unpack(vectors / scale, row["sizes"].as_py(), row["neighbours"].as_py(), row["links"].as_py())
+        ids, asked = np.asarray(row["ids"].values), row["queries"].values
+        own = matrix(asked.field("v"), dim)
+        found = graph.search(own / scale, max(beam, k))
+        out: list[list] = [[], [], []]
+        for at, nodes in enumerate(found):
+            nodes = nodes[nodes >= 0]
+            score = np.sqrt(((vectors[nodes] - own[at]) ** 2).sum(1))
+            best = np.lexsort((ids[nodes], score))[:k]
+            out[0].append(np.full(len(best), at))
+            out[1].append(ids[nodes][best])
+            out[2].append(score[best])
+        at = np.concatenate(out[0])
+        return pa.table({"query_id": asked.field("query_id").take(pa.array(at)), "name": asked.field("name").take(pa.array(at)), "class_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+
+    # A graph goes to a task with one block of queries at a time.
     joined = index.join(each, ["dim", "shard"])
+    return joined.groupBy("dim", "shard", "block").applyInArrow(run, "query_id bigint, name bigint, class_id bigint, score double")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
-                dim = row["dim"].as_py()
-                graph = Graph.unpack(row["vectors"].as_py(), dim, row["sizes"].as_py(), row["neighbours"].as_py(), row["links"].as_py())
-                ids = np.asarray(row["ids"].values)
-                asked = row["queries"].values
-                query_ids = np.asarray(asked.field("query_id"))
-                vectors = matrix(asked.field("v"), dim)
-                out: list[list] = [[], [], []]
-                for q, v in zip(query_ids, vectors):
-                    found, _ = graph.search(v, k, beam)
-                    score = np.sqrt(((graph.vectors[found].astype(np.float64) - v.astype(np.float64)) ** 2).sum(1))
-                    out[0] += [q] * len(found)
-                    out[1] += ids[found].tolist()
-                    out[2] += score.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "class_id", "score"])
-
-    return joined.repartition(max(joined.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").mapInArrow(run, "query_id bigint, class_id bigint, score double")
-
-
-def nearest(rows: DataFrame, queries_where, k: int = 10, vector: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(rows: DataFrame, queries_where, k: int = 10, vector: str = "embedding", shard_rows: int | None = None, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score. queries_where: the condition on rows that are asked for."""
     members = materialize(classes(rows, vector, k), "classes")
     index = build_index(members, shard_rows)
     # A query's own vector stands for itself, whatever its place in its class.
-    queries = valid(rows.where(queries_where), vector).select(F.col("vec_id").alias("query_id"), F.transform(vector, lambda x: x.cast("float")).alias("v"))
-    found = search_index(index, queries, k + 1, beam)
-    best = Window.partitionBy("query_id").orderBy("score", "class_id")
+    asked = valid(rows.where(queries_where), vector).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("name"), "v").dropDuplicates(["query_id", "name"])
+    found = materialize(search_index(index, asked, k + 1, beam), "found")
+    best = Window.partitionBy("query_id", "name").orderBy("score", "class_id")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    named = members.select("class_id", "vec_id")
-    ranked = top.join(named, "class_id").where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = top.join(members.select("class_id", "vec_id"), "class_id").where("vec_id <> query_id").groupBy("query_id", "name", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id", "name").orderBy("score", "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

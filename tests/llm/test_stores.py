@@ -127,6 +127,53 @@ def test_neighbours_are_found_and_scored_exactly(spark):
     assert [i for _, i, _ in got[700]] == [3, *range(701, 710)]
 
 
+def recall(spark, v, shard_rows=None):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(4)
+    hits = n = 0
+    found = {}
+    for r in ann.nearest(df, "vec_id % 100 = 0", 10, shard_rows=shard_rows).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert abs(r.score - np.sqrt(((v[r.query_id] - v[r.vec_id]) ** 2).sum())) <= 1e-15 * r.score
+    for q, own in found.items():
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits, n = hits + len(own & set(np.argsort(d)[:10].tolist())), n + 10
+    assert len(found) == -(-len(v) // 100)
+    return hits / n
+
+
+def test_recall_over_many_shards_and_in_a_large_one(spark):
+    """Directions without clusters, the hardest kind, as doubles that single precision can't hold."""
+    v = np.random.default_rng(2).normal(size=(6000, 48))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert recall(spark, v, 500) >= 0.97
+    assert recall(spark, v * 1e30) >= 0.95
+
+
+def test_graphs_link_what_is_near():
+    from sonorel.llm.hnsw import Graph
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 17, 700, 3000):
+        v = rng.normal(size=(n, 8)).astype(np.float32)
+        graph, order = Graph.build(v)
+        assert sorted(order.tolist()) == list(range(n))
+        for level, flat in enumerate(graph.levels):
+            assert flat.shape[1] == (16 if level else 32) and flat.max() < max(1, len(flat))
+            rows = [set(r[r >= 0].tolist()) for r in flat]
+            assert all(i not in own and len(own) == (r >= 0).sum() for i, (own, r) in enumerate(zip(rows, flat)))
+        again = Graph.unpack(graph.vectors, graph.pack()["sizes"], graph.pack()["neighbours"], 16)
+        found = again.search(v[order][:50], 64)
+        assert (found[:, 0] >= 0).all() and all(i in row for i, row in enumerate(found.tolist()))
+        assert np.array_equal(found, graph.search(v[order][:50], 64))
+
+
+def test_ids_that_repeat_have_a_ranking_for_each_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 2.0]), (2, [1.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id = 0", 10).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == sorted([(1, 1, 1.0), (2, 2, 1.0), (1, 2, 1.0), (2, 1, 5**0.5)])
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id bigint, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0, 3.0])], kind)
