@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonorel.llm.bpe import small_batches
-from sonorel.llm.common import bound_arrow_batches, broadcast_if_small, drop_table, materialize
+from sonorel.llm.common import bound_arrow_batches, broadcast_if_small, column, drop_table, materialize
 from sonorel.llm.components import components
 from sonorel.llm.shingles import digest, shingle_sets
 
@@ -48,10 +48,13 @@ NEED, OF = 75, 100
 #: A longer prefix, by this share of the set, in which similar sets must have as much in common.
 EXTRA = 10
 REGION = 2000
+#: Pivots of a cell; cells of so few documents, or those that keep more than this share of the cell before, aren't divided.
+PIVOTS, LEAF, SHRINK = 6, 24, 0.9
 #: Shingles of the sets that a task joins at a time.
 REGION_SHINGLES = 1_000_000
 COMMON = 32
-MOST_COMMON = 1 << 20
+#: Common shingles, at most; with a pivot for each of about 30 classes of sizes they take less than 64 MB in a task.
+MOST_COMMON = 1 << 17
 #: Hashes that a task of the exchange gets at a time, about.
 BUCKET_ROWS = 400_000
 
@@ -121,19 +124,25 @@ def ordered_prefix(shingles: np.ndarray, keys: Keys, common: np.ndarray, counts:
     return np.concatenate([rare, own[np.lexsort((own, counts[at[hit]]))][: size - len(rare)]])
 
 
+def name_of(text: Column) -> Column:
+    """Tells texts apart: with the doc_id, it names a row (or rows that repeat one another)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def measured(docs: DataFrame, keys: Keys, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, prefix."""
+    """doc_id, name, n, digest, prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole):
-                sets = shingle_sets(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([keys.pack(ordered_prefix(s, keys, common, counts)) if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n", "digest", "prefix"],
-                )
+                sets = shingle_sets(batch.column(2).to_pylist())
+                digests = pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
+                prefixes = pa.array([keys.pack(ordered_prefix(s, keys, common, counts)) if len(s) else None for s in sets], pa.binary())
+                columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), digests, prefixes]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n", "digest", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, digest binary, prefix binary")
+    named = docs.select("doc_id", name_of(F.col("text")).alias("name"), "text")
+    return named.mapInArrow(run, "doc_id bigint, name binary, n bigint, digest binary, prefix binary")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -311,7 +320,7 @@ def memberships(reps: DataFrame, keys: Keys, common: np.ndarray) -> DataFrame:
 
 
 class Region:
-    """The exact join of the documents of a region (or of one of its blocks)."""
+    """The exact join of the documents of a region (or of one of its blocks), by Voronoi cells within cells."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets])
@@ -322,47 +331,65 @@ class Region:
         self.posting = doc[order]
         self.starts = np.append(0, np.cumsum(np.bincount(token)))
         self.tokens = np.split(token, np.cumsum(self.size)[:-1])
+        self.out: list[tuple[int, int]] = []
 
-    def overlaps(self, i: int) -> np.ndarray:
+    def distances(self, i: int) -> np.ndarray:
+        """Of all documents to one, which is linked with those that are near."""
         own = self.tokens[i]
         a, n = self.starts[own], self.starts[own + 1] - self.starts[own]
         at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        return np.bincount(self.posting[at], minlength=len(self.size))
+        shared = np.bincount(self.posting[at], minlength=len(self.size))
+        union = self.size + self.size[i] - shared
+        near = np.flatnonzero(OF * shared >= NEED * union)
+        for j in near[self.label[near] != self.label[i]].tolist():
+            if self.label[j] != self.label[i]:
+                self.out.append((i, j))
+                self.label[self.label == self.label[j]] = self.label[i]
+        return 1 - shared / union
+
+    def one_by_one(self, own: np.ndarray, guests: np.ndarray) -> None:
+        """Each document of a cell that won't shrink meets the others, unless its links are known."""
+        for at, i in enumerate(own.tolist()):
+            others = np.concatenate([own[at + 1 :], guests])
+            others = others[self.label[others] != self.label[i]]
+            if (OF * np.minimum(self.size[others], self.size[i]) >= NEED * np.maximum(self.size[others], self.size[i])).any():
+                self.distances(i)
 
     def links(self, first: int, asked: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-        """Links that connect what is connected. first: the pivot to begin with. asked: the documents that have yet to meet all others. label: their components so far."""
-        open_, label = asked.copy(), label.copy()
-        everything = bool(asked.all())
-        distances: list[np.ndarray] = []
-        out: list[tuple[int, int]] = []
-        pivot = first
-        while True:
-            shared = self.overlaps(pivot)
-            union = self.size + self.size[pivot] - shared
-            near = np.flatnonzero(OF * shared >= NEED * union)
-            for j in near[label[near] != label[pivot]].tolist():
-                if label[j] != label[pivot]:
-                    out.append((pivot, j))
-                    label[label == label[j]] = label[pivot]
-            open_[pivot] = False
-            distances.append(1 - shared / union)
-            del distances[:-8]
-            # By the triangle inequality, only those can be linked whose distances to every pivot are alike.
-            while True:
-                left = np.flatnonzero(open_)
-                if not len(left):
-                    return out
-                names, n = np.unique(label[left], return_counts=True)
-                pivot = int(left[np.argmax(label[left] == names[n.argmin()])])
-                others = label != label[pivot]
-                if everything:
-                    others &= open_
-                for d in distances:
-                    others &= np.abs(d - d[pivot]) <= (1 - NEED / OF) + 1e-9
-                others &= (OF * np.minimum(self.size, self.size[pivot]) >= NEED * np.maximum(self.size, self.size[pivot]))
-                if others.any():
-                    break
-                open_[pivot] = False
+        """Links that connect what is connected. first: the pivot to begin with. asked: the documents that have yet to
+        meet all others. label: their components so far.
+
+        A cell is its own documents, which meet one another and the cell's guests. Its pivots are measured against all of
+        it, and each of its own goes to the nearest pivot. Two that are linked differ by at most the threshold in their
+        distance to any pivot, so whoever is linked with an own document of a cell is no farther from its pivot than from
+        the nearest one by more than twice the threshold: those are the cell's guests."""
+        self.label, self.out = label.copy(), []
+        cells = [(np.flatnonzero(asked), np.flatnonzero(~asked), first)]
+        while cells:
+            own, guests, seed = cells.pop()
+            if not len(own) or len(np.unique(self.label[np.concatenate([own, guests])])) < 2:
+                continue
+            if len(own) <= LEAF:
+                self.one_by_one(own, guests)
+                continue
+            pivots, far = [], []
+            for _ in range(PIVOTS):
+                # The next pivot is the farthest from those before.
+                pivots.append(seed if not far and seed >= 0 else int(own[np.argmax(np.min(far, 0)[own])] if far else own[0]))
+                far.append(self.distances(pivots[-1]))
+            far = np.stack(far)
+            least, home = far.min(0), far.argmin(0)
+            reach = least + 2 * (1 - NEED / OF) + 1e-9
+            parts = []
+            for k in range(len(pivots)):
+                mine = own[home[own] == k]
+                others = np.concatenate([own[home[own] > k], guests])
+                parts.append((mine[~np.isin(mine, pivots)], others[far[k, others] <= reach[others]], -1))
+            if max(len(m) + len(g) for m, g, _ in parts) > SHRINK * (len(own) + len(guests)):
+                self.one_by_one(own[~np.isin(own, pivots)], guests)
+            else:
+                cells += parts
+        return self.out
 
 
 def region_links(placed: DataFrame) -> DataFrame:
@@ -389,7 +416,9 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     First each document meets the region of its nearest pivot, the one that most of its prefix leads to. Regions whose
     members are then all connected have nothing left to tell. In the others, those apart from the pivot's component meet all members."""
     blocks_for = F.ceil(F.greatest(F.count("*") / F.lit(REGION), F.sum("n") / F.lit(REGION_SHINGLES))).cast("int")
-    members = members.join(members.groupBy("pivot").agg(F.count("*").alias("m"), blocks_for.alias("parts")).where("m > 1"), "pivot")
+    # Regions of one block need no entry, so those of several make a small table, and no region's members gather.
+    large = materialize(members.groupBy("pivot").agg(blocks_for.alias("parts")).where("parts > 1"), "large-regions")
+    members = members.join(broadcast_if_small(large), "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int")), "members")
     nearest = F.max_by(F.struct("pivot", "parts", "block"), F.struct((F.col("nid") != F.col("pivot")).cast("int"), "shared", "pivot"))
     own = members.where("nid <> pivot").groupBy("nid").agg(nearest.alias("r")).select(F.col("r.pivot").alias("region"), F.col("r.block").alias("part"), "nid")
@@ -398,28 +427,28 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     columns = ["region", "part", "nid", "asked", "root", "shingles"]
     found = materialize(region_links(blocks.withColumns({"asked": F.lit(True), "root": F.col("nid")}).join(sets, "nid").select(*columns)), "links")
     roots = components(found)
-    root = lambda df, c, name: df.join(roots.select(F.col("a").alias(c), F.col("b").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    root = lambda df, c, name: df.join(broadcast_if_small(roots.select(F.col("a").alias(c), F.col("b").alias(name))), c, "left").withColumn(name, F.coalesce(name, c))
     placed = materialize(root(root(members, "nid", "root"), "pivot", "pivot_root").select("pivot", "nid", "n", "parts", "block", "root", "pivot_root"), "placed")
     stray = placed.where("root <> pivot_root")
-    n = materialize(stray.groupBy("pivot").agg(blocks_for.alias("turns")), "turns")
+    n = broadcast_if_small(materialize(stray.groupBy("pivot").agg(blocks_for.alias("turns")), "turns"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     turn = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("turns")).cast("int")
     asked = stray.join(n, "pivot").withColumn("turn", turn).select("pivot", "nid", "root", each("parts").alias("block"), "turn", F.lit(True).alias("asked"))
     met = placed.join(n, "pivot").select("pivot", "nid", "root", "block", each("turns").alias("turn"), F.lit(False).alias("asked"))
     again = asked.union(met).groupBy("pivot", "nid", "root", "block", "turn").agg(F.max("asked").alias("asked"))
-    again = again.select(F.col("pivot").alias("region"), (F.col("block") * 65536 + F.col("turn")).alias("part"), "nid", "asked", "root")
+    again = again.select(F.col("pivot").alias("region"), (F.col("block").cast("long") * (1 << 32) + F.col("turn")).alias("part"), "nid", "asked", "root")
     return found.union(materialize(region_links(again.join(sets, "nid").select(*columns)), "links"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, name (of the text), n, root (the same for all that links connect; null without shingles), least_id (the smallest doc_id that isn't null of these)."""
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keys = Keys(min(32, max(8, (size // 16 // BUCKET_ROWS).bit_length())))
     common, counts = common_shingles(docs, keys)
     first = materialize(measured(docs, keys, common, counts), "measured")
-    rows = materialize(first.select("doc_id", "n", "digest"), "rows")
+    rows = materialize(first.select("doc_id", "name", "n", "digest"), "rows")
     reps = first.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = materialize(reps.withColumn("nid", F.monotonically_increasing_id()), "representatives")
     drop_table(spark, first)
@@ -438,17 +467,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = names.join(roots.select(F.col("a").alias("nid"), F.col("b").alias("root")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("digest", "component_id")
-    out = rows.join(labels, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = rooted.join(least, "root").select("digest", "root", "component_id")
+    return rows.join(labels, "digest", "left").select("doc_id", "name", "n", "root", F.col("component_id").alias("least_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+    component = F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
+    return labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that a similar one of smaller doc_id stands for; all columns stay. Rows that repeat a kept id all stay."""
-    found = near_duplicates(docs)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
-    kept = docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    return kept
+    """The documents, one row of each group that links connect: that of the smallest doc_id (null last), of several with
+    it that of the smallest name of the text. Rows that repeat id and text are in one group, so one of them stays.
+    Documents without words are in no group and stay. All columns stay."""
+    found = materialize(labelled(docs).where("root is not null").groupBy("root", "doc_id", "name").agg(F.count("*").alias("n")), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "name")
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    best = broadcast_if_small(materialize(best, "kept"))
+    gone = F.col("best").isNotNull() & (order != F.col("best"))
+    marks = found.join(best, "root", "left").select(F.col("doc_id").alias("_i"), F.col("name").alias("_n"), gone.alias("gone"), "n")
+    marks = materialize(marks.where("gone or n > 1").drop("n"), "marks")
+    repeated = bool(marks.where("not gone").take(1))
+    row = F.struct(*map(column, docs.columns)).alias("row")
+    named = docs.select(row).select("row", F.col("row.doc_id").alias("_id"), name_of(F.col("row.text")).alias("_name"))
+    marked = named.join(broadcast_if_small(marks), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_name") == F.col("_n")), "left")
+    kept = marked.where("gone is null").select("row")
+    if repeated:
+        kept = kept.unionByName(marked.where("not gone").groupBy("_id", "_name").agg(F.first("row").alias("row")).select("row"))
+    return kept.select(*[column(c, "row").alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = f"""

@@ -54,8 +54,56 @@ def test_one_document_of_each_group_stays(docs, texts, nothing):
     want = classes({i: shingles(t) for i, t in enumerate(texts)})
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c}
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(ids) == sorted(i for i, c in want.items() if i == c)
     assert jaccard.near_duplicates(nothing).count() == 0
+    assert jaccard.one_of_each(nothing).count() == 0
+
+
+def test_rows_and_not_ids_go(spark):
+    a, b = "a b c d e f g h", "s t u v w x y z"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (None, a, "x"), (None, "q w e r t y", "x"), (1, a, "x"), (9, "", "x"), (9, "", "x"), (None, "q w e r t y", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a``b` string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in jaccard.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (0, "q w e r t y"), (9, ""), (9, ""), (0, None)], key=str)
+
+
+@pytest.mark.parametrize("leaf,pivots", [(24, 6), (2, 3)])
+def test_cells_within_cells_miss_no_link(monkeypatch, leaf, pivots):
+    """Families of sets about random centres, some of which run into one another."""
+    import random
+
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    rnd = random.Random(8)
+    for _ in range(12):
+        sets = [set(rnd.sample(range(400), rnd.randint(5, 60))) for _ in range(6)]
+        while len(sets) < 150:
+            own = set(rnd.choice(sets))
+            own ^= set(rnd.sample(range(400), rnd.randint(0, 6)))
+            sets.append(own or {1})
+        want = classes(dict(enumerate(sets)))
+        asked = np.array([rnd.random() < rnd.choice([0.3, 1]) for _ in sets])
+        asked = asked if rnd.random() < 0.5 else np.ones(len(sets), bool)
+        if not asked.any():
+            continue
+        region = jaccard.Region([np.array(sorted(s), np.uint64) for s in sets])
+        label = np.arange(len(sets))
+        found = region.links(int(asked.argmax()), asked, label)
+        root = {i: i for i in want}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in found:
+            assert 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+            root[find(i)] = find(j)
+        for i in range(len(sets)):
+            for j in range(i):
+                if (asked[i] or asked[j]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    assert find(i) == find(j)
 
 
 def test_null_ids_take_the_smallest_known(spark):
