@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonorel.operators import profile as P
+from sonorel.storage import broadcast_if_small
 
 CLASSES = ("keep", "listen", "cut")
 KEEP_TARGET = 0.85
@@ -26,7 +27,7 @@ def score_entries(entries: DataFrame, features: DataFrame, profile: DataFrame, c
     known = profile.select("role").distinct().withColumn("has_profile", F.lit(True))
     axes = P.score_axes(features.join(entries.select("id", "role"), "id"), profile, ["role", "key"])
     scores = P.judge(P.score_candidates(axes, ["id"]))
-    out = entries.join(F.broadcast(known), "role", "left").join(scores, "id", "left")
+    out = entries.join(broadcast_if_small(known), "role", "left").join(scores, "id", "left")
     skipped = F.when(F.col("human_verdict").isNull(), "no_human_verdict").when(F.col("has_profile").isNull(), "no_profile")
     # Nothing in common with the profile: the gate can't tell, and asks to listen.
     gate = F.coalesce(F.col("decision"), F.lit("listen"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonorel.storage import materialize
+from sonorel.storage import broadcast_if_small, materialize
 
 #: Fixed values of the scoring rules.
 Z_IN, Z_FAR, Z_CLAMP, MAD_FLOOR = 2.0, 3.5, 12.0, 1e-9
 LEAST_CORPUS, SURE_IN, SURE_OUT = 12, 1.5, 4.0
 QUANTILES = (0.1, 0.5, 0.9)
+#: Values of a group that one task reduces whole (8 MB).
+MOST_IN_TASK = 1_000_000
 
 
 def to_long(df: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
@@ -22,37 +26,54 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def build_profile(features: DataFrame, by: list[str] | None = None, exact_in_task: bool = True) -> DataFrame:
+def build_profile(features: DataFrame, by: list[str] | None = None, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """by..., key, median, mad, p10, p50, p90, n, domain of the finite values.
 
-    All-positive keys are reduced in log10. The median absolute deviation takes
-    a second pass. With exact_in_task=False quantiles of huge groups are found by
-    bracketing (bracketed_quantiles), so no task holds a group's values.
-    """
+    All-positive keys are reduced in log10. Groups are counted first. Where the largest
+    has at most `most_in_task` values, each group is reduced whole in one task, after
+    one shuffle. Beyond, quantiles are found by bracketing (bracketed_quantiles), so no
+    task holds a group's values; both ways give the same numbers. The features are read
+    once to count and once to reduce: write costly ones first."""
     by = [*(by if by is not None else ["role"]), "key"]
     rows = features.where(finite(F.col("value"))).select(*by, "value")
     domain = rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.min("value") > 0, "log10").otherwise("linear").alias("domain"))
-    scaled = rows.join(F.broadcast(domain) if exact_in_task else domain, by).withColumn("t", F.when(F.col("domain") == "log10", F.log10("value")).otherwise(F.col("value")))
-    if exact_in_task:
-        q = scaled.groupBy(*by).agg(F.percentile("t", F.array(*map(F.lit, QUANTILES))).alias("q"))
-    else:
-        q = bracketed_quantiles(scaled, by, "t", list(QUANTILES))
-    apart = scaled.join(F.broadcast(q) if exact_in_task else q, by).withColumn("apart", F.abs(F.col("t") - F.col("q")[1]))
-    if exact_in_task:
-        mad = apart.groupBy(*by).agg(F.median("apart").alias("mad"))
-    else:
-        mad = bracketed_quantiles(apart, by, "apart", [0.5]).select(*by, F.col("q")[0].alias("mad"))
+    domain = materialize(domain, "domains")
+    if (domain.agg(F.max("n")).first()[0] or 0) <= most_in_task:
+        return whole_groups(rows, by)
+    small = broadcast_if_small(domain)
+    scaled = rows.join(small, by).select(*by, F.when(F.col("domain") == "log10", F.log10("value")).otherwise(F.col("value")).alias("t"))
+    q = materialize(bracketed_quantiles(scaled, by, "t", list(QUANTILES)), "quantiles")
+    apart = scaled.join(broadcast_if_small(q), by).select(*by, F.abs(F.col("t") - F.col("q")[1]).alias("apart"))
+    mad = bracketed_quantiles(apart, by, "apart", [0.5]).select(*by, F.col("q")[0].alias("mad"))
     r = lambda c: F.round(c, 6)
     return domain.join(q, by).join(mad, by).select(*by, r(F.col("q")[1]).alias("median"), r(F.col("mad")).alias("mad"), r(F.col("q")[0]).alias("p10"), r(F.col("q")[1]).alias("p50"), r(F.col("q")[2]).alias("p90"), "n", "domain")
 
 
+def whole_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The profile of groups that each fit a task. rows: by..., value."""
+
+    def reduce(key: tuple, own: pa.Table) -> pa.Table:
+        x = own.column("value").to_numpy()
+        positive = bool(x.min() > 0)
+        t = np.log10(x) if positive else x
+        low, mid, high = np.quantile(t, QUANTILES)
+        values = [mid, np.median(np.abs(t - mid)), low, mid, high]
+        columns = {c: own.column(c).slice(0, 1) for c in by}
+        columns |= {c: pa.array([float(v)]) for c, v in zip(("median", "mad", "p10", "p50", "p90"), values)}
+        return pa.table(columns | {"n": pa.array([len(x)], pa.int64()), "domain": pa.array(["log10" if positive else "linear"])})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    out = rows.groupBy(*by).applyInArrow(reduce, f"{kinds}, median double, mad double, p10 double, p50 double, p90 double, n bigint, domain string")
+    return out.select(*by, *[F.round(c, 6).alias(c) for c in ("median", "mad", "p10", "p50", "p90")], "n", "domain")
+
+
 def bracketed_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], accuracy: int = 1000) -> DataFrame:
     """by..., q: exact linear-interpolated quantiles. A mergeable sketch brackets each quantile; values below the
     bracket are counted, and only those inside are sorted."""
     pad, df = 2.0 / accuracy, df.select(*by, value)
     asked = [x for q in qs for x in (max(0.0, q - pad), min(1.0, q + pad))]
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, asked, accuracy).alias("cut"), F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    joined = df.join(cuts, by)
+    joined = df.join(broadcast_if_small(materialize(cuts, "cuts")), by)
     inside = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.lit(q - pad <= 0), F.col("lo")).otherwise(F.col("cut")[2 * k]).alias("a"), F.when(F.lit(q + pad >= 1), F.col("hi")).otherwise(F.col("cut")[2 * k + 1]).alias("b")) for k, q in enumerate(qs)])
     each = joined.select(*by, "n", F.col(value).alias("x"), F.explode(inside).alias("c"))
     low = each.groupBy(*by, "c.k").agg(F.count_if(F.col("x") < F.col("c.a")).alias("below"))

@@ -82,8 +82,9 @@ def resolve_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Turns whose frame before was of the other role's stream: each role's turns are a stream of their own."""
     t = _turns(spark, d)
-    return R.dangling(t.where("pos % 7 <> 0"))
+    return R.dangling(t.where("role = 'assistant'")).unionByName(R.dangling(t.where("role <> 'assistant'")))
 
 
 def lineage_order(spark: SparkSession, d: str) -> DataFrame:
@@ -195,12 +196,12 @@ def media_extensions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cues_srt(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").select(F.col("conv_id").alias("track"), (F.col("turn") * 2.5).alias("t"), F.lit(1.25).alias("dur"), F.substring("text", 1, 40).alias("label"))
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("track"), (F.col("turn") * 2.5).alias("t"), F.lit(1.25).alias("dur"), F.col("text").alias("label"))
     return X.cue_lines(c, ["track"], "srt")
 
 
 def cues_lrc(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").select(F.col("conv_id").alias("track"), (F.col("turn") * 61.375).alias("t"), F.lit(0.0).alias("dur"), F.substring("text", 1, 40).alias("label"))
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("track"), (F.col("turn") * 61.375).alias("t"), F.lit(0.0).alias("dur"), F.col("text").alias("label"))
     return X.cue_lines(c, ["track"], "lrc")
 
 
@@ -217,7 +218,7 @@ def pattern_expand(spark: SparkSession, d: str) -> DataFrame:
 
 def midi_events_top(spark: SparkSession, d: str) -> DataFrame:
     notes = read(spark, d, "events").select(F.col("user_id").alias("stream"), (F.col("event_id") % 128).cast("int").alias("pitch"), (F.col("event_id") / 10.0).alias("start"), (F.col("event_id") / 10.0 + 0.5).alias("end"), F.lit(64).alias("velocity"))
-    return X.midi_events(notes, ["stream"], 16).select("stream", "place", "pitch", "start")
+    return X.midi_events(notes, ["stream"]).select("stream", "place", "pitch", "start")
 
 
 _UNITS_SQL = "CASE key " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, u in [("loudness.integrated_lufs", "LUFS"), ("loudness.true_peak_dbtp", "dBTP"), ("qc.dc_offset_dbfs", "dBFS"), ("envelope.rise_slope_db_ms", "dB/ms"), ("envelope.attack_ms_10_90", "ms"), ("width.bass.correlation", "−1..1"), ("width.air.side_mid_ratio", "ratio"), ("movement.hf_silence_pct", "%"), ("clarity.low_mid_masking_db", "dB"), ("rhythm.bpm", "BPM"), ("qc.lossy.confidence", "0–1"), ("timbre.hardness", "0–100"), ("qc.lossy.spectral_cutoff_hz", "Hz")]) + " ELSE '' END"
@@ -240,7 +241,7 @@ SQL = {
     "select_seq_fallback": f"WITH {_TURNS} SELECT stream, CASE WHEN stream::BIGINT % 2 = 0 THEN arg_min(id, pos) WHEN bool_and(seq IS NOT NULL) THEN arg_max(id, (seq, pos)) ELSE arg_max(id, pos) END AS id FROM t GROUP BY stream",
     "select_role_fallback": "WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS h FROM events GROUP BY user_id) SELECT user_id AS stream, CASE WHEN h = 0 THEN n ELSE h END AS n, h AS n_role FROM c",
     "resolve_hash": f"WITH {_BLOBS}, s AS (SELECT hash, min(doc_id) AS path, max(size) AS size FROM b GROUP BY hash) SELECT l.doc_id AS frame, b.hash, s.path, s.size FROM labels l JOIN b USING (doc_id) JOIN s USING (hash)",
-    "lineage_closure": f"WITH {_TURNS}, k AS (SELECT * FROM t WHERE pos % 7 <> 0) SELECT id AS child, of AS parent FROM k WHERE of IS NOT NULL AND of NOT IN (SELECT id FROM k)",
+    "lineage_closure": f"WITH {_TURNS}, k AS (SELECT *, role = 'assistant' AS side FROM t WHERE role IS NOT NULL) SELECT id AS child, of AS parent FROM k WHERE of IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k b WHERE b.id = k.of AND b.side = k.side)",
     "lineage_order": f"WITH {_TURNS}, k AS (SELECT id, of, CASE WHEN pos % 5 = 0 THEN -pos ELSE pos END AS pos FROM t) SELECT a.id AS child, a.of AS parent FROM k a JOIN k b ON a.of = b.id WHERE b.pos >= a.pos",
     "lineage_ancestors": f"WITH RECURSIVE {_TURNS}, r AS (SELECT id AS child, of AS anc FROM t WHERE of IS NOT NULL UNION SELECT r.child, t.of FROM r JOIN t ON r.anc = t.id WHERE t.of IS NOT NULL) SELECT child, count(*) AS n FROM r GROUP BY child",
     "passthrough_check": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -260,10 +261,10 @@ SQL = {
     "candidate_labels": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'n' || doc_id WHEN doc_id % 3 = 1 THEN source || '.wav' WHEN doc_id % 2 = 0 THEN substring(sha256(text), 1, 8) ELSE 'cand-' || doc_id END AS label FROM documents",
     "wet_roles": "SELECT CASE WHEN event_id % 4 = 3 THEN 'edit' ELSE event_type END || '.wet' AS role, count(*) AS n FROM events GROUP BY 1",
     "media_extensions": "SELECT CASE doc_id % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'txt' ELSE 'bin' END AS ext, count(*) AS n FROM documents GROUP BY 1",
-    "cues_srt": "WITH c AS (SELECT conv_id AS track, (turn * 2500)::BIGINT AS ms, substring(text, 1, 40) AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(substring(text, 1, 40)) <> '') SELECT track, n, n || chr(10) || " + " || ' --> ' || ".join(f"printf('%02d:%02d:%02d,%03d', ({t}) // 3600000, ({t}) // 60000 % 60, ({t}) // 1000 % 60, ({t}) % 1000)" for t in ("ms", "ms + 1250")) + " || chr(10) || label AS line FROM c",
-    "cues_lrc": "WITH c AS (SELECT conv_id AS track, (turn * 61375 / 10)::DOUBLE AS x, substring(text, 1, 40) AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(substring(text, 1, 40)) <> ''), d AS (SELECT *, round(x)::BIGINT AS cs FROM c) SELECT track, n, printf('[%02d:%02d.%02d]', cs // 6000, cs // 100 % 60, cs % 100) || label AS line FROM d",
+    "cues_srt": "WITH c AS (SELECT conv_id AS track, (turn * 2500)::BIGINT AS ms, text AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> '') SELECT track, n, n || chr(10) || " + " || ' --> ' || ".join(f"printf('%02d:%02d:%02d,%03d', ({t}) // 3600000, ({t}) // 60000 % 60, ({t}) // 1000 % 60, ({t}) % 1000)" for t in ("ms", "ms + 1250")) + " || chr(10) || label AS line FROM c",
+    "cues_lrc": "WITH c AS (SELECT conv_id AS track, (turn * 61375 / 10)::DOUBLE AS x, text AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> ''), d AS (SELECT *, round(x)::BIGINT AS cs FROM c) SELECT track, n, printf('[%02d:%02d.%02d]', cs // 6000, cs // 100 % 60, cs % 100) || label AS line FROM d",
     "pattern_expand": "WITH h(track, step, velocity, gain_db, bars) AS (VALUES ('kick', 1, 1.0::DOUBLE, NULL::DOUBLE, NULL::INTEGER[]), ('kick', 9, 0.5, NULL, [1, 3]), ('hat', 3, 0.25, -6.0, NULL), ('hat', 6, 0.8, NULL, [2])), x AS (SELECT *, (bar - 1) * 4 + (step - 1) * 0.25::DOUBLE + CASE WHEN step % 2 = 0 THEN 0.1 * 0.25 ELSE 0 END AS beat FROM h, range(1, 5) r(bar) WHERE bars IS NULL OR list_contains(bars, bar)) SELECT track, bar::INTEGER AS bar, step, round(beat, 6) AS beat, round(coalesce(gain_db, greatest(-40, least(0, 20 * log10(velocity)))), 4) AS gain_db, printf('%d.%d.%03d', (floor(beat / 4) + 1)::BIGINT, (floor(beat - 4 * floor(beat / 4)) + 1)::BIGINT, round((beat - floor(beat)) * 1000)::BIGINT) AS at FROM x",
-    "midi_events_top": "SELECT stream, place, pitch, start FROM (SELECT user_id AS stream, (event_id % 128)::INTEGER AS pitch, event_id / 10.0::DOUBLE AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id / 10.0::DOUBLE, event_id % 128) AS place FROM events) WHERE place <= 16",
+    "midi_events_top": "SELECT stream, place, pitch, start FROM (SELECT user_id AS stream, (event_id % 128)::INTEGER AS pitch, event_id / 10.0::DOUBLE AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id / 10.0::DOUBLE, event_id % 128) AS place FROM events) WHERE place <= 512",
     "caption": "SELECT doc_id, printf('%.2f', n_chars / 100.0) || ' s, 44100 Hz, ' || CASE WHEN doc_id % 2 = 0 THEN 'mono' ELSE 'stereo' END || '; ' || printf('%.1f', -n_chars / 10.0) || ' LUFS' || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN '; QC: clipping, phase' WHEN doc_id % 5 = 0 THEN '; QC: clipping' WHEN doc_id % 3 = 0 THEN '; QC: phase' ELSE '; QC: clean' END AS caption FROM documents",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -9,6 +9,7 @@ from sonorel.operators import calibration as C
 from sonorel.operators import profile as P
 from sonorel.plans import tables as T
 from sonorel.plans.tables import read
+from sonorel.storage import broadcast_if_small, materialize
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
@@ -16,8 +17,13 @@ def _profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _axes(spark: SparkSession, d: str) -> DataFrame:
-    f = T.line_features(spark, d)
-    return P.score_axes(P.last_features(f, ["role", "id"]), F.broadcast(P.build_profile(f)), ["role", "key"])
+    """The line items are read once; the features that both the profile and the scores need are written."""
+    f = materialize(T.line_features(spark, d), "features")
+    return P.score_axes(P.last_features(f, ["role", "id"]), _small(P.build_profile(f)), ["role", "key"])
+
+
+def _small(profile: DataFrame) -> DataFrame:
+    return broadcast_if_small(materialize(profile, "profile"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +79,7 @@ def verdict_rollup(spark: SparkSession, d: str) -> DataFrame:
 def verdict_thin_corpus(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("role"), F.col("p_partkey").alias("id"), F.lit(0).alias("pos"), "p_retailprice")
     f = P.to_long(part, ["role", "id", "pos"], ["p_retailprice"])
-    axes = P.score_axes(P.last_features(f, ["role", "id"]), P.build_profile(f), ["role", "key"])
+    axes = P.score_axes(P.last_features(f, ["role", "id"]), _small(P.build_profile(f)), ["role", "key"])
     return P.judge(P.score_candidates(axes, ["role", "id"])).select("role", "id", "max_abs", "min_n", "confidence", "reason", "decision")
 
 
@@ -89,10 +95,12 @@ def verdict_axes(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     entries = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "listen").when(F.col("quality") == 1, "keep").otherwise("cut").alias("human_verdict"), F.lit("v1").alias("feature_schema"))
-    entries = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("role")).join(entries, "id")
+    # A role that the profile doesn't know.
+    role = F.when(F.col("source") == "src0", "unknown").otherwise(F.col("lang"))
+    entries = docs.select(F.col("doc_id").alias("id"), role.alias("role")).join(entries, "id")
     features = docs.select(F.col("doc_id").alias("id"), F.lit("n_chars").alias("key"), F.col("n_chars").cast("double").alias("value"))
-    profile = P.build_profile(docs.where("lang <> 'es'").select(F.col("lang").alias("role"), F.lit("n_chars").alias("key"), F.col("n_chars").cast("double").alias("value")))
-    return C.score_entries(entries, features, F.broadcast(profile), "v2")
+    profile = P.build_profile(docs.select(F.col("lang").alias("role"), F.lit("n_chars").alias("key"), F.col("n_chars").cast("double").alias("value")))
+    return C.score_entries(entries, features, _small(profile), "v2")
 
 
 def backtest_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +138,8 @@ def profile_overlay(spark: SparkSession, d: str) -> DataFrame:
     return a.select("role", "id", "key", (F.round(t - F.col("median"), 2) + 0.0).alias("delta"), t.between(F.col("p10"), F.col("p90")).alias("inside"))
 
 
-_SCORED_SQL = f"""WITH src AS (SELECT lang AS role, 'n_chars' AS key, n_chars::DOUBLE AS value FROM documents WHERE lang <> 'es'), {T.profile_sql("src")},
-e AS (SELECT d.doc_id AS id, d.lang AS role, CASE WHEN toxic = 1 THEN 'listen' WHEN quality = 1 THEN 'keep' ELSE 'cut' END AS human, d.n_chars::DOUBLE AS value FROM documents d JOIN labels l USING (doc_id)),
+_SCORED_SQL = f"""WITH src AS (SELECT lang AS role, 'n_chars' AS key, n_chars::DOUBLE AS value FROM documents), {T.profile_sql("src")},
+e AS (SELECT d.doc_id AS id, CASE WHEN d.source = 'src0' THEN 'unknown' ELSE d.lang END AS role, CASE WHEN toxic = 1 THEN 'listen' WHEN quality = 1 THEN 'keep' ELSE 'cut' END AS human, d.n_chars::DOUBLE AS value FROM documents d JOIN labels l USING (doc_id)),
 axes AS (SELECT e.id, p.role, p.key, p.n, {T.Z_SQL} AS z FROM e JOIN p USING (role)),
 {T.SCORES_SQL}, {T.JUDGED_SQL},
 scored AS (SELECT e.id, e.role, human, CASE WHEN coalesce(decision, 'listen') = 'alter' THEN 'listen' ELSE coalesce(decision, 'listen') END AS gate, coalesce(decision, 'listen') AS decision, worst, max_abs, coalesce(min_n, 0) AS min_n, coalesce(n_axes, 0) AS n_axes, CASE WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.role = e.role) THEN 'no_profile' END AS skipped, true AS stale FROM e LEFT JOIN j ON e.id = j.id),

@@ -68,7 +68,7 @@ def test_seed_corpus(spark):
 def test_bracketed_quantiles_are_exact(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("role"), F.lit("x").alias("key"), (F.pmod(F.hash("id"), F.lit(977)) / 7.0 - 20).alias("value"))
     near = lambda d: {r.role: tuple(r[1:]) for r in d.select("role", "median", "mad", "p10", "p90", "n", "domain").collect()}
-    assert near(P.build_profile(df)) == near(P.build_profile(df, exact_in_task=False))
+    assert near(P.build_profile(df)) == near(P.build_profile(df, most_in_task=0))
 
 
 def test_low_confidence_asks_to_listen(spark):
