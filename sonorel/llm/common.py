@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
-from sonorel.storage import clear_tables, fresh_path, materialize, remove, shared_dir
+from sonorel.storage import broadcast_if_small, clear_tables, column, fresh_path, materialize, remove, shared_dir
 
 __all__ = [
     "bound_arrow_batches",
@@ -21,8 +19,6 @@ __all__ = [
     "table",
 ]
 
-#: Bytes of a table's values up to which it is broadcast.
-BROADCAST_BYTES = 16 << 20
 #: Rows of an Arrow batch: whole texts pass to Python, and batches are buffered on either side.
 ARROW_ROWS = 1000
 
@@ -38,41 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column(name: str, of: str = "") -> Column:
-    """A column by its very name, whatever characters that has; of: the struct that it is a field of."""
-    quoted = "`" + name.replace("`", "``") + "`"
-    return F.col(f"{of}.{quoted}" if of else quoted)
-
-
 def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
     """Number of shuffle partitions so that each holds about rows_each rows."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-rows // rows_each))
 
 
-def value_bytes(value: Column, kind: T.DataType) -> Column:
-    """About how many bytes a value takes in memory."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
-            total = F.aggregate(value, F.lit(0), lambda a, x: a + value_bytes(x, inner))
-        else:
-            total = F.size(value) * 8
-        return F.coalesce(total, F.lit(0)) + 16
-    if isinstance(kind, T.StructType):
-        return sum((value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
-    return F.lit(8)
-
-
-def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hints a broadcast where the values of the (materialized) table are measured to take few bytes; otherwise leaves the join to a shuffle."""
-    row = sum((value_bytes(column(f.name), f.dataType) for f in df.schema.fields), F.lit(8))
-    size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= most_bytes else df
-
-
 def bound_arrow_batches(spark: SparkSession) -> None:
     """Lowers the session's rows per Arrow batch, so that buffers outside the heap stay small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
