@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonorel.plans import relations, scoring, waves
+from sonorel.plans import kernels, relations, scoring, waves
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scoring, relations, waves)
+MODULES = (scoring, relations, waves, kernels)
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,15 @@ operator takes and gives DataFrames; none relies on the order of partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonorel import schema as S
+from sonorel.functions.identity import frame_id_udf
 from sonorel.storage import materialize
 
 NULLS = {c.split()[0]: c.split()[1] for c in S.FRAME.split(", ")}
@@ -21,6 +26,78 @@ def frame(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in NULLS.items()])
 
 
+def _json(value: Column) -> Column:
+    """Text as a JSON string."""
+    listed = F.to_json(F.array(value))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def defining_json() -> Column:
+    """The fields that define a frame, as one JSON object. The data of text frames is text; that of others, like params, is JSON."""
+    c = F.col
+    data = F.when(c("kind") == "text", _json(c("data"))).otherwise(c("data"))
+    values = {n: _json(c(n)) for n in ("kind", "role", "of", "op", "op_version", "hash")}
+    values |= {"lineage": F.to_json("lineage"), "params": c("params"), "data": data}
+    members = [F.when(c(n).isNotNull(), F.concat(F.lit(f'"{n}":'), value)) for n, value in values.items()]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}"))
+
+
+def stamped(frames: DataFrame) -> DataFrame:
+    """Frames with an id: what they are decides it, so equal frames of different streams share one. Ids that are there stay."""
+    return frames.withColumn("id", F.coalesce("id", frame_id_udf(defining_json())))
+
+
+COMMON = ("pos", "role", "of", "lineage", "op", "op_version", "params", "seq")
+
+
+def _made(df: DataFrame, kind: str, own: dict[str, Column], common: dict[str, Column], also: tuple[str, ...] = ()) -> DataFrame:
+    wrong = set(common) - {*COMMON, *also}
+    if wrong:
+        raise TypeError(f"{kind} frames have no {', '.join(sorted(wrong))}")
+    return stamped(frame(df, kind=F.lit(kind), **own, **common))
+
+
+def audio_frames(df: DataFrame, hash: Column, sr: Column, ch: Column, dur: Column, media: Column | None = None, bits: Column | None = None, fmt: Column | None = None, **common: Column) -> DataFrame:
+    """A blob of samples. Rate, channels, seconds and, where given, bits and format are its meta."""
+    given = {"sr": sr, "ch": ch, "dur": dur, "bits": bits, "fmt": fmt}
+    meta = F.to_json(F.struct(*[value.alias(name) for name, value in given.items() if value is not None]))
+    return _made(df, "audio", {"hash": hash, "media": F.lit("audio/wav") if media is None else media, "meta": meta}, common)
+
+
+def text_frames(df: DataFrame, text: Column, **common: Column) -> DataFrame:
+    return _made(df, "text", {"data": text}, {"role": F.lit("caption")} | common)
+
+
+def feature_frames(df: DataFrame, data: Column, **common: Column) -> DataFrame:
+    """data: a struct or map of measures."""
+    return _made(df, "feature", {"data": F.to_json(data)}, common)
+
+
+def marker_frames(df: DataFrame, points: Column, **common: Column) -> DataFrame:
+    """points: an array of schema.POINT, or of some of its fields."""
+    return _made(df, "marker", {"data": F.to_json(points)}, {"role": F.lit("onset")} | common)
+
+
+def image_frames(df: DataFrame, hash: Column, media: Column | None = None, meta: Column | None = None, **common: Column) -> DataFrame:
+    own = {"hash": hash, "media": F.lit("image/png") if media is None else media}
+    return _made(df, "image", own | ({} if meta is None else {"meta": F.to_json(meta)}), {"role": F.lit("spectrogram")} | common)
+
+
+def verdict_frames(df: DataFrame, data: Column, of: Column, lineage: Column, schema_version: Column, **common: Column) -> DataFrame:
+    """A judgment of an audio frame: lineage names the feature frames and the profile that it comes from."""
+    return _made(df, "verdict", {"data": F.to_json(data), "schema_version": schema_version}, {"of": of, "lineage": lineage} | common)
+
+
+def vector_frames(df: DataFrame, model: Column, dim: Column, vector: Column | None = None, hash: Column | None = None, dtype: str = "float32", **common: Column) -> DataFrame:
+    """Short vectors are inline, longer ones name a blob: a row must have exactly one of vector and hash."""
+    none = F.lit(None)
+    vector, hash = none.cast("array<float>") if vector is None else vector, none.cast("string") if hash is None else hash
+    bad = F.when(vector.isNull() == hash.isNull(), F.raise_error(F.lit("a vector frame needs either a vector or a hash")))
+    meta = F.to_json(F.struct(model.alias("model"), dim.alias("dim"), F.lit(dtype).alias("dtype")))
+    own = {"meta": F.coalesce(bad, meta), "data": F.to_json(vector), "hash": hash, "media": F.when(hash.isNotNull(), "application/x-npy")}
+    return _made(df, "vector", own, common)
+
+
 def error_frame(df: DataFrame, code: Column, message: Column, of: Column, op: Column) -> DataFrame:
     return frame(df, kind=F.lit("error"), of=of, op=op, data=F.to_json(F.struct(code.alias("code"), message.alias("message"), of.alias("of"))))
 
@@ -89,6 +166,27 @@ def select(frames: DataFrame, role: str | None = None, kind: str | None = None,
     return picked.where("_n > 0").select(best.alias("_f")).select("_f.*")
 
 
+def select_stage(frames: DataFrame, role: str | None = None, kind: str | None = None, mode: str = "last", ids_only: bool = False) -> DataFrame:
+    """The stream of frames, followed by a marker frame of role `selected` that names the matches; ids_only: the matches
+    alone. Where strict finds several, an error frame follows instead."""
+    if role is None and kind is None:
+        raise ValueError("a selection needs a role or a kind")
+    several = mode == "strict" and matching(frames, role, kind).limit(2).count() > 1
+    if several:
+        text = F.lit(f"strict: several frames match {role or kind}")
+        one = frames.sparkSession.range(1)
+        return passthrough(frames, error_frame(one, F.lit("op_failed"), text, F.lit(None).cast("string"), F.lit("select")).withColumn("pos", F.lit(0).cast("bigint")))
+    found = select(frames, role, kind, mode="last" if mode == "strict" else mode).select(*frames.columns)
+    if ids_only:
+        return found
+    ids = found.agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    told = [F.lit(v).cast("string").alias(n) for n, v in (("role", role), ("kind", kind), ("mode", mode))]
+    params = F.to_json(F.struct(*told, F.col("ids").alias("matched")), {"ignoreNullFields": "false"})
+    points = F.transform("ids", lambda i: F.struct(i.alias("label")))
+    marker = marker_frames(ids, points, pos=F.lit(0), role=F.lit("selected"), op=F.lit("select"), op_version=F.lit("select@1"), params=params)
+    return passthrough(frames, marker)
+
+
 def audio_for_stage(frames: DataFrame, role: str | None = None, by: tuple[str, ...] = (), everything: bool = True) -> DataFrame:
     """Audio of the role; where the role matches none, all audio. everything=False: the last only."""
     audio = matching(frames, kind="audio")
@@ -163,6 +261,21 @@ def collisions(frames: DataFrame) -> DataFrame:
     return frames.where("id is not null").groupBy("id").agg(F.count_distinct(shape).alias("shapes")).where("shapes > 1")
 
 
+def duplicate_ids(frames: DataFrame) -> DataFrame:
+    """id: those that different frames carry. Frames that repeat whole are no collision."""
+    return collisions(frames).select("id")
+
+
+def check_all(before: DataFrame, after: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """check, id, other: every violation of a stage's contract, from its input and output."""
+    none = F.lit(None).cast("string")
+    rows = lambda df, check, a, b=none: df.select(F.lit(check).alias("check"), F.col(a).alias("id"), b.alias("other"))
+    found = rows(dropped(before, after), "passthrough", "id")
+    found = found.union(rows(dangling(after, blobs), "lineage", "child", F.col("parent")))
+    found = found.union(rows(out_of_order(after), "ordering", "child", F.col("parent")))
+    return found.union(rows(duplicate_ids(after), "id_collision", "id"))
+
+
 # The blob store as a table.
 
 
@@ -177,6 +290,34 @@ def collect_garbage(blobs: DataFrame, refs: DataFrame, grace_seconds: float = 36
     return blobs.join(live, "hash", "left").select("hash", F.when(F.col("live"), "kept").when(F.col("age_seconds") < grace_seconds, "reserved").otherwise("removed").alias("fate"))
 
 
+def blob_path(hash_: Column, media: Column, ext: Column | None = None) -> Column:
+    """Where a blob lies in its store: a folder by the hash's first two digits. A hash or an extension that isn't plainly one is refused, so that none leads out of the store."""
+    ext = extension(media) if ext is None else ext
+    bad = F.when(~F.coalesce(hash_.rlike(S.HASH_PATTERN), F.lit(False)), F.raise_error(F.concat(F.lit("not a hash: "), F.coalesce(hash_, F.lit("null")))))
+    bad = bad.when(~F.coalesce(ext.rlike(S.EXTENSION_PATTERN), F.lit(False)), F.raise_error(F.concat(F.lit("unsafe extension: "), F.coalesce(ext, F.lit("null")))))
+    digits = F.substring(hash_, 8, 64)
+    return F.coalesce(bad.cast("string"), F.concat_ws("/", F.substring(digits, 1, 2), F.concat_ws(".", digits, ext)))
+
+
+def remove_garbage(fates: DataFrame, root: str, dry_run: bool = True) -> DataFrame:
+    """fate, n: what collect_garbage found. Unless it is a dry run, the files of removed blobs are deleted first, by the
+    tasks that hold their rows; one that is gone already counts as removed. fates: fate, path (under the root)."""
+    if not dry_run:
+
+        def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, base = fs.FileSystem.from_uri(root)
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    try:
+                        files.delete_file(f"{base}/{path}")
+                    except FileNotFoundError:
+                        pass
+                yield batch
+
+        materialize(fates.where("fate = 'removed'").select("path").mapInArrow(delete, "path string"), "removed")
+    return fates.groupBy("fate").agg(F.count("*").alias("n"))
+
+
 def split_by_memo(inputs: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with their cached columns, misses): only misses go on to costly work."""
     return inputs.join(memo, "memo_key"), inputs.join(memo.select("memo_key"), "memo_key", "left_anti")

@@ -6,6 +6,10 @@ ordered by i within their series, and windows partition by series.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,11 +195,19 @@ def short_term_max(df: DataFrame, length: str, hop: str, by: str, at: str, x: st
 
 
 def spectrum(df: DataFrame, n: int, by: str = "series", x: str = "x", at: str = "i") -> DataFrame:
-    """by, bin, power: the discrete Fourier transform of short series as rows. Samples meet the bins by a broadcast table of n / 2 + 1 rows."""
-    bins = df.sparkSession.range(n // 2 + 1).select(F.col("id").alias("bin"))
-    angle = F.lit(2.0) * F.pi() * F.pmod(F.col("bin") * F.col(at), F.lit(n)) / n
-    each = df.join(F.broadcast(bins)).groupBy(by, "bin").agg(F.sum(F.col(x) * F.cos(angle)).alias("re"), F.sum(F.col(x) * F.sin(angle)).alias("im"))
-    return each.select(by, "bin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """by, bin, power: the Fourier transform of n samples, a series at a time, by the fast algorithm. Samples that are absent are zero."""
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        v = np.zeros(n)
+        place = own.column(at).to_numpy()
+        inside = (place >= 0) & (place < n)
+        v[place[inside]] = own.column(x).to_numpy()[inside]
+        power = np.abs(np.fft.rfft(v)) ** 2
+        return pa.table({by: pa.repeat(key[0], len(power)), "bin": pa.array(np.arange(len(power))), "power": pa.array(power)})
+
+    kind = df.schema[by].dataType.simpleString()
+    rows = df.select(F.col(by), F.col(at).cast("bigint").alias(at), F.col(x).cast("double").alias(x))
+    return rows.groupBy(by).applyInArrow(run, f"`{by}` {kind}, bin bigint, power double")
 
 
 def band_levels(power: DataFrame, bands: DataFrame, hz_per_bin: float, by: str = "series") -> DataFrame:
@@ -237,16 +249,15 @@ def spectral_shape(power: DataFrame, hz_per_bin: float, by: str = "series") -> D
 
 
 def one_pole(df: DataFrame, a: float, by: str = "series", at: str = "i", x: str = "x") -> DataFrame:
-    """y[n] = a * x[n] + (1 - a) * y[n - 1], in one pass over each series' samples."""
-    steps = F.array_sort(F.collect_list(F.struct(at, x)))
-    run = F.aggregate(
-        F.col("s"),
-        F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out")),
-        lambda acc, s: F.struct((a * s[x] + (1 - a) * acc["y"]).alias("y"), F.concat(acc["out"], F.array(a * s[x] + (1 - a) * acc["y"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    got = df.groupBy(by).agg(steps.alias("s")).select(by, F.explode(F.arrays_zip(F.transform("s", lambda s: s[at]).alias("i"), run.alias("y"))).alias("z"))
-    return got.select(by, F.col("z.i").alias(at), F.col("z.y").alias("y"))
+    """y[n] = a * x[n] + (1 - a) * y[n - 1], in one pass over each series' samples, which meet in one task."""
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        own = own.sort_by(at)
+        y = accumulate(own.column(x).to_pylist(), lambda last, v: a * v + (1 - a) * last, initial=0.0)
+        return pa.table({by: own.column(by), at: own.column(at), "y": pa.array(list(y)[1:], pa.float64())})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (by, at))
+    return df.select(by, at, F.col(x).cast("double").alias(x)).groupBy(by).applyInArrow(run, f"{kinds}, y double")
 
 
 def regions(onsets: DataFrame, by: str = "series", at: str = "i") -> DataFrame:

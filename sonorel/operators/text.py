@@ -24,6 +24,38 @@ def clock(seconds: Column, kind: str) -> Column:
     return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(ms / 3_600_000).cast("long"), F.floor(ms / 60_000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60, ms % 1000)
 
 
+SEGMENTS = "array<struct<start:double,end:double,text:string,words:array<struct<start:double,end:double,word:string>>>>"
+
+
+def transcript_points(transcripts: DataFrame) -> DataFrame:
+    """of, role (segment or word), t, sample, dur, label, of transcripts: of, sr, segments (as SEGMENTS).
+
+    A segment without start begins at 0, a word without one where its segment does; what has no end ends where it starts."""
+    each = transcripts.select("of", "sr", F.explode("segments").alias("s"))
+    begin = F.coalesce("s.start", F.lit(0.0))
+    each = each.select("of", "sr", "s", begin.alias("begin"))
+
+    def points(df: DataFrame, role: str, t: Column, end: Column, label: Column) -> DataFrame:
+        dur = F.greatest(F.lit(0.0), F.coalesce(end, t) - t)
+        return df.select("of", F.lit(role).alias("role"), t.alias("t"), F.rint(t * F.col("sr")).cast("bigint").alias("sample"), dur.alias("dur"), F.trim(F.coalesce(label, F.lit(""))).alias("label"))
+
+    words = each.select("of", "sr", "begin", F.explode("s.words").alias("w"))
+    segment = points(each, "segment", F.col("begin"), F.col("s.end"), F.col("s.text"))
+    return segment.unionByName(points(words, "word", F.coalesce("w.start", "begin"), F.col("w.end"), F.col("w.word")))
+
+
+def collect_cues(frames: DataFrame, by: list[str]) -> DataFrame:
+    """by..., t, dur, label: the points of a stream's segment markers, or else of its word markers; where these name
+    nothing, the whole of its last lyrics or caption. frames: schema.FRAME and by."""
+    marks = frames.where("kind = 'marker' and role in ('segment', 'word')").select(*by, (F.col("role") == "segment").alias("segment"), F.from_json("data", "array<struct<t:double,dur:double,label:string>>").alias("points"))
+    best = marks.groupBy(*by).agg(F.max("segment").alias("segment"))
+    some = marks.join(best, [*by, "segment"]).select(*by, F.explode("points").alias("p"))
+    timed = some.select(*by, F.coalesce("p.t", F.lit(0.0)).alias("t"), F.coalesce("p.dur", F.lit(0.0)).alias("dur"), F.trim(F.coalesce("p.label", F.lit(""))).alias("label")).where("label <> ''")
+    texts = frames.where("kind = 'text' and role in ('lyrics', 'caption')").groupBy(*by).agg(F.max_by("data", "pos").alias("label"))
+    whole = texts.join(timed.select(*by).distinct(), by, "left_anti").select(*by, F.lit(0.0).alias("t"), F.lit(0.0).alias("dur"), F.trim("label").alias("label"))
+    return timed.unionByName(whole.where("label <> ''"))
+
+
 def cue_lines(cues: DataFrame, by: list[str], kind: str) -> DataFrame:
     """by..., n, line: numbered cues in order of time. Blank labels go; a cue that doesn't end after it starts lasts two seconds."""
     some = cues.where(F.trim("label") != "")

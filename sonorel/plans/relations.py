@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorel.operators import frames as R
+from sonorel.operators import report as RP
 from sonorel.operators import text as X
+from sonorel.operators import vectors as V
 from sonorel.plans.tables import read
+from sonorel.sources import records as RD
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -221,6 +224,114 @@ def midi_events_top(spark: SparkSession, d: str) -> DataFrame:
     return X.midi_events(notes, ["stream"]).select("stream", "place", "pitch", "start")
 
 
+def frames_text(spark: SparkSession, d: str) -> DataFrame:
+    """Ids come from what a frame is: as many as there are different frames."""
+    f = R.text_frames(read(spark, d, "documents"), F.col("text"), role=F.col("lang"), pos=F.col("doc_id"))
+    return f.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.size(R.problems()) > 0).alias("bad"))
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """A frame of each kind for each label, from the typed constructors."""
+    rows = read(spark, d, "labels").join(_blobs(spark, d), "doc_id").select("*", F.concat(F.lit("blake3:"), "hash").alias("h"), F.concat(F.lit("f"), "doc_id").alias("name"))
+    scores = F.struct(F.col("quality"), F.col("toxic"))
+    rollup = F.struct(F.struct(F.when(F.col("toxic") == 1, "cut").otherwise("keep").alias("decision")).alias("rollup"))
+    short, points = F.array(F.lit(0.5), F.lit(-0.25)), F.array(F.struct(F.lit(0.5).alias("t"), F.col("lang").alias("label")))
+    made = [
+        R.audio_frames(rows, F.col("h"), F.lit(44100), F.lit(2), F.lit(1.5), of=F.col("name")),
+        R.image_frames(rows, F.col("h"), of=F.col("name")),
+        R.feature_frames(rows, scores, of=F.col("name")),
+        R.marker_frames(rows, points, of=F.col("name")),
+        R.verdict_frames(rows, rollup, F.col("name"), F.array("name", "h"), F.lit("v1")),
+        R.vector_frames(rows, F.lit("m"), F.lit(2), F.when(F.col("toxic") == 0, short), F.when(F.col("toxic") == 1, F.col("h")), of=F.col("name")),
+    ]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def frames_typed(spark: SparkSession, d: str) -> DataFrame:
+    f = R.validate(_typed(spark, d))
+    mark = F.get_json_object("meta", "$.dim").cast("int")
+    return f.groupBy("kind", "role", "media").agg(F.count("*").alias("n"), F.count_if(F.size("problems") > 0).alias("bad"), F.count_if(F.col("id").rlike(R.S.HASH_PATTERN)).alias("stamped"), F.max(mark).alias("dim"))
+
+
+def select_stage(spark: SparkSession, d: str) -> DataFrame:
+    t = _turns(spark, d).withColumn("seq", F.lit(None).cast("bigint"))
+    out = R.select_stage(t, role="user")
+    return out.select("pos", "kind", "role", F.when(F.col("kind") == "marker", F.get_json_object("data", "$[0].label")).otherwise(F.col("id")).alias("names"))
+
+
+def check_all(spark: SparkSession, d: str) -> DataFrame:
+    """A stage that lost the assistant's turns, and put every fifth of the others before the start."""
+    t = _turns(spark, d)
+    after = t.where("role is distinct from 'assistant'").withColumn("pos", F.when(F.col("pos") % 5 == 0, -F.col("pos")).otherwise(F.col("pos")))
+    return R.check_all(t, after).groupBy("check").agg(F.count("*").alias("n"))
+
+
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return R.duplicate_ids(R.frame(docs, id=F.substring("text", 1, 12), kind=F.lit("text"), role=F.col("lang"), data=F.col("text")))
+
+
+def blob_paths(spark: SparkSession, d: str) -> DataFrame:
+    media = F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("other/kind")
+    return _blobs(spark, d).select("doc_id", R.blob_path(F.concat(F.lit("blake3:"), "hash"), media).alias("path"))
+
+
+def gc_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    blobs = _blobs(spark, d).groupBy("hash").agg((F.min("doc_id") * 10).cast("double").alias("age_seconds"))
+    refs = _blobs(spark, d).join(read(spark, d, "labels"), "doc_id", "left_semi")
+    return R.remove_garbage(R.collect_garbage(blobs, refs, 0.5).withColumn("path", F.col("hash")), "file:///nowhere", dry_run=True)
+
+
+def frames_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of JSON, read as frames."""
+    e = read(spark, d, "events")
+    line = F.to_json(F.struct(F.lit(1).alias("v"), F.lit("feature").alias("kind"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("role"), F.struct(F.col("value")).alias("data"), F.array(F.lit("a"), F.col("event_type")).alias("lineage")))
+    return RD.parse_frames(e.select(F.col("event_id").alias("pos"), line.alias("value"))).select("pos", "v", "kind", "id", "role", F.size("lineage").alias("parents"), F.round(R.scalar(F.col("data"), "$.value"), 6).alias("value"))
+
+
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """A segment for each turn, with its words; every third turn has no end, and words have no times but the first's."""
+    c = read(spark, d, "conversations").where("text is not null")
+    parts = F.split("text", " ")
+    words = F.transform(parts, lambda w, i: F.struct(F.when(i == 0, F.col("turn") * 2.5 + 0.5).alias("start"), F.when(i == 0, F.col("turn") * 2.5 + 0.75).alias("end"), w.alias("word")))
+    segment = F.struct((F.col("turn") * 2.5).alias("start"), F.when(F.col("turn") % 3 != 0, F.col("turn") * 2.5 + 1.25).alias("end"), F.col("text").alias("text"), words.alias("words"))
+    return c.groupBy("conv_id").agg(F.collect_list(segment).alias("segments")).select(F.col("conv_id").alias("of"), F.lit(44100).alias("sr"), "segments")
+
+
+def transcript_points(spark: SparkSession, d: str) -> DataFrame:
+    p = X.transcript_points(_transcripts(spark, d))
+    return p.groupBy("of", "role").agg(F.count("*").alias("n"), F.sum("sample").alias("samples"), F.round(F.sum("dur"), 6).alias("dur"), F.sum(F.length("label")).alias("letters"))
+
+
+def cues_collected(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as streams: of three, one has segments and words, one has words alone, and one has only texts."""
+    c = read(spark, d, "conversations")
+    kind = F.when(F.col("conv_id") % 3 == 2, "text").otherwise("marker")
+    role = F.when(F.col("conv_id") % 3 == 2, "lyrics").when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 0), "segment").otherwise("word")
+    point = F.to_json(F.array(F.struct((F.col("turn") * 2.5).alias("t"), F.lit(1.25).alias("dur"), F.col("text").alias("label"))))
+    f = R.frame(c, pos=F.col("turn"), kind=kind, role=role, data=F.when(kind == "text", F.col("text")).otherwise(point), op=F.col("conv_id"))
+    return X.collect_cues(f.withColumn("track", F.col("op").cast("bigint")), ["track"])
+
+
+def vectors_read(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with an odd id lie in blobs, the others in their frames."""
+    v = read(spark, d, "embeddings").withColumn("odd", F.col("vec_id") % 2 == 1)
+    text = F.to_json(F.transform("embedding", lambda x: x.cast("double")))
+    f = R.frame(v, kind=F.lit("vector"), id=F.col("vec_id"), data=F.when(~F.col("odd"), text), hash=F.when(F.col("odd"), F.concat(F.lit("b"), "vec_id")))
+    blobs = V.npy_blobs(v.where("odd").select(F.concat(F.lit("b"), "vec_id").alias("hash"), F.col("embedding").alias("vector")))
+    weighted = F.transform("vector", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+    return V.read_vectors(f, blobs).select(F.col("id").cast("bigint").alias("vec_id"), F.size("vector").alias("dim"), "error", F.round(total, 6).alias("y"))
+
+
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    f = R.frame(read(spark, d, "documents"), pos=F.col("doc_id"), kind=F.lit("text"), id=F.col("doc_id"), of=F.col("lang"), data=F.col("text"))
+    return RP.report_rows(f).select("section", "of", "line", "text")
+
+
 _UNITS_SQL = "CASE key " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, u in [("loudness.integrated_lufs", "LUFS"), ("loudness.true_peak_dbtp", "dBTP"), ("qc.dc_offset_dbfs", "dBFS"), ("envelope.rise_slope_db_ms", "dB/ms"), ("envelope.attack_ms_10_90", "ms"), ("width.bass.correlation", "−1..1"), ("width.air.side_mid_ratio", "ratio"), ("movement.hf_silence_pct", "%"), ("clarity.low_mid_masking_db", "dB"), ("rhythm.bpm", "BPM"), ("qc.lossy.confidence", "0–1"), ("timbre.hardness", "0–100"), ("qc.lossy.spectral_cutoff_hz", "Hz")]) + " ELSE '' END"
 _KEYS_SQL = "(VALUES " + ", ".join(f"('{k}')" for k in _KEYS) + ") k(key)"
 _PROBLEMS = [
@@ -232,7 +343,20 @@ _PROBLEMS = [
     ("data IS NOT NULL AND strlen(data) > 65536", "inline data too large"),
     ("kind = 'audio' AND hash IS NULL AND data IS NULL", "no payload"),
 ]
+_TYPED = [("audio", "NULL", "'audio/wav'", "NULL"), ("image", "'spectrogram'", "'image/png'", "NULL"), ("feature", "NULL", "NULL", "NULL"), ("marker", "'onset'", "NULL", "NULL"), ("verdict", "NULL", "NULL", "NULL")]
 SQL = {
+    "frames_text": "SELECT lang AS role, count(*) AS n, count(DISTINCT text) AS ids, count(*) FILTER (WHERE strlen(text) > 65536) AS bad FROM documents GROUP BY lang",
+    "frames_typed": "WITH l AS (SELECT l.* FROM labels l JOIN documents USING (doc_id)), c AS (SELECT count(*) AS n FROM l) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, {r}::VARCHAR AS role, {m}::VARCHAR AS media, n, 0::BIGINT AS bad, n AS stamped, {dim}::INTEGER AS dim FROM c" for k, r, m, dim in _TYPED) + " UNION ALL SELECT 'vector', NULL, CASE WHEN toxic = 1 THEN 'application/x-npy' END, count(*), 0, count(*), 2 FROM l GROUP BY ALL",
+    "select_stage": f"WITH {_TURNS} SELECT pos, 'text' AS kind, role, id AS names FROM t UNION ALL SELECT max(pos) + 1, 'marker', 'selected', arg_max(id, pos) FILTER (WHERE role = 'user') FROM t",
+    "check_all": f"WITH {_TURNS}, a AS (SELECT id, of, CASE WHEN pos % 5 = 0 THEN -pos ELSE pos END AS pos FROM t WHERE role IS DISTINCT FROM 'assistant'), x AS (SELECT 'passthrough' AS check, id FROM t WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT 'lineage', id FROM a WHERE of IS NOT NULL AND of NOT IN (SELECT id FROM a) UNION ALL SELECT 'ordering', a.id FROM a JOIN a b ON a.of = b.id WHERE b.pos >= a.pos) SELECT \"check\", count(*) AS n FROM x GROUP BY 1",
+    "duplicate_ids": "SELECT substring(text, 1, 12) AS id FROM documents GROUP BY 1 HAVING count(DISTINCT (lang, text)) > 1",
+    "blob_paths": f"WITH {_BLOBS} SELECT doc_id, hash[1:2] || '/' || hash || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.bin' END AS path FROM b",
+    "gc_dry_run": f"WITH {_BLOBS}, x AS (SELECT hash, min(doc_id) * 10 AS age FROM b GROUP BY hash), r AS (SELECT DISTINCT hash FROM b WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT CASE WHEN hash IN (SELECT hash FROM r) THEN 'kept' WHEN age < 0.5 THEN 'reserved' ELSE 'removed' END AS fate, count(*) AS n FROM x GROUP BY 1",
+    "frames_parsed": "SELECT event_id AS pos, 1 AS v, 'feature' AS kind, event_id::VARCHAR AS id, event_type AS role, 2 AS parents, round(value, 6) AS value FROM events",
+    "transcript_points": "WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), s AS (SELECT conv_id, 'segment' AS role, turn * 2.5::DOUBLE AS t, CASE WHEN turn % 3 <> 0 THEN 1.25::DOUBLE ELSE 0 END AS dur, trim(text, ' ') AS label FROM c), e AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM c), w AS (SELECT conv_id, 'word' AS role, turn * 2.5::DOUBLE + CASE WHEN i = 0 THEN 0.5 ELSE 0 END AS t, CASE WHEN i = 0 THEN 0.25::DOUBLE ELSE 0 END AS dur, w AS label FROM e) SELECT conv_id AS of, role, count(*) AS n, sum(round_even(t * 44100, 0)::BIGINT)::BIGINT AS samples, round(sum(dur), 6) AS dur, sum(length(label))::BIGINT AS letters FROM (FROM s UNION ALL FROM w) GROUP BY ALL",
+    "cues_collected": "WITH c AS (SELECT *, trim(text, ' ') AS label FROM conversations), m AS (SELECT conv_id, turn, label, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 1 ELSE 0 END AS seg, max(CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS best FROM c WHERE conv_id % 3 <> 2) SELECT conv_id AS track, turn * 2.5::DOUBLE AS t, 1.25::DOUBLE AS dur, label FROM m WHERE seg = best AND label <> '' UNION ALL SELECT conv_id, 0, 0, trim(arg_max(text, turn), ' ') FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id HAVING trim(arg_max(text, turn), ' ') <> ''",
+    "vectors_read": "SELECT vec_id, 64 AS dim, NULL::VARCHAR AS error, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 6) AS y FROM embeddings",
+    "report_sections": "WITH t AS (SELECT lang AS of, doc_id::VARCHAR AS key, CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN substring(replace(text, chr(10), ' '), 1, 200) || '…' ELSE replace(text, chr(10), ' ') END AS text FROM documents) SELECT '3 texts' AS section, of, row_number() OVER (PARTITION BY of ORDER BY key, text) AS line, text FROM t UNION ALL SELECT '0 frames', NULL, 1, count(*) || ' text' FROM t",
     "scalar_of": "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events",
     "corpus_content_set": "SELECT count(*) FILTER (WHERE lang = 'en') AS n, count(DISTINCT CASE WHEN lang = 'en' THEN sha256(text) END) AS corpus_size FROM documents",
     "select_last": "SELECT user_id AS stream, max(event_id) AS pos, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id",

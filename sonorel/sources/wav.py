@@ -11,26 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorel.functions.identity import signal_hash
+from sonorel.storage import broadcast_if_small, materialize
 
 ENCODINGS = ("PCM_16", "PCM_24", "PCM_32", "FLOAT", "DOUBLE")
 GLOB = "*.{wav,flac,aiff,aif,mp3,ogg,WAV}"
 
 
-def chunks(raw: bytes) -> Iterator[tuple[bytes, int, int]]:
-    """(name, offset, size) of a RIFF file's chunks."""
+def chunks(raw: bytes, whole: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """(name, offset, size) of a RIFF file's chunks. whole: the file's length, if raw is only its head."""
+    whole = len(raw) if whole is None else whole
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at = 12
     while at + 8 <= len(raw):
         size = struct.unpack_from("<I", raw, at + 4)[0]
-        yield raw[at : at + 4], at + 8, min(size, len(raw) - at - 8)
+        yield raw[at : at + 4], at + 8, min(size, whole - at - 8)
         at += 8 + size + size % 2
 
 
-def probe(raw: bytes) -> dict:
+def probe(raw: bytes, whole: int | None = None) -> dict:
     """sr, ch, n, dur, encoding: from the headers alone."""
     form = None
-    for name, at, size in chunks(raw):
+    for name, at, size in chunks(raw, whole):
         if name == b"fmt ":
             tag, ch, sr, _, align, bits = struct.unpack_from("<HHIIHH", raw, at)
             if tag == 0xFFFE:
@@ -116,15 +118,32 @@ def encoded(signals: DataFrame, encoding: str = "FLOAT") -> DataFrame:
     return signals.select("signal_id", "sr", "pcm").mapInArrow(run, "signal_id string, content binary")
 
 
-def probed(files: DataFrame) -> DataFrame:
-    """path, sr, ch, n, dur, encoding, without decoding."""
+#: Bytes of a file in which its headers are looked for first.
+HEAD = 64 << 10
+
 
-    @F.udf("struct<sr:int,ch:int,n:bigint,dur:double,encoding:string>", useArrow=True)
-    def look(raw):
-        try:
-            p = probe(bytes(raw))
-        except (ValueError, struct.error, TypeError):
-            return None
-        return {k: p[k] for k in ("sr", "ch", "n", "dur", "encoding")}
+def probed(files: DataFrame) -> DataFrame:
+    """path, sr, ch, n, dur, encoding, without decoding. Only a file's head goes to Python, and its length; the whole file
+    only where the head doesn't reach its samples. What can't be read has nulls."""
 
-    return files.select("path", look("content").alias("p")).select("path", "p.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("sr", "ch", "n", "dur", "encoding")
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string())
+        for batch in batches:
+            found = []
+            for raw, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    found.append(probe(raw, size))
+                except (ValueError, struct.error, TypeError):
+                    found.append({})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f.get(n) for f in found], t) for n, t in zip(names, types))], ["path", *names])
+
+    schema = "path string, sr int, ch int, n bigint, dur double, encoding string"
+    size = F.octet_length("content").cast("long").alias("size")
+    heads = files.select("path", F.substring("content", 1, HEAD).alias("content"), size)
+    first = materialize(heads.mapInArrow(run, schema), "probed")
+    # Files that are longer and whose samples begin beyond the head, if they are WAV files at all.
+    unread = broadcast_if_small(first.where("n is null").select("path"))
+    late = files.where((F.octet_length("content") > HEAD) & F.startswith("content", F.lit(b"RIFF"))).join(unread, "path", "left_semi")
+    again = materialize(late.select("path", "content", size).mapInArrow(run, schema), "probed")
+    return first.join(broadcast_if_small(again.select("path")), "path", "left_anti").unionByName(again)
