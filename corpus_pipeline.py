@@ -1,6 +1,12 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-Every stage takes all that its predecessor kept. STAGES lists them by name."""
+Every stage takes all that its predecessor kept. STAGES lists them by name.
+
+Cases: documents without text, or of fewer than 20 words, fail the quality rules, so no
+later stage sees them. Of rows that repeat an id and a text, and of texts that are
+similar, one row stays: that of the smallest id, null last. Ids may repeat with
+different texts. Columns besides the five of the table stay up to the packing, whatever
+their names. A table without rows gives none. Texts may have any length."""
 
 from __future__ import annotations
 
@@ -39,7 +45,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Tokenising and packing can't be put in SQL; a test runs the stages against brute force.
+#: Tokenising and packing can't be put in SQL; a test holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
