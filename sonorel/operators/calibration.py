@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonorel.operators import profile as P
-from sonorel.storage import broadcast_if_small
+from sonorel.storage import broadcast_if_small, materialize
 
 CLASSES = ("keep", "listen", "cut")
 KEEP_TARGET = 0.85
@@ -89,3 +89,39 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
     hit = again == F.col("verdict")
     s = scored.where("skipped is null").join(F.broadcast(grid))
     return s.groupBy("lever", "value").agg(F.count_if(hit).alias("n"), F.round(F.try_divide(F.count_if(hit & (F.col("human") == F.col("verdict"))), F.count_if(hit)), 6).alias("accuracy"))
+
+
+def report(scored: DataFrame) -> DataFrame:
+    """section, item, value: a whole calibration report as rows, of which there are few. scored is written first, as each
+    section reads it."""
+    scored = materialize(scored, "scored")
+    cell = F.concat_ws("/", "human", "gate")
+    said = scored.agg(F.count_if(F.col("skipped").isNull()).alias("scored"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"), F.count_if("stale").alias("stale"))
+    wide = lambda df, name, *keys: df.select(name, *[F.col(k).cast("double").alias(k) for k in keys]).unpivot([name], list(keys), "key", "value")
+    one = lambda df, *keys: df.select(F.lit("").alias("none"), *[F.col(k).cast("double").alias(k) for k in keys]).unpivot(["none"], list(keys), "item", "value").drop("none")
+    dotted = lambda df, name: df.select(F.concat_ws(".", name, "key").alias("item"), "value")
+    parts = {
+        "entries": one(said, "scored", "skipped", "stale"),
+        "confusion": confusion(scored).select(cell.alias("item"), F.col("n").cast("double").alias("value")),
+        "classes": dotted(wide(class_metrics(scored), "class", "precision", "recall", "f1", "support"), "class"),
+        "headline": one(accuracies(scored).withColumn("meets_target", F.col("meets_target").cast("int")), "auto_keep", "auto_cut", "overall", "meets_target"),
+        "levers": dotted(wide(threshold_sweep(scored).withColumn("lever", F.concat_ws("@", "lever", F.format_number("value", 1))), "lever", "n", "accuracy"), "lever"),
+        "axes": dotted(wide(axis_contribution(scored), "axis", "n", "agree"), "axis"),
+    }
+    out = None
+    for name, rows in parts.items():
+        part = rows.select(F.lit(name).alias("section"), "item", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def report_text(rows: DataFrame) -> str:
+    """The report of report() for a reader."""
+    held: dict[str, dict[str, float | None]] = {}
+    for r in rows.collect():
+        held.setdefault(r.section, {})[r.item] = r.value
+    shown = lambda v: "-" if v is None else f"{v:g}" if v == int(v) else f"{v:.3f}"
+    lines = []
+    for section, items in held.items():
+        lines += [section, *[f"  {item:<24}{shown(value):>10}" for item, value in sorted(items.items())]]
+    return "\n".join(lines) + "\n"

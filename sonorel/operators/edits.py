@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sonorel.operators import dsp as D
+from sonorel.operators.arrow import in_batches
 from sonorel.operators.features import decode_row
 
 Edit = Callable[..., np.ndarray]
@@ -223,13 +225,15 @@ def generate(prompt: str, seed: int = 0, duration: float = 2.0, rate: int = 44_1
 
 EDITS: dict[str, Edit] = {"gain": gain, "normalize": normalize, "limit": limit, "compress": compress, "maximize": maximize, "filter": filtered, "eq": equalize, "env": shape, "delay": delay, "crop": crop, "reverse": reverse, "stretch": stretch, "pitch": pitch, "widen": widen, "stereoize": stereoize, "automate": automate, "convert": convert}
 SIGNAL = "signal_id string, sr int, ch int, n int, pcm array<array<float>>, error string"
+SIGNAL_NAMES = ["signal_id", "sr", "ch", "n", "pcm", "error"]
+SIGNAL_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float32())), pa.string()]
 
 
 def edited(signals: DataFrame, name: str, **how) -> DataFrame:
     """Every signal edited; one that can't be gives its error and no samples."""
     edit, rate_after = EDITS[name], how.get("sr") if name == "convert" else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:
             for i in range(whole.num_rows):
                 name_, rate = whole.column(0)[i].as_py(), whole.column(1)[i].as_py()
@@ -237,7 +241,40 @@ def edited(signals: DataFrame, name: str, **how) -> DataFrame:
                     y, bad = edit(decode_row(whole.column(2)[i]), float(rate), **how), None
                 except Exception as e:  # noqa: BLE001  one bad row is data, not a failure of the job
                     y, bad = np.zeros((0, 1)), f"op_failed: {e}"
-                pcm = [y[:, c].astype(np.float32) for c in range(y.shape[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([name_]), pa.array([rate_after or rate], pa.int32()), pa.array([y.shape[1]], pa.int32()), pa.array([len(y)], pa.int32()), pa.array([pcm], pa.list_(pa.list_(pa.float32()))), pa.array([bad], pa.string())], ["signal_id", "sr", "ch", "n", "pcm", "error"])
+                yield name_, rate_after or rate, y.shape[1], len(y), [y[:, c].astype(np.float32) for c in range(y.shape[1])], bad
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), SIGNAL_NAMES, SIGNAL_TYPES)
 
     return signals.select("signal_id", "sr", "pcm").mapInArrow(run, SIGNAL)
+
+
+PAIRED: dict[str, Callable[..., np.ndarray]] = {"vocode": vocode, "spectral-match": spectral_match}
+
+
+def paired(signals: DataFrame, others: DataFrame, name: str, **how) -> DataFrame:
+    """schema.SIGNAL, error and lineage (both parents' ids): each signal edited by another. signals: pair, and a signal;
+    others: the carrier's modulator or the source's reference under the same pair. Pairs whose rates differ are
+    resampled to the first's; a pair that can't be edited gives its error and no samples. Each of two tables is shuffled
+    by pair once, and a task holds one pair at a time."""
+    edit = PAIRED[name]
+    sides = [s.select("pair", *[F.col(c).alias(f"{c}{k}") for c in ("signal_id", "sr", "pcm")]) for k, s in enumerate((signals, others))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                value = {n: whole.column(n)[i] for n in whole.schema.names}
+                ids, rate = [value[f"signal_id{k}"].as_py() for k in (0, 1)], value["sr0"].as_py()
+                try:
+                    x, other = decode_row(value["pcm0"]), decode_row(value["pcm1"])
+                    if value["sr1"].as_py() != rate:
+                        other = D.resample(other, rate, value["sr1"].as_py())
+                    y, bad = edit(x, float(rate), other, **how), None
+                except Exception as e:  # noqa: BLE001  one bad pair is data, not a failure of the job
+                    y, bad = np.zeros((0, 1)), f"op_failed: {e}"
+                yield f"{name}:{ids[0]}", rate, y.shape[1], len(y), [y[:, c].astype(np.float32) for c in range(y.shape[1])], bad, ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), [*SIGNAL_NAMES, "lineage"], [*SIGNAL_TYPES, pa.list_(pa.string())])
+
+    return sides[0].join(sides[1], "pair").drop("pair").mapInArrow(run, SIGNAL + ", lineage array<string>")

@@ -217,13 +217,25 @@ def ancestors(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise ValueError("the lineage is deeper than the rounds allow")
 
 
+def reached_from(edges: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """ancestor: what the frames of start (ancestor) come from, themselves included. A round climbs one step from what is new, so only their own lineage is ever read together."""
+    known = new = materialize(start.distinct(), "reached")
+    for _ in range(most_rounds):
+        step = edges.join(new, F.col("child") == F.col("ancestor"), "left_semi").select(F.col("parent").alias("ancestor")).distinct()
+        new = materialize(step.join(known, "ancestor", "left_anti"), "reached")
+        if not new.take(1):
+            return known
+        known = known.union(new)
+    raise ValueError("the lineage is deeper than the rounds allow")
+
+
 def resolve_audio(frames: DataFrame, role: str | None = None) -> DataFrame:
     """One row: the last audio frame with a hash, or the code and message of the error that explains why there is none."""
     audio = select(frames, role=role, kind="audio", predicate=F.coalesce("hash", F.lit("")) != "")
     of = F.coalesce(F.get_json_object("data", "$.of"), F.col("of"))
     errors = frames.where("kind = 'error'").select("pos", of.alias("of"), "role", F.get_json_object("data", "$.role").alias("data_role"), F.coalesce(F.get_json_object("data", "$.code"), F.lit("op_failed")).alias("code"), F.coalesce(F.get_json_object("data", "$.message"), F.lit("upstream op failed")).alias("message"))
     targets = (frames if role is None else frames.where(F.col("role") == role)).select("id").where("id is not null").distinct()
-    reached = targets.select(F.col("id").alias("of")).union(ancestors(edges(frames)).join(targets, F.col("child") == F.col("id")).select("ancestor")).distinct().withColumn("hit", F.lit(True))
+    reached = reached_from(edges(frames), targets.select(F.col("id").alias("ancestor"))).select(F.col("ancestor").alias("of")).withColumn("hit", F.lit(True))
     asked = F.lit(role).cast("string")
     causes = errors.join(reached, "of", "left").select(F.when(F.col("hit"), 0).when(F.col("role").eqNullSafe(asked) | F.col("data_role").eqNullSafe(asked), 1).alias("tier"), "pos", "code", "message").where("tier is not null")
     cause = causes.agg(F.min_by(F.struct("code", "message"), F.struct("tier", "pos")).alias("c"))

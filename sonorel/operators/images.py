@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sonorel.operators import dsp as D
+from sonorel.operators.arrow import in_batches
 from sonorel.operators.features import decode_row
 
 PICTURES = ("mel", "cqt", "hpss", "waveform")
@@ -57,11 +58,15 @@ def matrix(x: np.ndarray, rate: float, kind: str) -> np.ndarray:
 def pictures(signals: DataFrame, kinds: tuple[str, ...] = ("mel",)) -> DataFrame:
     """signal_id, kind, png."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x, rate = decode_row(batch.column(2)[i]).mean(axis=1), float(batch.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(kinds)), pa.array(list(kinds)), pa.array([png(matrix(x, rate, k)) for k in kinds], pa.binary())], ["signal_id", "kind", "png"])
+                for kind in kinds:
+                    yield batch.column(0)[i].as_py(), kind, png(matrix(x, rate, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), ["signal_id", "kind", "png"], [pa.string(), pa.string(), pa.binary()])
 
     return signals.select("signal_id", "sr", "pcm").mapInArrow(run, "signal_id string, kind string, png binary")
 

@@ -165,6 +165,20 @@ def kernel_promises(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def kernel_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of two signals: a signal brought to its own spectrum stays, and a vocoder takes the shorter length."""
+    made = R.table(spark, _made, ["tone", "loud"]).withColumn("pair", F.lit(1))
+    tone = made.where("signal_id = 'tone'")
+    out = None
+    for name, other in (("spectral-match", tone), ("vocode", made.where("signal_id = 'loud'"))):
+        done = E.paired(tone, other, name)
+        rows = M.describe(done.where("error is null"), ("summary",)).where("key = 'rms_dbfs'").select("signal_id", "value")
+        kept = F.when(F.lit(name == "spectral-match"), F.round("value", 1))
+        part = done.join(rows, "signal_id", "left").select("signal_id", "n", F.concat_ws("+", "lineage").alias("parents"), F.col("error").isNotNull().alias("failed"), kept.alias("level"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 _SIG = "sig AS (SELECT vec_id, embedding AS a FROM embeddings)"
 
 
@@ -188,6 +202,7 @@ SQL = {
     "golden_hashes": "SELECT name, encoding, 'blake3:' || digest AS hash FROM (VALUES ('silence', 'FLOAT', '85157125b381a2aa60b4db1a5f4336f6d722e4df25dc64f9028e81ff93a033ea'), ('dc', 'FLOAT', 'e4b450d61d3282fe2cff6918fee8fe12cc447ff02ab2fd93eb3607edad510a21'), ('sine', 'FLOAT', '2f5c977cafeed3521597ce198e6d5c5a592c0cee32f9e60d7197723c777fe39d'), ('ramp', 'FLOAT', '47a9498d3c25b344e4d8dcce9cc922accac94087e6913a7cf1529763b5af54aa'), ('ramp', 'PCM_16', 'e6cf482438becee1a7de96750fab88cf09a5e7087bed3994c8f40f7f77f6ac95'), ('ramp', 'PCM_24', 'a2e5fac038771448106c90db99da7d88cdf0d45c8ad5aaee286c08af2dad933b'), ('third', 'DOUBLE', 'c11eb728fe5b32849563055863e8e2d544757c61a39252a577b8559abc8bfb16'), ('stereo', 'FLOAT', '4e97447b519d2db88016d5408057bc344332c968c2183bd3cee703084d44a536')) g(name, encoding, digest)",
     # Values that follow from how the signals are made.
     "kernel_findings": "SELECT signal_id, clipped::DOUBLE AS clipped, dc::DOUBLE AS dc, correlation::DOUBLE AS correlation, 0.0::DOUBLE AS lossy, penalty::DOUBLE AS penalty, width::DOUBLE AS width, lufs::DOUBLE AS lufs, dbtp::DOUBLE AS dbtp, clicks::BIGINT AS clicks, gaps::BIGINT AS gaps, gap_at::BIGINT AS gap_at, gap_s::DOUBLE AS gap_s FROM (VALUES ('tone', 0, NULL, NULL, 0, 1, -9, -6.0, 0, 0, NULL, NULL), ('loud', 1, NULL, NULL, 0, 1, -3, 0.0, 0, 0, NULL, NULL), ('offset', 0, -20, NULL, 0, 1, -23, -14.0, 0, 0, NULL, NULL), ('pair', 0, NULL, 1, 0, 1, -6, -6.0, 0, 0, NULL, NULL), ('antiphase', 0, NULL, -1, 60, -1, -6, -6.0, 0, 0, NULL, NULL), ('spiked', 0, NULL, NULL, 0, 1, -23, -0.9, 1, 0, NULL, NULL), ('gapped', 0, NULL, NULL, 0, 1, -9, -6.0, 1, 1, 20000, 0.045351), ('silent', 0, NULL, NULL, 0, 1, NULL, NULL, 0, 0, NULL, NULL)) f(signal_id, clipped, dc, correlation, penalty, width, lufs, dbtp, clicks, gaps, gap_at, gap_s)",
+    "kernel_pairs": "SELECT signal_id, 88200 AS n, parents, false AS failed, level::DOUBLE AS level FROM (VALUES ('spectral-match:tone', 'tone+tone', -9.0), ('vocode:tone', 'tone+loud', NULL)) p(signal_id, parents, level)",
     "kernel_promises": "SELECT edit, value::DOUBLE AS value, failed FROM (VALUES ('normalize', -20.0, false), ('limit', -9.0, false), ('maximize', -3.0, false), ('gain', -15.0, false), ('crop', 0.25, false), ('stretch', 3.0, false), ('pitch', 2.0, false), ('convert', 22050.0, false), ('highpass', -9.0, false), ('widen', -9.0, false), ('compress', -9.0, false), ('wrong', NULL, true)) p(edit, value, failed)",
 }
 QUERIES = {name: globals()[name] for name in SQL}

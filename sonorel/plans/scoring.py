@@ -131,6 +131,10 @@ def skipped_entries(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("role", "skipped", "stale").agg(F.count("*").alias("n"))
 
 
+def backtest_report(spark: SparkSession, d: str) -> DataFrame:
+    return C.report(_scored(spark, d))
+
+
 def profile_overlay(spark: SparkSession, d: str) -> DataFrame:
     """How far each candidate lies from its profile's median and percentiles."""
     a = _axes(spark, d)
@@ -169,6 +173,20 @@ SQL = {
     "gate_accuracy": _SCORED_SQL + "SELECT round(count(*) FILTER (WHERE gate = 'keep' AND human = 'keep') / nullif(count(*) FILTER (WHERE gate = 'keep'), 0), 6) AS auto_keep, round(count(*) FILTER (WHERE gate = 'cut' AND human = 'cut') / nullif(count(*) FILTER (WHERE gate = 'cut'), 0), 6) AS auto_cut, round(count(*) FILTER (WHERE gate = human) / nullif(count(*), 0), 6) AS overall, count(*) AS n, coalesce(count(*) FILTER (WHERE gate = 'keep' AND human = 'keep') / nullif(count(*) FILTER (WHERE gate = 'keep'), 0) >= 0.85, false) AS meets_target FROM ok",
     "axis_contribution": _SCORED_SQL + "SELECT coalesce(worst, '(none)') AS axis, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {w} = '{c}') AS {w}_{c}" for w in ("human", "gate") for c in C.CLASSES) + ", round(count(*) FILTER (WHERE human = gate) / count(*), 6) AS agree FROM ok GROUP BY 1",
     "threshold_sweep": _SCORED_SQL + _SWEEP_SQL + " SELECT lever, value, count(*) FILTER (WHERE again = verdict) AS n, round(count(*) FILTER (WHERE again = verdict AND human = verdict) / nullif(count(*) FILTER (WHERE again = verdict), 0), 6) AS accuracy FROM x GROUP BY lever, value",
+    "backtest_report": _SCORED_SQL
+    + f", {_METRICS_SQL}"
+    + _SWEEP_SQL
+    + """, cls AS (SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, CASE WHEN p = 0 OR r = 0 THEN 0.0::DOUBLE ELSE round(2 * p * r / (p + r), 6) END AS f1, support FROM m2),
+keeps AS (SELECT count(*) FILTER (WHERE gate = 'keep' AND human = 'keep') / nullif(count(*) FILTER (WHERE gate = 'keep'), 0) AS k, count(*) FILTER (WHERE gate = 'cut' AND human = 'cut') / nullif(count(*) FILTER (WHERE gate = 'cut'), 0) AS c, count(*) FILTER (WHERE gate = human) / nullif(count(*), 0) AS o FROM ok),
+sw AS (SELECT lever || '@' || printf('%.1f', value) AS lever, count(*) FILTER (WHERE again = verdict) AS n, round(count(*) FILTER (WHERE again = verdict AND human = verdict) / nullif(count(*) FILTER (WHERE again = verdict), 0), 6) AS accuracy FROM x GROUP BY lever, value),
+ax AS (SELECT coalesce(worst, '(none)') AS axis, count(*) AS n, round(count(*) FILTER (WHERE human = gate) / count(*), 6) AS agree FROM ok GROUP BY 1)
+SELECT 'entries' AS section, 'scored' AS item, count(*) FILTER (WHERE skipped IS NULL)::DOUBLE AS value FROM scored
+UNION ALL SELECT 'entries', 'skipped', count(*) FILTER (WHERE skipped IS NOT NULL) FROM scored UNION ALL SELECT 'entries', 'stale', count(*) FILTER (WHERE stale) FROM scored
+UNION ALL SELECT 'confusion', a.class || '/' || b.class, (SELECT count(*) FROM ok WHERE human = a.class AND gate = b.class) FROM classes a, classes b
+UNION ALL SELECT 'classes', class || '.precision', precision FROM cls UNION ALL SELECT 'classes', class || '.recall', recall FROM cls UNION ALL SELECT 'classes', class || '.f1', f1 FROM cls UNION ALL SELECT 'classes', class || '.support', support FROM cls
+UNION ALL SELECT 'headline', 'auto_keep', round(k, 6) FROM keeps UNION ALL SELECT 'headline', 'auto_cut', round(c, 6) FROM keeps UNION ALL SELECT 'headline', 'overall', round(o, 6) FROM keeps UNION ALL SELECT 'headline', 'meets_target', CASE WHEN k >= 0.85 THEN 1 ELSE 0 END FROM keeps
+UNION ALL SELECT 'levers', lever || '.n', n FROM sw UNION ALL SELECT 'levers', lever || '.accuracy', accuracy FROM sw
+UNION ALL SELECT 'axes', axis || '.n', n FROM ax UNION ALL SELECT 'axes', axis || '.agree', agree FROM ax""",
     "skipped_entries": _SCORED_SQL + "SELECT role, skipped, stale, count(*) AS n FROM scored GROUP BY ALL",
     "profile_overlay": T.CHAIN_SQL + ", o AS (SELECT a.role, a.id, a.key, CASE WHEN domain = 'log10' THEN log10(nullif(greatest(value, 0), 0)) ELSE value END AS t, p.median, p.p10, p.p90 FROM last a JOIN p USING (role, key)) SELECT role, id, key, round(t - median, 2) + 0.0 AS delta, t BETWEEN p10 AND p90 AS inside FROM o",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorel.functions.identity import signal_hash
+from sonorel.operators.arrow import in_batches
 from sonorel.storage import broadcast_if_small, materialize
 
 ENCODINGS = ("PCM_16", "PCM_24", "PCM_32", "FLOAT", "DOUBLE")
@@ -85,17 +86,22 @@ def encode(x: np.ndarray, rate: int, encoding: str = "FLOAT") -> bytes:
 def decoded(files: DataFrame) -> DataFrame:
     """path, signal_id (content hash), sr, ch, n, pcm, error; files: path, content. What can't be decoded gives an error."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "signal_id", "sr", "ch", "n", "pcm", "error"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float32())), pa.string()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = (batch.column(0)[i].as_py(), None, None, None, None, None)
+                path = batch.column(0)[i].as_py()
                 try:
                     x, rate = decode(batch.column(1)[i].as_py())
-                    row, bad = (row[0], signal_hash(x, rate), rate, x.shape[1], len(x), [x[:, c] for c in range(x.shape[1])]), None
+                    pcm = [np.ascontiguousarray(x[:, c]) for c in range(x.shape[1])]
+                    yield path, signal_hash(x, rate), rate, x.shape[1], len(x), pcm, None
                 except (ValueError, struct.error, TypeError) as e:
-                    bad = f"decode_failed: {e}"
-                types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, types)), pa.array([bad], pa.string())], ["path", "signal_id", "sr", "ch", "n", "pcm", "error"])
+                    yield path, None, None, None, None, None, f"decode_failed: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), names, types)
 
     return files.select("path", "content").mapInArrow(run, "path string, signal_id string, sr int, ch int, n int, pcm array<array<float>>, error string")
 
@@ -108,12 +114,14 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 def encoded(signals: DataFrame, encoding: str = "FLOAT") -> DataFrame:
     """signal_id, content: each signal as the bytes of a WAV file."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
-                pcm = batch.column(2)[i]
-                x = np.stack([np.asarray(c.values) for c in pcm], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([encode(x, batch.column(1)[i].as_py(), encoding)], pa.binary())], ["signal_id", "content"])
+                x = np.stack([np.asarray(c.values) for c in batch.column(2)[i]], axis=1)
+                yield batch.column(0)[i].as_py(), encode(x, batch.column(1)[i].as_py(), encoding)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), ["signal_id", "content"], [pa.string(), pa.binary()])
 
     return signals.select("signal_id", "sr", "pcm").mapInArrow(run, "signal_id string, content binary")
 
