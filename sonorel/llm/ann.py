@@ -64,7 +64,11 @@ def build_index(members: DataFrame, shard_rows: int | None = None, links: int =
     """One row per shard: its class ids, vectors and flat neighbour arrays."""
     reps = members.where("nth = 1").select("class_id", "v", F.size("v").alias("dim"))
     fit = F.floor(SHARD_BYTES / (8 * F.col("dim")))
-    each: Column = F.lit(shard_rows) if shard_rows else F.least(F.lit(MOST_ROWS), F.greatest(F.lit(LEAST_ROWS), F.floor(F.col("n") / PARTS)), F.greatest(fit, F.lit(1)))
+    each: Column = F.lit(shard_rows) if shard_rows else F.least(
+        F.lit(MOST_ROWS),
+        F.greatest(F.lit(LEAST_ROWS), F.floor(F.col("n") / PARTS)),
+        F.greatest(fit, F.lit(1)),
+    )
     sizes = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / each).alias("shards"))
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
@@ -75,9 +79,28 @@ def build_index(members: DataFrame, shard_rows: int | None = None, links: int =
         graph, order = Graph.build((vectors / scale).astype(np.float32), links)
         packed = graph.pack()
         ids = np.asarray(rows.column("class_id"))[order]
-        row = {"dim": dim, "shard": shard, "links": links, "scale": scale, "ids": ids, "vectors": vectors[order].tobytes(), **packed}
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.binary()]
-        return pa.table({name: pa.array([row[name]], kind) for name, kind in zip(("dim", "shard", "links", "scale", "ids", "vectors", "sizes", "neighbours"), kinds)})
+        row = {
+            "dim": dim,
+            "shard": shard,
+            "links": links,
+            "scale": scale,
+            "ids": ids,
+            "vectors": vectors[order].tobytes(),
+            **packed,
+        }
+        kinds = [
+            pa.int32(),
+            pa.int64(),
+            pa.int32(),
+            pa.float64(),
+            pa.list_(pa.int64()),
+            pa.binary(),
+            pa.list_(pa.int32()),
+            pa.binary(),
+        ]
+        return pa.table(
+            {name: pa.array([row[name]], kind) for name, kind in zip(("dim", "shard", "links", "scale", "ids", "vectors", "sizes", "neighbours"), kinds)}
+        )
 
     dealt = reps.join(broadcast_if_small(materialize(sizes, "sizes")), "dim")
     dealt = dealt.select("class_id", "v", "dim", F.pmod(F.xxhash64("class_id"), F.col("shards")).alias("shard"))
@@ -88,7 +111,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM)
     """query_id, name, class_id, score: the k nearest classes that each shard finds. queries: query_id, name (of the vector), v."""
     rows = queries.select("query_id", "name", "v", F.size("v").alias("dim"))
     blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    blocked = rows.groupBy("dim", F.pmod(F.xxhash64("query_id", "name"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "name", "v")).alias("queries"))
+    blocked = rows.groupBy(
+        "dim",
+        F.pmod(F.xxhash64("query_id", "name"), F.lit(blocks)).alias("block"),
+    ).agg(F.collect_list(F.struct("query_id", "name", "v")).alias("queries"))
     names = index.select("dim", "shard")
     each = blocked.join(names, "dim")
 
@@ -109,22 +135,46 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM)
             out[1].append(ids[nodes][best])
             out[2].append(score[best])
         at = np.concatenate(out[0])
-        return pa.table({"query_id": asked.field("query_id").take(pa.array(at)), "name": asked.field("name").take(pa.array(at)), "class_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+        return pa.table(
+            {
+                "query_id": asked.field("query_id").take(pa.array(at)),
+                "name": asked.field("name").take(pa.array(at)),
+                "class_id": np.concatenate(out[1]),
+                "score": np.concatenate(out[2]),
+            }
+        )
 
     # A graph goes to a task with one block of queries at a time.
     joined = index.join(each, ["dim", "shard"])
-    return joined.groupBy("dim", "shard", "block").applyInArrow(run, "query_id bigint, name bigint, class_id bigint, score double")
-
-
-def nearest(rows: DataFrame, queries_where, k: int = 10, vector: str = "embedding", shard_rows: int | None = None, beam: int = BEAM) -> DataFrame:
+    return joined.groupBy("dim", "shard", "block").applyInArrow(
+        run,
+        "query_id bigint, name bigint, class_id bigint, score double",
+    )
+
+
+def nearest(
+    rows: DataFrame,
+    queries_where,
+    k: int = 10,
+    vector: str = "embedding",
+    shard_rows: int | None = None,
+    beam: int = BEAM,
+) -> DataFrame:
     """query_id, rank, vec_id, score. queries_where: the condition on rows that are asked for."""
     members = materialize(classes(rows, vector, k), "classes")
     index = build_index(members, shard_rows)
     # A query's own vector stands for itself, whatever its place in its class.
-    asked = valid(rows.where(queries_where), vector).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("name"), "v").dropDuplicates(["query_id", "name"])
+    asked = valid(rows.where(queries_where), vector).select(
+        F.col("vec_id").alias("query_id"),
+        F.xxhash64("v").alias("name"),
+        "v",
+    ).dropDuplicates(["query_id", "name"])
     found = materialize(search_index(index, asked, k + 1, beam), "found")
     best = Window.partitionBy("query_id", "name").orderBy("score", "class_id")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    ranked = top.join(members.select("class_id", "vec_id"), "class_id").where("vec_id <> query_id").groupBy("query_id", "name", "vec_id").agg(F.min("score").alias("score"))
+    ranked = top.join(
+        members.select("class_id", "vec_id"),
+        "class_id",
+    ).where("vec_id <> query_id").groupBy("query_id", "name", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id", "name").orderBy("score", "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

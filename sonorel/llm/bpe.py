@@ -66,7 +66,9 @@ class ForcedBoundaryBPE:
         self._inner = models.BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
         self._path = path
         self._alphabet = "".join(_alphabet()[b] for b in range(256))
-        self._special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._special_cut = re.compile(
+            "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        ) if self.special else None
         self.inside, self.inside_last = self._pairs_inside_tokens()
         self.most_words = most_words
         self.packed: dict[str, bytes] = {}
@@ -145,7 +147,11 @@ class ForcedBoundaryBPE:
         if not text:
             return []
         if self._special_cut is not None and "<|" in text:
-            return [w for part in self._special_cut.split(text) if part for w in ([part] if part in self.special else self._plain_words(part))]
+            return [
+                w for part in self._special_cut.split(text) if part for w in (
+                    [part] if part in self.special else self._plain_words(part)
+                )
+            ]
         return self._plain_words(text)
 
     def _plain_words(self, text: str) -> list[str]:
@@ -187,7 +193,9 @@ def encode_decode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFr
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (null: empty);
     with keep_text also ids array<int> and decoded string."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_text else "")
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
+        ", ids array<int>, decoded string" if keep_text else ""
+    )
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
 
@@ -200,10 +208,20 @@ def encode_decode(docs: DataFrame, path: str, keep_text: bool = False) -> DataFr
                 for doc_id, packed in zip(batch.column(0).to_pylist(), bpe.encode_packed(batch.column(1).to_pylist())):
                     ids = np.frombuffer(packed, np.uint32).tolist()
                     decoded = bpe.decode(ids)
-                    row = [doc_id, len(ids), hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded]
+                    row = [
+                        doc_id,
+                        len(ids),
+                        hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest(),
+                        hashlib.sha256(decoded.encode()).hexdigest(),
+                        ids,
+                        decoded,
+                    ]
                     for column, value in zip(out, row):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names + ["ids", "decoded"][: 2 * keep_text])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(out, types)],
+                    names + ["ids", "decoded"][: 2 * keep_text],
+                )
 
     bound_arrow_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

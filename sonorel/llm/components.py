@@ -13,11 +13,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return both.where("b > a").join(least, "a").select(
+            F.col("b").alias("a"),
+            F.col("m").alias("b"),
+        ).where("a <> b").distinct()
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     joined = down.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return joined.select(
+        F.col("b").alias("a"),
+        F.col("m").alias("b"),
+    ).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
         new = materialize(_stars(_stars(now, True), False), "stars")
         drop_table(spark, now)
         now = new
-        found = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        found = now.agg(
+            F.count("*"),
+            F.sum(F.hash("a", "b").cast("long")),
+            F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")),
+        ).first()
         if found == mark:
             return now
         mark = found

@@ -154,7 +154,13 @@ class Graph:
     # Building.
 
     @classmethod
-    def build(cls, vectors: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES, seed: int = 7) -> tuple[Graph, np.ndarray]:
+    def build(
+        cls,
+        vectors: np.ndarray,
+        links: int = LINKS,
+        candidates: int = CANDIDATES,
+        seed: int = 7,
+    ) -> tuple[Graph, np.ndarray]:
         """The graph of the vectors, and the order in which it numbers them."""
         n = len(vectors)
         height = np.minimum((-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links)).astype(int), 12)

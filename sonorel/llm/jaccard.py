@@ -137,7 +137,10 @@ def measured(docs: DataFrame, keys: Keys, common: np.ndarray, counts: np.ndarray
             for batch in small_batches(whole):
                 sets = shingle_sets(batch.column(2).to_pylist())
                 digests = pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
-                prefixes = pa.array([keys.pack(ordered_prefix(s, keys, common, counts)) if len(s) else None for s in sets], pa.binary())
+                prefixes = pa.array(
+                    [keys.pack(ordered_prefix(s, keys, common, counts)) if len(s) else None for s in sets],
+                    pa.binary(),
+                )
                 columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), digests, prefixes]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n", "digest", "prefix"])
 
@@ -152,7 +155,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in small_batches(whole):
                 sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["digest", "shingles"],
+                )
 
     return docs.select("text").mapInArrow(run, "digest binary, shingles binary")
 
@@ -168,7 +174,10 @@ def common_shingles(docs: DataFrame, keys: Keys) -> tuple[np.ndarray, np.ndarray
                 many = n[x:y] > 1
                 low = flat[x:y].astype(np.uint32)
                 out.append((b, low[~many].tobytes(), low[many].tobytes(), n[x:y][many].astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "once", "more", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                ["bucket", "once", "more", "n"],
+            )
 
         held, size = [], 0
         for whole in batches:
@@ -190,7 +199,13 @@ def common_shingles(docs: DataFrame, keys: Keys) -> tuple[np.ndarray, np.ndarray
         bucket = rows["bucket"][0].as_py()
         return pa.table({"h": (low[keep].astype(np.int64) | (bucket << 32)), "n": total[keep]})
 
-    found = materialize(docs.select("text").mapInArrow(count, "bucket long, once binary, more binary, n binary").groupBy("bucket").applyInArrow(add, "h long, n long"), "common")
+    found = materialize(
+        docs.select("text").mapInArrow(
+            count,
+            "bucket long, once binary, more binary, n binary",
+        ).groupBy("bucket").applyInArrow(add, "h long, n long"),
+        "common",
+    )
     total, least = 0, COMMON
     for r in found.groupBy(F.floor(F.log2("n")).alias("e")).count().orderBy(F.desc("e")).collect():
         total += r["count"]
@@ -226,9 +241,19 @@ def pivots_of_common(reps: DataFrame, keys: Keys, common: np.ndarray) -> tuple[n
             order = np.lexsort((nid, key))
             key, nid = key[order], nid[order]
             first = np.flatnonzero(np.diff(key, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(nid[first], pa.int64()), pa.array(np.diff(np.append(first, len(key))), pa.int64())], ["k", "nid", "n"])
-
-    found = reps.select("nid", "prefix", "n").mapInArrow(run, "k long, nid long, n long").groupBy("k").agg(F.min("nid").alias("nid"), F.sum("n").alias("n")).where("n > 1").toArrow()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key[first], pa.int64()),
+                    pa.array(nid[first], pa.int64()),
+                    pa.array(np.diff(np.append(first, len(key))), pa.int64()),
+                ],
+                ["k", "nid", "n"],
+            )
+
+    found = reps.select("nid", "prefix", "n").mapInArrow(run, "k long, nid long, n long").groupBy("k").agg(
+        F.min("nid").alias("nid"),
+        F.sum("n").alias("n"),
+    ).where("n > 1").toArrow()
     k, nid = found["k"].to_numpy(), found["nid"].to_numpy()
     order = np.argsort(k)
     return k[order], nid[order]
@@ -255,19 +280,42 @@ def dealt(reps: DataFrame, keys: Keys, common: np.ndarray, schema: str, use) ->
             for base in np.unique(bases):
                 own = bases[row] == base
                 f, i, p = flat[own], (nid[row[own]] & 0xFFFFFFFF).astype(np.uint32), power[row[own]]
-                rows = [(b, int(base), f[x:y].astype(np.uint32).tobytes(), i[x:y].tobytes(), p[x:y].tobytes()) for b, x, y in keys.by_bucket(f)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "base", "h", "nid", "power"])
+                rows = [
+                    (
+                        b,
+                        int(base),
+                        f[x:y].astype(np.uint32).tobytes(),
+                        i[x:y].tobytes(),
+                        p[x:y].tobytes(),
+                    ) for b, x, y in keys.by_bucket(f)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                    ["bucket", "base", "h", "nid", "power"],
+                )
 
     def meet(rows: pa.Table) -> pa.Table:
-        flat, low, power = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", np.uint32), ("nid", np.uint32), ("power", np.uint8)))
-        nid = low.astype(np.int64) | np.repeat(np.array(rows["base"].to_pylist(), np.int64) << 32, [len(x) for x in rows["power"].to_pylist()])
+        flat, low, power = (
+            np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (
+                ("h", np.uint32),
+                ("nid", np.uint32),
+                ("power", np.uint8),
+            )
+        )
+        nid = low.astype(np.int64) | np.repeat(
+            np.array(rows["base"].to_pylist(), np.int64) << 32,
+            [len(x) for x in rows["power"].to_pylist()],
+        )
         order = np.lexsort((nid, power, flat))
         flat, nid, power = flat[order], nid[order], power[order].astype(np.int64)
         first = np.append(0, np.flatnonzero((flat[1:] != flat[:-1]) | (power[1:] - power[:-1] > APART)) + 1)
         size = np.diff(np.append(first, len(flat)))
         return use(nid, first, size, np.repeat(size, size) > 1)
 
-    return reps.select("nid", "prefix", "n").mapInArrow(deal, "bucket long, base long, h binary, nid binary, power binary").groupBy("bucket").applyInArrow(meet, schema)
+    return reps.select("nid", "prefix", "n").mapInArrow(
+        deal,
+        "bucket long, base long, h binary, nid binary, power binary",
+    ).groupBy("bucket").applyInArrow(meet, schema)
 
 
 def in_company(reps: DataFrame, keys: Keys, common: np.ndarray) -> DataFrame:
@@ -404,8 +452,14 @@ def region_links(placed: DataFrame) -> DataFrame:
         _, label = np.unique([by_id[i][2] for i in ids], return_inverse=True)
         found = []
         if len(set(label.tolist())) > 1:
-            found = Region([np.frombuffer(by_id[i][0], np.uint64) for i in ids]).links(ids.index(region) if region in by_id else int(asked.argmax()), asked, label)
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+            found = Region([np.frombuffer(by_id[i][0], np.uint64) for i in ids]).links(
+                ids.index(region) if region in by_id else int(asked.argmax()),
+                asked,
+                label,
+            )
+        return pa.table(
+            {"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())}
+        )
 
     return placed.groupBy("region", "part").applyInArrow(join, "a long, b long")
 
@@ -420,23 +474,68 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     large = materialize(members.groupBy("pivot").agg(blocks_for.alias("parts")).where("parts > 1"), "large-regions")
     members = members.join(broadcast_if_small(large), "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int")), "members")
-    nearest = F.max_by(F.struct("pivot", "parts", "block"), F.struct((F.col("nid") != F.col("pivot")).cast("int"), "shared", "pivot"))
-    own = members.where("nid <> pivot").groupBy("nid").agg(nearest.alias("r")).select(F.col("r.pivot").alias("region"), F.col("r.block").alias("part"), "nid")
+    nearest = F.max_by(
+        F.struct("pivot", "parts", "block"),
+        F.struct((F.col("nid") != F.col("pivot")).cast("int"), "shared", "pivot"),
+    )
+    own = members.where("nid <> pivot").groupBy("nid").agg(nearest.alias("r")).select(
+        F.col("r.pivot").alias("region"),
+        F.col("r.block").alias("part"),
+        "nid",
+    )
     # The pivot joins every block of its region.
     blocks = own.union(own.select("region", "part", F.col("region").alias("nid")).distinct())
     columns = ["region", "part", "nid", "asked", "root", "shingles"]
-    found = materialize(region_links(blocks.withColumns({"asked": F.lit(True), "root": F.col("nid")}).join(sets, "nid").select(*columns)), "links")
+    found = materialize(
+        region_links(blocks.withColumns({"asked": F.lit(True), "root": F.col("nid")}).join(sets, "nid").select(*columns)),
+        "links",
+    )
     roots = components(found)
-    root = lambda df, c, name: df.join(broadcast_if_small(roots.select(F.col("a").alias(c), F.col("b").alias(name))), c, "left").withColumn(name, F.coalesce(name, c))
-    placed = materialize(root(root(members, "nid", "root"), "pivot", "pivot_root").select("pivot", "nid", "n", "parts", "block", "root", "pivot_root"), "placed")
+    root = lambda df, c, name: df.join(
+        broadcast_if_small(roots.select(F.col("a").alias(c), F.col("b").alias(name))),
+        c,
+        "left",
+    ).withColumn(name, F.coalesce(name, c))
+    placed = materialize(
+        root(root(members, "nid", "root"), "pivot", "pivot_root").select(
+            "pivot",
+            "nid",
+            "n",
+            "parts",
+            "block",
+            "root",
+            "pivot_root",
+        ),
+        "placed",
+    )
     stray = placed.where("root <> pivot_root")
     n = broadcast_if_small(materialize(stray.groupBy("pivot").agg(blocks_for.alias("turns")), "turns"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     turn = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("turns")).cast("int")
-    asked = stray.join(n, "pivot").withColumn("turn", turn).select("pivot", "nid", "root", each("parts").alias("block"), "turn", F.lit(True).alias("asked"))
-    met = placed.join(n, "pivot").select("pivot", "nid", "root", "block", each("turns").alias("turn"), F.lit(False).alias("asked"))
+    asked = stray.join(n, "pivot").withColumn("turn", turn).select(
+        "pivot",
+        "nid",
+        "root",
+        each("parts").alias("block"),
+        "turn",
+        F.lit(True).alias("asked"),
+    )
+    met = placed.join(n, "pivot").select(
+        "pivot",
+        "nid",
+        "root",
+        "block",
+        each("turns").alias("turn"),
+        F.lit(False).alias("asked"),
+    )
     again = asked.union(met).groupBy("pivot", "nid", "root", "block", "turn").agg(F.max("asked").alias("asked"))
-    again = again.select(F.col("pivot").alias("region"), (F.col("block").cast("long") * (1 << 32) + F.col("turn")).alias("part"), "nid", "asked", "root")
+    again = again.select(
+        F.col("pivot").alias("region"),
+        (F.col("block").cast("long") * (1 << 32) + F.col("turn")).alias("part"),
+        "nid",
+        "asked",
+        "root",
+    )
     return found.union(materialize(region_links(again.join(sets, "nid").select(*columns)), "links"))
 
 
@@ -449,7 +548,11 @@ def labelled(docs: DataFrame) -> DataFrame:
     common, counts = common_shingles(docs, keys)
     first = materialize(measured(docs, keys, common, counts), "measured")
     rows = materialize(first.select("doc_id", "name", "n", "digest"), "rows")
-    reps = first.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = first.where("n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("least_id"),
+        F.first("n").alias("n"),
+        F.first("prefix").alias("prefix"),
+    )
     reps = materialize(reps.withColumn("nid", F.monotonically_increasing_id()), "representatives")
     drop_table(spark, first)
     names = materialize(reps.select("nid", "digest", "least_id"), "names")
@@ -459,12 +562,20 @@ def labelled(docs: DataFrame) -> DataFrame:
     drop_table(spark, some)
     wanted = members.where("nid <> pivot").select(F.explode(F.array("nid", "pivot")).alias("nid")).distinct()
     wanted = materialize(names.join(wanted, "nid", "left_semi"), "wanted")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select(F.col("least_id").alias("_id"))), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(
+        broadcast_if_small(wanted.select(F.col("least_id").alias("_id"))),
+        F.col("doc_id").eqNullSafe(F.col("_id")),
+        "left_semi",
+    )
     sets = sets_of(texts).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets.join(wanted.select("digest", "nid"), "digest").select("nid", "shingles"), "sets")
     roots = components(links(members, sets))
     drop_table(spark, sets)
-    rooted = names.join(roots.select(F.col("a").alias("nid"), F.col("b").alias("root")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rooted = names.join(
+        roots.select(F.col("a").alias("nid"), F.col("b").alias("root")),
+        "nid",
+        "left",
+    ).withColumn("root", F.coalesce("root", "nid"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = rooted.join(least, "root").select("digest", "root", "component_id")
@@ -481,12 +592,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, one row of each group that links connect: that of the smallest doc_id (null last), of several with
     it that of the smallest name of the text. Rows that repeat id and text are in one group, so one of them stays.
     Documents without words are in no group and stay. All columns stay."""
-    found = materialize(labelled(docs).where("root is not null").groupBy("root", "doc_id", "name").agg(F.count("*").alias("n")), "grouped")
+    found = materialize(
+        labelled(docs).where("root is not null").groupBy("root", "doc_id", "name").agg(F.count("*").alias("n")),
+        "grouped",
+    )
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "name")
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     best = broadcast_if_small(materialize(best, "kept"))
     gone = F.col("best").isNotNull() & (order != F.col("best"))
-    marks = found.join(best, "root", "left").select(F.col("doc_id").alias("_i"), F.col("name").alias("_n"), gone.alias("gone"), "n")
+    marks = found.join(best, "root", "left").select(
+        F.col("doc_id").alias("_i"),
+        F.col("name").alias("_n"),
+        gone.alias("gone"),
+        "n",
+    )
     marks = materialize(marks.where("gone or n > 1").drop("n"), "marks")
     repeated = bool(marks.where("not gone").take(1))
     row = F.struct(*map(column, docs.columns)).alias("row")

@@ -78,12 +78,20 @@ def tight_runs(found: DataFrame, least_words: int) -> DataFrame:
     before = F.col("upto") - F.col("words")
     mark = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
     begin, end, want_end, want_begin = 0, 1, 2, 3
-    marks = F.array(mark(begin, before), mark(end, F.col("upto")), mark(want_end, before + least_words), mark(want_begin, F.col("upto") - least_words))
+    marks = F.array(
+        mark(begin, before),
+        mark(end, F.col("upto")),
+        mark(want_end, before + least_words),
+        mark(want_begin, F.col("upto") - least_words),
+    )
     each = found.select("doc", "seg", "i", F.explode(marks).alias("m")).select("doc", "seg", "i", "m.kind", "m.at")
     own = Window.partitionBy("doc", "seg")
     down = own.orderBy(F.desc("at"), F.col("kind") != end, F.desc("i"))
     up = own.orderBy("at", F.col("kind") != begin, "i")
-    last = lambda kind, over: F.last(F.when(F.col("kind") == kind, F.col("i")), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    last = lambda kind, over: F.last(
+        F.when(F.col("kind") == kind, F.col("i")),
+        ignorenulls=True,
+    ).over(over.rowsBetween(Window.unboundedPreceding, 0))
     answered = each.withColumns({"to": last(end, down), "from": last(begin, up)})
     a = F.when(F.col("kind") == want_end, F.col("i")).when(F.col("kind") == want_begin, F.col("from"))
     b = F.when(F.col("kind") == want_end, F.col("to")).when(F.col("kind") == want_begin, F.col("i"))
@@ -102,12 +110,17 @@ def later_runs(found: DataFrame, least_words: int) -> DataFrame:
     while size <= longest:
         first = now.select("doc", F.col("i").alias("a"), F.col("rank").alias("head"))
         last = now.select("doc", F.col("i").alias("z"), F.col("rank").alias("tail"))
-        own = runs.where((F.col("n") >= size) & (F.col("n") < 2 * size)).join(first, ["doc", "a"]).withColumn("z", F.col("a") + F.col("n") - size)
+        own = runs.where(
+            (F.col("n") >= size) & (F.col("n") < 2 * size)
+        ).join(first, ["doc", "a"]).withColumn("z", F.col("a") + F.col("n") - size)
         named.append(materialize(own.join(last, ["doc", "z"]).select("doc", "a", "n", "head", "tail"), "intervals"))
         if 2 * size > longest:
             break
         after = now.select("doc", (F.col("i") - size).alias("i"), F.col("rank").alias("next"))
-        pairs = materialize(now.select("doc", "i", "rank").join(after, ["doc", "i"]).withColumnRenamed("rank", "r").withColumnRenamed("next", "s"), "pairs")
+        pairs = materialize(
+            now.select("doc", "i", "rank").join(after, ["doc", "i"]).withColumnRenamed("rank", "r").withColumnRenamed("next", "s"),
+            "pairs",
+        )
         classes = _ranked(pairs.groupBy("r", "s").agg(F.count("*").alias("m")).where("m > 1").select("r", "s"), ["r", "s"])
         now = materialize(pairs.join(classes, ["r", "s"]).select("doc", "i", "rank"), "suffixes")
         drop_table(spark, pairs)
@@ -134,7 +147,10 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = some.select("_id", "_hash").distinct().repartitionByRange(n, "_id", "_hash").sortWithinPartitions("_id", "_hash")
     names = materialize(names.withColumn("doc", F.monotonically_increasing_id()), "documents")
-    named = some.join(names, some["_id"].eqNullSafe(names["_id"]) & (some["_hash"] == names["_hash"])).select("doc", "i", "line", "words")
+    named = some.join(
+        names,
+        some["_id"].eqNullSafe(names["_id"]) & (some["_hash"] == names["_hash"]),
+    ).select("doc", "i", "line", "words")
     runs = later_runs(materialize(named, "numbered"), least_words).select("doc", "a", (F.col("a") + F.col("n") - 1).alias("b"))
     order = Window.partitionBy("doc").orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -159,7 +175,11 @@ def _left(text: Column, gone: Column) -> Column:
 def removed(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """row, text (what is left), gone."""
     gone = later_copies(docs, least_words).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "gone")
-    found = _named(docs).join(broadcast_if_small(gone), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
+    found = _named(docs).join(
+        broadcast_if_small(gone),
+        F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")),
+        "left",
+    )
     text = F.when(F.col("gone").isNotNull(), _left(F.col("row.text"), F.col("gone"))).otherwise(F.col("row.text"))
     return found.select("row", text.alias("text"), "gone")
 
@@ -170,7 +190,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return removed(docs, least_words).select(
         F.col("row.doc_id").alias("doc_id"),
         F.coalesce(F.size(F.split(F.col("row.text"), "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("gone", F.lit(0), lambda n, s: n + (s["b"] - s["a"] + 1)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(
+            F.aggregate("gone", F.lit(0), lambda n, s: n + (s["b"] - s["a"] + 1)),
+            F.lit(0),
+        ).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(numbers, ","), F.lit("")).alias("removed_lines"),
         "text",
     )

@@ -58,7 +58,10 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                         for column, value in zip(out, (doc_id, k, at // 4, n, zlib.crc32(own), part, seen[n])):
                             column.append(value)
                         seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(out, types)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
+                )
 
     bound_arrow_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -211,6 +214,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                 begin, first, at = runs[int(length[own[0]])]
                 k = np.searchsorted(begin, nth[own], side="right") - 1
                 sequence[own], offset[own] = first[k] + nth[own] - begin[k], at[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
-
-    return numbered.select(*columns, "nth").mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(sequence), pa.array(offset)],
+                [*columns, "sequence_id", "offset"],
+            )
+
+    return numbered.select(*columns, "nth").mapInArrow(
+        place,
+        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    )

@@ -87,7 +87,11 @@ def folded(items: Column, at: Column, kind: str, step: Callable[[Column, Column]
 def occurrences(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of a pattern's matches, leftmost and non-overlapping: the pieces between matches give their places."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
+    both = F.zip_with(
+        gaps,
+        hits,
+        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")),
+    )
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
@@ -114,13 +118,22 @@ def base_spans(text: Column) -> Column:
     marks = F.regexp_replace(text, r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", "\n")
     found = [
         F.when(F.contains(text, F.lit("@")), occurrences(dots, _EMAIL)),
-        F.when(text.rlike(r"[0-9]\.[0-9]"), F.filter(occurrences(text, _IP), lambda x: x["hit"].rlike(rf"^(?:{_PART}\.){{3}}{_PART}$"))),
+        F.when(
+            text.rlike(r"[0-9]\.[0-9]"),
+            F.filter(occurrences(text, _IP), lambda x: x["hit"].rlike(rf"^(?:{_PART}\.){{3}}{_PART}$")),
+        ),
         F.when(text.rlike("[0-9]"), F.filter(occurrences(marks, _CARD), lambda x: _is_card(_digits(x["hit"])))),
-        F.when(text.rlike(r"\+[0-9]"), F.filter(occurrences(text, _PHONE), lambda x: F.length(_digits(x["hit"])).between(10, 15))),
+        F.when(
+            text.rlike(r"\+[0-9]"),
+            F.filter(occurrences(text, _PHONE), lambda x: F.length(_digits(x["hit"])).between(10, 15)),
+        ),
     ]
 
     def named(k: int) -> Column:
-        return F.transform(F.coalesce(found[k], none), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit")))
+        return F.transform(
+            F.coalesce(found[k], none),
+            lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit")),
+        )
 
     return F.array_sort(F.concat(*map(named, range(len(found)))))
 
@@ -148,7 +161,9 @@ def entities(kind: Column, hit: Column) -> Column:
         (2, digits, F.substring(digits, 1, 6)),
         (3, digits, F.substr(digits, F.lit(1), F.length(digits) - 4)),
     ]
-    own = F.coalesce(*[F.when(kind == k, F.array(F.concat_ws(":", F.lit(KINDS[k]), value), F.concat_ws(":", F.lit(f"{KINDS[k]}-group"), group))) for k, value, group in values])
+    own = F.coalesce(
+        *[F.when(kind == k, F.array(F.concat_ws(":", F.lit(KINDS[k]), value), F.concat_ws(":", F.lit(f"{KINDS[k]}-group"), group))) for k, value, group in values]
+    )
     return own
 
 
@@ -168,7 +183,11 @@ def contexts(found: DataFrame) -> DataFrame:
     # A word that the cut may have split isn't counted.
     before = F.when((low > 0) | (F.col("from") > 0), F.regexp_replace(before, r"^[\p{L}\p{M}']+", "")).otherwise(before)
     after = F.when((high < size) | F.col("goes_on"), F.regexp_replace(after, r"[\p{L}\p{M}']+$", "")).otherwise(after)
-    near = each.select(entities(F.col("s.kind"), F.col("s.hit")).alias("entities"), words_of(F.lower(before)).alias("b"), words_of(F.lower(after)).alias("a"))
+    near = each.select(
+        entities(F.col("s.kind"), F.col("s.hit")).alias("entities"),
+        words_of(F.lower(before)).alias("b"),
+        words_of(F.lower(after)).alias("a"),
+    )
     last = F.slice("b", F.greatest(F.lit(1), F.size("b") - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
     return near.select("entities", F.concat(last, F.slice("a", 1, CONTEXT_WORDS)).alias("near"))
 
@@ -218,7 +237,10 @@ def disclosures(found: DataFrame) -> DataFrame:
     own = materialize(counts.join(broadcast_if_small(wanted), "term", "left_semi"), "counts")
     told = disclosed(pairs.join(broadcast_if_small(own), "term"))
     told = materialize(told.where(F.col("share") >= GENERALISE).select("term", "entity", "share"), "told")
-    terms = told.groupBy("term").agg(F.max("share").alias("share"), F.max_by("entity", F.struct("share", "entity")).alias("entity"))
+    terms = told.groupBy("term").agg(
+        F.max("share").alias("share"),
+        F.max_by("entity", F.struct("share", "entity")).alias("entity"),
+    )
     terms = terms.withColumn("kind", F.when(F.col("share") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("general")))
     # The classes of the terms, and whether they too disclose an entity that the term does.
     label = F.lit(LABELS[KINDS.index("general")])
@@ -227,9 +249,20 @@ def disclosures(found: DataFrame) -> DataFrame:
         asked = materialize(mine.select(F.col("class").alias("term")).distinct(), "classes")
         sums = counts.withColumn("term", class_of(F.col("term"), letters)).join(broadcast_if_small(asked), "term", "left_semi")
         sums = sums.groupBy("term").agg(F.sum("n_term").alias("n_term"))
-        held = pairs.withColumn("term", class_of(F.col("term"), letters)).groupBy("entity", "term").agg(F.sum("n_joint").alias("n_joint"), F.first("n_entity").alias("n_entity"), F.first("n_words").alias("n_words"))
-        shares = disclosed(held.join(broadcast_if_small(materialize(sums, "class-counts")), "term")).select("entity", F.col("term").alias("class"), F.col("share").alias("class_share"))
-        safe = mine.join(shares, ["entity", "class"]).groupBy("term").agg(F.max("class_share").alias("worst"), F.first("class").alias(f"class{letters}"))
+        held = pairs.withColumn("term", class_of(F.col("term"), letters)).groupBy("entity", "term").agg(
+            F.sum("n_joint").alias("n_joint"),
+            F.first("n_entity").alias("n_entity"),
+            F.first("n_words").alias("n_words"),
+        )
+        shares = disclosed(held.join(broadcast_if_small(materialize(sums, "class-counts")), "term")).select(
+            "entity",
+            F.col("term").alias("class"),
+            F.col("share").alias("class_share"),
+        )
+        safe = mine.join(shares, ["entity", "class"]).groupBy("term").agg(
+            F.max("class_share").alias("worst"),
+            F.first("class").alias(f"class{letters}"),
+        )
         terms = terms.join(safe.where(F.col("worst") < GENERALISE).drop("worst"), "term", "left")
         label = F.coalesce(F.col(f"class{letters}"), label)
     label = F.when(F.col("kind") == KINDS.index("remove"), LABELS[KINDS.index("remove")]).otherwise(label)
@@ -240,9 +273,19 @@ def placed_words(rows: DataFrame) -> DataFrame:
     """rid, term, start, end of every word of _text: lengths of words and of the gaps between them are added up along the text, as rows, so a long text costs no more than its length."""
     text = F.col("_text")
     both = F.arrays_zip(F.split(text, _WORD, -1).alias("gap"), words_of(text).alias("hit"))
-    each = rows.select("rid", F.posexplode_outer(both).alias("k", "w")).where("w.hit is not null").select("rid", "k", F.length("w.gap").alias("gap"), F.col("w.hit").alias("hit"))
+    each = rows.select("rid", F.posexplode_outer(both).alias("k", "w")).where("w.hit is not null").select(
+        "rid",
+        "k",
+        F.length("w.gap").alias("gap"),
+        F.col("w.hit").alias("hit"),
+    )
     end = F.sum(F.col("gap") + F.length("hit")).over(Window.partitionBy("rid").orderBy("k"))
-    return each.withColumn("end", end.cast("int")).select("rid", F.lower("hit").alias("term"), (F.col("end") - F.length("hit")).alias("start"), "end")
+    return each.withColumn("end", end.cast("int")).select(
+        "rid",
+        F.lower("hit").alias("term"),
+        (F.col("end") - F.length("hit")).alias("start"),
+        "end",
+    )
 
 
 def apart(hits: DataFrame, base: DataFrame) -> DataFrame:
@@ -252,7 +295,10 @@ def apart(hits: DataFrame, base: DataFrame) -> DataFrame:
     back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("hit")).rowsBetween(Window.unboundedPreceding, 0)
     ended, begins = F.max(F.when(~F.col("hit"), F.col("end"))).over(forth), F.min(F.when(~F.col("hit"), F.col("start"))).over(back)
     marked = every.withColumns({"ended": ended, "begins": begins}).where("hit")
-    clear = F.coalesce(F.col("ended") <= F.col("start"), F.lit(True)) & F.coalesce((F.col("begins") >= F.col("end")) | (F.col("begins") < F.col("start")), F.lit(True))
+    clear = F.coalesce(F.col("ended") <= F.col("start"), F.lit(True)) & F.coalesce(
+        (F.col("begins") >= F.col("end")) | (F.col("begins") < F.col("start")),
+        F.lit(True),
+    )
     return marked.where(clear).drop("hit", "ended", "begins")
 
 
@@ -267,7 +313,15 @@ def all_spans(found: DataFrame) -> DataFrame:
     more = apart(hits, base).groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end", "label")).alias("more"))
     out = found.join(broadcast_if_small(materialize(more, "term-spans")), "rid", "left")
     labels = F.array(*map(F.lit, LABELS))
-    plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.get(labels, x["kind"]).alias("label")))
+    plain = F.transform(
+        "base",
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            x["kind"].alias("kind"),
+            x["end"].alias("end"),
+            F.get(labels, x["kind"]).alias("label"),
+        ),
+    )
     none = F.array().cast("array<struct<start:int,kind:int,end:int,label:string>>")
     return out.withColumn("spans", F.array_sort(F.concat(plain, F.coalesce("more", none)))).drop("more")
 
@@ -278,7 +332,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     digest = F.sha2(spelled(F.col("base")).cast("binary"), 256)
     more = (F.size("spans") - F.size("base")).cast("long")
-    return found.select("doc_id", *map(count, range(4)), digest.alias("base_sha256"), spelled(F.col("spans")).alias("spans"), more.alias("n_terms"))
+    return found.select(
+        "doc_id",
+        *map(count, range(4)),
+        digest.alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+        more.alias("n_terms"),
+    )
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -298,11 +358,19 @@ def redacted(text: Column, spans: Column) -> Column:
         last = F.greatest(a["at"], F.element_at(own, -1)["start"])
         of = F.struct(a["at"].alias("from"), F.substr(whole, a["at"] + 1, last - a["at"]).alias("piece"))
         done = let(of, lambda o: F.aggregate(own, F.struct(a["at"].alias("at"), none.alias("out")), lambda b, s: step(o, b, s)))
-        return let(done, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
+        return let(
+            done,
+            lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(r["out"], ""))).alias("out")),
+        )
 
     def whole(x: Column) -> Column:
         rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substr(x["text"], a["at"] + 1, F.length(x["text"])))
-        return F.aggregate(in_chunks(x["spans"]), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, own: chunk(x["text"], a, own), rest)
+        return F.aggregate(
+            in_chunks(x["spans"]),
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda a, own: chunk(x["text"], a, own),
+            rest,
+        )
 
     return let(F.struct(text.alias("text"), spans.alias("spans")), whole)
 
@@ -314,5 +382,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         null += "_"
     others = F.struct(F.col("text").isNull().alias(null), *[column(c) for c in docs.columns if c != "text"]).alias("row")
     found = all_spans(found_in(docs, [others]))
-    text = F.when(F.size("spans") > 0, redacted(F.col("_text"), F.col("spans"))).when(~column(null, "row"), F.col("_text")).alias("text")
+    text = F.when(
+        F.size("spans") > 0,
+        redacted(F.col("_text"), F.col("spans")),
+    ).when(~column(null, "row"), F.col("_text")).alias("text")
     return found.select(*[text if c == "text" else column(c, "row") for c in docs.columns])

@@ -43,18 +43,54 @@ def measured(docs: DataFrame) -> DataFrame:
     """row (a struct of all columns), lang, source, the counts, base_failed and the measures."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    df = df.select("row", F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"), F.coalesce(F.col("row.source"), F.lit("")).alias("source"), text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
+    df = df.select(
+        "row",
+        F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"),
+        F.coalesce(F.col("row.source"), F.lit("")).alias("source"),
+        text.alias("text"),
+        F.array_remove(F.split(text, SPACE), "").alias("words"),
+    )
     n = F.size("words")
-    grams = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
+    grams = F.when(
+        n > WINDOW,
+        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
+    )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select("row", "lang", "source", "text", n.alias("n"), F.length(F.array_join("words", "")).alias("chars"), grams.alias("grams"), lines.alias("lines"))
+    df = df.select(
+        "row",
+        "lang",
+        "source",
+        "text",
+        n.alias("n"),
+        F.length(F.array_join("words", "")).alias("chars"),
+        grams.alias("grams"),
+        lines.alias("lines"),
+    )
     # Most texts repeat no window; only the others are sorted to find which.
     repeats = F.size(F.array_distinct("grams")) < F.size("grams")
-    df = df.select("row", "lang", "source", "text", "n", "chars", F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dups"), F.when(repeats, F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"))
+    df = df.select(
+        "row",
+        "lang",
+        "source",
+        "text",
+        "n",
+        "chars",
+        F.size("lines").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dups"),
+        F.when(repeats, F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"),
+    )
     h = lambda j: F.get(F.col("s"), j)["h"]
-    twice = F.filter("s", lambda x, j: F.coalesce(h(j - 1) == x["h"], F.lit(False)) | F.coalesce(h(j + 1) == x["h"], F.lit(False)))
+    twice = F.filter(
+        "s",
+        lambda x, j: F.coalesce(h(j - 1) == x["h"], F.lit(False)) | F.coalesce(h(j + 1) == x["h"], F.lit(False)),
+    )
     places = F.array_sort(F.transform(twice, lambda x: x["i"]))
-    covered = F.aggregate(places, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("sum")), lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), p - a["last"])).alias("sum")), lambda a: a["sum"])
+    covered = F.aggregate(
+        places,
+        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("sum")),
+        lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), p - a["last"])).alias("sum")),
+        lambda a: a["sum"],
+    )
     long = lambda c: c.cast("long")
     df = df.select(
         "row",
@@ -88,7 +124,12 @@ def bucket(v: Column, bits: int = 7) -> Column:
 def sketch(features: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n."""
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("x")
-    flat = features.where("n_words > 0").select("lang", "source", stack).select("lang", "source", "x.measure", bucket(F.col("x.value")).alias("bucket"))
+    flat = features.where("n_words > 0").select("lang", "source", stack).select(
+        "lang",
+        "source",
+        "x.measure",
+        bucket(F.col("x.value")).alias("bucket"),
+    )
     return flat.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -106,18 +147,28 @@ def fences(sketches: DataFrame, *by: str) -> DataFrame:
     q = c.groupBy(*by, "measure").agg(F.max("size").alias("size"), low.alias("q25"), high.alias("q75"))
     noise = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in MEASURES.items()])
     q = q.withColumn("fence", F.col("q75") + REACH * F.greatest(F.col("q75") - F.col("q25"), noise))
-    return q.groupBy(*by).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"f_{m}") for m in MEASURES])
+    return q.groupBy(*by).agg(
+        F.max("size").alias("size"),
+        *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"f_{m}") for m in MEASURES],
+    )
 
 
 def group_fences(features: DataFrame) -> DataFrame:
     """lang, source and the fences that hold for them."""
     own = materialize(sketch(features), "sketch")
-    named = lambda df, p: df.select(*[c for c in df.columns if c in ("lang", "source")], F.col("size").alias(f"{p}size"), *[F.col(f"f_{m}").alias(f"{p}{m}") for m in MEASURES])
+    named = lambda df, p: df.select(
+        *[c for c in df.columns if c in ("lang", "source")],
+        F.col("size").alias(f"{p}size"),
+        *[F.col(f"f_{m}").alias(f"{p}{m}") for m in MEASURES],
+    )
     by_source = named(fences(own, "lang", "source"), "a")
     by_lang = named(fences(merge(own, "lang"), "lang"), "b")
     everything = named(fences(merge(own)), "c")
     joined = by_source.join(F.broadcast(everything)).join(by_lang, "lang")
-    pick = lambda m: F.when(F.col("asize") >= LEAST_GROUP, F.col(f"a{m}")).when(F.col("bsize") >= LEAST_GROUP, F.col(f"b{m}")).otherwise(F.col(f"c{m}")).alias(f"f_{m}")
+    pick = lambda m: F.when(
+        F.col("asize") >= LEAST_GROUP,
+        F.col(f"a{m}"),
+    ).when(F.col("bsize") >= LEAST_GROUP, F.col(f"b{m}")).otherwise(F.col(f"c{m}")).alias(f"f_{m}")
     return materialize(joined.select("lang", "source", *map(pick, MEASURES)), "fences")
 
 
@@ -127,12 +178,22 @@ def judged(features: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & (F.col(m) <= F.col(f"f_{m}"))
-    return features.join(limits, ["lang", "source"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return features.join(limits, ["lang", "source"], "left").withColumn(
+        "kept",
+        ~F.col("base_failed") & F.coalesce(inside, F.lit(False)),
+    )
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the measures."""
-    narrow = measured(docs.select("doc_id", "text", "lang", "source")).select(F.col("row.doc_id").alias("doc_id"), "lang", "source", *_COUNTS, "base_failed", *MEASURES)
+    narrow = measured(docs.select("doc_id", "text", "lang", "source")).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "lang",
+        "source",
+        *_COUNTS,
+        "base_failed",
+        *MEASURES,
+    )
     return judged(materialize(narrow, "measures")).select("doc_id", *_COUNTS, "base_failed", "kept", *MEASURES)
 
 
@@ -143,7 +204,13 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    shares = {"m_word_length": ("word_chars", "n_words"), "m_symbols": ("n_symbols", "word_chars"), "m_dup_lines": ("n_dup_lines", "n_lines"), "m_repeats": ("n_repeat_words", "n_words"), "m_capitals": ("n_capitals", "word_chars")}
+    shares = {
+        "m_word_length": ("word_chars", "n_words"),
+        "m_symbols": ("n_symbols", "word_chars"),
+        "m_dup_lines": ("n_dup_lines", "n_lines"),
+        "m_repeats": ("n_repeat_words", "n_words"),
+        "m_capitals": ("n_capitals", "word_chars"),
+    }
     share = ", ".join(f"CASE WHEN {w} > 0 THEN ({p} * 1000) // {w} ELSE 0 END AS {m}" for m, (p, w) in shares.items())
     stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE n_words > 0" for m in MEASURES)
     noise = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in MEASURES.items()) + " END"
@@ -155,7 +222,9 @@ def _sql() -> str:
         f = f"SELECT {keys}measure, size, q75 + {REACH} * greatest(q75 - q25, {noise}) AS fence FROM ({q})"
         return f"{name} AS ({f})"
 
-    tests = " AND ".join(f"{m} <= (SELECT CASE WHEN a.size >= {LEAST_GROUP} THEN a.fence WHEN b.size >= {LEAST_GROUP} THEN b.fence ELSE c.fence END FROM a JOIN b USING (lang, measure) JOIN c USING (measure) WHERE a.lang = m.lang AND a.source = m.source AND measure = '{m}')" for m in MEASURES)
+    tests = " AND ".join(
+        f"{m} <= (SELECT CASE WHEN a.size >= {LEAST_GROUP} THEN a.fence WHEN b.size >= {LEAST_GROUP} THEN b.fence ELSE c.fence END FROM a JOIN b USING (lang, measure) JOIN c USING (measure) WHERE a.lang = m.lang AND a.source = m.source AND measure = '{m}')" for m in MEASURES
+    )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),

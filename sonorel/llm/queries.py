@@ -22,7 +22,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonorel.llm.sharding import shard_documents
 
     out = shard_documents(table(spark, sf_dir, "documents"), SHARDS, map_path=fresh_path(spark, "slot-map"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "vslot",
+    )
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +92,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_warc, op4_bpe, op5_quality, op6_token_counts, op7_line_dedup, op8_neighbours, op9_jaccard, op10_packing)}
+    return {
+        f.__name__: f for f in (
+            op1_sharding,
+            op2_pii,
+            op3_warc,
+            op4_bpe,
+            op5_quality,
+            op6_token_counts,
+            op7_line_dedup,
+            op8_neighbours,
+            op9_jaccard,
+            op10_packing,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

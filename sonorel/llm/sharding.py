@@ -48,7 +48,11 @@ def with_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     many = counted.where(F.col("n") > REPEATS)
     parts = many.select(*key, "n", upto(F.ceil(F.col("n") / REPEATS)).alias("part")).repartition(*key, "part")
-    each = parts.select(*key, (F.col("part") * REPEATS).alias("base"), F.least(F.lit(REPEATS), F.col("n") - F.col("part") * REPEATS).alias("n"))
+    each = parts.select(
+        *key,
+        (F.col("part") * REPEATS).alias("base"),
+        F.least(F.lit(REPEATS), F.col("n") - F.col("part") * REPEATS).alias("n"),
+    )
     rows = counted.where(F.col("n") <= REPEATS).select(*key, F.lit(0).cast("long").alias("base"), "n").unionByName(each)
     repeat = rows.select(*key, "base", upto(F.col("n")).alias("k")).withColumn("k", F.col("base") + F.col("k"))
     name = F.when(F.col("k") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "k"))
@@ -132,7 +136,10 @@ def assign(slotted: DataFrame, mapped: Map, rows: list[int]) -> DataFrame:
         filled[shard] = start[-1] + rows[v]
     plan = spark.createDataFrame([(v, s, b) for v, (s, b) in enumerate(zip(mapped, start))], "vslot int, shard int, base long")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return slotted.withColumn("place", place).join(F.broadcast(plan), "vslot").withColumn("slot", F.col("base") + F.col("place") - 1).drop("place", "base")
+    return slotted.withColumn("place", place).join(F.broadcast(plan), "vslot").withColumn(
+        "slot",
+        F.col("base") + F.col("place") - 1,
+    ).drop("place", "base")
 
 
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, map_path: str | None = None, version: int = 1) -> DataFrame:

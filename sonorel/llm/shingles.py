@@ -30,7 +30,12 @@ def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE & _MASK, pow(_BASE, -1, 1 << 64))]
+        _POWERS[:] = [
+            np.cumprod(
+                np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]),
+                dtype=np.uint64,
+            ) for b in (_BASE & _MASK, pow(_BASE, -1, 1 << 64))
+        ]
     return [x[:n] for x in _POWERS]
 
 
@@ -41,7 +46,9 @@ def _word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(raw))
     total = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    return mix(
+        (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    ), starts
 
 
 def _long_word_hashes(raw: bytes) -> np.ndarray:

@@ -45,7 +45,12 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """One row per occurring length, taken as a context limit: n_docs of that
     length, docs_at_least / tokens_at_least (length or more), docs_at_most,
     total_tokens, truncated_tokens (sum of min(length, limit)), share_at_most."""
-    h = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
+    h = hist.select(
+        "length",
+        "n_docs",
+        (F.col("length") * F.col("n_docs")).alias("tokens"),
+        F.floor(F.col("length") / BLOCK).alias("block"),
+    )
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

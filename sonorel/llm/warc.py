@@ -38,24 +38,42 @@ _URN = "urn:sonorel:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, page_id bigint, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 #: Columns that headers alone decide, with the header each comes from.
-HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "page_id": "x-page-id", "payload_digest": "warc-payload-digest"}
+HEADER_OF = {
+    "record_id": "warc-record-id",
+    "record_type": "warc-type",
+    "target_uri": "warc-target-uri",
+    "warc_date": "warc-date",
+    "page_id": "x-page-id",
+    "payload_digest": "warc-payload-digest",
+}
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload binary, digest, refers_to (null: a response)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = base.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    shared = base.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(
+        F.count("*").alias("n"),
+        F.min("page_id").alias("first"),
+    )
     shared = materialize(shared.where("n > 1 and first is not null").select("digest", "first"), "shared")
     joined = base.join(broadcast_if_small(shared), "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first")
+    return joined.withColumn(
+        "refers_to",
+        F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")),
+    ).drop("first")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="%:/?#[]@!$&'()*+,;=~-._"))
     if page_id is not None:
@@ -135,7 +153,17 @@ def parse(stream, wanted, payloads: bool) -> Iterator[tuple]:
             digest = actual
         stream.seek(end)
         number = lambda x: None if x is None else int(x.strip("<>").rpartition(":")[2])
-        yield (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), number(head.get("x-page-id")), digest, length, number(head.get("warc-refers-to")), body)
+        yield (
+            head.get("warc-record-id"),
+            head.get("warc-type"),
+            head.get("warc-target-uri"),
+            head.get("warc-date"),
+            number(head.get("x-page-id")),
+            digest,
+            length,
+            number(head.get("warc-refers-to")),
+            body,
+        )
 
 
 class WarcReader(DataSourceReader):

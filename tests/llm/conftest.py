@@ -24,7 +24,20 @@ def texts():
     shared = [prose(rnd, 30) + "\n" + passage + "\n" + prose(rnd, 30) for _ in range(8)]
     mail = ["%s joe.x@mail.example.org quietly %s" % (prose(rnd, 8), prose(rnd, 25)) for _ in range(4)]
     mail += ["gwendolyn wrote joe.x@mail.example.org to gwendolyn" + prose(rnd, 22) for _ in range(4)]
-    odd = [None, "", " \n\t ", "one", "two words", "\n".join(["x y"] * 9), "É ß ① ½ \x1c 😀 it's 'll <|endoftext|> ok", "a" * 5000, "1 2 " * 3000, "a.b." * 3000 + "@c", "+1 (555) 123-4567 4111 1111 1111 1111 999.1.1.1 10.0.0.256 10.0.0.25 x@y.z.w ..@a.b", "long " + prose(rnd, 4000)]
+    odd = [
+        None,
+        "",
+        " \n\t ",
+        "one",
+        "two words",
+        "\n".join(["x y"] * 9),
+        "É ß ① ½ \x1c 😀 it's 'll <|endoftext|> ok",
+        "a" * 5000,
+        "1 2 " * 3000,
+        "a.b." * 3000 + "@c",
+        "+1 (555) 123-4567 4111 1111 1111 1111 999.1.1.1 10.0.0.256 10.0.0.25 x@y.z.w ..@a.b",
+        "long " + prose(rnd, 4000),
+    ]
     return base + near + chain + shared + mail + odd + base[:5] * 3 + [base[20]] * 30
 
 

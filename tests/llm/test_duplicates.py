@@ -8,7 +8,11 @@ from sonorel.llm.shingles import shingle_sets
 
 
 def shingles(text):
-    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+    w = [
+        "".join(
+            chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x
+        ) for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")
+    ]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -62,7 +66,19 @@ def test_one_document_of_each_group_stays(docs, texts, nothing):
 
 def test_rows_and_not_ids_go(spark):
     a, b = "a b c d e f g h", "s t u v w x y z"
-    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (None, a, "x"), (None, "q w e r t y", "x"), (1, a, "x"), (9, "", "x"), (9, "", "x"), (None, "q w e r t y", "x"), (None, None, "x")]
+    rows = [
+        (1, a, "x"),
+        (5, a, "x"),
+        (5, b, "x"),
+        (7, b, "x"),
+        (None, a, "x"),
+        (None, "q w e r t y", "x"),
+        (1, a, "x"),
+        (9, "", "x"),
+        (9, "", "x"),
+        (None, "q w e r t y", "x"),
+        (None, None, "x"),
+    ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, `a``b` string")
     kept = sorted(((r.doc_id or 0, r.text) for r in jaccard.one_of_each(df).collect()), key=str)
     assert kept == sorted([(1, a), (5, b), (0, "q w e r t y"), (9, ""), (9, ""), (0, None)], key=str)
@@ -109,7 +125,9 @@ def test_cells_within_cells_miss_no_link(monkeypatch, leaf, pivots):
 def test_null_ids_take_the_smallest_known(spark):
     text = "a b c d e f g"
     df = spark.createDataFrame([(None, text), (5, text), (7, text), (None, None)], "doc_id bigint, text string")
-    assert sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.near_duplicates(df).collect()) == [(-1, -1), (-1, 5), (5, 5), (7, 5)]
+    assert sorted(
+        (r.doc_id or -1, r.component_id or -1) for r in jaccard.near_duplicates(df).collect()
+    ) == [(-1, -1), (-1, 5), (5, 5), (7, 5)]
 
 
 def repeated(documents, least):
@@ -140,7 +158,10 @@ def test_lines_equal_brute_force(spark):
     documents[36] = run[:6] + ["x y z"] + run[5:] + ["", ""]
     documents[37] = ["p q r s"] * 9 + ["", ""] + run + [""] * 3 + run[::-1]
     documents[38] = ["own words here"] + documents[9][:5] + documents[30][3:9] + documents[37][4:]
-    df = spark.createDataFrame([(i, "\n".join(x), 1) for i, x in documents.items()], "doc_id bigint, text string, `rank` int").repartition(3)
+    df = spark.createDataFrame(
+        [(i, "\n".join(x), 1) for i, x in documents.items()],
+        "doc_id bigint, text string, `rank` int",
+    ).repartition(3)
     for least in (1, 8, 20, 50):
         want = repeated(documents, least)
         for r in line_dedup.dedup_lines(df, least).collect():

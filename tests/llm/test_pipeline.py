@@ -16,7 +16,10 @@ from sonorel.llm.common import materialize
 
 def by_rules(rows):
     con = duckdb.connect()
-    con.register("given", pd.DataFrame([(i, r.text, r.lang, r.source) for i, r in enumerate(rows)], columns=["doc_id", "text", "lang", "source"]))
+    con.register(
+        "given",
+        pd.DataFrame([(i, r.text, r.lang, r.source) for i, r in enumerate(rows)], columns=["doc_id", "text", "lang", "source"]),
+    )
     con.execute("CREATE TABLE documents AS SELECT * FROM given")
     kept = dict(con.execute(f"SELECT doc_id, kept FROM ({quality.ORACLE_SQL})").fetchall())
     return [r for i, r in enumerate(rows) if kept[i]]
@@ -59,7 +62,12 @@ def by_terms(rows):
     return out
 
 
-PLAIN = {"quality_rules": lambda rows: [(r.doc_id, r.text) for r in by_rules(rows)], "line_dedup": by_lines, "ngram_jaccard": by_company, "pii": by_terms}
+PLAIN = {
+    "quality_rules": lambda rows: [(r.doc_id, r.text) for r in by_rules(rows)],
+    "line_dedup": by_lines,
+    "ngram_jaccard": by_company,
+    "pii": by_terms,
+}
 
 
 def test_each_stage_equals_its_plain_version(spark, docs, texts, tokenizer):
@@ -86,7 +94,14 @@ def test_each_stage_equals_its_plain_version(spark, docs, texts, tokenizer):
     want = {}
     for r in now.collect():
         ids = np.array(library.encode(r.text, add_special_tokens=False).ids + [1], "<u4")
-        parts = [(k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+        parts = [
+            (
+                k,
+                a,
+                len(ids[a : a + 4096]),
+                zlib.crc32(ids[a : a + 4096].tobytes()),
+            ) for k, a in enumerate(range(0, len(ids), 4096))
+        ]
         want.setdefault(r.doc_id, []).extend(parts)
     assert {i: sorted(p) for i, p in held.items()} == {i: sorted(p) for i, p in want.items()}
     for own in sequences.values():

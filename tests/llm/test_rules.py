@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from sonorel.llm import pii, quality
 
 WORD, HEAD, TAIL = (regex.compile(x) for x in (r"[\p{L}\p{M}']+", r"^[\p{L}\p{M}']+", r"[\p{L}\p{M}']+$"))
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 
 
 def luhn(digits):
@@ -27,7 +32,12 @@ def base(text):
     for k, (name, pattern) in enumerate(PATTERNS.items()):
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            ok = {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda: 14 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15}[name]()
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 14 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 10 <= len(digits) <= 15,
+            }[name]()
             if ok:
                 out.append((m.start(), k, m.end(), name))
     return sorted(out)
@@ -55,7 +65,9 @@ def test_terms_that_reveal_an_entity(spark):
     rows += [(500, f"{' '.join(plain)} marigold {' '.join(plain)}")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r for r in pii.personal_data(df).collect()}
-    words = {rows[0][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].spans.split(",")) if k in ("general", "remove")}
+    words = {
+        rows[0][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].spans.split(",")) if k in ("general", "remove")
+    }
     assert words == {"marigold", "wrote"}
     assert all(got[i].spans == "" for i in range(100, 300))
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
@@ -81,10 +93,22 @@ def test_terms_are_placed_where_the_entity_is_absent(spark):
 def test_a_bound_decides_and_no_number_of_documents(spark):
     plain = "the of and to in that is was for on with as by at from".split()
     one = lambda word, who: f"{' '.join(plain)} {word} {who}@a.example {' '.join(plain)}"
-    rows = [(0, one("marigold", "joe")), (1, one("marigold", "joe")), (2, one("tulip", "ann")), (3, one("clover", "ian")), (4, one("clover", "ian"))]
+    rows = [
+        (0, one("marigold", "joe")),
+        (1, one("marigold", "joe")),
+        (2, one("tulip", "ann")),
+        (3, one("clover", "ian")),
+        (4, one("clover", "ian")),
+    ]
     rows += [(100 + i, " ".join(plain * 4) + (" clover" if i < 6 else "")) for i in range(400)]
     got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    terms = {i: [rows[i][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k in ("general", "remove")] for i in range(5)}
+    terms = {
+        i: [
+            rows[i][1][int(a) : int(b)] for k, a, b in (
+                s.split(":") for s in got[i].spans.split(",")
+            ) if k in ("general", "remove")
+        ] for i in range(5)
+    }
     # Of 10 bits: marigold 2 of 2, at least 0.55; tulip 1 of 1, at least 0.38; clover 2 of 8.
     assert terms == {0: ["marigold"], 1: ["marigold"], 2: [], 3: [], 4: []}
     assert all(got[i].spans == "" for i in range(100, 500))
@@ -109,7 +133,12 @@ def plain_disclosures(rows):
                 after = TAIL.sub("", after)
             near = words(before)[-6:] + words(after)[:6]
             digits = re.sub("[^0-9]", "", hit)
-            value, group = {"email": (hit.lower(), hit.lower().split("@")[-1]), "ip": (hit, hit.rpartition(".")[0]), "card": (digits, digits[:6]), "phone": (digits, digits[:-4])}[name]
+            value, group = {
+                "email": (hit.lower(), hit.lower().split("@")[-1]),
+                "ip": (hit, hit.rpartition(".")[0]),
+                "card": (digits, digits[:6]),
+                "phone": (digits, digits[:-4]),
+            }[name]
             for entity in (f"{name}:{value}", f"{name}-group:{group}"):
                 size[entity] += len(near)
                 joint.update((entity, w) for w in near)
@@ -146,16 +175,22 @@ def test_terms_equal_plain_python(spark):
 
     rnd = random.Random(6)
     names = ["marigold", "maritime", "tulip", "tundra", "oz", "clover"]
-    vocabulary = ["".join(rnd.choice("abcdefgilmrt") for _ in range(rnd.randint(2, 7))) for _ in range(300)] + ["heats", "heated", "brine", "bread", "it's", "élan"]
+    vocabulary = [
+        "".join(rnd.choice("abcdefgilmrt") for _ in range(rnd.randint(2, 7))) for _ in range(300)
+    ] + ["heats", "heated", "brine", "bread", "it's", "élan"]
     some = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
     often = ["heather", "brambles qx", "oak", "zzyzx", "heathen", "xy"]
     people = ["joe@a.example", "ann@a.example", "10.1.2.3", "10.1.2.77", "+1 (555) 123-4567", "4111 1111 1111 1111"]
     rows = []
     for i in range(120):
         k = rnd.randrange(6)
-        rows.append((i, f"{some(rnd.randint(0, 40))} {often[k]} {names[k]} {people[k]} {some(2)} {people[k]} {names[k - 1] if rnd.random() < 0.1 else ''} {some(20)}"))
+        rows.append(
+            (i, f"{some(rnd.randint(0, 40))} {often[k]} {names[k]} {people[k]} {some(2)} {people[k]} {names[k - 1] if rnd.random() < 0.1 else ''} {some(20)}")
+        )
     # Words that others use too, now and then; the class of one is common, and of another not.
-    rows += [(200 + i, some(60) + (f" {often[i // 25 % 6].title()}" if i % 25 < 2 else "")) for i in range(300)] + [(900, None), (901, "")]
+    rows += [
+        (200 + i, some(60) + (f" {often[i // 25 % 6].title()}" if i % 25 < 2 else "")) for i in range(300)
+    ] + [(900, None), (901, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     want, labels = plain_disclosures(rows)
     assert {"", "<WORD>", "heat*", "br*"} <= set(labels.values())
@@ -167,7 +202,13 @@ def test_terms_equal_plain_python(spark):
     for r in pii.personal_data(df).collect():
         text = dict(rows)[r.doc_id] or ""
         plain = base(text)
-        more = [(m.start(), 4 if want[m[0].lower()][0] < 0.97 else 5, m.end()) for m in WORD.finditer(text) if m[0].lower() in want and not any(m.start() < e and s < m.end() for s, _, e, _ in plain)]
+        more = [
+            (
+                m.start(),
+                4 if want[m[0].lower()][0] < 0.97 else 5,
+                m.end(),
+            ) for m in WORD.finditer(text) if m[0].lower() in want and not any(m.start() < e and s < m.end() for s, _, e, _ in plain)
+        ]
         every = sorted([(a, k, b) for a, k, b, _ in plain] + more)
         assert r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in every) and r.n_terms == len(more)
 
@@ -204,7 +245,13 @@ def test_quality_equals_its_sql(docs, texts):
     import pandas as pd
 
     con = duckdb.connect()
-    con.register("given", pd.DataFrame([(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()], columns=["doc_id", "text", "lang", "source"]))
+    con.register(
+        "given",
+        pd.DataFrame(
+            [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()],
+            columns=["doc_id", "text", "lang", "source"],
+        ),
+    )
     con.execute("CREATE TABLE documents AS SELECT * FROM given")
     names = [d[0] for d in con.execute(quality.ORACLE_SQL).description]
     want = sorted(map(tuple, con.execute(quality.ORACLE_SQL).fetchall()))
@@ -214,7 +261,9 @@ def test_quality_equals_its_sql(docs, texts):
 def test_measures_by_hand(spark):
     eight = "a b c d e f g h"
     text = f"{eight} {eight}\nx # y\nx # y\n \n "
-    r = quality.quality(spark.createDataFrame([(1, text, "en", "s")], "doc_id bigint, text string, lang string, source string")).first()
+    r = quality.quality(
+        spark.createDataFrame([(1, text, "en", "s")], "doc_id bigint, text string, lang string, source string")
+    ).first()
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (22, 22, 2, 1, 16, True)
 
 

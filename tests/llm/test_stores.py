@@ -67,7 +67,17 @@ def test_versions_of_a_map_never_change(spark, tmp_path):
 
 def pages(spark):
     big = "<p>é</p>" * 40
-    rows = [(1, "http://a/é x", big), (2, None, big), (9, "u", "small"), (8, "u", "small"), (5, "u", None), (None, "u", big), (3, "http://b\r\nX: y", "z" * 100), (4, "u", "z" * 100), (4, "u", "z" * 100)]
+    rows = [
+        (1, "http://a/é x", big),
+        (2, None, big),
+        (9, "u", "small"),
+        (8, "u", "small"),
+        (5, "u", None),
+        (None, "u", big),
+        (3, "http://b\r\nX: y", "z" * 100),
+        (4, "u", "z" * 100),
+        (4, "u", "z" * 100),
+    ]
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
 
 
@@ -78,9 +88,20 @@ def test_archives_give_back_every_page(spark, tmp_path):
         got = warc.read_warc(spark, path).collect()
         want = [(r.page_id, (r.html or "").encode()) for r in pages(spark).collect()]
         key = lambda x: (x[0] or -1, x[2])
-        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest) for r in got), key=key) == sorted(((i, len(p), hashlib.sha256(p).hexdigest()) for i, p in want), key=key)
+        assert sorted(
+            ((r.page_id, r.payload_bytes, r.payload_digest) for r in got),
+            key=key,
+        ) == sorted(((i, len(p), hashlib.sha256(p).hexdigest()) for i, p in want), key=key)
         refers = {(r.page_id, r.record_type, r.refers_to) for r in got}
-        assert {(1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (9, "response", None), (8, "response", None), (3, "response", None), (4, "revisit", 3)} <= refers
+        assert {
+            (1, "response", None),
+            (2, "revisit", 1),
+            (None, "revisit", 1),
+            (9, "response", None),
+            (8, "response", None),
+            (3, "response", None),
+            (4, "revisit", 3),
+        } <= refers
         assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
 
 
@@ -96,8 +117,12 @@ def test_predicates_are_decided_on_headers(spark, tmp_path):
     reader = warc.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
-    assert [type(f) for f in reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("page_id",), 3)])] == [GreaterThan]
-    assert all(r[1].as_py() == "revisit" for p in reader.partitions() for b in reader.read(p) for r in zip(b.column(0), b.column(1)))
+    assert [
+        type(f) for f in reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("page_id",), 3)])
+    ] == [GreaterThan]
+    assert all(
+        r[1].as_py() == "revisit" for p in reader.partitions() for b in reader.read(p) for r in zip(b.column(0), b.column(1))
+    )
 
 
 def test_empty_archives(spark, tmp_path):
@@ -109,7 +134,13 @@ def test_neighbours_are_found_and_scored_exactly(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(1500, 16)).astype(np.float32)
     v[700:900] = v[3]
-    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(5000, None, 1), (5100, [0.0] * 16, 1), (5200, [float("nan")] * 16, 1), (5300, [None] + [1.0] * 15, 1), (None, v[0].tolist(), 1)]
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [
+        (5000, None, 1),
+        (5100, [0.0] * 16, 1),
+        (5200, [float("nan")] * 16, 1),
+        (5300, [None] + [1.0] * 15, 1),
+        (None, v[0].tolist(), 1),
+    ]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, `shard` int").repartition(4)
     got = {}
     for r in ann.nearest(df, "vec_id % 100 = 0", 10, shard_rows=300).collect():
@@ -128,7 +159,10 @@ def test_neighbours_are_found_and_scored_exactly(spark):
 
 
 def recall(spark, v, shard_rows=None):
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(4)
+    df = spark.createDataFrame(
+        [(i, x.tolist()) for i, x in enumerate(v)],
+        "vec_id bigint, embedding array<double>",
+    ).repartition(4)
     hits = n = 0
     found = {}
     for r in ann.nearest(df, "vec_id % 100 = 0", 10, shard_rows=shard_rows).collect():
