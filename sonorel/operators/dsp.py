@@ -90,7 +90,11 @@ def butterworth(order: int, edges: float | tuple[float, float], rate: float, kin
         poles, zeros = np.concatenate([half + root, half - root]), np.zeros(order)
     digital = (2 * rate + poles) / (2 * rate - poles)
     ends = np.concatenate([(2 * rate + zeros) / (2 * rate - zeros), -np.ones(len(poles) - len(zeros))])
-    at = {"low": 1.0, "high": -1.0, "band": np.exp(2j * math.atan(math.sqrt(np.prod(warped)) / (2 * rate))) if len(warped) > 1 else 1.0}[kind]
+    at = {
+        "low": 1.0,
+        "high": -1.0,
+        "band": np.exp(2j * math.atan(math.sqrt(np.prod(warped)) / (2 * rate))) if len(warped) > 1 else 1.0,
+    }[kind]
     scale = 1 / abs(np.prod((at - ends) / (at - digital)))
     pairs = sorted(digital[digital.imag > 1e-14], key=abs)
     real = sorted(digital[abs(digital.imag) <= 1e-14].real)
@@ -111,7 +115,11 @@ def shelf_or_peak(kind: str, hz: float, gain_db: float, q: float, rate: float) -
         return (1 + alpha * A, -2 * c, 1 - alpha * A), (1 + alpha / A, -2 * c, 1 - alpha / A)
     s = 2 * math.sqrt(A) * alpha
     sign = 1 if kind == "lowshelf" else -1
-    b = (A * ((A + 1) - sign * (A - 1) * c + s), sign * 2 * A * ((A - 1) - sign * (A + 1) * c), A * ((A + 1) - sign * (A - 1) * c - s))
+    b = (
+        A * ((A + 1) - sign * (A - 1) * c + s),
+        sign * 2 * A * ((A - 1) - sign * (A + 1) * c),
+        A * ((A + 1) - sign * (A - 1) * c - s),
+    )
     a = ((A + 1) + sign * (A - 1) * c + s, -sign * 2 * ((A - 1) + sign * (A + 1) * c), (A + 1) + sign * (A - 1) * c - s)
     return b, a
 
@@ -247,7 +255,18 @@ def percussive(x: np.ndarray, width: int = 31) -> np.ndarray:
     """What median filters along frequency keep more of than those along time."""
     z = spectrogram(x)
     mag = np.abs(z)
-    along = lambda m, axis: np.median(np.lib.stride_tricks.sliding_window_view(np.pad(m, [(width // 2,) * 2 if k == axis else (0, 0) for k in (0, 1)], mode="reflect" if m.shape[axis] > width // 2 else "edge"), width, axis=axis), axis=-1)
+    along = lambda m, axis: np.median(
+        np.lib.stride_tricks.sliding_window_view(
+            np.pad(
+                m,
+                [(width // 2,) * 2 if k == axis else (0, 0) for k in (0, 1)],
+                mode="reflect" if m.shape[axis] > width // 2 else "edge",
+            ),
+            width,
+            axis=axis,
+        ),
+        axis=-1,
+    )
     hit, tone = along(mag, 1) ** 2, along(mag, 0) ** 2
     return overlap_add(z * hit / np.maximum(hit + tone, EPS), 2048, 512, len(x))
 

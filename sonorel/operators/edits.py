@@ -40,22 +40,45 @@ def limit(x: np.ndarray, rate: float, ceiling: float = -1.0) -> np.ndarray:
     return x if peak is None else gain(x, rate, min(0.0, ceiling - peak))
 
 
-def compress(x: np.ndarray, rate: float, threshold: float = -18.0, ratio: float = 3.0, attack: float = 10.0, release: float = 120.0, knee: float = 6.0, makeup: float = 0.0) -> np.ndarray:
+def compress(
+    x: np.ndarray,
+    rate: float,
+    threshold: float = -18.0,
+    ratio: float = 3.0,
+    attack: float = 10.0,
+    release: float = 120.0,
+    knee: float = 6.0,
+    makeup: float = 0.0,
+) -> np.ndarray:
     """The channels share one detector; the curve bends over the knee."""
     k = math.exp(-1 / (rate * 0.005))
     power = D.cascade((np.abs(x).max(axis=1) ** 2)[:, None], [((1 - k, 0.0, 0.0), (1.0, -k, 0.0))])[:, 0]
     over = 10 * np.log10(np.maximum(power, 1e-12)) - threshold
     slope = 1 / ratio - 1
-    curve = np.where(over <= -knee / 2, 0.0, np.where(over >= knee / 2, slope * over, slope * (over + knee / 2) ** 2 / (2 * max(knee, 1e-9))))
+    curve = np.where(
+        over <= -knee / 2,
+        0.0,
+        np.where(over >= knee / 2, slope * over, slope * (over + knee / 2) ** 2 / (2 * max(knee, 1e-9))),
+    )
     return clip(x * 10 ** ((makeup - D.follow(-curve, rate, attack, release)) / 20)[:, None])
 
 
-def maximize(x: np.ndarray, rate: float, ceiling: float = -1.0, makeup: float = 6.0, lookahead: float = 2.0, release: float = 60.0) -> np.ndarray:
+def maximize(
+    x: np.ndarray,
+    rate: float,
+    ceiling: float = -1.0,
+    makeup: float = 6.0,
+    lookahead: float = 2.0,
+    release: float = 60.0,
+) -> np.ndarray:
     """Driven up, then held under the ceiling by a gain that falls ahead of peaks and rises at a fixed rate."""
     x = gain(x, rate, makeup)
     top, n = 10 ** (ceiling / 20), max(1, int(lookahead * rate / 1000))
     need = np.minimum(1.0, top / np.maximum(np.abs(x).max(axis=1), 1e-12))
-    least = np.lib.stride_tricks.sliding_window_view(np.concatenate([need, need[::-1][: n - 1] if n > 1 else need[:0]]), n).min(axis=1)[: len(need)]
+    least = np.lib.stride_tricks.sliding_window_view(
+        np.concatenate([need, need[::-1][: n - 1] if n > 1 else need[:0]]),
+        n,
+    ).min(axis=1)[: len(need)]
     step, g, out = 1 / max(1.0, release * rate / 1000), 1.0, np.empty(len(least))
     for i, v in enumerate(least.tolist()):
         g = v if v < g else min(v, g + step)
@@ -63,7 +86,14 @@ def maximize(x: np.ndarray, rate: float, ceiling: float = -1.0, makeup: float =
     return np.clip(x * out[:, None], -top, top)
 
 
-def filtered(x: np.ndarray, rate: float, hp: float | None = None, lp: float | None = None, bp: tuple[float, float] | None = None, order: int = 4) -> np.ndarray:
+def filtered(
+    x: np.ndarray,
+    rate: float,
+    hp: float | None = None,
+    lp: float | None = None,
+    bp: tuple[float, float] | None = None,
+    order: int = 4,
+) -> np.ndarray:
     for kind, edge in (("high", hp), ("low", lp), ("band", bp)):
         if edge is not None:
             x = D.zero_phase(x, D.butterworth(order, edge, rate, kind))
@@ -75,7 +105,14 @@ def equalize(x: np.ndarray, rate: float, bands: list[tuple[str, float, float, fl
     return clip(D.cascade(x, [D.shelf_or_peak(kind, hz, db, q, rate) for kind, hz, db, q in bands]))
 
 
-def shape(x: np.ndarray, rate: float, kind: str, attack: float = 0.0, release: float = 0.0, threshold_db: float = -40.0) -> np.ndarray:
+def shape(
+    x: np.ndarray,
+    rate: float,
+    kind: str,
+    attack: float = 0.0,
+    release: float = 0.0,
+    threshold_db: float = -40.0,
+) -> np.ndarray:
     """pluck: linear rise, exponential fall; fade: linear at both ends; gate: silence under a 10 ms level."""
     n, i = len(x), np.arange(len(x))
     a, b = round(attack * rate), round(release * rate)
@@ -143,17 +180,41 @@ def stereoize(x: np.ndarray, rate: float, amount: float = 0.4, crossover: float
     return np.stack([mid + side, mid - side], axis=1)
 
 
-def curve(n: int, rate: float, shape: str = "sine", cycles: float = 1.0, depth: float = 1.0, phase: float = 0.0, duty: float = 0.5, points: list[tuple[float, float]] | None = None) -> np.ndarray:
+def curve(
+    n: int,
+    rate: float,
+    shape: str = "sine",
+    cycles: float = 1.0,
+    depth: float = 1.0,
+    phase: float = 0.0,
+    duty: float = 0.5,
+    points: list[tuple[float, float]] | None = None,
+) -> np.ndarray:
     """0..1 over the signal."""
     if shape == "points":
         at, v = zip(*sorted(points or [(0.0, 1.0)]))
         return np.interp(np.linspace(0, 1, n), at, v)
     t = (np.arange(n) * cycles / max(1, n) + phase) % 1.0
-    wave = {"sine": 0.5 + 0.5 * np.sin(2 * np.pi * t), "tri": 1 - np.abs(2 * t - 1), "saw-up": t, "saw-down": 1 - t, "square": (t < duty).astype(float)}[shape]
+    wave = {
+        "sine": 0.5 + 0.5 * np.sin(2 * np.pi * t),
+        "tri": 1 - np.abs(2 * t - 1),
+        "saw-up": t,
+        "saw-down": 1 - t,
+        "square": (t < duty).astype(float),
+    }[shape]
     return 1 - depth + depth * wave
 
 
-def automate(x: np.ndarray, rate: float, target: str, lo: float = 200.0, hi: float = 8000.0, resonance: float = 0.707, hop: int = 128, **how) -> np.ndarray:
+def automate(
+    x: np.ndarray,
+    rate: float,
+    target: str,
+    lo: float = 200.0,
+    hi: float = 8000.0,
+    resonance: float = 0.707,
+    hop: int = 128,
+    **how,
+) -> np.ndarray:
     """Gain, pan (constant power) or the cutoff of a resonant low pass, along a curve."""
     m = curve(len(x), rate, **how)
     if target == "gain":
@@ -173,21 +234,50 @@ def automate(x: np.ndarray, rate: float, target: str, lo: float = 200.0, hi: flo
     return clip(out)
 
 
-def spectral_match(x: np.ndarray, rate: float, reference: np.ndarray, strength: float = 1.0, most: float = 6.0, bands: int = 12, lo: float = 30.0, hi: float = 16_000.0, protect_below: float = 60.0) -> np.ndarray:
+def spectral_match(
+    x: np.ndarray,
+    rate: float,
+    reference: np.ndarray,
+    strength: float = 1.0,
+    most: float = 6.0,
+    bands: int = 12,
+    lo: float = 30.0,
+    hi: float = 16_000.0,
+    protect_below: float = 60.0,
+) -> np.ndarray:
     """Peaking filters that bring the shape of the spectrum towards the reference's, within `most` dB."""
     edges = np.geomspace(lo, min(hi, 0.45 * rate), bands + 1)
 
     def shape_of(v: np.ndarray) -> np.ndarray:
         f, p = D.welch(D.mono(v), rate)
-        level = np.array([10 * math.log10(max(float(p[(f >= a) & (f < b)].mean()) if ((f >= a) & (f < b)).any() else 0.0, 1e-12)) for a, b in zip(edges, edges[1:])])
+        level = np.array(
+            [10 * math.log10(max(float(p[(f >= a) & (f < b)].mean()) if ((f >= a) & (f < b)).any() else 0.0, 1e-12)) for a, b in zip(edges, edges[1:])]
+        )
         return level - level.mean()
 
     deltas = np.clip(strength * (shape_of(reference) - shape_of(x)), -most, most)
     centres = np.sqrt(edges[1:] * edges[:-1])
-    return clip(D.cascade(x, [D.shelf_or_peak("peaking", c, d, 1.4, rate) for c, d in zip(centres, deltas) if c >= protect_below and abs(d) > 0.01]))
-
-
-def vocode(carrier: np.ndarray, rate: float, modulator: np.ndarray, modulator_rate: float | None = None, bands: int = 24, lo: float = 70.0, hi: float = 11_000.0, ess: float = 5500.0, ess_mix: float = 0.35, attack: float = 2.0, release: float = 45.0) -> np.ndarray:
+    return clip(
+        D.cascade(
+            x,
+            [D.shelf_or_peak("peaking", c, d, 1.4, rate) for c, d in zip(centres, deltas) if c >= protect_below and abs(d) > 0.01],
+        )
+    )
+
+
+def vocode(
+    carrier: np.ndarray,
+    rate: float,
+    modulator: np.ndarray,
+    modulator_rate: float | None = None,
+    bands: int = 24,
+    lo: float = 70.0,
+    hi: float = 11_000.0,
+    ess: float = 5500.0,
+    ess_mix: float = 0.35,
+    attack: float = 2.0,
+    release: float = 45.0,
+) -> np.ndarray:
     """The carrier's bands take the modulator's levels; the modulator's hiss is mixed in on top."""
     if modulator_rate and modulator_rate != rate:
         modulator = D.resample(modulator, int(rate), int(modulator_rate))
@@ -217,13 +307,37 @@ def generate(prompt: str, seed: int = 0, duration: float = 2.0, rate: int = 44_1
     rng = np.random.default_rng([seed, *prompt.encode()])
     t = np.arange(int(duration * rate)) / rate
     base = 55.0 * 2 ** (rng.integers(0, 24) / 12)
-    rolloff = 2.0 if any(w in prompt.lower() for w in ("dark", "warm", "bass", "sub")) else 0.7 if any(w in prompt.lower() for w in ("bright", "sharp", "air")) else 1.2
-    x = sum(np.sin(2 * np.pi * base * k * h * t + rng.random() * 2 * np.pi) / h**rolloff for k in (1.0, 1.25, 1.5) for h in range(1, 7))
+    rolloff = 2.0 if any(
+        w in prompt.lower() for w in ("dark", "warm", "bass", "sub")
+    ) else 0.7 if any(w in prompt.lower() for w in ("bright", "sharp", "air")) else 1.2
+    x = sum(
+        np.sin(
+            2 * np.pi * base * k * h * t + rng.random() * 2 * np.pi
+        ) / h**rolloff for k in (1.0, 1.25, 1.5) for h in range(1, 7)
+    )
     x = x * np.exp(-4 * (t % 0.5))
     return (x / max(float(np.abs(x).max(initial=0.0)), 1e-9) * 10 ** (-1 / 20))[:, None]
 
 
-EDITS: dict[str, Edit] = {"gain": gain, "normalize": normalize, "limit": limit, "compress": compress, "maximize": maximize, "filter": filtered, "eq": equalize, "env": shape, "delay": delay, "crop": crop, "reverse": reverse, "stretch": stretch, "pitch": pitch, "widen": widen, "stereoize": stereoize, "automate": automate, "convert": convert}
+EDITS: dict[str, Edit] = {
+    "gain": gain,
+    "normalize": normalize,
+    "limit": limit,
+    "compress": compress,
+    "maximize": maximize,
+    "filter": filtered,
+    "eq": equalize,
+    "env": shape,
+    "delay": delay,
+    "crop": crop,
+    "reverse": reverse,
+    "stretch": stretch,
+    "pitch": pitch,
+    "widen": widen,
+    "stereoize": stereoize,
+    "automate": automate,
+    "convert": convert,
+}
 SIGNAL = "signal_id string, sr int, ch int, n int, pcm array<array<float>>, error string"
 SIGNAL_NAMES = ["signal_id", "sr", "ch", "n", "pcm", "error"]
 SIGNAL_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float32())), pa.string()]
@@ -258,7 +372,12 @@ def paired(signals: DataFrame, others: DataFrame, name: str, **how) -> DataFrame
     resampled to the first's; a pair that can't be edited gives its error and no samples. Each of two tables is shuffled
     by pair once, and a task holds one pair at a time."""
     edit = PAIRED[name]
-    sides = [s.select("pair", *[F.col(c).alias(f"{c}{k}") for c in ("signal_id", "sr", "pcm")]) for k, s in enumerate((signals, others))]
+    sides = [
+        s.select(
+            "pair",
+            *[F.col(c).alias(f"{c}{k}") for c in ("signal_id", "sr", "pcm")],
+        ) for k, s in enumerate((signals, others))
+    ]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:
@@ -272,7 +391,9 @@ def paired(signals: DataFrame, others: DataFrame, name: str, **how) -> DataFrame
                     y, bad = edit(x, float(rate), other, **how), None
                 except Exception as e:  # noqa: BLE001  one bad pair is data, not a failure of the job
                     y, bad = np.zeros((0, 1)), f"op_failed: {e}"
-                yield f"{name}:{ids[0]}", rate, y.shape[1], len(y), [y[:, c].astype(np.float32) for c in range(y.shape[1])], bad, ids
+                yield f"{name}:{ids[0]}", rate, y.shape[1], len(y), [
+                    y[:, c].astype(np.float32) for c in range(y.shape[1])
+                ], bad, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(rows(batches), [*SIGNAL_NAMES, "lineage"], [*SIGNAL_TYPES, pa.list_(pa.string())])

@@ -41,7 +41,9 @@ def run(name: str, df: DataFrame, **how) -> DataFrame:
 
 
 def unsupported(frames: DataFrame, name: str) -> DataFrame:
-    data = F.to_json(F.struct(F.lit("unsupported").alias("code"), F.lit(f"{name} is not installed").alias("message"), F.col("id").alias("of")))
+    data = F.to_json(
+        F.struct(F.lit("unsupported").alias("code"), F.lit(f"{name} is not installed").alias("message"), F.col("id").alias("of"))
+    )
     return frame(frames.where("kind = 'audio'"), pos=F.col("pos"), kind=F.lit("error"), of=F.col("id"), op=F.lit(name), data=data)
 
 
@@ -53,10 +55,16 @@ def through(rows: DataFrame, command: list[str], timeout: float = 600.0) -> Data
             for i in range(batch.num_rows):
                 try:
                     done = subprocess.run(command, input=batch.column(1)[i].as_py() or b"", capture_output=True, timeout=timeout)
-                    out, bad = (done.stdout, None) if done.returncode == 0 else (None, f"op_failed: {done.stderr[-200:].decode(errors='replace')}")
+                    out, bad = (done.stdout, None) if done.returncode == 0 else (
+                        None,
+                        f"op_failed: {done.stderr[-200:].decode(errors='replace')}",
+                    )
                 except (OSError, subprocess.TimeoutExpired) as e:
                     out, bad = None, f"unsupported: {e}"
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out], pa.binary()), pa.array([bad], pa.string())], ["id", "content", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), pa.array([out], pa.binary()), pa.array([bad], pa.string())],
+                    ["id", "content", "error"],
+                )
 
     return rows.select(F.col("id").cast("string"), "content").mapInArrow(work, "id string, content binary, error string")
 

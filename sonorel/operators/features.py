@@ -26,12 +26,19 @@ def r(x: float | None, k: int) -> float | None:
 
 
 def loudness(x: np.ndarray, rate: float) -> dict:
-    return {"loudness.integrated_lufs": r(D.integrated(x, rate), 2), "loudness.true_peak_dbtp": r(D.true_peak(x)[0], 2), "loudness.max_short_term_lufs": r(D.short_term_max(x, rate), 2)}
+    return {
+        "loudness.integrated_lufs": r(D.integrated(x, rate), 2),
+        "loudness.true_peak_dbtp": r(D.true_peak(x)[0], 2),
+        "loudness.max_short_term_lufs": r(D.short_term_max(x, rate), 2),
+    }
 
 
 def _over_time(name: str, v: np.ndarray) -> dict:
     v = v[np.isfinite(v)]
-    return {f"lowlevel.spectral_{name}.mean": r(v.mean() if len(v) else 0.0, 6), f"lowlevel.spectral_{name}.stdev": r(v.std() if len(v) else 0.0, 6)}
+    return {
+        f"lowlevel.spectral_{name}.mean": r(v.mean() if len(v) else 0.0, 6),
+        f"lowlevel.spectral_{name}.stdev": r(v.std() if len(v) else 0.0, 6),
+    }
 
 
 def spectral(x: np.ndarray, rate: float, size: int = 2048, hop: int = 512) -> dict:
@@ -51,7 +58,11 @@ def spectral(x: np.ndarray, rate: float, size: int = 2048, hop: int = 512) -> di
         band = np.sort(m[:, (hz >= lo) & (hz <= hi)], axis=1)
         if band.shape[1]:
             k = max(1, round(0.02 * band.shape[1]))
-            contrast.append(10 * np.log10(np.maximum(band[:, -k:].mean(axis=1), 1e-10)) - 10 * np.log10(np.maximum(band[:, :k].mean(axis=1), 1e-10)))
+            contrast.append(
+                10 * np.log10(
+                    np.maximum(band[:, -k:].mean(axis=1), 1e-10)
+                ) - 10 * np.log10(np.maximum(band[:, :k].mean(axis=1), 1e-10))
+            )
     slope = ((hz - hz.mean()) * (m - m.mean(axis=1, keepdims=True))).mean(axis=1) / hz.var()
     flat = 10 * np.log10(np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1))
     return {
@@ -121,7 +132,9 @@ def lossy_origin(x: np.ndarray, rate: float) -> dict:
     cutoff = float(hz[int(np.searchsorted(share, 0.999 * share[-1]))])
     confidence = 0.0
     if cutoff >= 10_000 and cutoff <= 0.95 * nyquist:
-        level = lambda lo, hi: float(20 * np.log10(m[(hz >= lo) & (hz < hi)].mean() + 1e-12)) if ((hz >= lo) & (hz < hi)).any() else -240.0
+        level = lambda lo, hi: float(
+            20 * np.log10(m[(hz >= lo) & (hz < hi)].mean() + 1e-12)
+        ) if ((hz >= lo) & (hz < hi)).any() else -240.0
         third = 2 ** (1 / 3)
         drop = level(cutoff / third, cutoff) - level(cutoff, min(cutoff * third, nyquist))
         shelf = level(cutoff / third, cutoff) - level(cutoff * 1.03, nyquist)
@@ -188,7 +201,11 @@ def envelope(x: np.ndarray, rate: float, mode: str = "auto", bpm: float | None =
     if mode == "oneshot" or (mode == "auto" and len(at) < 2):
         return envelope_scalars(level(v), rate, "envelope")
     low = D.zero_phase(v[:, None], D.butterworth(4, 120.0, rate, "low"))[:, 0]
-    return envelope_scalars(_typical(level(D.percussive(v)), at, rate), rate, "envelope.percussive") | envelope_scalars(_typical(level(low), at, rate), rate, "envelope.sub")
+    return envelope_scalars(
+        _typical(level(D.percussive(v)), at, rate),
+        rate,
+        "envelope.percussive",
+    ) | envelope_scalars(_typical(level(low), at, rate), rate, "envelope.sub")
 
 
 def _band(x: np.ndarray, rate: float, lo: float, hi: float, order: int = 4) -> np.ndarray:
@@ -212,7 +229,10 @@ def width(x: np.ndarray, rate: float) -> dict:
 
 def space(x: np.ndarray, rate: float) -> dict:
     channels, one = float((x * x).mean()) if len(x) else 0.0, float((D.mono(x) ** 2).mean()) if len(x) else 0.0
-    loss = 0.0 if x.shape[1] < 2 or channels <= 1e-20 else 60.0 if one <= 1e-20 else max(0.0, min(60.0, 10 * math.log10(channels / one)))
+    loss = 0.0 if x.shape[1] < 2 or channels <= 1e-20 else 60.0 if one <= 1e-20 else max(
+        0.0,
+        min(60.0, 10 * math.log10(channels / one)),
+    )
     return {"space.mono_collapse_penalty_db": r(loss, 3)}
 
 
@@ -235,12 +255,25 @@ def movement(x: np.ndarray, rate: float) -> dict:
     tail = v[-int(0.2 * rate) :]
     half = len(tail) // 2
     level = lambda s: 20 * math.log10(max(math.sqrt(float((s * s).mean())), 1e-9))
-    values = (r(_swing(_rms_db(v)), 3), r(_swing(_rms_db(bass)), 3), r(_swing(top), 3), r(100.0 * float((top < top.max() - 60).mean()), 2), r(level(tail[:half]) - level(tail[half:]), 3))
+    values = (
+        r(_swing(_rms_db(v)), 3),
+        r(_swing(_rms_db(bass)), 3),
+        r(_swing(top), 3),
+        r(100.0 * float((top < top.max() - 60).mean()), 2),
+        r(level(tail[:half]) - level(tail[half:]), 3),
+    )
     return {f"movement.{k}": value for k, value in zip(keys, values)}
 
 
 def clarity(x: np.ndarray, rate: float) -> dict:
-    keys = ("low_mid_masking_db", "mud_presence_ratio", "band_contrast_lo_db", "band_contrast_hi_db", "presence_focus_ratio", "presence_transient_ratio")
+    keys = (
+        "low_mid_masking_db",
+        "mud_presence_ratio",
+        "band_contrast_lo_db",
+        "band_contrast_hi_db",
+        "presence_focus_ratio",
+        "presence_transient_ratio",
+    )
     if len(x) < 0.5 * rate:
         return {f"clarity.{k}": None for k in keys}
     p = np.abs(D.spectrogram(D.mono(x))) ** 2
@@ -252,7 +285,9 @@ def clarity(x: np.ndarray, rate: float) -> dict:
 
     def contrast(k: np.ndarray) -> float:
         own = mean[k]
-        return 10 * math.log10(max(float(np.percentile(own, 85)), floor) / max(float(np.percentile(own, 15)), floor * 1e-3)) if len(own) else 0.0
+        return 10 * math.log10(
+            max(float(np.percentile(own, 85)), floor) / max(float(np.percentile(own, 15)), floor * 1e-3)
+        ) if len(own) else 0.0
 
     over = p[:, inside["uppermid"]].sum(axis=1)
     values = (
@@ -280,10 +315,25 @@ def octaves(x: np.ndarray, rate: float, per_octave: int = 6) -> dict:
 
 
 def summary(x: np.ndarray, rate: float) -> dict:
-    return {"dur_s": r(len(x) / rate, 4), "sr_hz": float(rate), "ch": float(x.shape[1]), "peak_dbfs": r(D.to_db(float(np.abs(x).max(initial=0.0))), 2), "rms_dbfs": r(D.to_db(math.sqrt(float((x * x).mean()))) if len(x) else None, 2)}
+    return {
+        "dur_s": r(len(x) / rate, 4),
+        "sr_hz": float(rate),
+        "ch": float(x.shape[1]),
+        "peak_dbfs": r(D.to_db(float(np.abs(x).max(initial=0.0))), 2),
+        "rms_dbfs": r(D.to_db(math.sqrt(float((x * x).mean()))) if len(x) else None, 2),
+    }
 
 
-FAMILIES: dict[str, Family] = {"loudness": loudness, "spectral": spectral, "qc": qc, "envelope": envelope, "width": width, "movement": movement, "clarity": clarity, "space": space}
+FAMILIES: dict[str, Family] = {
+    "loudness": loudness,
+    "spectral": spectral,
+    "qc": qc,
+    "envelope": envelope,
+    "width": width,
+    "movement": movement,
+    "clarity": clarity,
+    "space": space,
+}
 EXTRA: dict[str, Family] = {"octave-spectrum": octaves, "summary": summary}
 
 
@@ -315,9 +365,15 @@ def describe(signals: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), ro
                             for column, v in zip(out, (name, family, key, value, wrong)):
                                 column.append(v)
                 types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["signal_id", "family", "key", "value", "error"])
-
-    return signals.select("signal_id", "sr", "pcm").mapInArrow(run, "signal_id string, family string, key string, value double, error string")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, types)],
+                    ["signal_id", "family", "key", "value", "error"],
+                )
+
+    return signals.select("signal_id", "sr", "pcm").mapInArrow(
+        run,
+        "signal_id string, family string, key string, value double, error string",
+    )
 
 
 def markers(signals: DataFrame, over_db: float = -1.0) -> DataFrame:
@@ -333,6 +389,12 @@ def markers(signals: DataFrame, over_db: float = -1.0) -> DataFrame:
                 rows += [(name, "click", s, round(s / rate, 6), None) for s in click_points(x, rate)]
                 rows += [(name, "gap", s, round(s / rate, 6), round(n / rate, 6)) for s, n in gap_runs(x, rate)]
             types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], t) for k, t in enumerate(types)], ["signal_id", "label", "sample", "t", "dur"])
-
-    return signals.select("signal_id", "sr", "pcm").mapInArrow(run, "signal_id string, label string, sample bigint, t double, dur double")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row[k] for row in rows], t) for k, t in enumerate(types)],
+                ["signal_id", "label", "sample", "t", "dur"],
+            )
+
+    return signals.select("signal_id", "sr", "pcm").mapInArrow(
+        run,
+        "signal_id string, label string, sample bigint, t double, dur double",
+    )

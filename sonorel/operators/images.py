@@ -23,7 +23,10 @@ def png(grey: np.ndarray) -> bytes:
     height, width = grey.shape
     part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
     rows = np.concatenate([np.zeros((height, 1), np.uint8), grey.astype(np.uint8)], axis=1).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(
+        b"IHDR",
+        struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0),
+    ) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
 
 
 def shaded(power: np.ndarray, below: float = 80.0) -> np.ndarray:
@@ -43,7 +46,9 @@ def matrix(x: np.ndarray, rate: float, kind: str) -> np.ndarray:
     if kind == "hpss":
         hit = np.abs(D.spectrogram(D.percussive(v))) ** 2
         whole = np.abs(D.spectrogram(v)) ** 2
-        return np.concatenate([shaded(hit @ D.mel_bank(rate, 2048, 64).T), shaded(np.maximum(whole - hit, 0) @ D.mel_bank(rate, 2048, 64).T)])
+        return np.concatenate(
+            [shaded(hit @ D.mel_bank(rate, 2048, 64).T), shaded(np.maximum(whole - hit, 0) @ D.mel_bank(rate, 2048, 64).T)]
+        )
     power = np.abs(D.spectrogram(v)) ** 2
     if kind == "mel":
         return shaded(power @ D.mel_bank(rate, 2048, 128).T)
@@ -79,11 +84,24 @@ def slices(signals: DataFrame, audio: bool = False) -> DataFrame:
             for i in range(batch.num_rows):
                 x, rate = decode_row(batch.column(2)[i]), float(batch.column(1)[i].as_py())
                 at = D.onsets(x.mean(axis=1), rate).tolist()
-                cut = [[x[a:b, c].astype(np.float32) for c in range(x.shape[1])] if audio else None for a, b in zip(at, [*at[1:], len(x)])]
+                cut = [
+                    [
+                        x[a:b, c].astype(np.float32) for c in range(x.shape[1])
+                    ] if audio else None for a, b in zip(at, [*at[1:], len(x)])
+                ]
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * n), pa.array([f"onset-{k}" for k in range(n)]), pa.array(at, pa.int64()), pa.array([round(a / rate, 6) for a in at]), pa.array(cut, pa.list_(pa.list_(pa.float32())))],
+                    [
+                        pa.array([batch.column(0)[i].as_py()] * n),
+                        pa.array([f"onset-{k}" for k in range(n)]),
+                        pa.array(at, pa.int64()),
+                        pa.array([round(a / rate, 6) for a in at]),
+                        pa.array(cut, pa.list_(pa.list_(pa.float32()))),
+                    ],
                     ["signal_id", "label", "sample", "t", "pcm"],
                 )
 
-    return signals.select("signal_id", "sr", "pcm").mapInArrow(run, "signal_id string, label string, sample bigint, t double, pcm array<array<float>>")
+    return signals.select("signal_id", "sr", "pcm").mapInArrow(
+        run,
+        "signal_id string, label string, sample bigint, t double, pcm array<array<float>>",
+    )

@@ -36,17 +36,32 @@ def build_profile(features: DataFrame, by: list[str] | None = None, most_in_task
     once to count and once to reduce: write costly ones first."""
     by = [*(by if by is not None else ["role"]), "key"]
     rows = features.where(finite(F.col("value"))).select(*by, "value")
-    domain = rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.min("value") > 0, "log10").otherwise("linear").alias("domain"))
+    domain = rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.when(F.min("value") > 0, "log10").otherwise("linear").alias("domain"),
+    )
     domain = materialize(domain, "domains")
     if (domain.agg(F.max("n")).first()[0] or 0) <= most_in_task:
         return whole_groups(rows, by)
     small = broadcast_if_small(domain)
-    scaled = rows.join(small, by).select(*by, F.when(F.col("domain") == "log10", F.log10("value")).otherwise(F.col("value")).alias("t"))
+    scaled = rows.join(small, by).select(
+        *by,
+        F.when(F.col("domain") == "log10", F.log10("value")).otherwise(F.col("value")).alias("t"),
+    )
     q = materialize(bracketed_quantiles(scaled, by, "t", list(QUANTILES)), "quantiles")
     apart = scaled.join(broadcast_if_small(q), by).select(*by, F.abs(F.col("t") - F.col("q")[1]).alias("apart"))
     mad = bracketed_quantiles(apart, by, "apart", [0.5]).select(*by, F.col("q")[0].alias("mad"))
     r = lambda c: F.round(c, 6)
-    return domain.join(q, by).join(mad, by).select(*by, r(F.col("q")[1]).alias("median"), r(F.col("mad")).alias("mad"), r(F.col("q")[0]).alias("p10"), r(F.col("q")[1]).alias("p50"), r(F.col("q")[2]).alias("p90"), "n", "domain")
+    return domain.join(q, by).join(mad, by).select(
+        *by,
+        r(F.col("q")[1]).alias("median"),
+        r(F.col("mad")).alias("mad"),
+        r(F.col("q")[0]).alias("p10"),
+        r(F.col("q")[1]).alias("p50"),
+        r(F.col("q")[2]).alias("p90"),
+        "n",
+        "domain",
+    )
 
 
 def whole_groups(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -63,7 +78,10 @@ def whole_groups(rows: DataFrame, by: list[str]) -> DataFrame:
         return pa.table(columns | {"n": pa.array([len(x)], pa.int64()), "domain": pa.array(["log10" if positive else "linear"])})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
-    out = rows.groupBy(*by).applyInArrow(reduce, f"{kinds}, median double, mad double, p10 double, p50 double, p90 double, n bigint, domain string")
+    out = rows.groupBy(*by).applyInArrow(
+        reduce,
+        f"{kinds}, median double, mad double, p10 double, p50 double, p90 double, n bigint, domain string",
+    )
     return out.select(*by, *[F.round(c, 6).alias(c) for c in ("median", "mad", "p10", "p50", "p90")], "n", "domain")
 
 
@@ -72,9 +90,16 @@ def bracketed_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float
     bracket are counted, and only those inside are sorted."""
     pad, df = 2.0 / accuracy, df.select(*by, value)
     asked = [x for q in qs for x in (max(0.0, q - pad), min(1.0, q + pad))]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, asked, accuracy).alias("cut"), F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    cuts = df.groupBy(*by).agg(
+        F.percentile_approx(value, asked, accuracy).alias("cut"),
+        F.count("*").alias("n"),
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
+    )
     joined = df.join(broadcast_if_small(materialize(cuts, "cuts")), by)
-    inside = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.lit(q - pad <= 0), F.col("lo")).otherwise(F.col("cut")[2 * k]).alias("a"), F.when(F.lit(q + pad >= 1), F.col("hi")).otherwise(F.col("cut")[2 * k + 1]).alias("b")) for k, q in enumerate(qs)])
+    inside = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.when(F.lit(q - pad <= 0), F.col("lo")).otherwise(F.col("cut")[2 * k]).alias("a"), F.when(F.lit(q + pad >= 1), F.col("hi")).otherwise(F.col("cut")[2 * k + 1]).alias("b")) for k, q in enumerate(qs)]
+    )
     each = joined.select(*by, "n", F.col(value).alias("x"), F.explode(inside).alias("c"))
     low = each.groupBy(*by, "c.k").agg(F.count_if(F.col("x") < F.col("c.a")).alias("below"))
     some = each.where((F.col("x") >= F.col("c.a")) & (F.col("x") <= F.col("c.b"))).select(*by, "n", "x", F.col("c.k").alias("k"))
@@ -82,9 +107,15 @@ def bracketed_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float
     ranked = some.withColumn("place", place).join(low, [*by, "k"]).withColumn("rank", F.col("below") + F.col("place") - 1)
     q = F.get(F.array(*map(F.lit, qs)), F.col("k"))
     at = q * (F.col("n") - 1)
-    picked = ranked.withColumns({"f": F.floor(at), "w": at - F.floor(at)}).groupBy(*by, "k").agg(F.max(F.when(F.col("rank") == F.col("f"), F.col("x"))).alias("x0"), F.max(F.when(F.col("rank") == F.col("f") + 1, F.col("x"))).alias("x1"), F.max("w").alias("w"))
+    picked = ranked.withColumns({"f": F.floor(at), "w": at - F.floor(at)}).groupBy(*by, "k").agg(
+        F.max(F.when(F.col("rank") == F.col("f"), F.col("x"))).alias("x0"),
+        F.max(F.when(F.col("rank") == F.col("f") + 1, F.col("x"))).alias("x1"),
+        F.max("w").alias("w"),
+    )
     one = F.when(F.col("w") > 0, F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("w")).otherwise(F.col("x0"))
-    return picked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", one.alias("v")))), lambda s: s["v"]).alias("q"))
+    return picked.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", one.alias("v")))), lambda s: s["v"]).alias("q")
+    )
 
 
 def robust_z(value: Column, domain: Column, median: Column, mad: Column) -> Column:
@@ -122,7 +153,10 @@ def decision(max_abs: Column, confidence: Column, z_in: Column | float = Z_IN, z
 
 
 def confidence(n_axes: Column, min_n: Column, max_abs: Column, least: int = LEAST_CORPUS) -> Column:
-    return F.when(n_axes == 0, "low").when(min_n < least, "low").when((max_abs < SURE_IN) | (max_abs >= SURE_OUT), "high").otherwise("med")
+    return F.when(n_axes == 0, "low").when(min_n < least, "low").when(
+        (max_abs < SURE_IN) | (max_abs >= SURE_OUT),
+        "high",
+    ).otherwise("med")
 
 
 def reason(n_axes: Column, min_n: Column, least: int = LEAST_CORPUS) -> Column:
@@ -133,14 +167,24 @@ def score_candidates(axes: DataFrame, by: list[str]) -> DataFrame:
     """by..., distance (mean |z|, 4 decimals), max_abs, n_axes, min_n, worst (dominant axis): one row per candidate."""
     size = F.abs(F.col("z"))
     first = F.min(F.when(F.col("z").isNotNull(), F.struct((-size).alias("s"), F.col("key"))))
-    return axes.groupBy(*by).agg(F.round(F.avg(size) + 1e-9, 4).alias("distance"), F.max(size).alias("max_abs"), F.count("z").alias("n_axes"), F.coalesce(F.min("n"), F.lit(0)).cast("long").alias("min_n"), first["key"].alias("worst"))
+    return axes.groupBy(*by).agg(
+        F.round(F.avg(size) + 1e-9, 4).alias("distance"),
+        F.max(size).alias("max_abs"),
+        F.count("z").alias("n_axes"),
+        F.coalesce(F.min("n"), F.lit(0)).cast("long").alias("min_n"),
+        first["key"].alias("worst"),
+    )
 
 
 def judge(scores: DataFrame) -> DataFrame:
     """Adds confidence, reason, decision and score (0..100, null if unscored)."""
     unscored = F.coalesce(F.col("max_abs"), F.lit(float("inf")))
-    out = scores.withColumns({"confidence": confidence(F.col("n_axes"), F.col("min_n"), unscored), "reason": reason(F.col("n_axes"), F.col("min_n"))})
-    return out.withColumns({"decision": decision(unscored, F.col("confidence")), "score": F.round(100 / (1 + F.col("distance"))).cast("int")})
+    out = scores.withColumns(
+        {"confidence": confidence(F.col("n_axes"), F.col("min_n"), unscored), "reason": reason(F.col("n_axes"), F.col("min_n"))}
+    )
+    return out.withColumns(
+        {"decision": decision(unscored, F.col("confidence")), "score": F.round(100 / (1 + F.col("distance"))).cast("int")}
+    )
 
 
 def rank(scores: DataFrame, label: str = "label") -> DataFrame:
@@ -151,7 +195,10 @@ def rank(scores: DataFrame, label: str = "label") -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds 1, 2, ... in an order over all rows: rows are sorted in ranges, ranges are counted, and their totals added up."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    ranged = materialize(
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()),
+        "ranged",
+    )
     part = F.shiftright("_id", 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,7 +209,13 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def in_tolerance(axes: DataFrame, brief: DataFrame) -> DataFrame:
     """Adds in_tolerance: lo <= value <= hi of the brief, null where it doesn't name the key."""
-    return axes.join(F.broadcast(brief.select("key", "lo", "hi")), "key", "left").withColumn("in_tolerance", F.when(F.col("lo").isNotNull() | F.col("hi").isNotNull(), F.col("value").between(F.coalesce("lo", F.lit(float("-inf"))), F.coalesce("hi", F.lit(float("inf")))))).drop("lo", "hi")
+    return axes.join(F.broadcast(brief.select("key", "lo", "hi")), "key", "left").withColumn(
+        "in_tolerance",
+        F.when(
+            F.col("lo").isNotNull() | F.col("hi").isNotNull(),
+            F.col("value").between(F.coalesce("lo", F.lit(float("-inf"))), F.coalesce("hi", F.lit(float("inf")))),
+        ),
+    ).drop("lo", "hi")
 
 
 def content_set(frames: DataFrame) -> DataFrame:

@@ -57,7 +57,12 @@ def collapse_penalty(left: Column, right: Column) -> Column:
     """Loss in dB when two channels become one, from 0 to 60; 60 where they cancel."""
     channels = (power(left) + power(right)) / 2
     mono = power(F.zip_with(left, right, lambda a, b: (a + b) / 2))
-    return F.round(F.when(channels <= 1e-20, 0.0).when(mono <= 1e-20, 60.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(60.0), 10 * F.log10(channels / mono)))), 3)
+    return F.round(
+        F.when(channels <= 1e-20, 0.0).when(mono <= 1e-20, 60.0).otherwise(
+            F.greatest(F.lit(0.0), F.least(F.lit(60.0), 10 * F.log10(channels / mono)))
+        ),
+        3,
+    )
 
 
 def side_mid_ratio(left: Column, right: Column) -> Column:
@@ -79,7 +84,14 @@ def crop(a: Column, start: float, end: float | None, rate: int) -> Column:
 def fade(a: Column, attack: int, release: int) -> Column:
     """Linear in over `attack` samples, and out over `release`."""
     n = F.size(a)
-    return F.transform(a, lambda x, i: x * F.least(F.lit(1.0), F.lit(1.0) if attack == 0 else i / F.lit(float(attack)), F.lit(1.0) if release == 0 else (n - 1 - i) / F.lit(float(release))))
+    return F.transform(
+        a,
+        lambda x, i: x * F.least(
+            F.lit(1.0),
+            F.lit(1.0) if attack == 0 else i / F.lit(float(attack)),
+            F.lit(1.0) if release == 0 else (n - 1 - i) / F.lit(float(release)),
+        ),
+    )
 
 
 def modulator(i: Column, period: float, shape: str = "sine", depth: float = 1.0, phase: float = 0.0, duty: float = 0.5) -> Column:
@@ -133,7 +145,10 @@ def lookahead_min(df: DataFrame, n: int, by: str = "series", at: str = "i", x: s
     # What is mirrored in are the last n - _rest samples of the series.
     ends = F.collect_list(F.when(F.col("_rest") <= n, F.struct("_rest", F.col(x).alias("x")))).over(Window.partitionBy(by))
     mirrored = F.array_min(F.transform(F.filter(ends, lambda s: s["_rest"] <= n - F.col("_rest")), lambda s: s["x"]))
-    return d.withColumn("least", F.when(F.col("_rest") < n, F.least("_ahead", mirrored)).otherwise(F.col("_ahead"))).drop("_rest", "_ahead")
+    return d.withColumn(
+        "least",
+        F.when(F.col("_rest") < n, F.least("_ahead", mirrored)).otherwise(F.col("_ahead")),
+    ).drop("_rest", "_ahead")
 
 
 def second_difference(by: str = "series", at: str = "i", x: str = "x") -> Column:
@@ -141,7 +156,14 @@ def second_difference(by: str = "series", at: str = "i", x: str = "x") -> Column
     return F.col(x) - 2 * F.lag(x, 1).over(w) + F.lag(x, 2).over(w)
 
 
-def click_candidates(df: DataFrame, times: float = 12.0, least: float = 0.05, by: str = "series", at: str = "i", x: str = "x") -> DataFrame:
+def click_candidates(
+    df: DataFrame,
+    times: float = 12.0,
+    least: float = 0.05,
+    by: str = "series",
+    at: str = "i",
+    x: str = "x",
+) -> DataFrame:
     """Places whose second difference stands out from the series' median by many median deviations."""
     d = df.withColumn("d", F.abs(second_difference(by, at, x))).where("d is not null")
     m = d.groupBy(by).agg(F.median("d").alias("m"))
@@ -156,8 +178,17 @@ def gaps(df: DataFrame, threshold: float, least: int, by: str = "series", at: st
     d = df.select(by, at, (F.abs(x) < threshold).alias("quiet"), F.row_number().over(w).alias("r"))
     d = d.withColumn("island", F.col("r") - F.row_number().over(Window.partitionBy(by, "quiet").orderBy(at)))
     d = d.withColumns({"first": F.min("r").over(Window.partitionBy(by)), "last": F.max("r").over(Window.partitionBy(by))})
-    runs = d.where("quiet").groupBy(by, "island").agg(F.min(at).alias("start"), F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("b"), F.first("first").alias("first"), F.first("last").alias("last"))
-    return runs.where((F.col("n") >= least) & (F.col("a") > F.col("first")) & (F.col("b") < F.col("last"))).select(by, "start", "n")
+    runs = d.where("quiet").groupBy(by, "island").agg(
+        F.min(at).alias("start"),
+        F.count("*").alias("n"),
+        F.min("r").alias("a"),
+        F.max("r").alias("b"),
+        F.first("first").alias("first"),
+        F.first("last").alias("last"),
+    )
+    return runs.where(
+        (F.col("n") >= least) & (F.col("a") > F.col("first")) & (F.col("b") < F.col("last"))
+    ).select(by, "start", "n")
 
 
 def frames_of(df: DataFrame, size: int, hop: int, by: str = "series", x: str = "x") -> DataFrame:
@@ -165,21 +196,35 @@ def frames_of(df: DataFrame, size: int, hop: int, by: str = "series", x: str = "
     last = F.floor(F.col("r") / hop)
     first = F.greatest(F.lit(0), F.floor((F.col("r") - size) / hop) + 1)
     each = df.select(by, x, F.explode(F.sequence(first, last)).alias("frame"))
-    return each.groupBy(by, "frame").agg(F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"), F.count("*").alias("n")).where(F.col("n") == size).select(by, "frame", "rms")
+    return each.groupBy(by, "frame").agg(
+        F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"),
+        F.count("*").alias("n"),
+    ).where(F.col("n") == size).select(by, "frame", "rms")
 
 
 def snr_db(frames: DataFrame, by: str = "series", most: float = 120.0) -> DataFrame:
     """Loud frames (90th percentile) against the quietest (median of those up to the 5th)."""
     q = frames.groupBy(by).agg(F.percentile("rms", F.array(F.lit(0.05), F.lit(0.9))).alias("q"))
-    noise = frames.join(q, by).where(F.col("rms") <= F.col("q")[0]).groupBy(by).agg(F.median("rms").alias("noise"), F.max(F.col("q")[1]).alias("loud"))
-    return noise.select(by, F.round(F.when(F.col("noise") <= 0, most).otherwise(F.least(F.lit(most), 20 * F.log10(F.col("loud") / F.col("noise")))), 1).alias("snr_db"))
+    noise = frames.join(q, by).where(F.col("rms") <= F.col("q")[0]).groupBy(by).agg(
+        F.median("rms").alias("noise"),
+        F.max(F.col("q")[1]).alias("loud"),
+    )
+    return noise.select(
+        by,
+        F.round(
+            F.when(F.col("noise") <= 0, most).otherwise(F.least(F.lit(most), 20 * F.log10(F.col("loud") / F.col("noise")))),
+            1,
+        ).alias("snr_db"),
+    )
 
 
 def swing_db(frames: DataFrame, by: str = "series", below: float = 60.0) -> DataFrame:
     """Spread (90th to 10th percentile, dB) of frames within 60 dB of the loudest."""
     d = frames.where("rms > 0").withColumn("db", 20 * F.log10("rms"))
     top = d.groupBy(by).agg(F.max("db").alias("top"))
-    return d.join(top, by).where(F.col("db") >= F.col("top") - below).groupBy(by).agg(F.round(F.percentile("db", 0.9) - F.percentile("db", 0.1), 3).alias("swing_db"))
+    return d.join(top, by).where(F.col("db") >= F.col("top") - below).groupBy(by).agg(
+        F.round(F.percentile("db", 0.9) - F.percentile("db", 0.1), 3).alias("swing_db")
+    )
 
 
 def silence_pct(frames: DataFrame, below: float = 60.0, by: str = "series") -> DataFrame:
@@ -214,8 +259,18 @@ def band_levels(power: DataFrame, bands: DataFrame, hz_per_bin: float, by: str =
     """by, band, level_db: power in each band against the whole, no less than -120 dB."""
     p = power.withColumn("hz", F.col("bin") * hz_per_bin)
     whole = p.groupBy(by).agg(F.sum("power").alias("whole"))
-    inside = p.join(F.broadcast(bands), (F.col("hz") >= F.col("lo")) & (F.col("hz") < F.col("hi"))).groupBy(by, "band").agg(F.sum("power").alias("p"))
-    return inside.join(whole, by).select(by, "band", F.round(F.when(F.col("p") / F.col("whole") > 1e-12, 10 * F.log10(F.col("p") / F.col("whole"))).otherwise(FLOOR_DB), 3).alias("level_db"))
+    inside = p.join(
+        F.broadcast(bands),
+        (F.col("hz") >= F.col("lo")) & (F.col("hz") < F.col("hi")),
+    ).groupBy(by, "band").agg(F.sum("power").alias("p"))
+    return inside.join(whole, by).select(
+        by,
+        "band",
+        F.round(
+            F.when(F.col("p") / F.col("whole") > 1e-12, 10 * F.log10(F.col("p") / F.col("whole"))).otherwise(FLOOR_DB),
+            3,
+        ).alias("level_db"),
+    )
 
 
 def spectral_shape(power: DataFrame, hz_per_bin: float, by: str = "series") -> DataFrame:
@@ -231,9 +286,15 @@ def spectral_shape(power: DataFrame, hz_per_bin: float, by: str = "series") -> D
     )
     d = m.join(s, by).withColumn("off", F.col("hz") - F.col("centroid"))
     w = F.col("mag") / F.col("sum")
-    moments = d.groupBy(by).agg(F.sqrt(F.sum(w * F.col("off") ** 2)).alias("spread"), F.sum(w * F.col("off") ** 3).alias("m3"), F.sum(w * F.col("off") ** 4).alias("m4"))
+    moments = d.groupBy(by).agg(
+        F.sqrt(F.sum(w * F.col("off") ** 2)).alias("spread"),
+        F.sum(w * F.col("off") ** 3).alias("m3"),
+        F.sum(w * F.col("off") ** 4).alias("m4"),
+    )
     share = F.sum("mag").over(Window.partitionBy(by).orderBy("bin"))
-    roll = m.withColumn("cum", share).join(s.select(by, "sum"), by).where(F.col("cum") >= 0.85 * F.col("sum") - 1e-12).groupBy(by).agg(F.min("hz").alias("rolloff"))
+    roll = m.withColumn("cum", share).join(s.select(by, "sum"), by).where(
+        F.col("cum") >= 0.85 * F.col("sum") - 1e-12
+    ).groupBy(by).agg(F.min("hz").alias("rolloff"))
     r = lambda c, k=6: F.round(c, k)
     return s.join(moments, by).join(roll, by).select(
         by,
@@ -270,4 +331,7 @@ def aligned_median(df: DataFrame, onsets: DataFrame, most: int, by: str = "serie
     """by, offset, level: the median over onsets of |x| at each offset from them, up to `most` or the next onset."""
     r = regions(onsets, by, at).withColumn("stop", F.least(F.coalesce("end", F.col("start") + most), F.col("start") + most))
     each = r.select(by, "start", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias(at)).where(F.col(at) < 1 << 62)
-    return df.join(each, [by, at]).groupBy(by, (F.col(at) - F.col("start")).alias("offset")).agg(F.round(F.median(F.abs(x)), 6).alias("level"))
+    return df.join(each, [by, at]).groupBy(
+        by,
+        (F.col(at) - F.col("start")).alias("offset"),
+    ).agg(F.round(F.median(F.abs(x)), 6).alias("level"))

@@ -49,7 +49,10 @@ def query_index(index: DataFrame, queries: DataFrame, k: int, block: int = QUERY
     found = None
     for n in range(blocks):
         own = asked.where(F.col("block") == n).toArrow()
-        part = index.select("id", "unit").mapInArrow(_nearest_of(own["query_id"], own["q"], k), "query_id bigint, id bigint, score double")
+        part = index.select("id", "unit").mapInArrow(
+            _nearest_of(own["query_id"], own["q"], k),
+            "query_id bigint, id bigint, score double",
+        )
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
@@ -76,7 +79,14 @@ def _nearest_of(names: pa.ChunkedArray, vectors: pa.ChunkedArray, k: int):
                 key = own.column(0).to_numpy()
                 score = np.round(rows @ np.asarray(own.column(1).flatten()).reshape(-1, dim).T, 6) + 0.0
                 order = np.lexsort((np.broadcast_to(key, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(key[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(ids, order.shape[1])),
+                        pa.array(key[order].ravel()),
+                        pa.array(np.take_along_axis(score, order, 1).ravel()),
+                    ],
+                    ["query_id", "id", "score"],
+                )
 
     return run
 
@@ -100,7 +110,10 @@ def read_vectors(frames: DataFrame, blobs: DataFrame | None = None) -> DataFrame
                         bad = f"decode_failed: {e}"
                 found.append(value)
                 wrong.append(bad)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32())), pa.array(wrong, pa.string())], ["id", "vector", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.float32())), pa.array(wrong, pa.string())],
+                ["id", "vector", "error"],
+            )
 
     joined = own.join(blobs.select("hash", "content"), "hash", "left").select("id", "vector", "content")
     return joined.mapInArrow(load, "id string, vector array<float>, error string")

@@ -23,7 +23,13 @@ def _signals(spark: SparkSession, d: str, stereo: bool = False) -> DataFrame:
     """schema.SIGNAL: a channel of 64 samples, or two of 32."""
     a = F.col("embedding")
     pcm = F.array(F.slice(a, 1, 32), F.slice(a, 33, 32)) if stereo else F.array(a)
-    return read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("signal_id"), F.lit(RATE).alias("sr"), F.lit(2 if stereo else 1).alias("ch"), F.lit(32 if stereo else 64).alias("n"), pcm.alias("pcm"))
+    return read(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("signal_id"),
+        F.lit(RATE).alias("sr"),
+        F.lit(2 if stereo else 1).alias("ch"),
+        F.lit(32 if stereo else 64).alias("n"),
+        pcm.alias("pcm"),
+    )
 
 
 def _digest(signals: DataFrame, *also: str) -> DataFrame:
@@ -43,12 +49,21 @@ def wav_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wav_probe(spark: SparkSession, d: str) -> DataFrame:
-    return wav.probed(_files(spark, d, "PCM_24")).select(F.col("path").cast("bigint").alias("vec_id"), "sr", "ch", "n", "dur", "encoding")
+    return wav.probed(_files(spark, d, "PCM_24")).select(
+        F.col("path").cast("bigint").alias("vec_id"),
+        "sr",
+        "ch",
+        "n",
+        "dur",
+        "encoding",
+    )
 
 
 def _wide(described: DataFrame, **keys: str) -> DataFrame:
     """A row per signal, a column for each key."""
-    return described.groupBy("signal_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for n, k in keys.items()])
+    return described.groupBy("signal_id").agg(
+        *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for n, k in keys.items()]
+    )
 
 
 def kernel_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +72,12 @@ def kernel_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kernel_stereo(spark: SparkSession, d: str) -> DataFrame:
-    rows = _wide(M.describe(_signals(spark, d, True), ("space", "qc")), penalty="space.mono_collapse_penalty_db", correlation="qc.phase.correlation", dc="qc.dc_offset_dbfs")
+    rows = _wide(
+        M.describe(_signals(spark, d, True), ("space", "qc")),
+        penalty="space.mono_collapse_penalty_db",
+        correlation="qc.phase.correlation",
+        dc="qc.dc_offset_dbfs",
+    )
     return rows.select(F.col("signal_id").cast("bigint").alias("vec_id"), "penalty", "correlation", "dc")
 
 
@@ -88,7 +108,13 @@ def _demo(name: str) -> tuple[np.ndarray, int]:
 def demo_loop(spark: SparkSession, d: str) -> DataFrame:
     """The published values of the demo loop."""
     loop = R.table(spark, _demo, ["loop"])
-    rows = _wide(M.describe(loop, ("loudness", "summary")), lufs="loudness.integrated_lufs", dbtp="loudness.true_peak_dbtp", short="loudness.max_short_term_lufs", seconds="dur_s")
+    rows = _wide(
+        M.describe(loop, ("loudness", "summary")),
+        lufs="loudness.integrated_lufs",
+        dbtp="loudness.true_peak_dbtp",
+        short="loudness.max_short_term_lufs",
+        seconds="dur_s",
+    )
     onsets = I.slices(loop).groupBy("signal_id").agg(F.count("*").alias("onsets"))
     return rows.join(onsets, "signal_id")
 
@@ -103,12 +129,21 @@ def _golden(encoding: str):
 def golden_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Content ids of the conformance signals, through the encodings that they are published in."""
     out = None
-    for encoding, names in (("FLOAT", ["silence", "dc", "sine", "ramp", "stereo"]), ("PCM_16", ["ramp"]), ("PCM_24", ["ramp"]), ("DOUBLE", ["third"])):
+    for encoding, names in (
+        ("FLOAT", ["silence", "dc", "sine", "ramp", "stereo"]),
+        ("PCM_16", ["ramp"]),
+        ("PCM_24", ["ramp"]),
+        ("DOUBLE", ["third"]),
+    ):
         signals = R.table(spark, lambda name: (R.golden(name), R.GOLDEN_RATE), names)
         if encoding == "DOUBLE":
             signals = R.table(spark, _golden(encoding), names)
         files = wav.encoded(signals, "FLOAT" if encoding == "DOUBLE" else encoding).withColumnRenamed("signal_id", "path")
-        part = wav.decoded(files).select(F.col("path").alias("name"), F.lit(encoding).alias("encoding"), F.col("signal_id").alias("hash"))
+        part = wav.decoded(files).select(
+            F.col("path").alias("name"),
+            F.lit(encoding).alias("encoding"),
+            F.col("signal_id").alias("hash"),
+        )
         out = part if out is None else out.union(part)
     return out
 
@@ -124,16 +159,38 @@ def _made(name: str) -> tuple[np.ndarray, int]:
         x[30_000] += 0.8
     if name == "gapped":
         x[20_000:22_000] = 0
-    return {"loud": 2 * x, "offset": 0.2 * x + 0.1, "pair": np.repeat(x, 2, 1), "antiphase": np.repeat(x, 2, 1) * [1, -1], "silent": 0 * x}.get(name, x), _RATE
+    return {
+        "loud": 2 * x,
+        "offset": 0.2 * x + 0.1,
+        "pair": np.repeat(x, 2, 1),
+        "antiphase": np.repeat(x, 2, 1) * [1, -1],
+        "silent": 0 * x,
+    }.get(name, x), _RATE
 
 
 def kernel_findings(spark: SparkSession, d: str) -> DataFrame:
     """What the quality checks find in signals with one fault each. Sound sets in again after the gap with a jump, which is a click."""
     made = R.table(spark, _made, list(_MADE))
-    keys = {"clipped": "qc.clipping.detected", "dc": "qc.dc_offset_dbfs", "correlation": "qc.phase.correlation", "lossy": "qc.lossy.confidence", "penalty": "space.mono_collapse_penalty_db", "width": "width.full.correlation", "lufs": "loudness.integrated_lufs", "dbtp": "loudness.true_peak_dbtp"}
+    keys = {
+        "clipped": "qc.clipping.detected",
+        "dc": "qc.dc_offset_dbfs",
+        "correlation": "qc.phase.correlation",
+        "lossy": "qc.lossy.confidence",
+        "penalty": "space.mono_collapse_penalty_db",
+        "width": "width.full.correlation",
+        "lufs": "loudness.integrated_lufs",
+        "dbtp": "loudness.true_peak_dbtp",
+    }
     rows = _wide(M.describe(made, ("qc", "space", "width", "loudness")), **keys)
-    rows = rows.withColumn("dc", F.when(F.col("dc") > -60, F.round("dc", 1))).withColumns({"lufs": F.round("lufs", 0), "dbtp": F.round("dbtp", 1)})
-    marks = M.markers(made).groupBy("signal_id").agg(F.count_if(F.col("label") == "click").alias("clicks"), F.count_if(F.col("label") == "gap").alias("gaps"), F.max(F.when(F.col("label") == "gap", F.col("sample"))).alias("gap_at"), F.max(F.when(F.col("label") == "gap", F.col("dur"))).alias("gap_s"))
+    rows = rows.withColumn("dc", F.when(F.col("dc") > -60, F.round("dc", 1))).withColumns(
+        {"lufs": F.round("lufs", 0), "dbtp": F.round("dbtp", 1)}
+    )
+    marks = M.markers(made).groupBy("signal_id").agg(
+        F.count_if(F.col("label") == "click").alias("clicks"),
+        F.count_if(F.col("label") == "gap").alias("gaps"),
+        F.max(F.when(F.col("label") == "gap", F.col("sample"))).alias("gap_at"),
+        F.max(F.when(F.col("label") == "gap", F.col("dur"))).alias("gap_s"),
+    )
     return rows.join(marks, "signal_id", "left").na.fill(0, ["clicks", "gaps"])
 
 
@@ -159,8 +216,15 @@ def kernel_promises(spark: SparkSession, d: str) -> DataFrame:
     made, out = R.table(spark, _made, ["tone"]), None
     for name, (edit, how, key, places) in _EDITS.items():
         done = E.edited(made, edit, **how)
-        rows = M.describe(done.where("error is null"), ("loudness", "summary")).where(F.col("key") == key).select("signal_id", "value")
-        part = done.select("signal_id", F.col("error").isNotNull().alias("failed")).join(rows, "signal_id", "left").select(F.lit(name).alias("edit"), (F.round("value", places) + 0.0).alias("value"), "failed")
+        rows = M.describe(
+            done.where("error is null"),
+            ("loudness", "summary"),
+        ).where(F.col("key") == key).select("signal_id", "value")
+        part = done.select("signal_id", F.col("error").isNotNull().alias("failed")).join(rows, "signal_id", "left").select(
+            F.lit(name).alias("edit"),
+            (F.round("value", places) + 0.0).alias("value"),
+            "failed",
+        )
         out = part if out is None else out.union(part)
     return out
 
@@ -174,7 +238,13 @@ def kernel_pairs(spark: SparkSession, d: str) -> DataFrame:
         done = E.paired(tone, other, name)
         rows = M.describe(done.where("error is null"), ("summary",)).where("key = 'rms_dbfs'").select("signal_id", "value")
         kept = F.when(F.lit(name == "spectral-match"), F.round("value", 1))
-        part = done.join(rows, "signal_id", "left").select("signal_id", "n", F.concat_ws("+", "lineage").alias("parents"), F.col("error").isNotNull().alias("failed"), kept.alias("level"))
+        part = done.join(rows, "signal_id", "left").select(
+            "signal_id",
+            "n",
+            F.concat_ws("+", "lineage").alias("parents"),
+            F.col("error").isNotNull().alias("failed"),
+            kept.alias("level"),
+        )
         out = part if out is None else out.union(part)
     return out
 

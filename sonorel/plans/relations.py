@@ -34,7 +34,13 @@ _TURNS = "t AS (SELECT conv_id * 1000 + turn AS pos, conv_id || ':' || turn AS i
 
 
 def _blobs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.octet_length("text").alias("size"), "source", "lang")
+    return read(spark, d, "documents").select(
+        "doc_id",
+        F.sha2(F.col("text").cast("binary"), 256).alias("hash"),
+        F.octet_length("text").alias("size"),
+        "source",
+        "lang",
+    )
 
 
 _BLOBS = "b AS (SELECT doc_id, sha256(text) AS hash, strlen(text) AS size, source, lang FROM documents)"
@@ -52,7 +58,14 @@ def corpus_content_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select(F.col("event_id").alias("pos"), F.lit(None).cast("bigint").alias("seq"), F.col("user_id").alias("stream"), F.col("event_type").alias("role"), F.lit("feature").alias("kind"), "value")
+    return read(spark, d, "events").select(
+        F.col("event_id").alias("pos"),
+        F.lit(None).cast("bigint").alias("seq"),
+        F.col("user_id").alias("stream"),
+        F.col("event_type").alias("role"),
+        F.lit("feature").alias("kind"),
+        "value",
+    )
 
 
 def select_last(spark: SparkSession, d: str) -> DataFrame:
@@ -69,13 +82,19 @@ def select_strict_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def select_seq_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Streams where every match has a seq go by seq, the others by place."""
-    t = _turns(spark, d).withColumnRenamed("op", "stream").withColumn("seq", F.when(F.col("stream").cast("long") % 2 == 0, -F.col("pos")).otherwise(F.col("seq")))
+    t = _turns(spark, d).withColumnRenamed("op", "stream").withColumn(
+        "seq",
+        F.when(F.col("stream").cast("long") % 2 == 0, -F.col("pos")).otherwise(F.col("seq")),
+    )
     return R.select(t, by=("stream",)).select("stream", "id")
 
 
 def select_role_fallback(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("kind", F.lit("audio"))
-    return R.audio_for_stage(e, role="error", by=("stream",)).groupBy("stream").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "error").alias("n_role"))
+    return R.audio_for_stage(e, role="error", by=("stream",)).groupBy("stream").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("role") == "error").alias("n_role"),
+    )
 
 
 def resolve_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +119,10 @@ def lineage_ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def passthrough_check(spark: SparkSession, d: str) -> DataFrame:
-    return R.dropped(read(spark, d, "documents").select(F.col("doc_id").alias("id")), read(spark, d, "labels").select(F.col("doc_id").alias("id")))
+    return R.dropped(
+        read(spark, d, "documents").select(F.col("doc_id").alias("id")),
+        read(spark, d, "labels").select(F.col("doc_id").alias("id")),
+    )
 
 
 def id_collisions(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +142,9 @@ def frame_validate(spark: SparkSession, d: str) -> DataFrame:
         media=F.when(F.col("doc_id") % 5 != 0, "audio/wav"),
         data=F.when(F.col("doc_id") % 4 == 0, F.col("text")),
     )
-    return R.validate(f.withColumn("raw", F.col("data"))).select(F.array_join("problems", ", ").alias("problems")).groupBy("problems").agg(F.count("*").alias("n"))
+    return R.validate(f.withColumn("raw", F.col("data"))).select(
+        F.array_join("problems", ", ").alias("problems")
+    ).groupBy("problems").agg(F.count("*").alias("n"))
 
 
 def cas_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +191,24 @@ def refs_except(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id").exceptAll(read(spark, d, "labels").select("doc_id"))
 
 
-_KEYS = ["loudness.integrated_lufs", "loudness.true_peak_dbtp", "qc.dc_offset_dbfs", "envelope.rise_slope_db_ms", "envelope.attack_ms_10_90", "width.bass.correlation", "width.air.side_mid_ratio", "spectrum.band.sub", "spectrum.oct6.1000", "movement.hf_silence_pct", "clarity.low_mid_masking_db", "rhythm.bpm", "qc.lossy.confidence", "timbre.hardness", "qc.lossy.spectral_cutoff_hz", "plain"]
+_KEYS = [
+    "loudness.integrated_lufs",
+    "loudness.true_peak_dbtp",
+    "qc.dc_offset_dbfs",
+    "envelope.rise_slope_db_ms",
+    "envelope.attack_ms_10_90",
+    "width.bass.correlation",
+    "width.air.side_mid_ratio",
+    "spectrum.band.sub",
+    "spectrum.oct6.1000",
+    "movement.hf_silence_pct",
+    "clarity.low_mid_masking_db",
+    "rhythm.bpm",
+    "qc.lossy.confidence",
+    "timbre.hardness",
+    "qc.lossy.spectral_cutoff_hz",
+    "plain",
+]
 
 
 def _keys(spark: SparkSession) -> DataFrame:
@@ -184,55 +225,121 @@ def short_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
     docs = _blobs(spark, d)
-    name, source = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("n"), F.col("doc_id"))), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/a/b/"), F.col("source"), F.lit(".wav")))
-    return docs.select("doc_id", R.candidate_label(name, source, F.lit("source"), F.when(F.col("doc_id") % 2 == 0, F.col("hash")), F.col("doc_id")).alias("label"))
+    name, source = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("n"), F.col("doc_id"))), F.when(
+        F.col("doc_id") % 3 == 1,
+        F.concat(F.lit("/a/b/"), F.col("source"), F.lit(".wav")),
+    )
+    return docs.select(
+        "doc_id",
+        R.candidate_label(
+            name,
+            source,
+            F.lit("source"),
+            F.when(F.col("doc_id") % 2 == 0, F.col("hash")),
+            F.col("doc_id"),
+        ).alias("label"),
+    )
 
 
 def wet_roles(spark: SparkSession, d: str) -> DataFrame:
-    role = F.when(F.col("event_id") % 4 == 0, F.concat("event_type", F.lit(".dry"))).when(F.col("event_id") % 4 == 1, F.concat("event_type", F.lit(".wet"))).when(F.col("event_id") % 4 == 2, F.col("event_type"))
+    role = F.when(
+        F.col("event_id") % 4 == 0,
+        F.concat("event_type", F.lit(".dry")),
+    ).when(F.col("event_id") % 4 == 1, F.concat("event_type", F.lit(".wet"))).when(F.col("event_id") % 4 == 2, F.col("event_type"))
     return read(spark, d, "events").groupBy(R.wet_role(role).alias("role")).agg(F.count("*").alias("n"))
 
 
 def media_extensions(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, "audio/wav").when(F.col("doc_id") % 3 == 1, "text/plain").otherwise("other/kind").alias("media"))
+    docs = read(spark, d, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, "audio/wav").when(F.col("doc_id") % 3 == 1, "text/plain").otherwise("other/kind").alias("media")
+    )
     return docs.groupBy(R.extension(F.col("media")).alias("ext")).agg(F.count("*").alias("n"))
 
 
 def cues_srt(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").select(F.col("conv_id").alias("track"), (F.col("turn") * 2.5).alias("t"), F.lit(1.25).alias("dur"), F.col("text").alias("label"))
+    c = read(spark, d, "conversations").select(
+        F.col("conv_id").alias("track"),
+        (F.col("turn") * 2.5).alias("t"),
+        F.lit(1.25).alias("dur"),
+        F.col("text").alias("label"),
+    )
     return X.cue_lines(c, ["track"], "srt")
 
 
 def cues_lrc(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").select(F.col("conv_id").alias("track"), (F.col("turn") * 61.375).alias("t"), F.lit(0.0).alias("dur"), F.col("text").alias("label"))
+    c = read(spark, d, "conversations").select(
+        F.col("conv_id").alias("track"),
+        (F.col("turn") * 61.375).alias("t"),
+        F.lit(0.0).alias("dur"),
+        F.col("text").alias("label"),
+    )
     return X.cue_lines(c, ["track"], "lrc")
 
 
 def caption(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", X.caption(F.col("n_chars") / 100.0, F.lit(44100), F.col("doc_id") % 2 + 1, -F.col("n_chars") / 10.0, F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 3 == 0, -0.25), F.lit(0.0), F.lit(60.0)).alias("caption"))
+    return docs.select(
+        "doc_id",
+        X.caption(
+            F.col("n_chars") / 100.0,
+            F.lit(44100),
+            F.col("doc_id") % 2 + 1,
+            -F.col("n_chars") / 10.0,
+            F.col("doc_id") % 5 == 0,
+            F.when(F.col("doc_id") % 3 == 0, -0.25),
+            F.lit(0.0),
+            F.lit(60.0),
+        ).alias("caption"),
+    )
 
 
 def pattern_expand(spark: SparkSession, d: str) -> DataFrame:
-    hits = [("kick", "k.wav", 1, 1.0, None, None), ("kick", "k.wav", 9, 0.5, None, [1, 3]), ("hat", "h.wav", 3, 0.25, -6.0, None), ("hat", "h.wav", 4, 0.0, None, None), ("hat", "h.wav", 6, 0.8, None, [2])]
+    hits = [
+        ("kick", "k.wav", 1, 1.0, None, None),
+        ("kick", "k.wav", 9, 0.5, None, [1, 3]),
+        ("hat", "h.wav", 3, 0.25, -6.0, None),
+        ("hat", "h.wav", 4, 0.0, None, None),
+        ("hat", "h.wav", 6, 0.8, None, [2]),
+    ]
     h = spark.createDataFrame(hits, "track string, source string, step int, velocity double, gain_db double, bars array<int>")
-    return X.expand_pattern(h, bars=4, grid=16, swing=0.1).select("track", "bar", "step", F.round("beat", 6).alias("beat"), F.round("gain_db", 4).alias("gain_db"), "at")
+    return X.expand_pattern(h, bars=4, grid=16, swing=0.1).select(
+        "track",
+        "bar",
+        "step",
+        F.round("beat", 6).alias("beat"),
+        F.round("gain_db", 4).alias("gain_db"),
+        "at",
+    )
 
 
 def midi_events_top(spark: SparkSession, d: str) -> DataFrame:
-    notes = read(spark, d, "events").select(F.col("user_id").alias("stream"), (F.col("event_id") % 128).cast("int").alias("pitch"), (F.col("event_id") / 10.0).alias("start"), (F.col("event_id") / 10.0 + 0.5).alias("end"), F.lit(64).alias("velocity"))
+    notes = read(spark, d, "events").select(
+        F.col("user_id").alias("stream"),
+        (F.col("event_id") % 128).cast("int").alias("pitch"),
+        (F.col("event_id") / 10.0).alias("start"),
+        (F.col("event_id") / 10.0 + 0.5).alias("end"),
+        F.lit(64).alias("velocity"),
+    )
     return X.midi_events(notes, ["stream"]).select("stream", "place", "pitch", "start")
 
 
 def frames_text(spark: SparkSession, d: str) -> DataFrame:
     """Ids come from what a frame is: as many as there are different frames."""
     f = R.text_frames(read(spark, d, "documents"), F.col("text"), role=F.col("lang"), pos=F.col("doc_id"))
-    return f.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.size(R.problems()) > 0).alias("bad"))
+    return f.groupBy("role").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("id").alias("ids"),
+        F.count_if(F.size(R.problems()) > 0).alias("bad"),
+    )
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     """A frame of each kind for each label, from the typed constructors."""
-    rows = read(spark, d, "labels").join(_blobs(spark, d), "doc_id").select("*", F.concat(F.lit("blake3:"), "hash").alias("h"), F.concat(F.lit("f"), "doc_id").alias("name"))
+    rows = read(spark, d, "labels").join(_blobs(spark, d), "doc_id").select(
+        "*",
+        F.concat(F.lit("blake3:"), "hash").alias("h"),
+        F.concat(F.lit("f"), "doc_id").alias("name"),
+    )
     scores = F.struct(F.col("quality"), F.col("toxic"))
     rollup = F.struct(F.struct(F.when(F.col("toxic") == 1, "cut").otherwise("keep").alias("decision")).alias("rollup"))
     short, points = F.array(F.lit(0.5), F.lit(-0.25)), F.array(F.struct(F.lit(0.5).alias("t"), F.col("lang").alias("label")))
@@ -242,7 +349,14 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
         R.feature_frames(rows, scores, of=F.col("name")),
         R.marker_frames(rows, points, of=F.col("name")),
         R.verdict_frames(rows, rollup, F.col("name"), F.array("name", "h"), F.lit("v1")),
-        R.vector_frames(rows, F.lit("m"), F.lit(2), F.when(F.col("toxic") == 0, short), F.when(F.col("toxic") == 1, F.col("h")), of=F.col("name")),
+        R.vector_frames(
+            rows,
+            F.lit("m"),
+            F.lit(2),
+            F.when(F.col("toxic") == 0, short),
+            F.when(F.col("toxic") == 1, F.col("h")),
+            of=F.col("name"),
+        ),
     ]
     out = made[0]
     for more in made[1:]:
@@ -253,25 +367,40 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 def frames_typed(spark: SparkSession, d: str) -> DataFrame:
     f = R.validate(_typed(spark, d))
     mark = F.get_json_object("meta", "$.dim").cast("int")
-    return f.groupBy("kind", "role", "media").agg(F.count("*").alias("n"), F.count_if(F.size("problems") > 0).alias("bad"), F.count_if(F.col("id").rlike(R.S.HASH_PATTERN)).alias("stamped"), F.max(mark).alias("dim"))
+    return f.groupBy("kind", "role", "media").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.size("problems") > 0).alias("bad"),
+        F.count_if(F.col("id").rlike(R.S.HASH_PATTERN)).alias("stamped"),
+        F.max(mark).alias("dim"),
+    )
 
 
 def select_stage(spark: SparkSession, d: str) -> DataFrame:
     t = _turns(spark, d).withColumn("seq", F.lit(None).cast("bigint"))
     out = R.select_stage(t, role="user")
-    return out.select("pos", "kind", "role", F.when(F.col("kind") == "marker", F.get_json_object("data", "$[0].label")).otherwise(F.col("id")).alias("names"))
+    return out.select(
+        "pos",
+        "kind",
+        "role",
+        F.when(F.col("kind") == "marker", F.get_json_object("data", "$[0].label")).otherwise(F.col("id")).alias("names"),
+    )
 
 
 def check_all(spark: SparkSession, d: str) -> DataFrame:
     """A stage that lost the assistant's turns, and put every fifth of the others before the start."""
     t = _turns(spark, d)
-    after = t.where("role is distinct from 'assistant'").withColumn("pos", F.when(F.col("pos") % 5 == 0, -F.col("pos")).otherwise(F.col("pos")))
+    after = t.where("role is distinct from 'assistant'").withColumn(
+        "pos",
+        F.when(F.col("pos") % 5 == 0, -F.col("pos")).otherwise(F.col("pos")),
+    )
     return R.check_all(t, after).groupBy("check").agg(F.count("*").alias("n"))
 
 
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return R.duplicate_ids(R.frame(docs, id=F.substring("text", 1, 12), kind=F.lit("text"), role=F.col("lang"), data=F.col("text")))
+    return R.duplicate_ids(
+        R.frame(docs, id=F.substring("text", 1, 12), kind=F.lit("text"), role=F.col("lang"), data=F.col("text"))
+    )
 
 
 def blob_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -282,37 +411,89 @@ def blob_paths(spark: SparkSession, d: str) -> DataFrame:
 def gc_dry_run(spark: SparkSession, d: str) -> DataFrame:
     blobs = _blobs(spark, d).groupBy("hash").agg((F.min("doc_id") * 10).cast("double").alias("age_seconds"))
     refs = _blobs(spark, d).join(read(spark, d, "labels"), "doc_id", "left_semi")
-    return R.remove_garbage(R.collect_garbage(blobs, refs, 0.5).withColumn("path", F.col("hash")), "file:///nowhere", dry_run=True)
+    return R.remove_garbage(
+        R.collect_garbage(blobs, refs, 0.5).withColumn("path", F.col("hash")),
+        "file:///nowhere",
+        dry_run=True,
+    )
 
 
 def frames_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Events as lines of JSON, read as frames."""
     e = read(spark, d, "events")
-    line = F.to_json(F.struct(F.lit(1).alias("v"), F.lit("feature").alias("kind"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("role"), F.struct(F.col("value")).alias("data"), F.array(F.lit("a"), F.col("event_type")).alias("lineage")))
-    return RD.parse_frames(e.select(F.col("event_id").alias("pos"), line.alias("value"))).select("pos", "v", "kind", "id", "role", F.size("lineage").alias("parents"), F.round(R.scalar(F.col("data"), "$.value"), 6).alias("value"))
+    line = F.to_json(
+        F.struct(
+            F.lit(1).alias("v"),
+            F.lit("feature").alias("kind"),
+            F.col("event_id").cast("string").alias("id"),
+            F.col("event_type").alias("role"),
+            F.struct(F.col("value")).alias("data"),
+            F.array(F.lit("a"), F.col("event_type")).alias("lineage"),
+        )
+    )
+    return RD.parse_frames(e.select(F.col("event_id").alias("pos"), line.alias("value"))).select(
+        "pos",
+        "v",
+        "kind",
+        "id",
+        "role",
+        F.size("lineage").alias("parents"),
+        F.round(R.scalar(F.col("data"), "$.value"), 6).alias("value"),
+    )
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
     """A segment for each turn, with its words; every third turn has no end, and words have no times but the first's."""
     c = read(spark, d, "conversations").where("text is not null")
     parts = F.split("text", " ")
-    words = F.transform(parts, lambda w, i: F.struct(F.when(i == 0, F.col("turn") * 2.5 + 0.5).alias("start"), F.when(i == 0, F.col("turn") * 2.5 + 0.75).alias("end"), w.alias("word")))
-    segment = F.struct((F.col("turn") * 2.5).alias("start"), F.when(F.col("turn") % 3 != 0, F.col("turn") * 2.5 + 1.25).alias("end"), F.col("text").alias("text"), words.alias("words"))
-    return c.groupBy("conv_id").agg(F.collect_list(segment).alias("segments")).select(F.col("conv_id").alias("of"), F.lit(44100).alias("sr"), "segments")
+    words = F.transform(
+        parts,
+        lambda w, i: F.struct(
+            F.when(i == 0, F.col("turn") * 2.5 + 0.5).alias("start"),
+            F.when(i == 0, F.col("turn") * 2.5 + 0.75).alias("end"),
+            w.alias("word"),
+        ),
+    )
+    segment = F.struct(
+        (F.col("turn") * 2.5).alias("start"),
+        F.when(F.col("turn") % 3 != 0, F.col("turn") * 2.5 + 1.25).alias("end"),
+        F.col("text").alias("text"),
+        words.alias("words"),
+    )
+    return c.groupBy("conv_id").agg(F.collect_list(segment).alias("segments")).select(
+        F.col("conv_id").alias("of"),
+        F.lit(44100).alias("sr"),
+        "segments",
+    )
 
 
 def transcript_points(spark: SparkSession, d: str) -> DataFrame:
     p = X.transcript_points(_transcripts(spark, d))
-    return p.groupBy("of", "role").agg(F.count("*").alias("n"), F.sum("sample").alias("samples"), F.round(F.sum("dur"), 6).alias("dur"), F.sum(F.length("label")).alias("letters"))
+    return p.groupBy("of", "role").agg(
+        F.count("*").alias("n"),
+        F.sum("sample").alias("samples"),
+        F.round(F.sum("dur"), 6).alias("dur"),
+        F.sum(F.length("label")).alias("letters"),
+    )
 
 
 def cues_collected(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as streams: of three, one has segments and words, one has words alone, and one has only texts."""
     c = read(spark, d, "conversations")
     kind = F.when(F.col("conv_id") % 3 == 2, "text").otherwise("marker")
-    role = F.when(F.col("conv_id") % 3 == 2, "lyrics").when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 0), "segment").otherwise("word")
+    role = F.when(F.col("conv_id") % 3 == 2, "lyrics").when(
+        (F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 0),
+        "segment",
+    ).otherwise("word")
     point = F.to_json(F.array(F.struct((F.col("turn") * 2.5).alias("t"), F.lit(1.25).alias("dur"), F.col("text").alias("label"))))
-    f = R.frame(c, pos=F.col("turn"), kind=kind, role=role, data=F.when(kind == "text", F.col("text")).otherwise(point), op=F.col("conv_id"))
+    f = R.frame(
+        c,
+        pos=F.col("turn"),
+        kind=kind,
+        role=role,
+        data=F.when(kind == "text", F.col("text")).otherwise(point),
+        op=F.col("conv_id"),
+    )
     return X.collect_cues(f.withColumn("track", F.col("op").cast("bigint")), ["track"])
 
 
@@ -320,19 +501,53 @@ def vectors_read(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with an odd id lie in blobs, the others in their frames."""
     v = read(spark, d, "embeddings").withColumn("odd", F.col("vec_id") % 2 == 1)
     text = F.to_json(F.transform("embedding", lambda x: x.cast("double")))
-    f = R.frame(v, kind=F.lit("vector"), id=F.col("vec_id"), data=F.when(~F.col("odd"), text), hash=F.when(F.col("odd"), F.concat(F.lit("b"), "vec_id")))
+    f = R.frame(
+        v,
+        kind=F.lit("vector"),
+        id=F.col("vec_id"),
+        data=F.when(~F.col("odd"), text),
+        hash=F.when(F.col("odd"), F.concat(F.lit("b"), "vec_id")),
+    )
     blobs = V.npy_blobs(v.where("odd").select(F.concat(F.lit("b"), "vec_id").alias("hash"), F.col("embedding").alias("vector")))
     weighted = F.transform("vector", lambda x, i: x.cast("double") * (i + 1))
     total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
-    return V.read_vectors(f, blobs).select(F.col("id").cast("bigint").alias("vec_id"), F.size("vector").alias("dim"), "error", F.round(total, 6).alias("y"))
+    return V.read_vectors(f, blobs).select(
+        F.col("id").cast("bigint").alias("vec_id"),
+        F.size("vector").alias("dim"),
+        "error",
+        F.round(total, 6).alias("y"),
+    )
 
 
 def report_sections(spark: SparkSession, d: str) -> DataFrame:
-    f = R.frame(read(spark, d, "documents"), pos=F.col("doc_id"), kind=F.lit("text"), id=F.col("doc_id"), of=F.col("lang"), data=F.col("text"))
+    f = R.frame(
+        read(spark, d, "documents"),
+        pos=F.col("doc_id"),
+        kind=F.lit("text"),
+        id=F.col("doc_id"),
+        of=F.col("lang"),
+        data=F.col("text"),
+    )
     return RP.report_rows(f).select("section", "of", "line", "text")
 
 
-_UNITS_SQL = "CASE key " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, u in [("loudness.integrated_lufs", "LUFS"), ("loudness.true_peak_dbtp", "dBTP"), ("qc.dc_offset_dbfs", "dBFS"), ("envelope.rise_slope_db_ms", "dB/ms"), ("envelope.attack_ms_10_90", "ms"), ("width.bass.correlation", "−1..1"), ("width.air.side_mid_ratio", "ratio"), ("movement.hf_silence_pct", "%"), ("clarity.low_mid_masking_db", "dB"), ("rhythm.bpm", "BPM"), ("qc.lossy.confidence", "0–1"), ("timbre.hardness", "0–100"), ("qc.lossy.spectral_cutoff_hz", "Hz")]) + " ELSE '' END"
+_UNITS_SQL = "CASE key " + " ".join(
+    f"WHEN '{k}' THEN '{u}'" for k, u in [
+        ("loudness.integrated_lufs", "LUFS"),
+        ("loudness.true_peak_dbtp", "dBTP"),
+        ("qc.dc_offset_dbfs", "dBFS"),
+        ("envelope.rise_slope_db_ms", "dB/ms"),
+        ("envelope.attack_ms_10_90", "ms"),
+        ("width.bass.correlation", "−1..1"),
+        ("width.air.side_mid_ratio", "ratio"),
+        ("movement.hf_silence_pct", "%"),
+        ("clarity.low_mid_masking_db", "dB"),
+        ("rhythm.bpm", "BPM"),
+        ("qc.lossy.confidence", "0–1"),
+        ("timbre.hardness", "0–100"),
+        ("qc.lossy.spectral_cutoff_hz", "Hz"),
+    ]
+) + " ELSE '' END"
 _KEYS_SQL = "(VALUES " + ", ".join(f"('{k}')" for k in _KEYS) + ") k(key)"
 _PROBLEMS = [
     ("v IS NULL", "missing v"),
@@ -343,10 +558,18 @@ _PROBLEMS = [
     ("data IS NOT NULL AND strlen(data) > 65536", "inline data too large"),
     ("kind = 'audio' AND hash IS NULL AND data IS NULL", "no payload"),
 ]
-_TYPED = [("audio", "NULL", "'audio/wav'", "NULL"), ("image", "'spectrogram'", "'image/png'", "NULL"), ("feature", "NULL", "NULL", "NULL"), ("marker", "'onset'", "NULL", "NULL"), ("verdict", "NULL", "NULL", "NULL")]
+_TYPED = [
+    ("audio", "NULL", "'audio/wav'", "NULL"),
+    ("image", "'spectrogram'", "'image/png'", "NULL"),
+    ("feature", "NULL", "NULL", "NULL"),
+    ("marker", "'onset'", "NULL", "NULL"),
+    ("verdict", "NULL", "NULL", "NULL"),
+]
 SQL = {
     "frames_text": "SELECT lang AS role, count(*) AS n, count(DISTINCT text) AS ids, count(*) FILTER (WHERE strlen(text) > 65536) AS bad FROM documents GROUP BY lang",
-    "frames_typed": "WITH l AS (SELECT l.* FROM labels l JOIN documents USING (doc_id)), c AS (SELECT count(*) AS n FROM l) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, {r}::VARCHAR AS role, {m}::VARCHAR AS media, n, 0::BIGINT AS bad, n AS stamped, {dim}::INTEGER AS dim FROM c" for k, r, m, dim in _TYPED) + " UNION ALL SELECT 'vector', NULL, CASE WHEN toxic = 1 THEN 'application/x-npy' END, count(*), 0, count(*), 2 FROM l GROUP BY ALL",
+    "frames_typed": "WITH l AS (SELECT l.* FROM labels l JOIN documents USING (doc_id)), c AS (SELECT count(*) AS n FROM l) " + " UNION ALL ".join(
+        f"SELECT '{k}' AS kind, {r}::VARCHAR AS role, {m}::VARCHAR AS media, n, 0::BIGINT AS bad, n AS stamped, {dim}::INTEGER AS dim FROM c" for k, r, m, dim in _TYPED
+    ) + " UNION ALL SELECT 'vector', NULL, CASE WHEN toxic = 1 THEN 'application/x-npy' END, count(*), 0, count(*), 2 FROM l GROUP BY ALL",
     "select_stage": f"WITH {_TURNS} SELECT pos, 'text' AS kind, role, id AS names FROM t UNION ALL SELECT max(pos) + 1, 'marker', 'selected', arg_max(id, pos) FILTER (WHERE role = 'user') FROM t",
     "check_all": f"WITH {_TURNS}, a AS (SELECT id, of, CASE WHEN pos % 5 = 0 THEN -pos ELSE pos END AS pos FROM t WHERE role IS DISTINCT FROM 'assistant'), x AS (SELECT 'passthrough' AS check, id FROM t WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT 'lineage', id FROM a WHERE of IS NOT NULL AND of NOT IN (SELECT id FROM a) UNION ALL SELECT 'ordering', a.id FROM a JOIN a b ON a.of = b.id WHERE b.pos >= a.pos) SELECT \"check\", count(*) AS n FROM x GROUP BY 1",
     "duplicate_ids": "SELECT substring(text, 1, 12) AS id FROM documents GROUP BY 1 HAVING count(DISTINCT (lang, text)) > 1",
@@ -370,7 +593,9 @@ SQL = {
     "lineage_ancestors": f"WITH RECURSIVE {_TURNS}, r AS (SELECT id AS child, of AS anc FROM t WHERE of IS NOT NULL UNION SELECT r.child, t.of FROM r JOIN t ON r.anc = t.id WHERE t.of IS NOT NULL) SELECT child, count(*) AS n FROM r GROUP BY child",
     "passthrough_check": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "id_collisions": "SELECT substring(text, 1, 12) AS id, count(DISTINCT (lang, text)) AS shapes FROM documents GROUP BY 1 HAVING count(DISTINCT (lang, text)) > 1",
-    "frame_validate": "WITH f AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END END AS v, CASE WHEN doc_id % 3 = 0 THEN 'audio' ELSE 'text' END AS kind, CASE WHEN doc_id % 17 <> 0 THEN doc_id::VARCHAR END AS id, CASE WHEN doc_id % 2 = 0 THEN 'h' END AS hash, CASE WHEN doc_id % 5 <> 0 THEN 'm' END AS media, CASE WHEN doc_id % 4 = 0 THEN text END AS data FROM documents) SELECT concat_ws(', ', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _PROBLEMS) + ") AS problems, count(*) AS n FROM f GROUP BY 1",
+    "frame_validate": "WITH f AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END END AS v, CASE WHEN doc_id % 3 = 0 THEN 'audio' ELSE 'text' END AS kind, CASE WHEN doc_id % 17 <> 0 THEN doc_id::VARCHAR END AS id, CASE WHEN doc_id % 2 = 0 THEN 'h' END AS hash, CASE WHEN doc_id % 5 <> 0 THEN 'm' END AS media, CASE WHEN doc_id % 4 = 0 THEN text END AS data FROM documents) SELECT concat_ws(', ', " + ", ".join(
+        f"CASE WHEN {c} THEN '{n}' END" for c, n in _PROBLEMS
+    ) + ") AS problems, count(*) AS n FROM f GROUP BY 1",
     "cas_dedup": f"WITH {_BLOBS} SELECT hash, count(*) AS refs, min(size) AS size FROM b GROUP BY hash HAVING count(*) > 1",
     "cas_put": f"WITH {_BLOBS} SELECT DISTINCT hash, size FROM b WHERE doc_id % 2 = 1 AND hash NOT IN (SELECT hash FROM b WHERE doc_id % 2 = 0)",
     "gc_summary": f"WITH {_BLOBS}, x AS (SELECT hash, min(doc_id) * 10 AS age FROM b GROUP BY hash), r AS (SELECT DISTINCT hash FROM b WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT CASE WHEN hash IN (SELECT hash FROM r) THEN 'kept' WHEN age < 3600 THEN 'reserved' ELSE 'removed' END AS fate, count(*) AS n FROM x GROUP BY 1",
@@ -385,7 +610,9 @@ SQL = {
     "candidate_labels": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'n' || doc_id WHEN doc_id % 3 = 1 THEN source || '.wav' WHEN doc_id % 2 = 0 THEN substring(sha256(text), 1, 8) ELSE 'cand-' || doc_id END AS label FROM documents",
     "wet_roles": "SELECT CASE WHEN event_id % 4 = 3 THEN 'edit' ELSE event_type END || '.wet' AS role, count(*) AS n FROM events GROUP BY 1",
     "media_extensions": "SELECT CASE doc_id % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'txt' ELSE 'bin' END AS ext, count(*) AS n FROM documents GROUP BY 1",
-    "cues_srt": "WITH c AS (SELECT conv_id AS track, (turn * 2500)::BIGINT AS ms, text AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> '') SELECT track, n, n || chr(10) || " + " || ' --> ' || ".join(f"printf('%02d:%02d:%02d,%03d', ({t}) // 3600000, ({t}) // 60000 % 60, ({t}) // 1000 % 60, ({t}) % 1000)" for t in ("ms", "ms + 1250")) + " || chr(10) || label AS line FROM c",
+    "cues_srt": "WITH c AS (SELECT conv_id AS track, (turn * 2500)::BIGINT AS ms, text AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> '') SELECT track, n, n || chr(10) || " + " || ' --> ' || ".join(
+        f"printf('%02d:%02d:%02d,%03d', ({t}) // 3600000, ({t}) // 60000 % 60, ({t}) // 1000 % 60, ({t}) % 1000)" for t in ("ms", "ms + 1250")
+    ) + " || chr(10) || label AS line FROM c",
     "cues_lrc": "WITH c AS (SELECT conv_id AS track, (turn * 61375 / 10)::DOUBLE AS x, text AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> ''), d AS (SELECT *, round(x)::BIGINT AS cs FROM c) SELECT track, n, printf('[%02d:%02d.%02d]', cs // 6000, cs // 100 % 60, cs % 100) || label AS line FROM d",
     "pattern_expand": "WITH h(track, step, velocity, gain_db, bars) AS (VALUES ('kick', 1, 1.0::DOUBLE, NULL::DOUBLE, NULL::INTEGER[]), ('kick', 9, 0.5, NULL, [1, 3]), ('hat', 3, 0.25, -6.0, NULL), ('hat', 6, 0.8, NULL, [2])), x AS (SELECT *, (bar - 1) * 4 + (step - 1) * 0.25::DOUBLE + CASE WHEN step % 2 = 0 THEN 0.1 * 0.25 ELSE 0 END AS beat FROM h, range(1, 5) r(bar) WHERE bars IS NULL OR list_contains(bars, bar)) SELECT track, bar::INTEGER AS bar, step, round(beat, 6) AS beat, round(coalesce(gain_db, greatest(-40, least(0, 20 * log10(velocity)))), 4) AS gain_db, printf('%d.%d.%03d', (floor(beat / 4) + 1)::BIGINT, (floor(beat - 4 * floor(beat / 4)) + 1)::BIGINT, round((beat - floor(beat)) * 1000)::BIGINT) AS at FROM x",
     "midi_events_top": "SELECT stream, place, pitch, start FROM (SELECT user_id AS stream, (event_id % 128)::INTEGER AS pitch, event_id / 10.0::DOUBLE AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id / 10.0::DOUBLE, event_id % 128) AS place FROM events) WHERE place <= 512",

@@ -39,7 +39,13 @@ def profile_build(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_domain(spark: SparkSession, d: str) -> DataFrame:
-    rows = [read(spark, d, t).select(F.lit(t).alias("role"), F.lit("acctbal").alias("key"), F.col(c).alias("value")) for t, c in (("customer", "c_acctbal"), ("supplier", "s_acctbal"))]
+    rows = [
+        read(spark, d, t).select(
+            F.lit(t).alias("role"),
+            F.lit("acctbal").alias("key"),
+            F.col(c).alias("value"),
+        ) for t, c in (("customer", "c_acctbal"), ("supplier", "s_acctbal"))
+    ]
     return P.build_profile(rows[0].union(rows[1]))
 
 
@@ -69,18 +75,46 @@ def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).select("role", "id", "distance", "max_abs", "n_axes", "min_n", "worst", "confidence", "reason", "decision", "score")
+    return _judged(spark, d).select(
+        "role",
+        "id",
+        "distance",
+        "max_abs",
+        "n_axes",
+        "min_n",
+        "worst",
+        "confidence",
+        "reason",
+        "decision",
+        "score",
+    )
 
 
 def verdict_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).groupBy("role", "decision", "confidence").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    return _judged(spark, d).groupBy("role", "decision", "confidence").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("distance"), 6).alias("mean_distance"),
+    )
 
 
 def verdict_thin_corpus(spark: SparkSession, d: str) -> DataFrame:
-    part = read(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("role"), F.col("p_partkey").alias("id"), F.lit(0).alias("pos"), "p_retailprice")
+    part = read(spark, d, "part").select(
+        F.concat_ws("/", "p_brand", "p_size").alias("role"),
+        F.col("p_partkey").alias("id"),
+        F.lit(0).alias("pos"),
+        "p_retailprice",
+    )
     f = P.to_long(part, ["role", "id", "pos"], ["p_retailprice"])
     axes = P.score_axes(P.last_features(f, ["role", "id"]), _small(P.build_profile(f)), ["role", "key"])
-    return P.judge(P.score_candidates(axes, ["role", "id"])).select("role", "id", "max_abs", "min_n", "confidence", "reason", "decision")
+    return P.judge(P.score_candidates(axes, ["role", "id"])).select(
+        "role",
+        "id",
+        "max_abs",
+        "min_n",
+        "confidence",
+        "reason",
+        "decision",
+    )
 
 
 def axes_tolerance(spark: SparkSession, d: str) -> DataFrame:
@@ -89,17 +123,37 @@ def axes_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdict_axes(spark: SparkSession, d: str) -> DataFrame:
-    return _axes(spark, d).select("role", "id", "key", F.round("value", 6).alias("measured"), F.col("median").alias("ref_median"), F.col("mad").alias("ref_mad"), F.col("n").alias("ref_n"), (F.round(F.col("z") + 1e-9, 4) + 0.0).alias("z"), F.col("band").alias("verdict"))
+    return _axes(spark, d).select(
+        "role",
+        "id",
+        "key",
+        F.round("value", 6).alias("measured"),
+        F.col("median").alias("ref_median"),
+        F.col("mad").alias("ref_mad"),
+        F.col("n").alias("ref_n"),
+        (F.round(F.col("z") + 1e-9, 4) + 0.0).alias("z"),
+        F.col("band").alias("verdict"),
+    )
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
-    entries = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "listen").when(F.col("quality") == 1, "keep").otherwise("cut").alias("human_verdict"), F.lit("v1").alias("feature_schema"))
+    entries = labels.select(
+        F.col("doc_id").alias("id"),
+        F.when(F.col("toxic") == 1, "listen").when(F.col("quality") == 1, "keep").otherwise("cut").alias("human_verdict"),
+        F.lit("v1").alias("feature_schema"),
+    )
     # A role that the profile doesn't know.
     role = F.when(F.col("source") == "src0", "unknown").otherwise(F.col("lang"))
     entries = docs.select(F.col("doc_id").alias("id"), role.alias("role")).join(entries, "id")
-    features = docs.select(F.col("doc_id").alias("id"), F.lit("n_chars").alias("key"), F.col("n_chars").cast("double").alias("value"))
-    profile = P.build_profile(docs.select(F.col("lang").alias("role"), F.lit("n_chars").alias("key"), F.col("n_chars").cast("double").alias("value")))
+    features = docs.select(
+        F.col("doc_id").alias("id"),
+        F.lit("n_chars").alias("key"),
+        F.col("n_chars").cast("double").alias("value"),
+    )
+    profile = P.build_profile(
+        docs.select(F.col("lang").alias("role"), F.lit("n_chars").alias("key"), F.col("n_chars").cast("double").alias("value"))
+    )
     return C.score_entries(entries, features, _small(profile), "v2")
 
 
@@ -139,7 +193,13 @@ def profile_overlay(spark: SparkSession, d: str) -> DataFrame:
     """How far each candidate lies from its profile's median and percentiles."""
     a = _axes(spark, d)
     t = F.when(F.col("domain") == "log10", F.log10(F.when(F.col("value") > 0, F.col("value")))).otherwise(F.col("value"))
-    return a.select("role", "id", "key", (F.round(t - F.col("median"), 2) + 0.0).alias("delta"), t.between(F.col("p10"), F.col("p90")).alias("inside"))
+    return a.select(
+        "role",
+        "id",
+        "key",
+        (F.round(t - F.col("median"), 2) + 0.0).alias("delta"),
+        t.between(F.col("p10"), F.col("p90")).alias("inside"),
+    )
 
 
 _SCORED_SQL = f"""WITH src AS (SELECT lang AS role, 'n_chars' AS key, n_chars::DOUBLE AS value FROM documents), {T.profile_sql("src")},
@@ -171,7 +231,9 @@ SQL = {
     "confusion_matrix": _SCORED_SQL + "SELECT a.class AS human, b.class AS gate, (SELECT count(*) FROM ok WHERE human = a.class AND gate = b.class) AS n FROM classes a, classes b",
     "per_class_metrics": _SCORED_SQL + f", {_METRICS_SQL} SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, CASE WHEN p = 0 OR r = 0 THEN 0.0::DOUBLE ELSE round(2 * p * r / (p + r), 6) END AS f1, support::BIGINT AS support FROM m2",
     "gate_accuracy": _SCORED_SQL + "SELECT round(count(*) FILTER (WHERE gate = 'keep' AND human = 'keep') / nullif(count(*) FILTER (WHERE gate = 'keep'), 0), 6) AS auto_keep, round(count(*) FILTER (WHERE gate = 'cut' AND human = 'cut') / nullif(count(*) FILTER (WHERE gate = 'cut'), 0), 6) AS auto_cut, round(count(*) FILTER (WHERE gate = human) / nullif(count(*), 0), 6) AS overall, count(*) AS n, coalesce(count(*) FILTER (WHERE gate = 'keep' AND human = 'keep') / nullif(count(*) FILTER (WHERE gate = 'keep'), 0) >= 0.85, false) AS meets_target FROM ok",
-    "axis_contribution": _SCORED_SQL + "SELECT coalesce(worst, '(none)') AS axis, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {w} = '{c}') AS {w}_{c}" for w in ("human", "gate") for c in C.CLASSES) + ", round(count(*) FILTER (WHERE human = gate) / count(*), 6) AS agree FROM ok GROUP BY 1",
+    "axis_contribution": _SCORED_SQL + "SELECT coalesce(worst, '(none)') AS axis, count(*) AS n, " + ", ".join(
+        f"count(*) FILTER (WHERE {w} = '{c}') AS {w}_{c}" for w in ("human", "gate") for c in C.CLASSES
+    ) + ", round(count(*) FILTER (WHERE human = gate) / count(*), 6) AS agree FROM ok GROUP BY 1",
     "threshold_sweep": _SCORED_SQL + _SWEEP_SQL + " SELECT lever, value, count(*) FILTER (WHERE again = verdict) AS n, round(count(*) FILTER (WHERE again = verdict AND human = verdict) / nullif(count(*) FILTER (WHERE again = verdict), 0), 6) AS accuracy FROM x GROUP BY lever, value",
     "backtest_report": _SCORED_SQL
     + f", {_METRICS_SQL}"

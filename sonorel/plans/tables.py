@@ -16,12 +16,19 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def line_features(spark: SparkSession, d: str) -> DataFrame:
     """role, order, pos, key, value of line items."""
-    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("role"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), *LINE_KEYS)
+    rows = read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("role"),
+        F.col("l_orderkey").alias("id"),
+        F.col("l_linenumber").alias("pos"),
+        *LINE_KEYS,
+    )
     return P.to_long(rows, ["role", "id", "pos"], LINE_KEYS)
 
 
 #: DuckDB views that the queries' SQL begins with.
-FEATURES_SQL = "f AS (" + " UNION ALL ".join(f"SELECT l_returnflag AS role, l_orderkey AS id, l_linenumber AS pos, '{k}' AS key, {k}::DOUBLE AS value FROM lineitem" for k in LINE_KEYS) + ")"
+FEATURES_SQL = "f AS (" + " UNION ALL ".join(
+    f"SELECT l_returnflag AS role, l_orderkey AS id, l_linenumber AS pos, '{k}' AS key, {k}::DOUBLE AS value FROM lineitem" for k in LINE_KEYS
+) + ")"
 
 
 def profile_sql(source: str, by: str = "role, key", name: str = "p") -> str:

@@ -15,7 +15,12 @@ PEAK = 0.25
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     a = S.doubles(F.col("embedding"))
-    return read(spark, d, "embeddings").select("vec_id", a.alias("a")).select("vec_id", "a", F.slice("a", 1, 32).alias("l"), F.slice("a", 33, 32).alias("r"))
+    return read(spark, d, "embeddings").select("vec_id", a.alias("a")).select(
+        "vec_id",
+        "a",
+        F.slice("a", 1, 32).alias("l"),
+        F.slice("a", 33, 32).alias("r"),
+    )
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +30,13 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 def _series(spark: SparkSession, d: str) -> DataFrame:
     """series, i (from 0), x: each user's events in order."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return read(spark, d, "events").select(F.col("user_id").alias("series"), n.alias("i"), (F.col("value") / 100).alias("x"), "event_type", "ts")
+    return read(spark, d, "events").select(
+        F.col("user_id").alias("series"),
+        n.alias("i"),
+        (F.col("value") / 100).alias("x"),
+        "event_type",
+        "ts",
+    )
 
 
 _SIG = "sig AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), lr AS (SELECT vec_id, a, a[1:32] AS l, a[33:64] AS r FROM sig)"
@@ -35,7 +46,11 @@ _PW = "list_sum(list_transform({0}, lambda x: x * x)) / len({0})"
 
 
 def peak_rms(spark: SparkSession, d: str) -> DataFrame:
-    return _signals(spark, d).select("vec_id", F.round(S.db(S.peak(F.col("a"))), 6).alias("peak_db"), F.round(S.db(F.sqrt(S.power(F.col("a")))), 6).alias("rms_db"))
+    return _signals(spark, d).select(
+        "vec_id",
+        F.round(S.db(S.peak(F.col("a"))), 6).alias("peak_db"),
+        F.round(S.db(F.sqrt(S.power(F.col("a")))), 6).alias("rms_db"),
+    )
 
 
 def dc_offset(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +103,11 @@ def automate_gain(spark: SparkSession, d: str) -> DataFrame:
 
 def limit_gain(spark: SparkSession, d: str) -> DataFrame:
     peak = S.db(S.peak(F.col("a")))
-    return _signals(spark, d).select("vec_id", F.round(S.limit_gain_db(peak, -8.0), 6).alias("limit_db"), F.round(S.normalize_gain_db(S.db(F.sqrt(S.power(F.col("a")))), peak, -14.0, -6.0), 6).alias("normalize_db"))
+    return _signals(spark, d).select(
+        "vec_id",
+        F.round(S.limit_gain_db(peak, -8.0), 6).alias("limit_db"),
+        F.round(S.normalize_gain_db(S.db(F.sqrt(S.power(F.col("a")))), peak, -14.0, -6.0), 6).alias("normalize_db"),
+    )
 
 
 def gate(spark: SparkSession, d: str) -> DataFrame:
@@ -141,17 +160,29 @@ def dft_power(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_power(spark: SparkSession, d: str) -> DataFrame:
-    bands = spark.createDataFrame([("low", 0.0, 500.0), ("mid", 500.0, 1500.0), ("high", 1500.0, 4000.0)], "band string, lo double, hi double")
+    bands = spark.createDataFrame(
+        [("low", 0.0, 500.0), ("mid", 500.0, 1500.0), ("high", 1500.0, 4000.0)],
+        "band string, lo double, hi double",
+    )
     return S.band_levels(_spectrum(spark, d), bands, RATE / 64)
 
 
 def spectral_shape(spark: SparkSession, d: str) -> DataFrame:
     r = lambda c: (F.round(F.col(c) + 1e-7, 4) + 0.0).alias(c)
-    return S.spectral_shape(_spectrum(spark, d), RATE / 64).select("series", *map(r, ("centroid", "spread", "skewness", "kurtosis")), "rolloff", r("flatness_db"), r("crest"))
+    return S.spectral_shape(_spectrum(spark, d), RATE / 64).select(
+        "series",
+        *map(r, ("centroid", "spread", "skewness", "kurtosis")),
+        "rolloff",
+        r("flatness_db"),
+        r("crest"),
+    )
 
 
 def spectral_contrast(spark: SparkSession, d: str) -> DataFrame:
-    return _spectrum(spark, d).groupBy("series").agg(F.round(10 * F.log10(F.percentile("power", 0.85) / F.percentile("power", 0.15)), 3).alias("contrast_db"), F.round(F.sqrt(F.max("power") / F.avg("power")), 4).alias("crest"))
+    return _spectrum(spark, d).groupBy("series").agg(
+        F.round(10 * F.log10(F.percentile("power", 0.85) / F.percentile("power", 0.15)), 3).alias("contrast_db"),
+        F.round(F.sqrt(F.max("power") / F.avg("power")), 4).alias("crest"),
+    )
 
 
 def one_pole(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +200,12 @@ def envelope_align(spark: SparkSession, d: str) -> DataFrame:
 
 def marker_points(spark: SparkSession, d: str) -> DataFrame:
     s = _series(spark, d).where("event_type = 'error'")
-    return s.select("series", F.round(F.col("i") / RATE, 6).alias("t"), F.col("i").cast("long").alias("sample"), F.concat(F.lit("onset-"), F.row_number().over(Window.partitionBy("series").orderBy("i")) - 1).alias("label"))
+    return s.select(
+        "series",
+        F.round(F.col("i") / RATE, 6).alias("t"),
+        F.col("i").cast("long").alias("sample"),
+        F.concat(F.lit("onset-"), F.row_number().over(Window.partitionBy("series").orderBy("i")) - 1).alias("label"),
+    )
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -202,9 +238,15 @@ SQL = {
     "gain": f"WITH {_SIG} SELECT vec_id, " + _dig(f"list_transform(a, lambda x: x * {_K})") + " AS y FROM sig",
     "reverse": f"WITH {_SIG} SELECT vec_id, " + _dig("list_reverse(a)") + " AS y FROM sig",
     "crop": f"WITH {_SIG} SELECT vec_id, 20 AS n, " + _dig("a[11:30]") + " AS y FROM sig",
-    "fade": f"WITH {_SIG} SELECT vec_id, " + _dig("list_transform(a, lambda x, i: x * least(1.0, (i - 1) / 8.0::DOUBLE, (64 - i) / 16.0::DOUBLE))") + " AS y FROM sig",
-    "pan": f"WITH {_SIG} SELECT vec_id, " + _dig("list_transform(a, lambda x: x * cos(1.5 * pi() / 4))") + " AS left, " + _dig("list_transform(a, lambda x: x * sin(1.5 * pi() / 4))") + " AS right FROM sig",
-    "automate_gain": f"WITH {_SIG} SELECT vec_id, " + _dig("list_transform(a, lambda x, i: x * (1 - 0.8::DOUBLE + 0.8::DOUBLE * (1 - abs(2 * ((i - 1) / 16.0::DOUBLE - floor((i - 1) / 16.0::DOUBLE)) - 1))))") + " AS y FROM sig",
+    "fade": f"WITH {_SIG} SELECT vec_id, " + _dig(
+        "list_transform(a, lambda x, i: x * least(1.0, (i - 1) / 8.0::DOUBLE, (64 - i) / 16.0::DOUBLE))"
+    ) + " AS y FROM sig",
+    "pan": f"WITH {_SIG} SELECT vec_id, " + _dig(
+        "list_transform(a, lambda x: x * cos(1.5 * pi() / 4))"
+    ) + " AS left, " + _dig("list_transform(a, lambda x: x * sin(1.5 * pi() / 4))") + " AS right FROM sig",
+    "automate_gain": f"WITH {_SIG} SELECT vec_id, " + _dig(
+        "list_transform(a, lambda x, i: x * (1 - 0.8::DOUBLE + 0.8::DOUBLE * (1 - abs(2 * ((i - 1) / 16.0::DOUBLE - floor((i - 1) / 16.0::DOUBLE)) - 1))))"
+    ) + " AS y FROM sig",
     "limit_gain": f"WITH {_SIG}, p AS (SELECT vec_id, 20 * log10(list_max(list_transform(a, lambda x: abs(x)))) AS pk, 20 * log10(sqrt({_PW.format('a')})) AS rms FROM sig) SELECT vec_id, round(least(0, -8 - pk), 6) AS limit_db, round(least(-14 - rms, -6 - pk), 6) AS normalize_db FROM p",
     "gate": f"WITH {_SER}, g AS (SELECT series, CASE WHEN avg(x * x) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) >= pow(10, -0.6) THEN x ELSE 0 END AS y FROM ser) SELECT series, count(*) FILTER (WHERE y = 0) AS silenced, round(sum(y), 6) AS y FROM g GROUP BY series",
     "lookahead_min": f"WITH {_SER}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY i DESC) AS rest FROM ser) SELECT a.series, a.i, round(least(min(a.x) OVER (PARTITION BY a.series ORDER BY a.i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), coalesce((SELECT min(b.x) FROM r b WHERE b.series = a.series AND a.rest < 5 AND b.rest <= 5 - a.rest), 'infinity'::DOUBLE)), 6) AS least FROM r a",

@@ -13,7 +13,10 @@ _TEXT = {"v", "seq", "consumed"}
 def parse_frames(lines: DataFrame) -> DataFrame:
     """schema.FRAME from rows (pos, value). Blank lines go; a line that isn't an object, or too long, fails the read."""
     some = lines.where(F.trim("value") != "")
-    wrong = F.when(~F.trim("value").startswith("{") | F.try_parse_json("value").isNull() | (F.octet_length("value") > S.MAX_LINE_BYTES), F.raise_error(F.concat(F.lit("not a frame: "), F.substring("value", 1, 80))))
+    wrong = F.when(
+        ~F.trim("value").startswith("{") | F.try_parse_json("value").isNull() | (F.octet_length("value") > S.MAX_LINE_BYTES),
+        F.raise_error(F.concat(F.lit("not a frame: "), F.substring("value", 1, 80))),
+    )
     checked = some.where(wrong.isNull())
     fields = [c.split(" ", 1) for c in S.FRAME.split(", ")]
 
@@ -34,13 +37,30 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     order = F.dense_rank().over(Window.orderBy("file"))
     names = files.select("file").distinct().select("file", order.alias("nth"))
-    return parse_frames(lines.join(F.broadcast(names), "file").select((F.col("nth").cast("bigint") * (1 << 32) + F.col("line")).alias("pos"), "value"))
+    return parse_frames(
+        lines.join(F.broadcast(names), "file").select(
+            (F.col("nth").cast("bigint") * (1 << 32) + F.col("line")).alias("pos"),
+            "value",
+        )
+    )
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
     """The lines as they were read, or as JSON where a frame is new, in order; unknown fields stay."""
-    known = F.struct(*[F.col(c.split()[0]) for c in S.FRAME.split(", ") if c.split()[0] not in ("pos", "raw", "params", "meta", "data")])
-    nested = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{c}":'), F.when(F.try_parse_json(c).isNotNull(), F.col(c)).otherwise(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)))).otherwise("") for c in ("params", "meta", "data")]
+    known = F.struct(
+        *[F.col(c.split()[0]) for c in S.FRAME.split(", ") if c.split()[0] not in ("pos", "raw", "params", "meta", "data")]
+    )
+    nested = [
+        F.when(
+            F.col(c).isNotNull(),
+            F.concat(
+                F.lit(f',"{c}":'),
+                F.when(F.try_parse_json(c).isNotNull(), F.col(c)).otherwise(
+                    F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+                ),
+            ),
+        ).otherwise("") for c in ("params", "meta", "data")
+    ]
     made = F.concat(F.regexp_replace(F.to_json(known), r"\}$", ""), *nested, F.lit("}"))
     frames.orderBy("pos").select(F.coalesce("raw", made).alias("value")).write.text(path)
 
@@ -50,8 +70,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     kind = "id string, role string, human_verdict string, features map<string,double>, sample_path string, feature_schema string, note string"
     whole = spark.read.option("wholetext", "true").text(path)
     array = F.trim("value").startswith("[")
-    from_array = whole.where(array).select(F.explode(F.from_json("value", f"array<struct<{kind.replace(' string', ':string').replace(' map', ':map')}>>")).alias("r"))
-    lines = whole.where(~array).select(F.explode(F.split("value", "\r?\n")).alias("line")).where((F.trim("line") != "") & ~F.trim("line").startswith("#"))
+    from_array = whole.where(array).select(
+        F.explode(F.from_json("value", f"array<struct<{kind.replace(' string', ':string').replace(' map', ':map')}>>")).alias("r")
+    )
+    lines = whole.where(~array).select(F.explode(F.split("value", "\r?\n")).alias("line")).where(
+        (F.trim("line") != "") & ~F.trim("line").startswith("#")
+    )
     return from_array.union(lines.select(F.from_json("line", kind).alias("r"))).select("r.*")
 
 
@@ -60,7 +84,10 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     stat = "struct<median:double,mad:double,p10:double,p50:double,p90:double,n:bigint,domain:string>"
     text = spark.read.option("wholetext", "true").text(path)
     inner = F.coalesce(F.get_json_object("value", "$.stats"), F.get_json_object("value", "$.keys"), F.col("value"))
-    rows = text.select(F.get_json_object("value", "$.role").alias("role"), F.explode(F.from_json(inner, f"map<string,{stat}>")).alias("key", "s"))
+    rows = text.select(
+        F.get_json_object("value", "$.role").alias("role"),
+        F.explode(F.from_json(inner, f"map<string,{stat}>")).alias("key", "s"),
+    )
     return rows.where("s.median is not null").select("role", "key", "s.*")
 
 
@@ -69,7 +96,9 @@ def read_brief(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("wholetext", "true").text(path)
     rows = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "v"))
     pair = F.from_json("v", "array<double>")
-    edge = lambda i, name: F.when(F.col("v").startswith("["), F.get(pair, F.lit(i))).otherwise(F.get_json_object("v", f"$.{name}").try_cast("double"))
+    edge = lambda i, name: F.when(F.col("v").startswith("["), F.get(pair, F.lit(i))).otherwise(
+        F.get_json_object("v", f"$.{name}").try_cast("double")
+    )
     return rows.select("key", edge(0, "min").alias("lo"), edge(1, "max").alias("hi"))
 
 

@@ -77,9 +77,22 @@ def encode(x: np.ndarray, rate: int, encoding: str = "FLOAT") -> bytes:
     else:
         full = 2.0 ** (bits - 1)
         whole = np.clip(np.floor(np.asarray(x, np.float64) * full), -full, full - 1).astype("<i8")
-        body = {16: lambda: whole.astype("<i2").tobytes(), 32: lambda: whole.astype("<i4").tobytes(), 24: lambda: np.ascontiguousarray(whole.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :3]).tobytes()}[bits]()
+        body = {
+            16: lambda: whole.astype("<i2").tobytes(),
+            32: lambda: whole.astype("<i4").tobytes(),
+            24: lambda: np.ascontiguousarray(whole.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :3]).tobytes(),
+        }[bits]()
     ch, align = x.shape[1], x.shape[1] * bits // 8
-    head = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, ch, rate, rate * align, align, bits) + b"data" + struct.pack("<I", len(body))
+    head = b"WAVEfmt " + struct.pack(
+        "<IHHIIHH",
+        16,
+        tag,
+        ch,
+        rate,
+        rate * align,
+        align,
+        bits,
+    ) + b"data" + struct.pack("<I", len(body))
     return b"RIFF" + struct.pack("<I", len(head) + len(body)) + head + body
 
 
@@ -103,7 +116,10 @@ def decoded(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(rows(batches), names, types)
 
-    return files.select("path", "content").mapInArrow(run, "path string, signal_id string, sr int, ch int, n int, pcm array<array<float>>, error string")
+    return files.select("path", "content").mapInArrow(
+        run,
+        "path string, signal_id string, sr int, ch int, n int, pcm array<array<float>>, error string",
+    )
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +160,10 @@ def probed(files: DataFrame) -> DataFrame:
                     found.append(probe(raw, size))
                 except (ValueError, struct.error, TypeError):
                     found.append({})
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f.get(n) for f in found], t) for n, t in zip(names, types))], ["path", *names])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([f.get(n) for f in found], t) for n, t in zip(names, types))],
+                ["path", *names],
+            )
 
     schema = "path string, sr int, ch int, n bigint, dur double, encoding string"
     size = F.octet_length("content").cast("long").alias("size")
@@ -152,6 +171,8 @@ def probed(files: DataFrame) -> DataFrame:
     first = materialize(heads.mapInArrow(run, schema), "probed")
     # Files that are longer and whose samples begin beyond the head, if they are WAV files at all.
     unread = broadcast_if_small(first.where("n is null").select("path"))
-    late = files.where((F.octet_length("content") > HEAD) & F.startswith("content", F.lit(b"RIFF"))).join(unread, "path", "left_semi")
+    late = files.where(
+        (F.octet_length("content") > HEAD) & F.startswith("content", F.lit(b"RIFF"))
+    ).join(unread, "path", "left_semi")
     again = materialize(late.select("path", "content", size).mapInArrow(run, schema), "probed")
     return first.join(broadcast_if_small(again.select("path")), "path", "left_anti").unionByName(again)

@@ -26,7 +26,10 @@ def once_each(frames: DataFrame, within: str = "1 hour") -> DataFrame:
 
 def event_power(events: DataFrame, length: str, hop: str, late: str) -> DataFrame:
     """Mean square of values in sliding windows of event time; late rows beyond the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length, hop), "event_type").agg(F.count("*").alias("n"), F.avg(F.col("value") * F.col("value")).alias("power"))
+    return events.withWatermark("ts", late).groupBy(F.window("ts", length, hop), "event_type").agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("value") * F.col("value")).alias("power"),
+    )
 
 
 def live_axes(features: DataFrame, profile: DataFrame) -> DataFrame:

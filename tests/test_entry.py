@@ -20,7 +20,13 @@ def test_the_rest_stands_alone(tmp_path):
     shutil.copytree(ROOT / "sonorel", tmp_path / "sonorel", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'verdicts' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    done = subprocess.run(
+        [sys.executable, "-c", code],
+        cwd=tmp_path,
+        env=os.environ | {"PYTHONPATH": str(tmp_path)},
+        capture_output=True,
+        text=True,
+    )
     assert done.returncode == 0, done.stderr[-2000:]
 
 

@@ -19,7 +19,13 @@ NOISE = np.random.default_rng(5).normal(size=(RATE, 2)) * 0.1
 def golden(kind, n=800, rate=8000):
     if kind == "stereo":
         return np.stack([np.linspace(-1, 1, n, dtype=np.float32), np.linspace(1, -1, n, dtype=np.float32)], 1)
-    x = {"silence": np.zeros(n, np.float32), "dc": np.full(n, 0.25, np.float32), "sine": (0.5 * np.sin(2 * np.pi * 440.0 * (np.arange(n) / rate))).astype(np.float32), "ramp": np.linspace(-1, 1, n, dtype=np.float32), "third": np.full(n, 1 / 3)}[kind]
+    x = {
+        "silence": np.zeros(n, np.float32),
+        "dc": np.full(n, 0.25, np.float32),
+        "sine": (0.5 * np.sin(2 * np.pi * 440.0 * (np.arange(n) / rate))).astype(np.float32),
+        "ramp": np.linspace(-1, 1, n, dtype=np.float32),
+        "third": np.full(n, 1 / 3),
+    }[kind]
     return x[:, None]
 
 
@@ -120,7 +126,10 @@ def test_edits_keep_their_promises():
     assert E.limit(TONE * 0.1, RATE) is not None and np.allclose(E.limit(TONE * 0.1, RATE), TONE * 0.1)
     assert len(E.crop(TONE, RATE, 0.5, 0.75)) == round(0.25 * RATE)
     assert np.array_equal(E.widen(TONE, RATE), TONE)
-    assert np.array_equal(E.generate("dark", 3), E.generate("dark", 3)) and not np.array_equal(E.generate("dark", 3), E.generate("dark", 4))
+    assert np.array_equal(
+        E.generate("dark", 3),
+        E.generate("dark", 3),
+    ) and not np.array_equal(E.generate("dark", 3), E.generate("dark", 4))
     assert np.array_equal(E.vocode(TONE, RATE, NOISE), E.vocode(TONE, RATE, NOISE))
 
 
@@ -128,7 +137,9 @@ def test_describe_isolates_failures(spark):
     rows = [("tone", RATE, 1, len(TONE), [TONE[:, 0].tolist()]), ("silent", RATE, 1, 4096, [[0.0] * 4096])]
     df = spark.createDataFrame(rows, "signal_id string, sr int, ch int, n int, pcm array<array<float>>")
     got = Fe.describe(df, ("loudness", "envelope", "space")).collect()
-    assert {(r.signal_id, r.family) for r in got} == {(s, f) for s in ("tone", "silent") for f in ("loudness", "envelope", "space")}
+    assert {(r.signal_id, r.family) for r in got} == {
+        (s, f) for s in ("tone", "silent") for f in ("loudness", "envelope", "space")
+    }
     assert [r.family for r in got if r.error] == ["envelope"]
     halved = E.edited(df, "gain", db=-6.0).where("signal_id = 'tone'").first()
     assert max(halved.pcm[0]) == pytest.approx(0.5 * 10 ** (-6 / 20), rel=1e-4)
@@ -148,7 +159,10 @@ def test_pictures_and_slices(spark):
     clicks = np.zeros(RATE)
     for a in (5000, 20_000, 33_000):
         clicks[a : a + 2000] = np.random.default_rng(a).normal(size=2000) * np.exp(-np.arange(2000) / 300)
-    df = spark.createDataFrame([("c", RATE, 1, RATE, [clicks.tolist()]), ("s", RATE, 1, 64, [[0.1] * 64])], "signal_id string, sr int, ch int, n int, pcm array<array<float>>")
+    df = spark.createDataFrame(
+        [("c", RATE, 1, RATE, [clicks.tolist()]), ("s", RATE, 1, 64, [[0.1] * 64])],
+        "signal_id string, sr int, ch int, n int, pcm array<array<float>>",
+    )
     got = images.pictures(df, images.PICTURES).collect()
     assert len(got) == 8 and all(bytes(r.png[:8]) == b"\x89PNG\r\n\x1a\n" for r in got)
     found = images.slices(df.where("signal_id = 'c'"), audio=True).orderBy("sample").collect()

@@ -24,7 +24,10 @@ def test_windows_equal_batch(spark, data, tmp_path):
     batch.coalesce(1).write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "ev"))
     got = finish(records.event_power(stream, "3 days", "1 day", "40 days"), spark, "power", "complete")
-    want = batch.groupBy(F.window("ts", "3 days", "1 day"), "event_type").agg(F.count("*").alias("n"), F.avg(F.col("value") * F.col("value")).alias("power"))
+    want = batch.groupBy(F.window("ts", "3 days", "1 day"), "event_type").agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("value") * F.col("value")).alias("power"),
+    )
     key = lambda d: sorted((str(r.window.start), r.event_type, r.n, round(r.power, 6)) for r in d.collect())
     assert key(got) == key(want)
 
@@ -35,4 +38,6 @@ def test_live_scores_equal_batch(spark, tmp_path):
     profile = P.build_profile(f)
     f.write.parquet(str(tmp_path / "f"))
     got = finish(records.live_axes(spark.readStream.schema(f.schema).parquet(str(tmp_path / "f")), profile), spark, "axes")
-    assert sorted(map(tuple, got.select("id", "z", "band").collect())) == sorted(map(tuple, P.score_axes(f, profile, ["role", "key"]).select("id", "z", "band").collect()))
+    assert sorted(map(tuple, got.select("id", "z", "band").collect())) == sorted(
+        map(tuple, P.score_axes(f, profile, ["role", "key"]).select("id", "z", "band").collect())
+    )
