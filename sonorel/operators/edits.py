@@ -125,11 +125,48 @@ def shape(
     return x * (rise * fall)[:, None]
 
 
+# Levels of an echo's input and output.
+ECHO_IN, ECHO_OUT = 0.8, 0.9
+
+
 def delay(x: np.ndarray, rate: float, ms: float = 250.0, decay: float = 0.5) -> np.ndarray:
+    """One echo; what sounds after the end stays."""
     n = round(ms * rate / 1000)
-    out = np.pad(x, ((0, n), (0, 0)))
+    out = np.pad(ECHO_IN * x, ((0, n), (0, 0)))
     out[n:] += decay * x
-    return clip(out)
+    return clip(ECHO_OUT * out)
+
+
+#: Seconds of the loops that build up a room's sound, and of those that spread its echoes.
+ROOM_LOOPS, ROOM_SPREAD = (0.0253, 0.0269, 0.0290, 0.0307, 0.0322, 0.0338, 0.0353, 0.0367), (0.0126, 0.0100, 0.0077, 0.0051)
+
+
+def _loop(x: np.ndarray, n: int, back: float, pure: bool) -> np.ndarray:
+    """Feedback after n samples: what comes back is added, or, pure, all frequencies keep their level. n samples are worked on at once, as none depends on another."""
+    x = np.pad(x, (0, -len(x) % n)).reshape(-1, n)
+    held, out = np.zeros(n), np.empty_like(x)
+    for k, part in enumerate(x):
+        if pure:
+            out[k] = held - back * part
+            held = part + back * out[k]
+        else:
+            out[k] = held
+            held = part + back * held
+    return out.ravel()
+
+
+def reverb(x: np.ndarray, rate: float, amount: float = 50.0, seconds: float = 1.0) -> np.ndarray:
+    """A room: parallel loops, then spreading ones, mixed in by half. amount (0 to 100) is how long it rings."""
+    back = 0.7 + 0.28 * min(100.0, max(0.0, amount)) / 100
+    long = np.pad(x, ((0, round(seconds * rate)), (0, 0)))
+
+    def room(v: np.ndarray) -> np.ndarray:
+        wet = sum(_loop(v, max(1, round(s * rate)), back, False)[: len(v)] for s in ROOM_LOOPS) / len(ROOM_LOOPS)
+        for s in ROOM_SPREAD:
+            wet = _loop(wet, max(1, round(s * rate)), 0.5, True)[: len(v)]
+        return wet
+
+    return clip(long + 0.5 * _each(long, room))
 
 
 def crop(x: np.ndarray, rate: float, start: float = 0.0, end: float | None = None) -> np.ndarray:
@@ -329,6 +366,7 @@ EDITS: dict[str, Edit] = {
     "eq": equalize,
     "env": shape,
     "delay": delay,
+    "reverb": reverb,
     "crop": crop,
     "reverse": reverse,
     "stretch": stretch,

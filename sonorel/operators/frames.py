@@ -139,14 +139,10 @@ def vector_frames(
     return _made(df, "vector", own, common)
 
 
-def error_frame(df: DataFrame, code: Column, message: Column, of: Column, op: Column) -> DataFrame:
-    return frame(
-        df,
-        kind=F.lit("error"),
-        of=of,
-        op=op,
-        data=F.to_json(F.struct(code.alias("code"), message.alias("message"), of.alias("of"))),
-    )
+def error_frame(df: DataFrame, code: Column, message: Column, of: Column, op: Column, pos: Column | None = None) -> DataFrame:
+    data = F.to_json(F.struct(code.alias("code"), message.alias("message"), of.alias("of"), op.alias("op")))
+    place = {} if pos is None else {"pos": pos}
+    return stamped(frame(df, kind=F.lit("error"), of=of, op=op, data=data, **place))
 
 
 def problems() -> Column:

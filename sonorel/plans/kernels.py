@@ -6,12 +6,14 @@ SQL states the values that are published, or that follow from how the signal is
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonorel.operators import edits as E
 from sonorel.operators import features as M
+from sonorel.operators import frames as FR
 from sonorel.operators import images as I
+from sonorel.operators import stages as T
 from sonorel.plans.tables import read
 from sonorel.sources import recipes as R
 from sonorel.sources import wav
@@ -205,6 +207,7 @@ _EDITS = {
     "pitch": ("pitch", {"semitones": 3}, "dur_s", 2),
     "convert": ("convert", {"sr": 22_050}, "sr_hz", 0),
     "highpass": ("filter", {"hp": 100.0}, "rms_dbfs", 1),
+    "reverb": ("reverb", {"amount": 50.0, "seconds": 0.5}, "dur_s", 2),
     "widen": ("widen", {}, "rms_dbfs", 1),
     "compress": ("compress", {"threshold": 0.0}, "rms_dbfs", 1),
     "wrong": ("stretch", {"ratio": -1.0}, "dur_s", 2),
@@ -249,6 +252,73 @@ def kernel_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def frames_read(spark: SparkSession, d: str) -> DataFrame:
+    """Files of every signal as frames; every seventh file is broken."""
+    broken = F.col("path").cast("bigint") % 7 == 0
+    files = _files(spark, d, "PCM_16").withColumn("content", F.when(~broken, F.col("content")).otherwise(F.lit(b"RIFF?")))
+    f = T.read_stage(files)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("pos"))
+    meta = lambda k, kind: F.get_json_object("meta", f"$.{k}").cast(kind).alias(k)
+    code, source = F.get_json_object("data", "$.code"), F.get_json_object("params", "$.source")
+    return f.withColumn("place", place).select(
+        "kind",
+        "role",
+        "op",
+        "media",
+        meta("sr", "int"),
+        meta("ch", "int"),
+        meta("dur", "double"),
+        code.alias("code"),
+        source.alias("source"),
+        "place",
+        F.size(FR.problems()).alias("problems"),
+    )
+
+
+def frames_bridged(spark: SparkSession, d: str) -> DataFrame:
+    f = T.from_wav(_files(spark, d, "FLOAT"), derives_from="embeddings")
+    told = lambda k: F.get_json_object("params", f"$.{k}")
+    return f.groupBy("kind", "role", told("via").alias("via"), told("derives_from").alias("derives_from")).agg(
+        F.count("*").alias("n"),
+        F.count_if(told("input_hash") == F.col("hash")).alias("hashed"),
+        F.count_if(F.col("lineage").isNotNull()).alias("with_lineage"),
+    )
+
+
+def frames_embedded(spark: SparkSession, d: str) -> DataFrame:
+    signals = _signals(spark, d)
+    f = T.embed_stage(signals)
+    return f.groupBy("kind", F.get_json_object("meta", "$.dim").cast("int").alias("dim")).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.size(FR.problems()) > 0).alias("problems"),
+        F.count_distinct("of").alias("parents"),
+    )
+
+
+def kernel_octaves(spark: SparkSession, d: str) -> DataFrame:
+    """A tone stands in its own sixth of an octave, and in its own band."""
+    made = R.table(spark, lambda name: (R.tone(float(name), 2, 0.5, _RATE), _RATE), ["125", "1000", "8000"])
+    rows = M.describe(made, ("octave-spectrum",)).withColumn("table", F.element_at(F.split("key", r"\."), 2))
+    return rows.groupBy("signal_id", "table").agg(
+        F.max_by("key", "value").alias("key"),
+        (F.round(F.max("value"), 0) + 0.0).alias("level"),
+    )
+
+
+def kernel_movement(spark: SparkSession, d: str) -> DataFrame:
+    """A steady tone neither moves nor decays; one that stops halfway through its tail does. Too short a signal tells nothing."""
+
+    def made(name: str) -> tuple[np.ndarray, int]:
+        x = R.tone(1000, 0.5 if name == "short" else 2, 0.5, _RATE)
+        if name == "halved":
+            x[-_RATE // 10 :] *= 0.1
+        return x, _RATE
+
+    rows = M.describe(R.table(spark, made, ["steady", "halved", "short"]), ("movement",))
+    wide = _wide(rows, tail="movement.tail_decay_200ms_db", swing="movement.sidechain_db", quiet="movement.hf_silence_pct")
+    return wide.select("signal_id", *[(F.round(c, 0) + 0.0).alias(c) for c in ("tail", "swing")])
+
+
 _SIG = "sig AS (SELECT vec_id, embedding AS a FROM embeddings)"
 
 
@@ -265,14 +335,19 @@ SQL = {
     "kernel_gain": f"WITH {_SIG} SELECT vec_id, 64 AS n, NULL::VARCHAR AS error, {_sum('list_transform(a, lambda x: (x::DOUBLE * pow(10, -6.0 / 20))::FLOAT)')} AS y FROM sig",
     "kernel_reverse": f"WITH {_SIG} SELECT vec_id, 64 AS n, NULL::VARCHAR AS error, {_sum('list_reverse(a)')} AS y FROM sig",
     "kernel_crop": f"WITH {_SIG} SELECT vec_id, 20 AS n, NULL::VARCHAR AS error, {_sum('a[11:30]')} AS y FROM sig",
-    "kernel_delay": f"WITH {_SIG} SELECT vec_id, 80 AS n, NULL::VARCHAR AS error, {_sum('list_transform(range(1, 81), lambda k: greatest(-1, least(1, coalesce(a[k]::DOUBLE, 0) + CASE WHEN k > 16 THEN 0.5 * a[k - 16]::DOUBLE ELSE 0 END))::FLOAT)')} AS y FROM sig",
+    "kernel_delay": f"WITH {_SIG} SELECT vec_id, 80 AS n, NULL::VARCHAR AS error, {_sum('list_transform(range(1, 81), lambda k: greatest(-1, least(1, 0.9::DOUBLE * (0.8::DOUBLE * coalesce(a[k]::DOUBLE, 0) + CASE WHEN k > 16 THEN 0.5::DOUBLE * a[k - 16]::DOUBLE ELSE 0 END)))::FLOAT)')} AS y FROM sig",
     "kernel_fade": f"WITH {_SIG} SELECT vec_id, 64 AS n, NULL::VARCHAR AS error, {_sum('list_transform(a, lambda x, i: (x::DOUBLE * (least(1.0::DOUBLE, (i - 1) / 8.0::DOUBLE) * least(1.0::DOUBLE, (64 - i) / 16.0::DOUBLE)))::FLOAT)')} AS y FROM sig",
+    "frames_read": f"WITH f AS (SELECT CASE WHEN vec_id % 7 = 0 THEN 'error' ELSE 'audio' END AS kind, vec_id::VARCHAR AS path FROM embeddings) SELECT kind, CASE kind WHEN 'audio' THEN 'source' END AS role, 'read' AS op, CASE kind WHEN 'audio' THEN 'audio/wav' END AS media, CASE kind WHEN 'audio' THEN {RATE} END AS sr, CASE kind WHEN 'audio' THEN 1 END AS ch, CASE kind WHEN 'audio' THEN 0.01::DOUBLE END AS dur, CASE kind WHEN 'error' THEN 'decode_failed' END AS code, CASE kind WHEN 'audio' THEN path END AS source, row_number() OVER (PARTITION BY kind ORDER BY path) AS place, 0 AS problems FROM f",
+    "frames_bridged": "SELECT 'audio' AS kind, 'from-wav' AS role, 'raw-wav-bridge' AS via, 'embeddings' AS derives_from, count(*) AS n, count(*) AS hashed, 0::BIGINT AS with_lineage FROM embeddings",
+    "frames_embedded": "SELECT 'vector' AS kind, 64 AS dim, count(*) AS n, 0::BIGINT AS problems, count(DISTINCT vec_id) AS parents FROM embeddings",
+    "kernel_octaves": "SELECT signal_id, \"table\", key, 0.0::DOUBLE AS level FROM (VALUES ('125', 'oct6', 'spectrum.oct6.125'), ('125', 'band', 'spectrum.band.bass'), ('1000', 'oct6', 'spectrum.oct6.1000'), ('1000', 'band', 'spectrum.band.mid'), ('8000', 'oct6', 'spectrum.oct6.8000'), ('8000', 'band', 'spectrum.band.air')) o(signal_id, \"table\", key)",
+    "kernel_movement": "SELECT signal_id, tail::DOUBLE AS tail, swing::DOUBLE AS swing FROM (VALUES ('steady', 0, 0), ('halved', 20, 0), ('short', NULL, NULL)) m(signal_id, tail, swing)",
     # Published values.
     "demo_loop": "SELECT 'loop' AS signal_id, -20.79::DOUBLE AS lufs, -6.71::DOUBLE AS dbtp, -20.71::DOUBLE AS short, 4.0::DOUBLE AS seconds, 18::BIGINT AS onsets",
     "golden_hashes": "SELECT name, encoding, 'blake3:' || digest AS hash FROM (VALUES ('silence', 'FLOAT', '85157125b381a2aa60b4db1a5f4336f6d722e4df25dc64f9028e81ff93a033ea'), ('dc', 'FLOAT', 'e4b450d61d3282fe2cff6918fee8fe12cc447ff02ab2fd93eb3607edad510a21'), ('sine', 'FLOAT', '2f5c977cafeed3521597ce198e6d5c5a592c0cee32f9e60d7197723c777fe39d'), ('ramp', 'FLOAT', '47a9498d3c25b344e4d8dcce9cc922accac94087e6913a7cf1529763b5af54aa'), ('ramp', 'PCM_16', 'e6cf482438becee1a7de96750fab88cf09a5e7087bed3994c8f40f7f77f6ac95'), ('ramp', 'PCM_24', 'a2e5fac038771448106c90db99da7d88cdf0d45c8ad5aaee286c08af2dad933b'), ('third', 'DOUBLE', 'c11eb728fe5b32849563055863e8e2d544757c61a39252a577b8559abc8bfb16'), ('stereo', 'FLOAT', '4e97447b519d2db88016d5408057bc344332c968c2183bd3cee703084d44a536')) g(name, encoding, digest)",
     # Values that follow from how the signals are made.
     "kernel_findings": "SELECT signal_id, clipped::DOUBLE AS clipped, dc::DOUBLE AS dc, correlation::DOUBLE AS correlation, 0.0::DOUBLE AS lossy, penalty::DOUBLE AS penalty, width::DOUBLE AS width, lufs::DOUBLE AS lufs, dbtp::DOUBLE AS dbtp, clicks::BIGINT AS clicks, gaps::BIGINT AS gaps, gap_at::BIGINT AS gap_at, gap_s::DOUBLE AS gap_s FROM (VALUES ('tone', 0, NULL, NULL, 0, 1, -9, -6.0, 0, 0, NULL, NULL), ('loud', 1, NULL, NULL, 0, 1, -3, 0.0, 0, 0, NULL, NULL), ('offset', 0, -20, NULL, 0, 1, -23, -14.0, 0, 0, NULL, NULL), ('pair', 0, NULL, 1, 0, 1, -6, -6.0, 0, 0, NULL, NULL), ('antiphase', 0, NULL, -1, 60, -1, -6, -6.0, 0, 0, NULL, NULL), ('spiked', 0, NULL, NULL, 0, 1, -23, -0.9, 1, 0, NULL, NULL), ('gapped', 0, NULL, NULL, 0, 1, -9, -6.0, 1, 1, 20000, 0.045351), ('silent', 0, NULL, NULL, 0, 1, NULL, NULL, 0, 0, NULL, NULL)) f(signal_id, clipped, dc, correlation, penalty, width, lufs, dbtp, clicks, gaps, gap_at, gap_s)",
     "kernel_pairs": "SELECT signal_id, 88200 AS n, parents, false AS failed, level::DOUBLE AS level FROM (VALUES ('spectral-match:tone', 'tone+tone', -9.0), ('vocode:tone', 'tone+loud', NULL)) p(signal_id, parents, level)",
-    "kernel_promises": "SELECT edit, value::DOUBLE AS value, failed FROM (VALUES ('normalize', -20.0, false), ('limit', -9.0, false), ('maximize', -3.0, false), ('gain', -15.0, false), ('crop', 0.25, false), ('stretch', 3.0, false), ('pitch', 2.0, false), ('convert', 22050.0, false), ('highpass', -9.0, false), ('widen', -9.0, false), ('compress', -9.0, false), ('wrong', NULL, true)) p(edit, value, failed)",
+    "kernel_promises": "SELECT edit, value::DOUBLE AS value, failed FROM (VALUES ('normalize', -20.0, false), ('limit', -9.0, false), ('maximize', -3.0, false), ('gain', -15.0, false), ('crop', 0.25, false), ('stretch', 3.0, false), ('pitch', 2.0, false), ('convert', 22050.0, false), ('highpass', -9.0, false), ('reverb', 2.5, false), ('widen', -9.0, false), ('compress', -9.0, false), ('wrong', NULL, true)) p(edit, value, failed)",
 }
 QUERIES = {name: globals()[name] for name in SQL}

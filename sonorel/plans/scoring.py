@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorel.operators import calibration as C
+from sonorel.operators import frames as FR
 from sonorel.operators import profile as P
+from sonorel.operators import stages
 from sonorel.plans import tables as T
 from sonorel.plans.tables import read
 from sonorel.storage import broadcast_if_small, materialize
@@ -185,6 +187,21 @@ def skipped_entries(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("role", "skipped", "stale").agg(F.count("*").alias("n"))
 
 
+def verdict_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A frame for each judged order, that names its lines' features and the profile."""
+    axes = materialize(_axes(spark, d), "axes")
+    judged = P.judge(P.score_candidates(axes, ["role", "id"]))
+    name = F.concat_ws(":", "role", "id")
+    features = F.transform("axes", lambda a: F.concat_ws(":", name, a["key"]))
+    f = stages.verdict_stage(axes, judged, ["role", "id"], name, features, "profile:lines", "v1")
+    decision, dominant = F.get_json_object("data", "$.rollup.decision"), F.get_json_object("data", "$.rollup.dominant")
+    return f.groupBy("kind", decision.alias("decision"), dominant.alias("dominant")).agg(
+        F.count("*").alias("n"),
+        F.sum(F.size("lineage")).alias("parents"),
+        F.count_if(F.size(FR.problems()) > 0).alias("problems"),
+    )
+
+
 def backtest_report(spark: SparkSession, d: str) -> DataFrame:
     return C.report(_scored(spark, d))
 
@@ -235,6 +252,8 @@ SQL = {
         f"count(*) FILTER (WHERE {w} = '{c}') AS {w}_{c}" for w in ("human", "gate") for c in C.CLASSES
     ) + ", round(count(*) FILTER (WHERE human = gate) / count(*), 6) AS agree FROM ok GROUP BY 1",
     "threshold_sweep": _SCORED_SQL + _SWEEP_SQL + " SELECT lever, value, count(*) FILTER (WHERE again = verdict) AS n, round(count(*) FILTER (WHERE again = verdict AND human = verdict) / nullif(count(*) FILTER (WHERE again = verdict), 0), 6) AS accuracy FROM x GROUP BY lever, value",
+    "verdict_frames": T.CHAIN_SQL
+    + "SELECT 'verdict' AS kind, decision, worst AS dominant, count(*) AS n, sum((SELECT count(*) FROM axes a WHERE a.role = j.role AND a.id = j.id) + 1)::BIGINT AS parents, 0::BIGINT AS problems FROM j GROUP BY decision, worst",
     "backtest_report": _SCORED_SQL
     + f", {_METRICS_SQL}"
     + _SWEEP_SQL

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorel.functions.identity import signal_hash
-from sonorel.operators.arrow import in_batches
+from sonorel.functions.identity import hashes, signal_bytes
+from sonorel.operators.arrow import BATCH_BYTES, BATCH_ROWS, in_batches
 from sonorel.storage import broadcast_if_small, materialize
 
 ENCODINGS = ("PCM_16", "PCM_24", "PCM_32", "FLOAT", "DOUBLE")
@@ -102,16 +102,29 @@ def decoded(files: DataFrame) -> DataFrame:
     names = ["path", "signal_id", "sr", "ch", "n", "pcm", "error"]
     types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float32())), pa.string()]
 
+    def named(held: list[tuple]) -> Iterator[tuple]:
+        for (path, x, rate), name in zip(held, hashes([signal_bytes(x, rate) for _, x, rate in held])):
+            yield path, name, rate, x.shape[1], len(x), [np.ascontiguousarray(x[:, c]) for c in range(x.shape[1])], None
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Small signals are hashed together."""
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 path = batch.column(0)[i].as_py()
                 try:
                     x, rate = decode(batch.column(1)[i].as_py())
-                    pcm = [np.ascontiguousarray(x[:, c]) for c in range(x.shape[1])]
-                    yield path, signal_hash(x, rate), rate, x.shape[1], len(x), pcm, None
+                    signal_bytes(x[:0], rate)
                 except (ValueError, struct.error, TypeError) as e:
                     yield path, None, None, None, None, None, f"decode_failed: {e}"
+                    continue
+                held.append((path, x, rate))
+                size += x.nbytes
+                if size > BATCH_BYTES or len(held) >= BATCH_ROWS:
+                    yield from named(held)
+                    held, size = [], 0
+        yield from named(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(rows(batches), names, types)

@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import __spark_entry__
+import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -16,10 +17,16 @@ def test_flagship_runs(spark):
     assert df.count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_the_rest_stands_alone(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_the_rest_stands_alone(tmp_path, pipeline):
+    """Without the subpackage, whether or not the pipeline's file went with it."""
     shutil.copytree(ROOT / "sonorel", tmp_path / "sonorel", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'verdicts' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    for name in ("__spark_entry__.py", "bench.py", *(["corpus_pipeline.py"] if pipeline else [])):
+        shutil.copy(ROOT / name, tmp_path)
+    code = (
+        "import bench, __spark_entry__ as e; q = e.queries(); assert 'verdicts' in q; "
+        "assert not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    )
     done = subprocess.run(
         [sys.executable, "-c", code],
         cwd=tmp_path,
