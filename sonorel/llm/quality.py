@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonorel.llm.common import broadcast_if_small, materialize
+from sonorel.llm.common import broadcast_if_small, column, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS = 20
@@ -42,7 +42,7 @@ def _share(part: Column, whole: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """row (a struct of all columns), lang, source, the counts, base_failed and the measures."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    df = docs.select(F.struct(*map(column, docs.columns)).alias("row"))
     df = df.select(
         "row",
         F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"),

@@ -142,11 +142,29 @@ def assign(slotted: DataFrame, mapped: Map, rows: list[int]) -> DataFrame:
     ).drop("place", "base")
 
 
+def has_map(spark: SparkSession, path: str, version: int) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={version}")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, map_path: str | None = None, version: int = 1) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot. Sizes of shards come out near equal."""
+    """doc_id, size, text_crc32, vslot, shard, slot. Sizes of shards come out near equal.
+
+    With a path, the stored version of the map holds; one that isn't there yet is made from the bytes per slot, stored
+    and read back."""
     slotted = materialize(with_slot(docs, slots), "slots")
     size, rows = slot_bytes(slotted, slots)
-    mapped = first_map(size, shards)
-    if map_path:
-        store_map(docs.sparkSession, map_path, version, mapped)
-    return assign(slotted, mapped, rows)
+    if not map_path:
+        return assign(slotted, first_map(size, shards), rows)
+    if not has_map(docs.sparkSession, map_path, version):
+        store_map(docs.sparkSession, map_path, version, first_map(size, shards))
+    return assign(slotted, load_map(docs.sparkSession, map_path, version), rows)
+
+
+def rebalance_stored(docs: DataFrame, shards: int, map_path: str, version: int) -> Map:
+    """Edits the stored version for these documents and another number of shards, and stores the outcome as the next version."""
+    old = load_map(docs.sparkSession, map_path, version)
+    size, _ = slot_bytes(materialize(with_slot(docs, len(old)), "slots"), len(old))
+    new = rebalance(old, size, shards)
+    store_map(docs.sparkSession, map_path, version + 1, new)
+    return new

@@ -65,6 +65,20 @@ def test_versions_of_a_map_never_change(spark, tmp_path):
         sharding.load_map(spark, path, 7)
 
 
+def test_documents_follow_the_stored_map(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(3000)], "doc_id bigint, text string")
+    path = f"file://{tmp_path}/map"
+    first = {r.doc_id: (r.vslot, r.shard) for r in sharding.shard_documents(df, 8, map_path=path).collect()}
+    assert {i: (r.vslot, r.shard) for r in sharding.shard_documents(df, 3, map_path=path).collect() for i in [r.doc_id]} == first
+    new = sharding.rebalance_stored(df, 9, path, 1)
+    assert sharding.load_map(spark, path) == new != sharding.load_map(spark, path, 1)
+    moved = {r.doc_id: r.shard for r in sharding.shard_documents(df, 9, map_path=path, version=2).collect()}
+    assert all(moved[i] == new[slot] for i, (slot, _) in first.items())
+    held = [sum(i % 50 + 16 for i, s in moved.items() if s == k) for k in range(9)]
+    assert max(held) - min(held) <= 0.02 * max(held)
+    assert sum(i % 50 + 16 for i, (_, shard) in first.items() if moved[i] != shard) <= 0.13 * sum(held)
+
+
 def pages(spark):
     big = "<p>é</p>" * 40
     rows = [
