@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonorel.llm import jaccard, line_dedup, packing, pii, quality
-from sonorel.llm.common import materialize, table
+from sonorel.llm.common import drop_table, materialize, table
 from sonorel.llm.queries import tokenizer_path
 
 
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """A stage's table is removed once the next one is written."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if written is not None:
+            drop_table(spark, written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
