@@ -85,11 +85,6 @@ def embed(signals: DataFrame, dim: int = 64, seed: int = 0) -> DataFrame:
     return signals.select("signal_id", "pcm").mapInArrow(work, "signal_id string, vector array<float>")
 
 
-def upsert_registry(registry: DataFrame, entries: DataFrame) -> DataFrame:
-    """name, ...: entries replace those of the same name."""
-    return registry.join(entries.select("name"), "name", "left_anti").unionByName(entries)
-
-
 def versioned(op: str, weights: Column) -> Column:
     """An operator's version, with what identifies its model."""
     return F.concat(F.lit(f"{op}+"), F.substring(F.sha2(weights.cast("binary"), 256), 1, 12))

@@ -519,6 +519,14 @@ def vectors_read(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def registry(spark: SparkSession, d: str) -> DataFrame:
+    """A registry of nations: those of one region are entered anew, and those of another leave."""
+    held = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("bigint").alias("dim"), F.col("n_regionkey").alias("kind"))
+    new = held.where("kind = 1").withColumn("dim", F.col("dim") + 100)
+    gone = [r.name for r in held.where("kind = 2").select("name").collect()]
+    return V.remove(V.upsert(held, new), gone).select("name", "dim", "kind")
+
+
 def report_sections(spark: SparkSession, d: str) -> DataFrame:
     f = R.frame(
         read(spark, d, "documents"),
@@ -579,6 +587,7 @@ SQL = {
     "transcript_points": "WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), s AS (SELECT conv_id, 'segment' AS role, turn * 2.5::DOUBLE AS t, CASE WHEN turn % 3 <> 0 THEN 1.25::DOUBLE ELSE 0 END AS dur, trim(text, ' ') AS label FROM c), e AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM c), w AS (SELECT conv_id, 'word' AS role, turn * 2.5::DOUBLE + CASE WHEN i = 0 THEN 0.5 ELSE 0 END AS t, CASE WHEN i = 0 THEN 0.25::DOUBLE ELSE 0 END AS dur, w AS label FROM e) SELECT conv_id AS of, role, count(*) AS n, sum(round_even(t * 44100, 0)::BIGINT)::BIGINT AS samples, round(sum(dur), 6) AS dur, sum(length(label))::BIGINT AS letters FROM (FROM s UNION ALL FROM w) GROUP BY ALL",
     "cues_collected": "WITH c AS (SELECT *, trim(text, ' ') AS label FROM conversations), m AS (SELECT conv_id, turn, label, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 1 ELSE 0 END AS seg, max(CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS best FROM c WHERE conv_id % 3 <> 2) SELECT conv_id AS track, turn * 2.5::DOUBLE AS t, 1.25::DOUBLE AS dur, label FROM m WHERE seg = best AND label <> '' UNION ALL SELECT conv_id, 0, 0, trim(arg_max(text, turn), ' ') FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id HAVING trim(arg_max(text, turn), ' ') <> ''",
     "vectors_read": "SELECT vec_id, 64 AS dim, NULL::VARCHAR AS error, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 6) AS y FROM embeddings",
+    "registry": "SELECT n_name AS name, n_nationkey + CASE WHEN n_regionkey = 1 THEN 100 ELSE 0 END AS dim, n_regionkey AS kind FROM nation WHERE n_regionkey <> 2",
     "report_sections": "WITH t AS (SELECT lang AS of, doc_id::VARCHAR AS key, CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN substring(replace(text, chr(10), ' '), 1, 200) || '…' ELSE replace(text, chr(10), ' ') END AS text FROM documents) SELECT '3 texts' AS section, of, row_number() OVER (PARTITION BY of ORDER BY key, text) AS line, text FROM t UNION ALL SELECT '0 frames', NULL, 1, count(*) || ' text' FROM t",
     "scalar_of": "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events",
     "corpus_content_set": "SELECT count(*) FILTER (WHERE lang = 'en') AS n, count(DISTINCT CASE WHEN lang = 'en' THEN sha256(text) END) AS corpus_size FROM documents",

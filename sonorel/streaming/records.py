@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorel.operators import profile as P
+from sonorel.storage import broadcast_if_small
 from sonorel.sources.records import parse_frames
 
 
@@ -33,5 +34,5 @@ def event_power(events: DataFrame, length: str, hop: str, late: str) -> DataFram
 
 
 def live_axes(features: DataFrame, profile: DataFrame) -> DataFrame:
-    """Scores of features as they come, against a fixed profile of bounded size (a row per role and key)."""
-    return P.score_axes(features, F.broadcast(profile), ["role", "key"])
+    """Scores of features as they come, against a fixed profile (a row per role and key), which is broadcast if it is measured to be small."""
+    return P.score_axes(features, broadcast_if_small(profile), ["role", "key"])
