@@ -26,20 +26,26 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     ).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether links (a > b) are stars about the smallest of each component: each a has one link, and no b has any."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    degrees = ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return degrees.where("up > 1 or (up > 0 and down > 0)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """a, b: each vertex of an edge that isn't the smallest of its component, and that smallest. No edges, no rows."""
+    """a, b: each vertex of an edge that isn't the smallest of its component, and that smallest. No edges, no rows.
+
+    Each star is written before the next reads it. The small star reads its links three times, so one plan of both holds
+    the large star three times, with all its exchanges and broadcasts, which the driver keeps."""
     spark = edges.sparkSession
-    now = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    mark = None
-    while True:
-        new = materialize(_stars(_stars(now, True), False), "stars")
-        drop_table(spark, now)
-        now = new
-        found = now.agg(
-            F.count("*"),
-            F.sum(F.hash("a", "b").cast("long")),
-            F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")),
-        ).first()
-        if found == mark:
-            return now
-        mark = found
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(down.where("a <> b").distinct(), "edges")
+    while not _settled(now):
+        for large in (True, False):
+            new = materialize(_stars(now, large), "stars")
+            drop_table(spark, now)
+            now = new
+    return now

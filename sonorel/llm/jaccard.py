@@ -569,6 +569,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     )
     sets = sets_of(texts).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets.join(wanted.select("digest", "nid"), "digest").select("nid", "shingles"), "sets")
+    drop_table(spark, wanted)
     roots = components(links(members, sets))
     drop_table(spark, sets)
     rooted = names.join(

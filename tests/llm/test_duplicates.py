@@ -1,9 +1,13 @@
 """Near duplicates and repeated lines against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 
+from sonorel.llm import components as stars
 from sonorel.llm import jaccard, line_dedup
+from sonorel.llm.common import materialize
 from sonorel.llm.shingles import shingle_sets
 
 
@@ -183,3 +187,23 @@ def test_lines_of_odd_documents(docs, nothing):
     kept = line_dedup.keep_documents(docs)
     assert kept.columns == docs.columns and kept.where("text is null").count() == docs.where("text is null").count()
     assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_each_star_is_written_before_the_next_reads_it(spark, monkeypatch):
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(stars, "materialize", noted)
+    path = [(i, i + 1) for i in range(10, 30)] + [(30, 12), (40, 41), (42, 41), (5, 5)]
+    edges = spark.createDataFrame(path, "a long, b long")
+    want = {i: 10 for i in range(11, 31)} | {41: 40, 42: 40}
+    found = stars.components(edges)
+    assert {r.a: r.b for r in found.collect()} == want and found.count() == len(want)
+    assert max(len(re.findall(r"\bJoin\b", p)) for p in plans) == 1
+    plans.clear()
+    assert {r.a: r.b for r in stars.components(found).collect()} == want
+    assert stars.components(found.where("a < 0")).count() == 0
+    assert len(plans) == 2
